@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import ctw, decontaminate, pii, quality, simhash
-from pixelweave.llm.common import table
+from pixelweave.llm import ann, ctw, decontaminate, html, packing, pii, quality, shards, simhash
+from pixelweave.llm.common import fresh_path, table
+from pixelweave.llm.tokens import vocabulary
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = shards.TokenStore.write(docs, vocabulary("byte_bpe_50k.json"), end=2)
+    return store.read(shards.keys_of(docs))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,4 +53,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(pii.BASE), 256).alias("base_sha256"), pii.listed(pii.BASE + pii.SCORED).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_simhash, op7_quality, op8_ctw, op9_pii)}
+#: Not an id of the vocabulary, so a text can't hold it.
+FLAT_END = 50_257
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "flat-tokens")
+    order = shards.write_flat(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), FLAT_END, folder)
+    found = shards.scan_counts(spark, folder, FLAT_END, "<u2")
+    return order.join(found, ["shard", "ordinal"]).select("doc_id", "shard", "ordinal", "start", "n_tokens")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_packing, op4_ann, op5_html, op6_simhash, op7_quality, op8_ctw, op9_pii, op10_token_counts)}
