@@ -1,3 +1,78 @@
-"""DuckDB SQL for the registered queries that SQL can express."""
+"""DuckDB SQL for the registered queries that SQL can express, written on its own from what they are to return."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingles(table: str, key: str) -> str:
+    return f"""
+    SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+                                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+    FROM (SELECT {key}, {_WORDS.format("coalesce(text, '')")} AS w FROM {table} WHERE {key} IS NOT NULL)"""
+
+
+CONTAINED = f"""
+WITH d AS ({_shingles("documents", "doc_id")}), b AS ({_shingles("benchmark", "item_id")}),
+     n AS (SELECT item_id, CAST(count(*) AS INT) AS n_shingles FROM b GROUP BY item_id),
+     f AS (SELECT doc_id, item_id, CAST(count(*) AS INT) AS n_found FROM d JOIN b USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment
+FROM f JOIN n USING (item_id) WHERE n_found >= ceil(n_shingles * 0.8 - 1e-9)
+"""
+
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "pan": r"[0-9](?:[\x20-]?[0-9])+",
+    "ssn": r"[0-9-]*[0-9]{3}-[0-9]{2}-[0-9]{4}[0-9-]*",
+}
+
+
+def _luhn(d: str) -> str:
+    return f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 1 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST({d}[i] AS INT) + 1] ELSE CAST({d}[i] AS INT) END)) % 10 = 0"
+
+
+_D = "regexp_replace(s.m, '[^0-9]', '', 'g')"
+_C = "replace(s.m, ' ', '')"
+_MOD = f"list_reduce(list_prepend(0, list_transform(string_split(substr({_C}, 5) || substr({_C}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) = 1"
+
+
+def _near(words: str) -> str:
+    return f"regexp_matches(lower(substr(t, greatest(s.b - 40, 0) + 1, least(s.b, 40))), '{words}')"
+
+
+_TESTS = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(s.m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || substr(ltrim(p, '0'), 1, 3) AS INT) > 255)) = 0",
+    "card": f"CASE WHEN length({_D}) BETWEEN 16 AND 19 THEN {_luhn(_D)} ELSE false END",
+    "phone": f"length({_D}) BETWEEN 8 AND 15",
+    "iban": f"CASE WHEN length({_C}) BETWEEN 15 AND 34 THEN {_MOD} ELSE false END",
+    "pan": f"CASE WHEN length({_D}) BETWEEN 13 AND 15 AND {_near('card|credit|visa|amex|karte|carte|tarjeta')} THEN {_luhn(_D)} ELSE false END",
+    "ssn": f"regexp_full_match(s.m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND {_near('ssn|social security|tax id')}",
+}
+
+
+def _spans(kind: str) -> str:
+    # a match begins after all gaps and matches before it
+    p = _PATTERNS[kind]
+    gaps = f"list_transform(string_split_regex(t, '{p}'), lambda x: length(x))"
+    return f"""list_filter(list_transform(range(1, len({kind}_m) + 1), lambda i: {{'b': CAST(list_sum({kind}_g[1:i]) + coalesce(list_sum(list_transform({kind}_m[1 : i - 1], lambda x: length(x))), 0) AS BIGINT), 'm': {kind}_m[i]}}), lambda s: {_TESTS[kind]})""", f"regexp_extract_all(t, '{p}') AS {kind}_m, {gaps} AS {kind}_g"
+
+
+def _listed(kinds: list[str]) -> str:
+    return "array_to_string(list_concat(" + ", ".join(f"list_transform({k}, lambda s: '{k}:' || s.b || ':' || (s.b + length(s.m)))" for k in kinds) + "), ',')"
+
+
+_KINDS = list(_PATTERNS)
+PII = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     m AS (SELECT doc_id, t, {", ".join(_spans(k)[1] for k in _KINDS)} FROM d),
+     s AS (SELECT doc_id, {", ".join(f"{_spans(k)[0]} AS {k}" for k in _KINDS)} FROM m)
+SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k in _KINDS[:4])}, sha256({_listed(_KINDS[:4])}) AS base_sha256, {_listed(_KINDS)} AS spans
+FROM s
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": CONTAINED, "op9_pii": PII}
