@@ -15,6 +15,8 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: A space beside another white character isn't a lone one.
 _BESIDE = (" \n", "\n ")
 _WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: Nor are a lone line end and what is beside it.
+_LINES = re.compile(r"\S+(?:\n\S+)+")
 #: Letters and the marks after them are never in one token.
 _MARKS = re.compile(r"(.*[A-Za-z])([!#$%&*+,.:;?|]+)", re.DOTALL)
 #: Words kept with their ids by each worker; the store starts anew when it is full.
@@ -39,28 +41,42 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        """Words are cut into letters and the marks after them, as marks differ more often; the first word of a text has no space before it."""
-        cut = {w: m.groups() if (m := _MARKS.fullmatch(w)) else (w, "") for w in words}
-        parts = list({x for core, marks in cut.values() for x in (core[1:] if core[:1] == "\0" else " " + core, marks) if x})
-        ids = {p: array(self.code, e.ids).tobytes() for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True)}
-        ids[""] = b""
-        for w, (core, marks) in cut.items():
-            self.words[w] = ids[core[1:] if core[:1] == "\0" else " " + core] + ids[marks]
+        """Words are cut into lines, and these into letters and the marks after them: the parts repeat more often than what
+        they make up. The first word of a text or line has no space before it."""
+        cut: dict[str, list[str]] = {}
+        for w in words:
+            parts = cut[w] = []
+            for n, line in enumerate(w.split("\n") if "\n" in w and _LINES.fullmatch(w) else (w,)):
+                if n:
+                    parts.append("\n\n")
+                    line = "\0" + line
+                if m := _MARKS.fullmatch(line):
+                    parts += (m[1], "\0" + m[2])
+                else:
+                    parts.append(line)
+        known = self.words
+        new = list({p for ps in cut.values() for p in ps if p not in known})
+        texts = ["\n" if p == "\n\n" else p[1:] if p[:1] == "\0" else " " + p for p in new]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            known[p] = array(self.code, e.ids).tobytes()
+        for w, ps in cut.items():
+            if len(ps) > 1:
+                known[w] = b"".join([known[p] for p in ps])
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """For each text its ids, as bytes."""
         split = [_words(text) for text in texts]
-        for _ in range(2):
-            found = [list(map(self.words.get, ws)) for ws in split]
-            new = {w for ws, fs in zip(split, found, strict=True) if None in fs for w, f in zip(ws, fs, strict=True) if f is None}
-            if not new:
-                break
+        found = [list(map(self.words.get, ws)) for ws in split]
+        new = {w for ws, fs in zip(split, found, strict=True) if None in fs for w, f in zip(ws, fs, strict=True) if f is None}
+        if new:
             if len(self.words) + len(new) > STORE_WORDS:
-                new = {w for ws in split for w in ws}
                 self.words = {}
             self._learn(new)
-        for w in new if len(self.words) > STORE_WORDS else [w for w in new if len(w) > STORE_CHARS]:
-            self.words.pop(w, None)
+            known = self.words
+            found = [[known[w] if f is None else f for w, f in zip(ws, fs, strict=True)] if None in fs else fs for ws, fs in zip(split, found, strict=True)]
+            for w in new:
+                if len(w) > STORE_CHARS or "\n" in w:
+                    known.pop(w, None)
         return [b"".join(fs) for fs in found]
 
 
