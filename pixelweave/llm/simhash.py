@@ -11,11 +11,12 @@ left, so a bucket's size is bounded by the construction itself.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import clean_text, components, written
@@ -98,39 +99,28 @@ def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> Da
             found = [x for group in b.column(0).to_pylist() for x in _links(group, radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    def keyed(rows: DataFrame, masks: dict[tuple[int, ...], list[int]]) -> DataFrame:
-        """rows: fp and path, the tables it is in so far; masks: by path, whole masks of the next level's tables."""
-        made = None
-        for path, ms in masks.items():
-            own = rows.where(F.col("path") == "/".join(map(str, path))) if path else rows
-            tables = F.array(*[F.struct(F.lit("/".join(map(str, (*path, i)))).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(ms)])
-            part = own.select("fp", F.explode(tables).alias("t")).select("fp", "t.path", "t.key")
-            made = part if made is None else made.unionByName(part)
-        return made
-
-    from pyspark.sql import Window
-
-    masks: dict[tuple[int, ...], list[int]] = {(): covering_masks(list(range(64)), radius)}
-    rows, found = fps.select("fp"), None
+    spark, masks, free = fps.sparkSession, {1: [(1 + i, m) for i, m in enumerate(covering_masks(list(range(64)), radius))]}, {}
+    tables = F.array(*[F.struct(F.lit(t).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in masks[1]])
+    keyed, found = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.path", "t.key"), None
     while True:
         size = F.count("*").over(Window.partitionBy("path", "key"))
-        crowded = written(keyed(rows, masks).withColumn("n", size).where("n > 1"), "simhash-buckets")
-        free = {(*path, i): [p for p in range(64) if not m >> p & 1] for path, ms in masks.items() for i, m in enumerate(ms)}
+        crowded = written(keyed.withColumn("n", size).where("n > 1"), "simhash-buckets")
+        whole = {t: m for ms in masks.values() for t, m in ms}
+        free = {t: [p for p in range(64) if not m >> p & 1] for t, m in whole.items()}
         # with 10 positions left a bucket has 1024 fingerprints at most
-        full = crowded.where(F.col("n") > bucket_rows)
         last = all(len(p) <= 10 for p in free.values())
         small = crowded if last else crowded.where(F.col("n") <= bucket_rows)
         here = small.groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "a long, b long")
         found = here if found is None else found.unionByName(here)
-        if last:
-            break
-        paths = [tuple(map(int, r[0].split("/"))) for r in full.select("path").distinct().collect()]  # at most one for each table
+        full = crowded.where(F.col("n") > bucket_rows)
+        paths = [] if last else sorted(r[0] for r in full.select("path").distinct().collect())  # at most one for each table
         if not paths:
-            break
-        whole = {(*path, i): m for path, ms in masks.items() for i, m in enumerate(ms)}
-        masks = {p: [whole[p] | m for m in covering_masks(free[p], radius)] for p in paths}
-        rows = full.select("fp", "path")
-    return found.distinct()
+            return found.distinct()
+        number = itertools.count(1)
+        masks = {p: [(next(number), whole[p] | m) for m in covering_masks(free[p], radius)] for p in paths}
+        # of three levels the last has 31 ** 3 tables for radius 4
+        next_tables = F.broadcast(spark.createDataFrame([(p, t, _signed(m)) for p, ms in masks.items() for t, m in ms], "path int, to int, mask long"))
+        keyed = full.join(next_tables, "path").select("fp", F.col("to").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

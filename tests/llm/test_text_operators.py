@@ -68,10 +68,10 @@ def near(fps, radius):
     return {f: find(f) for f in fps}
 
 
-@pytest.mark.parametrize("bucket_rows", [1024, 4])
-def test_links_connect_what_all_pairs_connect(spark, bucket_rows):
+@pytest.mark.parametrize(("bucket_rows", "bases"), [(1024, 20), (6, 2)])
+def test_links_connect_what_all_pairs_connect(spark, bucket_rows, bases):
     r = random.Random(1)
-    base = [r.getrandbits(64) for _ in range(20)]
+    base = [r.getrandbits(64) for _ in range(bases)]
     fps = {b ^ sum(1 << p for p in r.sample(range(64), r.randint(0, 6))) for b in base for _ in range(12)}
     fps = {x - (1 << 64) if x >> 63 else x for x in fps}
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
