@@ -21,7 +21,9 @@ from pixelweave.llm.common import clean_text, written
 
 #: At most about so many labelled rows are fitted, taken by a hash of the id.
 FIT_ROWS = 200_000
-N_FOURIER, GAMMA, RIDGE, SEED = 256, 0.15, 1e-2, 7
+N_FOURIER, GAMMA, RIDGE, SEED = 256, 0.05, 1e-2, 7
+#: Standardised statistics beyond this count as this, so that a text unlike all others is still near some.
+CLIP = 3.0
 #: One labelled row in so many calibrates.
 CALIBRATE_ONE_IN = 4
 _SPACE, _LETTER, _UPPER, _DIGIT, _MARK = (np.zeros(256, dtype=bool) for _ in range(5))
@@ -77,12 +79,16 @@ class Model:
     values: np.ndarray
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return _fourier((x - self.mean) / self.scale, self.frequencies, self.phases) @ self.weights
+        return _fourier(_standard(x, self.mean, self.scale), self.frequencies, self.phases) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), self.steps, self.values)
 
 
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -CLIP, CLIP)
+
+
 def _fourier(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(x), 1)), np.sqrt(2 / len(b)) * np.cos(x @ w + b)])
 
@@ -148,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, N_STATISTICS)
             y = b.column(0).to_numpy().astype(float)
-            z = _fourier((x - mean) / scale, w, phases)
+            z = _fourier(_standard(x, mean, scale), w, phases)
             wz = z * np.where(y > 0, weigh[1], weigh[0])[:, None]
             a += wz.T @ np.hstack([z, y[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], names=["a"])
