@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.operators import group, grow, learn, pixel, review
+from pixelweave.operators import group, grow, learn, lines, pixel, review
 from pixelweave.sources import HEIGHT, LABELLED, WIDTH, decisions, dense_pixels, labelled_pixels, sparse_pixels, training_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,20 @@ def incremental_plan(spark, sf_dir):
     return review.incremental_plan(frames, frames.select("frame_idx").distinct().where("frame_idx % 11 <> 5"))
 
 
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.votes(dense_pixels(spark, sf_dir).where(F.col("intensity") > LABELLED), 3, 3)
+
+
+@query
+def hough_topk(spark, sf_dir):
+    return lines.peaks(_votes(spark, sf_dir), 10)
+
+
+@query
+def theta_hist(spark, sf_dir):
+    return lines.theta_histogram(_votes(spark, sf_dir))
+
+
 @query
 def decision_counts(spark, sf_dir):
     return review.decision_counts(decisions(spark, sf_dir))

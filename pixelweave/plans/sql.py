@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pixelweave.operators.lines import angles
 from pixelweave.operators.pixel import mask_kernel
 
 PX = """px AS (SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) - 23940 AS INT) AS frame_idx, CAST(l_partkey % 128 AS INT) AS x, CAST(l_suppkey % 96 AS INT) AS y,
@@ -30,6 +31,9 @@ def beside(expression: str, table: str) -> str:
 _KERNEL = ", ".join(f"({dx}, {dy}, CAST({w!r} AS DOUBLE))" for dx, dy, w in mask_kernel())
 ALPHA = f"""al AS (SELECT frame_idx, x + dx AS x, y + dy AS y, round(max(w), 9) AS alpha FROM px, (VALUES {_KERNEL}) k(dx, dy, w)
   WHERE intensity > 48000 AND x + dx BETWEEN 0 AND 127 AND y + dy BETWEEN 0 AND 95 GROUP BY ALL)"""
+_ANGLES = ", ".join(map(str, angles(3)))
+VOTES = f"""px AS (SELECT vec_id // 64 AS frame_idx, i AS x, vec_id % 64 AS y FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings) WHERE floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 100000) > 30000),
+  v AS (SELECT CAST(frame_idx AS INT) AS frame_idx, CAST(t AS INT) AS theta, CAST(floor((x * c + y * s) / 1000000) AS INT) AS rho, count(*) AS votes FROM px, (VALUES {_ANGLES}) a(t, c, s) GROUP BY ALL HAVING count(*) > 3)"""
 _INSIDE = "SELECT p.frame_idx, p.blob_id, p.x, p.y, count(q.x) AS n FROM lp p CROSS JOIN {0} LEFT JOIN lp q ON q.frame_idx = p.frame_idx AND q.blob_id = p.blob_id AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY ALL"
 CARDINAL, CORNERS = "(VALUES (0,-1),(-1,0),(1,0),(0,1)) o(dx, dy)", "(VALUES (-1,-1),(1,-1),(-1,1),(1,1)) o(dx, dy)"
 
@@ -75,6 +79,9 @@ ORACLES: dict[str, str] = {
     "overlapping_groups": f"WITH {LP} SELECT DISTINCT p.frame_idx, p.blob_id, q.blob_id AS other_id FROM lp p JOIN lp q ON q.frame_idx = p.frame_idx + 1 AND q.x = p.x AND q.y = p.y",
     "frame_links": f"WITH {PX}, f AS (SELECT DISTINCT frame_idx FROM px) SELECT f.frame_idx, b.frame_idx AS previous, a.frame_idx AS next, coalesce(a.frame_idx, b.frame_idx) AS compared_with FROM f LEFT JOIN f b ON b.frame_idx = f.frame_idx - 1 LEFT JOIN f a ON a.frame_idx = f.frame_idx + 1",
     "incremental_plan": f"WITH {PX}, f AS (SELECT DISTINCT frame_idx FROM px) SELECT frame_idx FROM f WHERE EXISTS (SELECT 1 FROM f m WHERE m.frame_idx % 11 = 5 AND abs(m.frame_idx - f.frame_idx) <= 2)",
+    "hough_topk": f"""WITH {VOTES}, m AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.frame_idx = v.frame_idx AND abs(o.theta - v.theta) <= 5 AND abs(o.rho - v.rho) <= 5 AND o.votes > v.votes)),
+      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY frame_idx ORDER BY votes DESC, theta, rho) AS INT) AS place FROM m) SELECT * FROM r WHERE place <= 10""",
+    "theta_hist": f"WITH {VOTES}, b AS (SELECT frame_idx, theta // 10 AS band, CAST(sum(votes) AS BIGINT) AS votes FROM v GROUP BY ALL) SELECT *, round(votes / sum(votes) OVER (PARTITION BY frame_idx), 9) AS share FROM b",
     "decision_counts": f"WITH {DC} SELECT * FROM dc",
     "apply_undecided": f"WITH {D}, s AS (SELECT *, (group_id % 21 - 10) / 10.0 AS score FROM d) SELECT frame_idx, group_id, CASE WHEN will_paint IS NULL THEN 'fromClassifier' ELSE reason_kind END AS reason_kind, round(CASE WHEN will_paint IS NULL THEN CAST(score AS DOUBLE) ELSE reason_value END, 6) AS reason_value, coalesce(will_paint, score > 0) AS will_paint FROM s",
     "validation_override": f"WITH {LP} SELECT frame_idx, blob_id, bool_or(intensity > 49000) AS will_paint FROM lp GROUP BY ALL",
