@@ -18,7 +18,9 @@ _WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 #: Nor are a lone line end and what is beside it.
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 #: Letters and the marks after them are never in one token.
-_MARKS = re.compile(r"(.*[A-Za-z])([!#$%&*+,.:;?|]+)", re.DOTALL)
+_MARKS = "!#$%&*+,.:;?|"
+#: So many words of letters alone are encoded as one text, spaces between them.
+JOINED = 2_000
 #: Words kept with their ids by each worker; the store starts anew when it is full.
 STORE_WORDS = 1_000_000
 #: Longer words aren't kept.
@@ -39,30 +41,61 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.words: dict[str, bytes] = {}
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocab = self.tokenizer.get_vocab()
+        #: Whether white space is dropped, and words are told apart by their last token instead of their first one.
+        self.closed = bool(suffix)
+        self.bounds = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.bounds[[i for t, i in vocab.items() if (t.endswith(suffix) if suffix else t.startswith("Ġ"))]] = True
 
     def _learn(self, words: set[str]) -> None:
         """Words are cut into lines, and these into letters and the marks after them: the parts repeat more often than what
         they make up. The first word of a text or line has no space before it."""
         cut: dict[str, list[str]] = {}
+        known = self.words
+        new: dict[str, None] = {}
         for w in words:
+            if w.isalpha():
+                new[w] = None
+                continue
             parts = cut[w] = []
             for n, line in enumerate(w.split("\n") if "\n" in w and _LINES.fullmatch(w) else (w,)):
                 if n:
                     parts.append("\n\n")
                     line = "\0" + line
-                if m := _MARKS.fullmatch(line):
-                    parts += (m[1], "\0" + m[2])
+                letters = line.rstrip(_MARKS)
+                if letters and letters != line and letters[-1].isascii() and letters[-1].isalpha():
+                    parts += (letters, "\0" + line[len(letters) :])
                 else:
                     parts.append(line)
-        known = self.words
-        new = list({p for ps in cut.values() for p in ps if p not in known})
-        texts = ["\n" if p == "\n\n" else p[1:] if p[:1] == "\0" else " " + p for p in new]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            known[p] = array(self.code, e.ids).tobytes()
+            for p in parts:
+                if p not in known:
+                    new[p] = None
+        plain = [p for p in new if p.isalpha() or (self.closed and p[1:].isalpha() and p[0] == "\0")]
+        for at in range(0, len(plain), JOINED):
+            self._joined(plain[at : at + JOINED])
+        self._apart([p for p in new if p not in known])
         for w, ps in cut.items():
             if len(ps) > 1:
                 known[w] = b"".join([known[p] for p in ps])
 
+    def _joined(self, parts: list[str]) -> None:
+        """Each of these words of letters is at least one word to the vocabulary; if as many come out as went in, each is one."""
+        text = " " + " ".join([p.lstrip("\0") for p in parts] if self.closed else parts)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        cuts = np.flatnonzero(self.bounds[ids]) + int(self.closed)
+        if len(cuts) != len(parts):
+            self._apart(parts)
+            return
+        cuts = (np.insert(cuts, 0, 0) if self.closed else np.append(cuts, len(ids))) * self.dtype.itemsize
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        self.words.update(zip(parts, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
+
+    def _apart(self, parts: list[str]) -> None:
+        texts = ["\n" if p == "\n\n" else p[1:] if p[:1] == "\0" else " " + p for p in parts]
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.words[p] = array(self.code, e.ids).tobytes()
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """For each text its ids, as bytes."""
         split = [_words(text) for text in texts]
