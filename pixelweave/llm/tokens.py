@@ -19,6 +19,8 @@ _WHITE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 #: Letters and the marks after them are never in one token.
 _MARKS = "!#$%&*+,.:;?|"
+#: Up to here a letter is one to every version of Unicode and stays a single letter in lower case (the next one doesn't).
+_LATIN = "\u012f"
 #: So many words of letters alone are encoded as one text, spaces between them.
 JOINED = 2_000
 #: Words kept with their ids by each worker; the store starts anew when it is full.
@@ -51,30 +53,39 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         """Words are cut into lines, and these into letters and the marks after them: the parts repeat more often than what
         they make up. The first word of a text or line has no space before it."""
-        cut: dict[str, list[str]] = {}
         known = self.words
         new: dict[str, None] = {}
+        marked: list[str] = []
+        letters: list[str] = []
+        marks: list[str] = []
+        cut: dict[str, list[str]] = {}
         for w in words:
             if w.isalpha():
                 new[w] = None
                 continue
+            stem = w.rstrip(_MARKS)
+            if stem.isalpha() and stem[-1] <= _LATIN:
+                marked.append(w)
+                letters.append(stem)
+                marks.append("\0" + w[len(stem) :])
+                continue
             parts = cut[w] = []
             for n, line in enumerate(w.split("\n") if "\n" in w and _LINES.fullmatch(w) else (w,)):
                 if n:
                     parts.append("\n\n")
                     line = "\0" + line
-                letters = line.rstrip(_MARKS)
-                if letters and letters != line and letters[-1].isascii() and letters[-1].isalpha():
-                    parts += (letters, "\0" + line[len(letters) :])
+                stem = line.rstrip(_MARKS)
+                if stem and stem != line and stem[-1] <= _LATIN and stem[-1].isalpha():
+                    parts += (stem, "\0" + line[len(stem) :])
                 else:
                     parts.append(line)
-            for p in parts:
-                if p not in known:
-                    new[p] = None
+        new |= dict.fromkeys(set(letters).union(marks, *cut.values()).difference(known))
         plain = [p for p in new if p.isalpha() or (self.closed and p[1:].isalpha() and p[0] == "\0")]
         for at in range(0, len(plain), JOINED):
             self._joined(plain[at : at + JOINED])
         self._apart([p for p in new if p not in known])
+        for w, stem, after in zip(marked, letters, marks, strict=True):
+            known[w] = known[stem] + known[after]
         for w, ps in cut.items():
             if len(ps) > 1:
                 known[w] = b"".join([known[p] for p in ps])
@@ -99,18 +110,17 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """For each text its ids, as bytes."""
         split = [_words(text) for text in texts]
-        found = [list(map(self.words.get, ws)) for ws in split]
-        new = {w for ws, fs in zip(split, found, strict=True) if None in fs for w, f in zip(ws, fs, strict=True) if f is None}
+        seen = set().union(*split)
+        new = seen.difference(self.words)
+        if len(self.words) + len(new) > STORE_WORDS:
+            self.words, new = {}, seen
         if new:
-            if len(self.words) + len(new) > STORE_WORDS:
-                self.words = {}
             self._learn(new)
-            known = self.words
-            found = [[known[w] if f is None else f for w, f in zip(ws, fs, strict=True)] if None in fs else fs for ws, fs in zip(split, found, strict=True)]
-            for w in new:
-                if len(w) > STORE_CHARS or "\n" in w:
-                    known.pop(w, None)
-        return [b"".join(fs) for fs in found]
+        ids = [b"".join(map(self.words.__getitem__, ws)) for ws in split]
+        for w in new:
+            if len(w) > STORE_CHARS or "\n" in w:
+                self.words.pop(w, None)
+        return ids
 
 
 def _words(text: str) -> list[str]:
