@@ -37,6 +37,17 @@ def test_words_are_encoded_as_in_their_text(path):
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [plain(path, t, 0)[:-1] for t in texts]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_are_encoded_as_in_their_text_whatever_they_are_made_of(path):
+    parts = ["a", "Abc", "don't", "'s", "é", "e\u0301", "Ö", "İ", "ß", "ΑΣ", "日本", "\u0300", "42", "½", ".", ",", "!!", "\n", "\n\n", " ", "  ", "\t", "\u3000", "\0", "<|endoftext|>", "_", "😀", "ǅ", "ª", "\x85", ";|?"]
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(3000)]
+    enc = Encoder(path)
+    for at in range(0, len(texts), 50):
+        own = texts[at : at + 50]
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(own)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in own]
+
+
 def test_perfect_hash_gives_each_key_its_own_slot():
     for n in (1, 2, 3, 17, 5000):
         h = np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64)
