@@ -5,12 +5,14 @@ and all such links are found: the bit positions carry vectors of ``radius + 1``
 non-zero vector v a table keeps the positions whose vector has an odd product with v. At most ``radius``
 positions differ in a pair, so some v is orthogonal to the vectors of all of them, and in its table the
 pair has one key. A bucket that is too full for one task is cut by the same construction over the
-positions its table left out, which again separates no pair within the radius; each level halves what is
-left, so a bucket's size is bounded by the construction itself.
+positions its table left out, which again separates no pair within the radius. The vectors are dealt so
+that every table keeps about half of however few positions are left, so each level about halves them, and
+a bucket's size is bounded by the construction itself.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -58,10 +60,29 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     return clean_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
+@functools.cache
+def _dealt(bits: int, n: int) -> list[int]:
+    """The first ``n`` of the non-zero vectors of ``bits`` bits, in an order in which each vector raises the
+    least products most: of any first ``bits`` or more, every non-zero v has an odd product with some, and with
+    about half."""
+    every = np.arange(1, 1 << bits)
+    odd = np.bitwise_count(every[:, None] & every[None, :]) % 2
+    weights, order = np.zeros(len(every), dtype=np.int64), []
+    left = list(range(len(every)))
+    for _ in range(min(n, len(every))):
+        best = max(left, key=lambda i: (np.sort(weights + odd[i]).tolist(), -i))
+        left.remove(best)
+        weights += odd[best]
+        order.append(int(every[best]))
+    return order
+
+
 def covering_masks(positions: list[int], radius: int, seed: int = SEED) -> list[int]:
     """For every non-zero vector of ``radius + 1`` bits, the mask of the positions it keeps. Positions carry
-    the non-zero vectors in turn, dealt by a seeded shuffle, so all masks keep about half of them."""
-    vectors = [1 + i % ((1 << (radius + 1)) - 1) for i in range(len(positions))]
+    the non-zero vectors in turn, dealt by a seeded shuffle, so all masks keep about half of them, and none keeps
+    nothing if there are more positions than ``radius``."""
+    dealt = _dealt(radius + 1, len(positions))
+    vectors = [dealt[i % len(dealt)] for i in range(len(positions))]
     order = np.random.default_rng(seed).permutation(positions).tolist()
     masks = {sum(1 << p for p, m in zip(order, vectors, strict=True) if (m & v).bit_count() % 2) for v in range(1, 1 << (radius + 1))}
     return sorted(masks)
@@ -107,8 +128,8 @@ def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> Da
         crowded = written(keyed.withColumn("n", size).where("n > 1"), "simhash-buckets")
         whole = {t: m for ms in masks.values() for t, m in ms}
         free = {t: [p for p in range(64) if not m >> p & 1] for t, m in whole.items()}
-        # with 10 positions left a bucket has 1024 fingerprints at most
-        last = all(len(p) <= 10 for p in free.values())
+        # with 10 positions left a bucket has 1024 fingerprints at most; while there are more than radius, each level leaves fewer
+        last = all(len(p) <= max(10, radius) for p in free.values())
         small = crowded if last else crowded.where(F.col("n") <= bucket_rows)
         here = small.groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "a long, b long")
         found = here if found is None else found.unionByName(here)

@@ -53,6 +53,19 @@ def test_covering_masks_separate_no_pair_within_the_radius():
             assert any(not differ & m for m in masks)
 
 
+def test_covering_masks_keep_about_half_of_few_positions_too():
+    for radius in (2, 4):
+        for n in range(radius + 1, 65):
+            kept = [m.bit_count() for m in simhash.covering_masks(list(range(64 - n, 64)), radius)]
+            assert min(kept) >= max(1, n // 3 - 1), (radius, n)
+    first = simhash.covering_masks(list(range(64)), 4)
+    for m in first:
+        for k in simhash.covering_masks([p for p in range(64) if not m >> p & 1], 4):
+            free = [p for p in range(64) if not (m | k) >> p & 1]
+            # a third level ends it
+            assert all(len(free) - x.bit_count() <= 10 for x in simhash.covering_masks(free, 4))
+
+
 def near(fps, radius):
     root = {f: f for f in fps}
 
@@ -83,6 +96,20 @@ def test_links_connect_what_all_pairs_connect(spark, bucket_rows, bases):
     assert groups(found) == groups(expected)
 
 
+def test_a_crowd_within_the_positions_that_two_levels_leave(spark):
+    r = random.Random(5)
+    first = simhash.covering_masks(list(range(64)), 4)[3]
+    second = simhash.covering_masks([p for p in range(64) if not first >> p & 1], 4)[7]
+    free = [p for p in range(64) if not (first | second) >> p & 1]
+    fps = {sum(1 << p for p in free if r.random() < 0.5) for _ in range(1500)}
+    fps = {x - (1 << 64) if x >> 63 else x for x in fps}
+    assert 14 <= len(free) <= 18 and len(fps) > 1024
+    from pixelweave.llm.common import components
+
+    found = dict(components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4)).collect())
+    assert {f: found.get(f, f) for f in fps} == near(fps, 4)
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     found = [tuple(r) for r in simhash.near_duplicates(odd).select("doc_id", "component_id").collect()]
     assert len(found) == odd.count()
