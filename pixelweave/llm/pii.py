@@ -10,7 +10,9 @@ Base kinds are always kept if they pass their test:
 Scored kinds start from a score for their pattern and checksum; a context word within ``CONTEXT_CHARS``
 before the span adds to it, and they are kept from ``KEEP_SCORE`` on:
 
-* ``iban``: two letters, two digits, 11 to 30 letters or digits, mod-97 equal to 1;
+* ``iban``: two letters, two digits, 11 to 30 letters or digits, mod-97 equal to 1. What follows may look
+  like more of it, so every end of a group is tried, and of those that pass the one of the country's length is
+  taken, else the longest;
 * ``pan``: 13 to 15 digits passing Luhn, as some cards have; only with a context word, as a tenth of all
   numbers pass;
 * ``ssn``: three, two and four digits with hyphens; only with a context word.
@@ -32,7 +34,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the head only; group 1 has all that may belong to it, and the letter or digit that follows at once
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}",
     "pan": r"[0-9](?:[ -]?+[0-9])++",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
@@ -40,6 +43,11 @@ PATTERNS = {
 NEEDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "pan": "[0-9]", "ssn": "-[0-9]{2}-"}
 CONTEXT = {"iban": "iban|account|bank|konto|compte|cuenta", "pan": "card|credit|visa|amex|karte|carte|tarjeta", "ssn": "ssn|social security|tax id"}
 START = {"iban": 0.7, "pan": 0.3, "ssn": 0.3}
+#: Letters and digits of an IBAN by country, from the registry.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 CONTEXT_CHARS, CONTEXT_SCORE, KEEP_SCORE = 40, 0.4, 0.6
 
 
@@ -101,8 +109,36 @@ def _spans(kind: str, text: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
+def _iban_spans(text: Column) -> Column:
+    """As ``_spans``, of the codes that pass; of those that overlap the first."""
+    pattern = PATTERNS["iban"]
+    own = F.create_map(*[F.lit(x) for n, countries in IBAN_CHARS.items() for c in countries.split() for x in (c, n)])
+
+    def code(run: Column) -> Column:
+        def of(groups: Column) -> Column:
+            ends = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.array_join(F.slice(groups, F.lit(1), i), " "))
+            passing = F.filter(ends, lambda c: c.rlike("^[A-Z0-9 ]+$") & _passes("iban", c))
+            ranked = F.transform(passing, lambda c: F.struct((F.length(F.regexp_replace(c, " ", "")) == F.coalesce(F.try_element_at(own, F.substr(c, F.lit(1), F.lit(2))), F.lit(0))).alias("own"), F.length(c).alias("n"), c.alias("found")))
+            return F.array_max(ranked)["found"]
+
+        return let(F.split(run, " "), of)
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + F.length(p["gap"])
+        end = start + F.length(p["found"])
+        new = F.array(F.struct(start.alias("start"), end.alias("end"), p["found"].alias("found")))
+        taken = p["found"].isNotNull() & (start >= acc["free"])
+        # only the head was cut out of the text
+        return F.struct((start + 4).alias("at"), F.when(taken, end).otherwise(acc["free"]).alias("free"), F.when(taken, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda run: F.struct(code(run).alias("code")))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match")), lambda p: p["match"].isNotNull())
+    return F.aggregate(F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["match"]["code"].alias("found"))), zero, step, lambda acc: acc["out"])
+
+
 def _kept(kind: str, text: Column) -> Column:
-    spans = F.filter(_spans(kind, text), lambda s: _passes(kind, s["found"]))
+    spans = _iban_spans(text) if kind == "iban" else F.filter(_spans(kind, text), lambda s: _passes(kind, s["found"]))
     if kind in SCORED:
 
         def score(s: Column) -> Column:
@@ -118,7 +154,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, text`` and for each kind an array of ``start, end, found``, in order of start.
 
     Null texts count as empty and come back empty; null ids and repeated rows stay; other columns go. Spans of one kind
-    never overlap, those of different kinds may. Matches that fail their test are dropped and not retried.
+    never overlap, those of different kinds may. Matches that fail their test are dropped and not retried, but for
+    ``iban``, of which every start and end is tried.
     """
     doc = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     return doc.select("doc_id", "text", *[_kept(k, F.col("text")).alias(k) for k in kinds])

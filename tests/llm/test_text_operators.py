@@ -167,6 +167,20 @@ def test_pii_spans(spark, odd, empty):
     assert pii.find_spans(odd).count() == odd.count() and pii.find_spans(empty).count() == 0
 
 
+def test_ibans_end_where_their_checksum_says(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    texts = {
+        f"{de.replace(' ', '')} Konto": [de.replace(" ", "")], f"{de} BIC COBADEFF": [de], f"{de} {gb}": [de, gb], f"{de} {no} {gb} 7 A": [de, no, gb],
+        f"AB12 {de} Konto": [de], f"{de}x": [], f"{de}9": [], f"x{de}": [], f"{de}": [de], f"{de.replace('89', '88')} Konto": [], f"😀 {gb}, {de}.": [gb, de], "DE89 " + "A" * 60: [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii.find_spans(df).collect():
+        assert [x["found"] for x in row["iban"]] == texts[row["text"]], row["text"]
+        assert all(row["text"][x["start"] : x["end"]] == x["found"] for x in row["iban"])
+    masked = {r[0]: r[1] for r in pii.mask(df).collect()}
+    assert masked[0] == "[IBAN] Konto" and masked[1] == "[IBAN] BIC COBADEFF" and masked[2] == "[IBAN] [IBAN]"
+
+
 def test_mask_replaces_spans_and_keeps_columns(spark, odd):
     docs = spark.createDataFrame([(1, "to a@b.co now +1 555 010 9999.", 30, "x"), (2, None, None, "x"), (3, "plain", 5, None)], "doc_id long, text string, n_chars long, found string")
     assert [tuple(r) for r in pii.mask(docs).orderBy("doc_id").collect()] == [(1, "to [EMAIL] now [PHONE].", 23, "x"), (2, None, None, "x"), (3, "plain", 5, None)]
