@@ -11,26 +11,37 @@ from pyspark.sql import DataFrame
 from pixelweave.functions import AROUND
 
 
-def grow_groups(px: DataFrame, least: int, min_contrast: float) -> DataFrame:
+#: A frame has fewer groups than this, as its ids have 16 bits.
+MOST_IDS = 65_535
+
+
+def grow_groups(px: DataFrame, least: int, min_contrast: float, original: DataFrame | None = None, most_ratio: float = 0.1) -> DataFrame:
     """``frame_idx, blob_id, x, y, intensity``: groups grown from the brightest pixels down.
 
     Pixels go by falling intensity, then y, then x. One that is still free and has no brighter neighbour seeds a group if it is above ``least``; else it is
     background. A group takes free neighbours whose contrast to its seed is below ``min_contrast``; the others it touches become background.
-    """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    With ``original(frame_idx, x, y, intensity)``, the whole frames before subtraction, a group goes unless places around its pixels are brighter there than the
+    pixel fewer than ``most_ratio`` times as often as not; one without a place around it goes too. Its pixels stay consumed, and the next group gets its id.
+    """
+    def run(rows: pd.DataFrame, whole: pd.DataFrame | None = None) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({c: [] for c in ("frame_idx", "blob_id", "x", "y", "intensity")})
+        image = None if whole is None else {(x, y): i for x, y, i in zip(whole["x"].tolist(), whole["y"].tolist(), whole["intensity"].tolist(), strict=True)}
         rows = rows.sort_values(["intensity", "y", "x"], ascending=[False, True, True])
         value = {(x, y): i for x, y, i in zip(rows["x"].tolist(), rows["y"].tolist(), rows["intensity"].tolist(), strict=True)}
         owner: dict[tuple[int, int], int] = {}
-        n = 0
+        n, found = 0, []
         for (x, y), own in value.items():
+            if n + 1 == MOST_IDS:
+                break
             if (x, y) in owner:
                 continue
             if own <= least or any(value.get((x + dx, y + dy), 0) > own for dx, dy in AROUND):
                 owner[x, y] = 0
                 continue
             n += 1
-            owner[x, y], todo = n, [(x, y)]
+            owner[x, y], todo, members = n, [(x, y)], {(x, y)}
             while todo:
                 a, b = todo.pop()
                 for dx, dy in AROUND:
@@ -40,11 +51,31 @@ def grow_groups(px: DataFrame, least: int, min_contrast: float) -> DataFrame:
                         owner[q] = n if joins else 0
                         if joins:
                             todo.append(q)
-        found = [(b, x, y, value[x, y]) for (x, y), b in owner.items() if b]
+                            members.add(q)
+            if image is not None and not _dark_border(members, image, most_ratio):
+                n -= 1
+                continue
+            found += [(n, *p, value[p]) for p in members]
         out = pd.DataFrame(found, columns=["blob_id", "x", "y", "intensity"])
         return out.assign(frame_idx=rows["frame_idx"].iloc[0])[["frame_idx", "blob_id", "x", "y", "intensity"]]
 
-    return px.groupBy("frame_idx").applyInPandas(run, "frame_idx int, blob_id int, x int, y int, intensity int")
+    schema = "frame_idx int, blob_id int, x int, y int, intensity int"
+    if original is None:
+        return px.groupBy("frame_idx").applyInPandas(lambda rows: run(rows), schema)
+    return px.groupBy("frame_idx").cogroup(original.groupBy("frame_idx")).applyInPandas(lambda rows, whole: run(rows, whole), schema)
+
+
+def _dark_border(members: set[tuple[int, int]], image: dict[tuple[int, int], int], most_ratio: float) -> bool:
+    brighter = darker = 0
+    for p in members:
+        if p in image:
+            for dx, dy in AROUND:
+                q = (p[0] + dx, p[1] + dy)
+                if q not in members and q in image:
+                    brighter += image[q] > image[p]
+                    darker += image[q] <= image[p]
+    # both by the group's size first, so that a ratio at the bound is rounded as in the original
+    return darker > 0 and (brighter / len(members)) / (darker / len(members)) < most_ratio
 
 
 def clouds(groups: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -29,6 +29,36 @@ def test_growth_partitions_pixels_and_seeds_are_local_maxima(spark):
     assert all(max(g) > 60 and (max(g) - min(g)) / max(g) * 100 < 30 for g in groups.values())
 
 
+def test_groups_with_a_bright_border_go_and_their_id_is_used_again(spark):
+    # three groups of one pixel; the original is bright beside the second
+    px = spark.createDataFrame([(0, x, y, {(2, 2): 300, (6, 2): 200, (10, 2): 150}.get((x, y), 1)) for x in range(13) for y in range(5)], "frame_idx int, x int, y int, intensity int")
+    whole = px.selectExpr("frame_idx", "x", "y", "CASE WHEN x = 7 AND y = 2 THEN 900 ELSE intensity END AS intensity")
+    rows = lambda *a: sorted((p.blob_id, p.x) for p in grow.grow_groups(px, 100, 50.0, *a).collect())
+    assert rows() == [(1, 2), (2, 6), (3, 10)]
+    assert rows(px) == [(1, 2), (2, 6), (3, 10)]
+    assert rows(whole) == [(1, 2), (2, 10)]
+    assert rows(whole.where("x <> 7 OR y <> 2").unionByName(px.limit(0))) == [(1, 2), (2, 6), (3, 10)]
+    assert rows(whole.where("false")) == []
+    # 1 brighter of 8 around is more than 0.1; pixels of a group that went stay consumed
+    two = px.selectExpr("frame_idx", "x", "y", "CASE WHEN x IN (6, 7) AND y = 2 THEN 200 ELSE intensity END AS intensity")
+    bright = two.selectExpr("frame_idx", "x", "y", "CASE WHEN x = 5 THEN 900 ELSE intensity END AS intensity")
+    found = sorted((p.blob_id, p.x) for p in grow.grow_groups(two, 100, 50.0, bright).collect())
+    assert found == [(1, 2), (2, 10)]
+
+
+def test_growth_query_keeps_only_groups_that_the_border_operator_keeps(spark):
+    from pixelweave.plans import queries
+    from pixelweave.sources import dense_pixels
+
+    px = dense_pixels(spark, "/root/testdata/sf0.001")
+    kept = queries.grow_blobs(spark, "/root/testdata/sf0.001").cache()
+    ratios = pixel.border_brightness(kept, px).collect()
+    assert len(ratios) == kept.select("frame_idx", "blob_id").distinct().count() > 0
+    assert all(r.ratio is not None and r.ratio < 0.1 for r in ratios)
+    ids = kept.groupBy("frame_idx").agg(F.countDistinct("blob_id").alias("n"), F.max("blob_id").alias("last")).collect()
+    assert all(r.n == r.last for r in ids)
+
+
 def test_clouds_are_the_closure_of_pairs(spark):
     groups = spark.createDataFrame([(0, i) for i in range(1, 7)], "frame_idx int, blob_id int")
     pairs = spark.createDataFrame([(0, 1, 2), (0, 3, 2), (0, 5, 6), (0, 9, 1)], "frame_idx int, blob_id int, other_id int")
