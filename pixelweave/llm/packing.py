@@ -33,10 +33,10 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, unit: int = U
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, block, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         for b in batches:
-            for part in range(0, len(b), 500):
-                own = b.slice(part, 500)
+            for part in range(0, len(b), 2000):
+                own = b.slice(part, 2000)
                 out: list[tuple] = []
-                for i, raw in zip(own.column(0).to_pylist(), enc.encode(own.column(1).to_pylist()), strict=True):
+                for i, raw in zip(own.column(0).to_pylist(), enc.encode(own.column(1)), strict=True):
                     ids = np.append(np.frombuffer(raw, dtype=enc.dtype).astype("<u4"), np.uint32(end))
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import clean_text, fresh_path, written
@@ -60,12 +60,12 @@ def _write(docs: DataFrame, folder: str, vocabulary: str, end: int, dtype: str)
         offset, ordinal, last, again = 0, 0, (None, False), 0
         tail = np.array([end], dtype=dtype).tobytes()
         for b in batches:
-            for part in range(0, len(b), 500):
-                own = b.slice(part, 500)
+            for part in range(0, len(b), 2000):
+                own = b.slice(part, 2000)
                 ids = own.column(0).to_pylist()
                 rows = []
                 out = out or ShardWriter(folder, shard)
-                for i, raw in zip(ids, enc.encode(own.column(1).to_pylist()), strict=True):
+                for i, raw in zip(ids, enc.encode(own.column(1)), strict=True):
                     raw = raw if enc.dtype == np.dtype(dtype) else np.frombuffer(raw, enc.dtype).astype(dtype).tobytes()
                     out.file.write(raw + tail)
                     n = len(raw) // np.dtype(dtype).itemsize + 1
@@ -133,10 +133,40 @@ def slots_of(h: np.ndarray, seed: int, displaced: np.ndarray, n: int) -> np.ndar
     return ((x % np.uint64(n) + d * (np.uint64(1) + x // np.uint64(n) % np.uint64(max(1, n - 1))) + d // np.uint64(n)) % np.uint64(n)).astype(np.int64)
 
 
+def _hash() -> Column:
+    """Of a key; a null id is told from all others."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "again")
+
+
 def _keyed(df: DataFrame, buckets: int) -> DataFrame:
-    # a null id is told from all others
-    h = F.xxhash64("doc_id", F.col("doc_id").isNull(), "again")
-    return df.withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
+    return df.withColumn("h", _hash()).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
+
+
+def _numbered(entries: DataFrame, sizes: list[Row]) -> DataFrame:
+    """``entries`` with ``again`` counted on from the shards before: an id's rows may go on through several shards. ``sizes``: of each
+    shard, in order, its first and last id and how many rows it has of each."""
+    last, held, ahead = None, 0, []
+    for r in sizes:
+        before = held if last == (r["low"],) else 0
+        if before:
+            ahead.append((r["shard"], before))
+        last, held = (r["high"],), r["n_high"] + (before if r["low"] == r["high"] else 0)
+    if not ahead:
+        return entries
+    low = {r["shard"]: r["low"] for r in sizes}
+    # a row for each shard at most
+    carried = F.broadcast(entries.sparkSession.createDataFrame([(k, low[k], n) for k, n in ahead], "in_shard int, low long, n_ahead long"))
+    joined = entries.join(carried, (F.col("shard") == F.col("in_shard")) & F.col("doc_id").eqNullSafe(F.col("low")), "left")
+    return joined.withColumn("again", F.col("again") + F.coalesce("n_ahead", F.lit(0))).select(*entries.columns)
+
+
+def _split_id() -> list[Column]:
+    """An id in two columns without nulls, as one with nulls would reach pandas as a float."""
+    return [F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+
+
+def _whole_id() -> Column:
+    return F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
 
 
 class TokenStore:
@@ -151,9 +181,13 @@ class TokenStore:
         spark, dtype = docs.sparkSession, _dtype(vocabulary, end)
         folder = folder or fresh_path(spark, "token-shards")
         doc = clean_text(docs, "doc_id", "text")
-        ordered = doc.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+        # by the text too, so that rows that share an id needn't share a shard
+        doc = doc.withColumn("of_text", F.xxhash64("text"))
+        ordered = doc.repartitionByRange("doc_id", "of_text").sortWithinPartitions("doc_id", "of_text").select("doc_id", "text")
         entries = written(_write(ordered, folder, vocabulary, end, dtype), "token-entries")
-        sizes = entries.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("keys")).orderBy("shard").collect()  # a row for each shard
+        edges = [F.min_by("doc_id", "ordinal").alias("low"), F.max_by("doc_id", "ordinal").alias("high"), (F.max_by("again", "ordinal") + 1).alias("n_high")]
+        sizes = entries.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("keys"), *edges).orderBy("shard").collect()  # a row for each shard
+        entries = _numbered(entries, sizes)
         before, total = {}, 0
         for r in sizes:
             before[r["shard"]] = total
@@ -161,14 +195,18 @@ class TokenStore:
         buckets = max(1, sum(r["keys"] for r in sizes) // BUCKET_KEYS)
 
         def build(rows: pd.DataFrame) -> pd.DataFrame:
+            # of keys that share a hash all but one are listed beside the table
+            twice = rows["h"].duplicated()
+            side = rows.loc[twice, ["id", "no_id", "again", "shard", "offset", "n_tokens"]].to_dict("records")
+            rows = rows[~twice]
             h = rows["h"].to_numpy().view(np.uint64)
             seed, displaced, slots = perfect_hash(h)
             at = np.argsort(slots)
             columns = {"fingerprint": (_mixed(h, 0) >> np.uint64(32)).astype("<u4"), "shard": rows["shard"].to_numpy("<i4"), "offset": rows["offset"].to_numpy("<i8"), "length": rows["n_tokens"].to_numpy("<i8")}
-            return pd.DataFrame([{"bucket": rows["bucket"].iloc[0], "n": len(h), "seed": seed, "displaced": displaced.astype("<u4").tobytes()} | {k: v[at].tobytes() for k, v in columns.items()}])
+            return pd.DataFrame([{"bucket": rows["bucket"].iloc[0], "n": len(h), "seed": seed, "displaced": displaced.astype("<u4").tobytes(), "side": side} | {k: v[at].tobytes() for k, v in columns.items()}])
 
-        schema = "bucket int, n long, seed int, displaced binary, fingerprint binary, shard binary, offset binary, length binary"
-        index = _keyed(entries, buckets).select("bucket", "h", "shard", "offset", "n_tokens").groupBy("bucket").applyInPandas(build, schema)
+        schema = "bucket int, n long, seed int, displaced binary, fingerprint binary, shard binary, offset binary, length binary, side array<struct<id:long,no_id:boolean,again:long,shard:int,offset:long,n_tokens:long>>"
+        index = _keyed(entries, buckets).select("bucket", *_split_id(), "again", "h", "shard", "offset", "n_tokens").groupBy("bucket").applyInPandas(build, schema)
         return cls(spark, folder, written(index, "token-index"), buckets, dtype, before)
 
     def locate(self, keys: DataFrame) -> DataFrame:
@@ -176,16 +214,23 @@ class TokenStore:
 
         def find(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
             if not len(asked) or not len(index):
-                return pd.DataFrame(columns=["doc_id", "again", "shard", "offset", "n_tokens"])
+                return pd.DataFrame(columns=["id", "no_id", "again", "shard", "offset", "n_tokens"])
             r = index.iloc[0]
             h = asked["h"].to_numpy().view(np.uint64)
             slot = slots_of(h, int(r["seed"]), np.frombuffer(r["displaced"], "<u4"), int(r["n"]))
             hit = np.frombuffer(r["fingerprint"], "<u4")[slot] == (_mixed(h, 0) >> np.uint64(32)).astype(np.uint32)
-            slot, own = slot[hit], asked[hit]
-            return pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "again": own["again"], "shard": np.frombuffer(r["shard"], "<i4")[slot], "offset": np.frombuffer(r["offset"], "<i8")[slot], "n_tokens": np.frombuffer(r["length"], "<i8")[slot]})
-
-        asked = _keyed(keys, self.buckets).select("bucket", "doc_id", "again", "h")
-        return asked.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInPandas(find, "doc_id long, again long, shard int, offset long, n_tokens long")
+            slot, own = slot[hit], asked.loc[hit, ["id", "no_id", "again"]]
+            found = own.assign(shard=np.frombuffer(r["shard"], "<i4")[slot], offset=np.frombuffer(r["offset"], "<i8")[slot], n_tokens=np.frombuffer(r["length"], "<i8")[slot])
+            if len(r["side"]):
+                side = pd.DataFrame(list(r["side"])).set_index(["id", "no_id", "again"])
+                found = found.set_index(["id", "no_id", "again"])
+                found.update(side)
+                found = found.astype("int64").reset_index()
+            return found
+
+        asked = _keyed(keys, self.buckets).select("bucket", *_split_id(), "again", "h")
+        found = asked.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInPandas(find, "id long, no_id boolean, again long, shard int, offset long, n_tokens long")
+        return found.select(_whole_id(), "again", "shard", "offset", "n_tokens")
 
     def read(self, keys: DataFrame) -> DataFrame:
         """Of each key's document ``doc_id, start, n_tokens, ids_crc32``, from its ids in the shards; start counts all ids before it."""
@@ -197,9 +242,11 @@ class TokenStore:
             with _open(folder, int(rows["shard"].iloc[0])) as f:
                 for offset, n in zip(rows["offset"].tolist(), rows["n_tokens"].tolist(), strict=True):
                     crcs.append(zlib.crc32(np.frombuffer(f.read_at(n * size, offset * size), dtype).astype("<u4").tobytes()))
-            return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "start": rows["offset"] + before[int(rows["shard"].iloc[0])], "n_tokens": rows["n_tokens"], "ids_crc32": np.array(crcs, dtype=np.int64)})
+            return pd.DataFrame({"id": rows["id"], "no_id": rows["no_id"], "start": rows["offset"] + before[int(rows["shard"].iloc[0])], "n_tokens": rows["n_tokens"], "ids_crc32": np.array(crcs, dtype=np.int64)})
 
-        return self.locate(keys).groupBy("shard").applyInPandas(fetch, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        rows = self.locate(keys).select(*_split_id(), "shard", "offset", "n_tokens")
+        read = rows.groupBy("shard").applyInPandas(fetch, "id long, no_id boolean, start long, n_tokens long, ids_crc32 long")
+        return read.select(_whole_id(), "start", "n_tokens", "ids_crc32")
 
 
 def keys_of(docs: DataFrame) -> DataFrame:
@@ -209,7 +256,11 @@ def keys_of(docs: DataFrame) -> DataFrame:
 
 
 def write_flat(docs: DataFrame, vocabulary: str, end: int, folder: str) -> DataFrame:
-    """Encode ``docs`` as it is dealt, a shard for each partition, without an index; returns ``shard, ordinal, doc_id`` only."""
+    """Encode ``docs(doc_id, text)`` as it is dealt, a shard for each partition, without an index; returns ``shard, ordinal, doc_id`` only.
+
+    Null texts count as empty, so they are their end alone; null ids and repeated ids and rows are written like any other; other columns go.
+    An empty table leaves no file and gives no row.
+    """
     rows = _write(clean_text(docs, "doc_id", "text"), folder, vocabulary, end, _dtype(vocabulary, end))
     return written(rows.select("shard", "ordinal", "doc_id"), "flat-order")
 
@@ -219,15 +270,17 @@ def scan_counts(spark: SparkSession, folder: str, end: int, dtype: str, block_by
 
     Blocks are searched for the end id on their own; a prefix scan over the blocks' counts and last ends gives
     each block's first document its number and its start. Ids after the last end are a document without one.
-    An empty file has none.
+    An empty file has none, and neither has a folder without files. Documents are told by their place only, so null and repeated ids make no difference.
     """
     store, path = fs.FileSystem.from_uri(folder)
     size = np.dtype(dtype).itemsize
     block = block_bytes // size
     found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
     files = [(int(f.base_name[6:12]), f.size // size) for f in found if f.base_name.startswith("shard-") and f.size]
-    listed = spark.createDataFrame(files, "shard int, total long").repartition(max(1, min(len(files), 4096)), "shard")
+    listed = spark.createDataFrame(files, "shard int, total long")
     blocks = listed.select("shard", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block))).alias("block"))
+    # a file's blocks go to as many tasks as there are, a few blocks to each
+    blocks = blocks.repartition(max(1, min(sum(-(-n // block) for _, n in files) // 4, 100_000)), "shard", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

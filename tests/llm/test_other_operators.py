@@ -1,5 +1,6 @@
 """Token files, packing, neighbours, pages: odd rows, exact round trips and brute force."""
 
+import functools
 import random
 import zlib
 from collections import Counter
@@ -22,8 +23,11 @@ def odd(spark):
     return spark.createDataFrame([(i, t, "s", None, None) for i, t in ODD], SCHEMA).repartition(3).cache()
 
 
+tokenizer = functools.cache(Tokenizer.from_file)
+
+
 def plain(path, text, end):
-    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
+    return [*tokenizer(path).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -33,7 +37,7 @@ def crc(ids):
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_words_are_encoded_as_in_their_text(path):
     enc = Encoder(path)
-    texts = [t or "" for _, t in ODD] + ["a b c", "a   b", "\x1c a", "\x85b \x85", "x !? y", "12 34.5 6,7", "Ünï cödé Straße 'll we'll"]
+    texts = [t or "" for _, t in ODD] + ["a,\nb. c!\nd", "a,b;c é. x\u0130, ok", "x", "\nx", "x\n", "e\u0301. \u1e9e, y", "", "one two"] + ["a b c", "a   b", "\x1c a", "\x85b \x85", "x !? y", "12 34.5 6,7", "Ünï cödé Straße 'll we'll"]
     assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [plain(path, t, 0)[:-1] for t in texts]
 
 
@@ -74,6 +78,34 @@ def test_token_store_round_trip(spark, odd):
     assert none.read(shards.keys_of(odd.where("false"))).count() == 0
 
 
+def test_token_store_tells_keys_of_one_hash_apart(spark, odd, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(shards, "_hash", lambda: F.coalesce(F.pmod(F.col("doc_id"), F.lit(3)), F.lit(1)))
+    store = shards.TokenStore.write(odd, BYTES, end=2)
+    assert store.index.selectExpr("sum(size(side))").first()[0] == len(ODD) - 3
+    found = [tuple(r) for r in store.read(shards.keys_of(odd)).collect()]
+    lengths = [(i, len(plain(BYTES, t, 2)), crc(plain(BYTES, t, 2))) for i, t in ODD]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+    assert sorted(((r[0], *r[2:]) for r in found), key=key) == sorted(lengths, key=key)
+
+
+def test_an_id_whose_rows_go_on_through_many_shards(spark):
+    big = (1 << 60) + 1
+    rows = [(big, f"text {i}") for i in range(3000)] + [(None, f"null {i}") for i in range(500)] + [(big + i, "x") for i in range(1, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = shards.TokenStore.write(docs, BYTES, end=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(store.before) > 1
+    found = sorted((tuple(r) for r in store.read(shards.keys_of(docs)).collect()), key=lambda r: r[1])
+    assert [r[0] for r in found] == [None] * 500 + [big] * 3000 + [big + i for i in range(1, 9)]
+    assert all(a[1] + a[2] == b[1] for a, b in zip(found, found[1:]))
+    assert sorted(r[3] for r in found) == sorted(crc(plain(BYTES, t, 2)) for _, t in rows)
+
+
 @pytest.mark.parametrize("block_bytes", [8, 4 << 20])
 def test_separator_scan(spark, odd, block_bytes):
     few = odd.where("length(text) < 1000 or text is null")
