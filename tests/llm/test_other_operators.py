@@ -1,7 +1,10 @@
 """Token files, packing, neighbours, pages: odd rows, exact round trips and brute force."""
 
 import functools
+import html as entities
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -194,27 +197,85 @@ PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>v
 
 def test_main_text():
     page = PAGE.format("A &amp; B", "<p><b>one<br><p>two &lt;3&#233;\n  x</p><!-- no --><ul><li>l1<li>l2</ul>tail")
-    assert html.main_text(page, "article") == "A & B\n\none\n\ntwo <3é x\n\nl1\n\nl2\n\ntail"
-    assert html.main_text("", "article") == "" and html.main_text("plain <i>text</i>") == "plain text"
+    assert html.main_text(page) == "A & B\n\none\n\ntwo <3é x\n\nl1\n\nl2\n\ntail"
+    assert html.main_text("") == "" and html.main_text("plain <i>text</i>") == "plain text"
 
 
-def test_wrapper_of_a_host():
-    expression, element = html.infer([PAGE.format("x", "<p>a b</p>"), PAGE.format("y", "<p>c d</p><p>e</p><p>f</p>"), PAGE.format("z", "<p>g</p><table></table>")])
-    assert element == "article"
-    assert "<h1>#TEXT</h1>" in expression and ")+" in expression and "(<table>" in expression
-    divs = "<html><body><div class=top>same</div><div class=content><div><p>{0}</p></div></div></body></html>"
-    assert html.infer([divs.format("long text here"), divs.format("another text here")])[1] in ("div", "div.content")
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article class="post social-science"><p>x</p></article>', "x"),
+    ('<article><section class=share-prices>a</section><section id="related-work">b</section><div class="notice-board">c</div><div class="comments">no</div><div class=\'ad-slot\'>no</div></article>', "a\n\nb\n\nc"),
+    ("<article class=a>one</article><article class=b>two</article>", "one\n\ntwo"),
+    ("<body class=widget><div><p>x</p></div></body>", "x"),
+    ("<div class=widget><p>all there is</p></div>", "all there is"),
+    ("a < b <p>c <a d</p>", "a < b\n\nc <a d"),
+    ("<p title='a>b'>x</p><p title=\"it's\">y", "x\n\ny"),
+    ("<script>if (a<b) '</p>'</script ><style>p</style>z<!-- <p>", "z"),
+])
+def test_main_text_of_odd_pages(page, text):
+    assert html.main_text(page) == text
+
 
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 100_000 + "x", "<a \"'" * 200_000, "<script " * 100_000, "<!" * 200_000, "<!--" * 200_000, "<b>x" * 50_000])
+def test_pages_are_read_in_linear_time(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 20
 
-def test_extract(spark):
+
+def test_wrapper_of_a_host():
+    wrapper, rules = html.infer([PAGE.format("x", "<p>a b</p>"), PAGE.format("y", "<p>c d</p><p>e</p><p>f</p>"), PAGE.format("z", "<p>g</p><table></table>")])
+    assert "<article><h1>#TEXT</h1>(<p>#TEXT</p>)+(<table></table>)?<div.comments>me too</div></article>" in str(wrapper)
+    assert html.main_text(PAGE.format("v", "<p>w"), rules) == "v\n\nw"
+    mixed, _ = html.infer(["<p>a<h2>b</h2><p>c", "<h2>d</h2><p>e<h2>f</h2><ul><li>g</ul>"])
+    assert str(mixed) == "((<h2>#TEXT</h2>)*(<p>#TEXT</p>)*)+(<ul><li>g</li></ul>)?"
+
+
+def test_what_all_pages_of_a_host_share_is_no_content():
+    pages = [f"<body><div class=x>Join us</div><div class=y><h2>title {i}</h2><div>See our terms</div><p>text {i}</p></div></body>" for i in range(5)]
+    _, rules = html.infer(pages)
+    assert html.main_text(pages[1], rules) == "title 1\n\ntext 1"
+    assert html.main_text(pages[1].replace("our", "their"), rules) == "title 1\n\nSee their terms\n\ntext 1"
+    # of two templates each has its own main element; copies of one page share all and lose nothing
+    other = [f"<body><nav>menu {i}</nav><section><p>other {i} and more</p></section></body>" for i in range(5)]
+    _, rules = html.infer(pages + other)
+    assert [html.main_text(x, rules) for x in (pages[2], other[3])] == ["title 2\n\ntext 2", "other 3 and more"]
+    copies = [PAGE.format("same", "<p>all the same</p>") + " " * i for i in range(6)]
+    assert html.main_text(copies[0], html.infer(copies)[1]) == "same\n\nall the same"
+
+
+def test_extract(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}.example/{i}", PAGE.format(f"t{i}", f"<p>b{i}</p>" * (i % 4)), "x") for i in range(200)]
     rows += [(None, None, None, None), (500, "http://H0.example", "", "x"), (7, rows[7][1], rows[7][2], "x"), (501, "no url", "<article>" + "<p>w</p>" * 20_000, "x")]
+    rows += [(1000 + i, "http://one.example", PAGE.format("same", "<p>page</p>"), "x") for i in range(600)] + [((1 << 60) + 1, "http://one.example", PAGE.format("u", ""), "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
-    found = html.extract(df).collect()
-    assert len(found) == len(rows)
-    texts = {r["page_id"]: r["text"] for r in found}
-    for i in range(200):
-        assert texts[i] == "\n\n".join([f"t{i}", *[f"b{i}"] * (i % 4)])
-    assert texts[None] == texts[500] == "" and texts[501].count("w") == 20_000
-    assert all(r["n_chars"] == len(r["text"]) for r in found)
+    for bound in (html.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(html, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(html, "PART_PAGES", 50)
+        found = html.extract(df).collect()
+        assert len(found) == len(rows)
+        texts = {r["page_id"]: r["text"] for r in found}
+        for i in range(200):
+            assert texts[i] == "\n\n".join([f"t{i}", *[f"b{i}"] * (i % 4)])
+        assert texts[None] == texts[500] == "" and texts[501].count("w") == 20_000
+        assert all(texts[1000 + i] == "same\n\npage" for i in range(600)) and texts[(1 << 60) + 1] == "u"
+        assert all(r["n_chars"] == len(r["text"]) for r in found)
+    known = {r["host"]: r for r in html.wrappers(df).collect()}
+    assert known["one.example"]["n_pages"] == 601 and all(r["wrapper"] for h, r in known.items() if h)
     assert html.extract(df.where("false")).count() == 0
+
+
+def test_html_query_against_plain_patterns(spark):
+    """Every page of the given table has one article, whose blocks a few patterns can cut out."""
+    from pixelweave.llm import queries
+
+    def plain_text(page):
+        inner = re.sub(r"(?s)<!--.*?-->", "", re.search(r"(?s)<article>(.*)</article>", page)[1])
+        blocks = re.split(r"</?(?:h1|p|ul|li|div)\b[^>]*>", inner)
+        found = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks)
+        return "\n\n".join(b for b in found if b)
+
+    data = "/root/testdata/sf0.01"
+    found = {r["page_id"]: r["text"] for r in queries.op5_html(spark, data).collect()}
+    pages = spark.read.parquet(f"{data}/pages.parquet").collect()
+    assert len(found) == len(pages) > 200
+    assert all(found[r["page_id"]] == plain_text(r["html"]) for r in pages)
