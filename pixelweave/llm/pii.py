@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score.
 
 All of it is DataFrame functions. ``regexp_extract_all`` gives a pattern's matches and ``split`` the text
-between them, so a match starts after all gaps and matches before it; positions are code points.
+between them, so a match starts after all gaps and matches before it; positions are code points. A fold that collects an array copies
+it at each step, so folds go by blocks of about the square root of the number of matches (`_folded`).
 
 Base kinds are always kept if they pass their test:
 
@@ -20,6 +21,10 @@ before the span adds to it, and they are kept from ``KEEP_SCORE`` on:
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +37,12 @@ SCORED = ("iban", "pan", "ssn")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[ -]?+[0-9])++",
+    # runs of digits that are too short or too long can't pass and aren't proposed; no run starts inside of another
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){15,18}+(?![ -]?+[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     # the head only; group 1 has all that may belong to it, and the letter or digit that follows at once
     "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}",
-    "pan": r"[0-9](?:[ -]?+[0-9])++",
+    "pan": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?+[0-9]){12,14}+(?![ -]?+[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without this has no match.
@@ -93,25 +99,60 @@ def _passes(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: Column) -> Column:
-    """``array<struct<start, end, found>>`` of the pattern's matches, tested or not."""
-    pattern = PATTERNS[kind]
-    match, gap = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+_SPAN = "struct<start:int,end:int,found:string,place:int>"
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of 64 items, or of about the square root of their number if that is more; one empty one of none."""
+
+    def of(x: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(x))).cast("int"))
+        return let(size, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / n).cast("int") - 1, F.lit(0))), lambda k: F.slice(x, k * n + 1, n)))
+
+    return let(items, of)
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["match"].alias("found")))).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+def _folded(items: Column, state: list[Column], step: Callable[[Column, Column], tuple[list[Column], Column]]) -> Column:
+    """The spans that ``step(state, item)`` gives besides the next state, an array for each item, in order."""
+    names = [f"s{i}" for i in range(len(state))]
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def inside(acc: Column, item: Column) -> Column:
+        new, out = step(acc, item)
+        return F.struct(*[c.alias(n) for c, n in zip(new, names, strict=True)], F.concat(acc["out"], out).alias("out"))
+
+    def block(acc: Column, items: Column) -> Column:
+        done = F.aggregate(items, F.struct(*[acc[n].alias(n) for n in names], none.alias("out")), inside)
+        return let(done, lambda d: F.struct(*[d[n].alias(n) for n in names], F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    zero = F.struct(*[c.alias(n) for c, n in zip(state, names, strict=True)], F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+    return F.aggregate(_blocks(items), zero, block, lambda acc: F.flatten(acc["out"]))
+
+
+def _pairs(text: Column, pattern: str, group: int = 0) -> Column:
+    """``array<struct<gap, match, place>>``: the matches of a pattern, or a group of them, with the text before each."""
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("match"))
     # the gap after the last match has no match beside it
-    pairs = F.filter(F.arrays_zip(gap.alias("gap"), match.alias("match")), lambda p: p["match"].isNotNull())
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return F.filter(F.transform(both, lambda p, i: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), i.alias("place"))), lambda p: p["match"].isNotNull())
+
 
+def _span(start: Column, end: Column, found: Column, place: Column) -> Column:
+    return F.array(F.struct(start.alias("start"), end.alias("end"), found.alias("found"), place.alias("place")))
 
-def _iban_spans(text: Column) -> Column:
+
+def _spans(pairs: Column) -> Column:
+    """The matches, tested or not, with their places in the text."""
+
+    def step(acc: Column, p: Column) -> tuple[list[Column], Column]:
+        start = acc["s0"] + F.length(p["gap"])
+        end = start + F.length(p["match"])
+        return [end], _span(start, end, p["match"], p["place"])
+
+    return _folded(pairs, [F.lit(0)], step)
+
+
+def _iban_spans(pairs: Column) -> Column:
     """As ``_spans``, of the codes that pass; of those that overlap the first."""
-    pattern = PATTERNS["iban"]
     own = F.create_map(*[F.lit(x) for n, countries in IBAN_CHARS.items() for c in countries.split() for x in (c, n)])
 
     def code(run: Column) -> Column:
@@ -123,31 +164,37 @@ def _iban_spans(text: Column) -> Column:
 
         return let(F.split(run, " "), of)
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["found"])
-        new = F.array(F.struct(start.alias("start"), end.alias("end"), p["found"].alias("found")))
-        taken = p["found"].isNotNull() & (start >= acc["free"])
+    def step(acc: Column, p: Column) -> tuple[list[Column], Column]:
+        start = acc["s0"] + F.length(p["gap"])
+        end = start + F.length(p["code"])
+        taken = p["code"].isNotNull() & (start >= acc["s1"])
         # only the head was cut out of the text
-        return F.struct((start + 4).alias("at"), F.when(taken, end).otherwise(acc["free"]).alias("free"), F.when(taken, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+        return [start + 4, F.when(taken, end).otherwise(acc["s1"])], F.when(taken, _span(start, end, p["code"], p["place"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda run: F.struct(code(run).alias("code")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-    pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match")), lambda p: p["match"].isNotNull())
-    return F.aggregate(F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), p["match"]["code"].alias("found"))), zero, step, lambda acc: acc["out"])
+    coded = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), code(p["match"]).alias("code"), p["place"].alias("place")))
+    return _folded(coded, [F.lit(0), F.lit(0)], step)
 
 
-def _kept(kind: str, text: Column) -> Column:
-    spans = _iban_spans(text) if kind == "iban" else F.filter(_spans(kind, text), lambda s: _passes(kind, s["found"]))
-    if kind in SCORED:
+def _before(pairs: Column, place: Column, cut: int | None) -> Column:
+    """The ``CONTEXT_CHARS`` before a match, from the gap before it and the ten pairs before that, of which each has four characters
+    or more. ``cut``: how many of a match were cut out of the text."""
+    first = F.greatest(place - 9, F.lit(1))
+    head = lambda p: p["match"] if cut is None else F.substr(p["match"], F.lit(1), F.lit(cut))
+    earlier = F.transform(F.slice(pairs, first, place + 1 - first), lambda p: F.concat(F.right(p["gap"], F.lit(CONTEXT_CHARS)), head(p)))
+    return F.right(F.concat(F.array_join(earlier, ""), F.element_at(pairs, place + 1)["gap"]), F.lit(CONTEXT_CHARS))
+
 
-        def score(s: Column) -> Column:
-            before = F.lower(F.substr(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))))
-            return F.lit(START[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_SCORE).otherwise(0.0)
+def _kept(kind: str, text: Column) -> Column:
+    def of(pairs: Column) -> Column:
+        spans = _iban_spans(pairs) if kind == "iban" else F.filter(_spans(pairs), lambda s: _passes(kind, s["found"]))
+        if kind in SCORED:
+            # a context word is all that can bring these kinds from their start to the score they need
+            near = lambda s: F.lower(_before(pairs, s["place"], 4 if kind == "iban" else None)).rlike(CONTEXT[kind])
+            spans = F.filter(spans, lambda s: F.lit(START[kind]) + F.when(near(s), CONTEXT_SCORE).otherwise(0.0) >= KEEP_SCORE)
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
 
-        spans = F.filter(spans, lambda s: score(s) >= KEEP_SCORE)
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return F.when(text.rlike(NEEDS[kind]), spans).otherwise(none)
+    return F.when(text.rlike(NEEDS[kind]), let(_pairs(text, PATTERNS[kind], int(kind == "iban")), of)).otherwise(none)
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = BASE + SCORED) -> DataFrame:
@@ -181,13 +228,26 @@ def mask(docs: DataFrame) -> DataFrame:
     def puts(kind: str) -> Column:
         return F.transform(_kept(kind, text), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("order"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put")))
 
-    def step(acc: Column, s: Column) -> Column:
-        put = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), s["put"])).alias("out"))
-        return F.when(s["start"] >= acc["at"], put).otherwise(acc)
+    def block(acc: Column, spans: Column) -> Column:
+        """Only the text that a block of spans reaches is cut up for it."""
+        base = acc["at"]
+        reach = F.greatest(F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), base), base)
+
+        def cut(part: Column) -> Column:
+            def step(inner: Column, s: Column) -> Column:
+                put = F.struct(s["end"].alias("at"), F.concat(inner["out"], F.array(F.substr(part, inner["at"] - base + 1, s["start"] - inner["at"]), s["put"])).alias("out"))
+                return F.when(s["start"] >= inner["at"], put).otherwise(inner)
+
+            done = F.aggregate(spans, F.struct(base.alias("at"), F.array().cast("array<string>").alias("out")), step)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(d["out"], ""))).alias("out")))
+
+        return let(F.substr(text, base + 1, reach - base), cut)
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     every = F.array_sort(F.concat(*map(puts, BASE + SCORED)))
-    masked = F.aggregate(every, zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1))), ""))
+    masked = F.aggregate(_blocks(every), zero, block, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1))), ""))
+    # nothing to cut up in most texts
+    masked = F.when(F.coalesce(functools.reduce(operator.or_, [text.rlike(n) for n in NEEDS.values()]), F.lit(False)), masked).otherwise(text)
     done = docs.withColumn("text", F.when(text.isNull(), text).otherwise(masked))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
