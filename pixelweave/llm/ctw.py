@@ -1,21 +1,16 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is a sequence of tokens: its words (between ASCII white space, A-Z lower-cased), each followed by a
-space, then an end mark (a line feed). A byte is eight binary decisions, one for each level of a binary
-tree over bytes. For every decision node, contexts are the last 0 to ``DEPTH`` bytes of the token so far,
-with spaces before its start; each context node has a Krichevsky-Trofimov estimate from its counts, and
-the weighted probability P(s) = (K(s) + product of P(children of s)) / 2 mixes all depths. A byte's
+A text is the bytes of its words (between ASCII white space, A-Z lower-cased), a space after each, and an end mark (a line feed). A byte
+is eight binary decisions, one for each level of a binary tree over bytes. For every decision node, contexts are the last 0 to
+``DEPTH`` bytes of the text so far, across words, with end marks before its start; each context node has a Krichevsky-Trofimov estimate
+from its counts, and the weighted probability P(s) = (K(s) + product of P(children of s)) / 2 mixes all depths. A byte's
 probability mixes the estimates along its context path by the posterior weights of stopping there;
-a context never seen in training has no say, so the path ends above it. As contexts stay within a token,
-texts are scored through their distinct tokens, and a training corpus counts through its tokens too.
+a context never seen in training has no say, so the path ends above it.
 
-Texts of one corpus differ in language and style, so each text first names its class, at the cost of the
-class's share, and each class has trees of its own. Classes are the clusters that k-means finds in the
-byte frequencies of the training texts; the text alone decides its class, so scores stay a code's lengths.
-
-Nothing that grows with the corpus is broadcast or collected: tokens are counted by block and summed by
-shuffle, context trees are built in shards by the last two context bytes, and each block of documents
-receives the scores of its own tokens.
+A gram is a context of full depth and the byte after it; a text's score is the sum of its grams' scores. Blocks of documents count their
+distinct grams, which are summed by shuffle. Context trees are built in subtrees, each of the contexts with the same last byte, or more
+bytes where that would be too many grams for a task; only the subtrees' roots reach the driver, which mixes the few nodes above them. Each block then
+asks for the scores of its own distinct grams, and its words' counts.
 """
 
 from __future__ import annotations
@@ -25,8 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import clean_text, written
@@ -34,17 +30,11 @@ from pixelweave.llm.common import clean_text, written
 DEPTH = 5
 #: A block of documents ends when it has so many bytes of text.
 BLOCK_BYTES = 32 << 20
-#: A block has fewer distinct tokens than this.
-STEP = 1 << 26
-#: Distinct tokens whose grams are asked for together.
-CHUNK_TOKENS = 200_000
-CLASSES = 12
-START_ROWS, PASSES = 2048, 6
-#: A block's number ends in its class.
-KINDS = 16
-#: Context trees are built in so many groups of shards.
-SHARD_GROUPS = 512
-END = b"\n"
+#: So many bytes are cut into grams at a time.
+SLICE_BYTES = 4 << 20
+#: Subtrees of more distinct grams are cut by one more byte of context; a task builds subtrees of about so many grams in all.
+SHARD_GRAMS = 1_000_000
+END = "\n"
 
 
 def held_out(id_col: Column) -> Column:
@@ -72,345 +62,266 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b) - np.log(2)
-
-
-def grams(tokens: list[bytes], classes: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each token its class, context and itself, in ``depth + 2`` bytes of an integer, the
-    newest lowest; and the token's place. Tokens are bytes without their final space."""
-    whole = [t if t == END else t + b" " for t in tokens]
-    lengths = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
-    pad = b" " * depth
-    flat = np.frombuffer(b"".join([pad + t for t in whole]), dtype=np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(whole)), lengths)
-    at = np.arange(lengths.sum()) + depth * (owner + 1)
-    key = classes.astype(np.int64)[owner]
-    for back in range(depth, -1, -1):
-        key = (key << 8) | flat[at - back]
-    return key, owner
-
+def _mix(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the weighted probability, and the posterior weight of stopping here."""
+    log_p = np.logaddexp(kt, below) - np.log(2)
+    return log_p, np.exp(np.minimum(0.0, kt - np.log(2) - log_p))
+
+
+class Block:
+    """Texts as words, and as one run of bytes with ``depth`` end marks before each text."""
+
+    def __init__(self, texts: pa.Array, depth: int = DEPTH):
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+        joined = pc.binary_join(lists, " ")
+        empty = pc.equal(pc.binary_length(joined), 0)
+        #: Of each text its number of words, 0 if it is empty; and all words, the one of an empty text being empty.
+        self.n_words = pc.if_else(empty, 0, pc.list_value_length(lists)).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words, self.word_at = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+        streams = pc.binary_join_element_wise(END * depth, joined, pc.if_else(empty, END, " " + END), "")
+        self.depth = depth
+        self.at = np.append(0, np.cumsum(pc.binary_length(streams).to_numpy(zero_copy_only=False))).astype(np.int64)
+        self.flat = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(streams)], pa.int32()), streams), "")[0].as_buffer(), dtype=np.uint8)
+
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each slice of the bytes its start, its grams (the newest byte lowest), and which of them are a text's own."""
+        for lo in range(0, len(self.flat), SLICE_BYTES):
+            hi = min(lo + SLICE_BYTES, len(self.flat))
+            own = self.flat[max(0, lo - self.depth) : hi]
+            own = np.concatenate([np.zeros(self.depth - min(lo, self.depth), dtype=np.uint8), own]).astype(np.int64)
+            key = np.zeros(hi - lo, dtype=np.int64)
+            for back in range(self.depth, -1, -1):
+                key = (key << 8) | own[self.depth - back : len(own) - back]
+            real = np.ones(hi - lo, dtype=bool)
+            starts = self.at[max(0, np.searchsorted(self.at, lo) - 1) : np.searchsorted(self.at, hi)]
+            for k in range(self.depth):
+                pad = starts + k - lo
+                real[pad[(pad >= 0) & (pad < hi - lo)]] = False
+            yield lo, key, real
+
+    def sums(self, grams: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Of each text the sum of its grams' scores."""
+        index, total = pd.Index(grams), np.zeros(len(self.at) - 1)
+        for lo, key, real in self.grams():
+            value = np.zeros(len(key))
+            value[real] = scores[index.get_indexer(key[real])]
+            first, last = np.searchsorted(self.at, lo, side="right") - 1, np.searchsorted(self.at, lo + len(key))
+            total[first:last] += np.add.reduceat(value, np.maximum(self.at[first:last] - lo, 0))
+        return total
 
-def _decisions(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each of the eight levels, the decision node (1 to 255) and the bit of each byte."""
-    byte = keys & 255
+    def distinct(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams with their counts in the texts of ``train``."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, key, real in self.grams():
+            first, last = np.searchsorted(self.at, lo, side="right") - 1, np.searchsorted(self.at, lo + len(key))
+            counts = np.repeat(train[first:last], np.diff(np.minimum(np.append(np.maximum(self.at[first:last], lo), self.at[last]), lo + len(key))))
+            u, n = np.unique(key[real & counts], return_counts=True)
+            other = np.unique(key[real & ~counts])
+            held += [(u, n), (other, np.zeros(len(other), dtype=np.int64))]
+            if len(held) > 12:
+                held = [_summed(held)]
+        return _summed(held)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    u, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(u, kind="stable")
+    u, n = u[order], n[order]
+    first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, dtype=np.int64)
+    return u[first], np.add.reduceat(n, first) if len(u) else n
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, dict, np.ndarray]]:
+    """For each of the eight levels of a byte: each gram's decision node (1 to 255) and bit; the context nodes of depth ``depth`` to ``top``,
+    as their keys (context, then decision node), each gram's place among them, counts and weights of stopping; and ln P of those of ``top``."""
     for level in range(8):
-        yield (1 << level) | (byte >> (8 - level)), (byte >> (7 - level)) & 1
+        node, bit = (1 << level) | ((keys & 255) >> (8 - level)), ((keys & 255) >> (7 - level)) & 1
+        below, own = None, {}
+        for d in range(depth, top - 1, -1):
+            unique, at = np.unique(((keys >> 8) & ((1 << (8 * d)) - 1)) << 8 | node, return_inverse=True)
+            n1 = np.bincount(at, weights=counts * bit)
+            n0 = np.bincount(at, weights=counts) - n1
+            log_p = kt = log_kt(n0, n1)
+            stop = np.ones_like(kt)
+            if below is not None:
+                # a child's parent is that of any of its grams
+                child_at, child_p = below
+                parent = np.zeros(len(child_p), dtype=np.int64)
+                parent[child_at] = at
+                log_p, stop = _mix(kt, np.bincount(parent, weights=child_p, minlength=len(unique)))
+            own[d] = (unique, at, n0, n1, stop)
+            below = (at, log_p)
+        yield node, bit, own, below[1]
+
+
+def roots(keys: np.ndarray, counts: np.ndarray, top: int, depth: int = DEPTH) -> pd.DataFrame:
+    """The context nodes of depth ``top``: ``top, key, n0, n1, log_p``."""
+    parts = [pd.DataFrame({"top": top, "key": own[top][0], "n0": own[top][2], "n1": own[top][3], "log_p": log_p}) for _, _, own, log_p in _levels(keys, counts, top, depth)]
+    return pd.concat(parts)
 
 
-class Shard:
-    """Context nodes of depth 2 to ``depth``, all of those whose class and last two bytes are the same.
+class Top:
+    """The context nodes above the subtrees, by depth: sorted keys with counts and weights of stopping."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.nodes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        below = pd.DataFrame({"key": np.zeros(0, dtype=np.int64), "n0": [], "n1": [], "log_p": []})
+        for d in range(int(rows["top"].max()) - 1 if len(rows) else 0, -1, -1):
+            children = pd.concat([below, rows.loc[rows["top"] == d + 1, ["key", "n0", "n1", "log_p"]]])
+            key = children["key"].to_numpy(dtype=np.int64)
+            parent = ((key >> 8) & ((1 << (8 * d)) - 1)) << 8 | key & 255
+            unique, at = np.unique(parent, return_inverse=True)
+            n0, n1, inner = (np.bincount(at, weights=children[c], minlength=len(unique)) for c in ("n0", "n1", "log_p"))
+            log_p, stop = _mix(log_kt(n0, n1), inner)
+            self.nodes[d] = (unique, n0, n1, stop)
+            below = pd.DataFrame({"key": unique, "n0": n0, "n1": n1, "log_p": log_p})
+
+
+def _kt(a: np.ndarray, b: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (np.where(bit == 1, b, a) + 0.5) / (a + b + 1)
+
+
+def scores(keys: np.ndarray, counts: np.ndarray, top: int, above: Top, depth: int = DEPTH) -> np.ndarray:
+    """ln probability of each gram's byte in its context."""
+    total = np.zeros(len(keys))
+    for node, bit, own, _ in _levels(keys, counts, top, depth):
+        p = seen = None
+        for d in range(depth, -1, -1):
+            if d >= top:
+                _, at, n0, n1, stop = own[d]
+            else:
+                unique, n0, n1, stop = above.nodes[d]
+                at = np.searchsorted(unique, ((keys >> 8) & ((1 << (8 * d)) - 1)) << 8 | node)
+            a, b, w = n0[at], n1[at], stop[at]
+            p = _kt(a, b, bit) if p is None else np.where(seen, w * _kt(a, b, bit) + (1 - w) * p, _kt(a, b, bit))
+            seen = a + b > 0
+        total += np.log(p)
+    return total
 
-    ``keys`` and ``counts``: distinct grams with their training counts, 0 for those only to be scored.
-    """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH):
-        self.keys, self.depth = keys, depth
-        self.levels = []
-        kind = keys >> (8 * (depth + 1))
-        for node, bit in _decisions(keys):
-            deeper, own = None, {}
-            for d in range(depth, 1, -1):
-                # the class, the context's last d bytes, then the node
-                key = kind << (8 * (d + 1)) | ((keys >> 8) & ((1 << (8 * d)) - 1)) << 8 | node
-                unique, at = np.unique(key, return_inverse=True)
-                n0 = np.bincount(at, weights=counts * (bit == 0))
-                n1 = np.bincount(at, weights=counts * (bit == 1))
-                kt = log_kt(n0, n1)
-                if deeper is None:
-                    log_p, stop = kt, np.zeros_like(kt)
-                else:
-                    # a child's parent is that of any of its grams
-                    child_at, child_p = deeper
-                    first = np.zeros(len(child_p), dtype=np.int64)
-                    first[child_at] = at
-                    below = np.bincount(first, weights=child_p, minlength=len(unique))
-                    log_p = _mix(kt, below)
-                    stop = np.minimum(0.0, kt - np.log(2) - log_p)
-                own[d] = (unique, at, n0, n1, stop)
-                deeper = (at, log_p)
-            self.levels.append((node, bit, own, deeper))
-
-    def roots(self) -> pd.DataFrame:
-        """The depth-2 nodes: class, last byte, decision node, counts and ln P."""
-        out = []
-        for node, _, own, (at, log_p) in self.levels:
-            unique, _, n0, n1, _ = own[2]
-            out.append(pd.DataFrame({"kind": unique >> 24, "last": (unique >> 8) & 255, "node": unique & 255, "n0": n0, "n1": n1, "log_p": log_p}))
-        return pd.concat(out)
-
-    def score(self, top: Top) -> np.ndarray:
-        """ln probability of each gram's byte in its context."""
-        total = np.zeros(len(self.keys))
-        kind, last = self.keys >> (8 * (self.depth + 1)), (self.keys >> 8) & 255
-        for node, bit, own, _ in self.levels:
-            p, seen = None, None
-            for d in range(self.depth, 1, -1):
-                _, at, n0, n1, stop = own[d]
-                a, b, w = n0[at], n1[at], np.exp(stop[at])
-                kt = (np.where(bit == 1, b, a) + 0.5) / (a + b + 1)
-                p = kt if p is None else np.where(seen, w * kt + (1 - w) * p, kt)
-                seen = a + b > 0
-            total += np.log(top.finish(kind, last, node, bit, p, seen))
-        return total
+def _blocks(docs: DataFrame) -> DataFrame:
+    """``docs`` with the number of a block of about ``BLOCK_BYTES`` of text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 24, 0
+        for b in batches:
+            ends = size + np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+            number = ends // BLOCK_BYTES
+            yield pa.RecordBatch.from_arrays([pa.array(block + number), *b.columns], names=["block", "doc_id", "held_out", "text"])
+            size = int(ends[-1]) if len(ends) else size
 
-class Top:
-    """Each class's context nodes of depth 1 and 0, of which there are at most 256 * 255 and 255.
+    return docs.mapInArrow(run, "block long, doc_id long, held_out boolean, text string")
 
-    ``rows``: ``kind, last, node, n0, n1, log_p`` with the sums over the depth-2 nodes below.
-    """
 
-    def __init__(self, rows: pd.DataFrame, classes: int = CLASSES):
-        self.n = np.zeros((2, classes, 256, 256))
-        below = np.zeros((classes, 256, 256))
-        at = (rows["kind"].to_numpy(), rows["last"].to_numpy(), rows["node"].to_numpy())
-        self.n[0][at] = rows["n0"]
-        self.n[1][at] = rows["n1"]
-        below[at] = rows["log_p"]
-        kt = log_kt(self.n[0], self.n[1])
-        log_p = _mix(kt, below)
-        self.stop = np.exp(np.minimum(0.0, kt - np.log(2) - log_p))
-        self.n_all = self.n.sum(axis=2)
-        kt = log_kt(self.n_all[0], self.n_all[1])
-        self.stop_all = np.exp(np.minimum(0.0, kt - np.log(2) - _mix(kt, log_p.sum(axis=1))))
-
-    def finish(self, kind: np.ndarray, last: np.ndarray, node: np.ndarray, bit: np.ndarray, p: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Mix ``p`` of the deeper nodes, where they were seen, with depth 1 and 0."""
-        one, none = (kind, last, node), (kind, node)
-        for n0, n1, w in ((self.n[0][one], self.n[1][one], self.stop[one]), (self.n_all[0][none], self.n_all[1][none], self.stop_all[none])):
-            kt = (np.where(bit == 1, n1, n0) + 0.5) / (n0 + n1 + 1)
-            p = np.where(seen, w * kt + (1 - w) * p, kt)
-            seen = n0 + n1 > 0
-        return p
-
-
-def frequencies(text: bytes) -> np.ndarray:
-    """Square roots of the bytes' shares, A-Z lower-cased; zeros for an empty text."""
-    n = np.bincount(np.frombuffer(text.lower(), dtype=np.uint8), minlength=256)
-    return np.sqrt(n / max(1, len(text)))
-
-
-def _centres(docs: DataFrame) -> np.ndarray:
-    """Cluster centres of the byte frequencies of all training texts, ``CLASSES`` or as many as differ; one of zeros if there are none.
-
-    They start from a sample of ``START_ROWS`` texts, each as far from those before it as can be, and move to the mean of
-    their texts in ``PASSES`` passes over all.
-    """
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in range(0, len(b), 1000):
-                x = np.array([frequencies(t.as_py()) for t in b.column(0).slice(part, 1000).cast(pa.binary())])
-                small = np.rint(x[:, SEEN] * 255).astype(np.int16).ravel()
-                yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(small), len(SEEN)).cast(pa.list_(pa.int16()))], names=["x"])
-
-    rows = written(docs.where("not held_out").select("text").mapInArrow(measure, "x array<short>"), "ctw-frequencies")
-    if rows.isEmpty():
-        return np.zeros((1, len(SEEN)))
-    sample = rows.orderBy(F.xxhash64("x")).limit(START_ROWS).toPandas()
-    x = np.unique(np.array(sample["x"].tolist(), dtype=float) / 255, axis=0)
-    centres = x[:1]
-    while len(centres) < CLASSES:
-        far = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).min(axis=1)
-        # the middle of the far half: single odd texts are no class
-        at = np.argsort(far, kind="stable")[len(far) - 1 - (far > 0).sum() // 20]
-        if far[at] <= 0:
-            break
-        centres = np.vstack([centres, x[at]])
-    for _ in range(PASSES):
-
-        def sums(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(centres), len(SEEN) + 1))
-            for b in batches:
-                v = b.column(0).flatten().to_numpy().reshape(len(b), -1) / 255
-                near = ((centres**2).sum(axis=1)[None, :] - 2 * v @ centres.T).argmin(axis=1)
-                for k in np.unique(near):
-                    total[k] += [*v[near == k].sum(axis=0), (near == k).sum()]
-            kind, place = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(kind.ravel(), pa.int32()), pa.array(place.ravel(), pa.int32()), pa.array(total.ravel())], names=["kind", "place", "v"])
-
-        new = np.zeros((len(centres), len(SEEN) + 1))
-        for r in rows.mapInArrow(sums, "kind int, place int, v double").groupBy("kind", "place").agg(F.sum("v").alias("v")).collect():  # a number for each class and byte
-            new[r["kind"], r["place"]] = r["v"]
-        centres = np.where(new[:, -1:] > 0, new[:, :-1] / np.maximum(new[:, -1:], 1), centres)
-    return centres
-
-
-#: Bytes that count for a text's class: visible ASCII but upper case, and the later bytes of longer characters.
-SEEN = np.array([i for i in range(33, 192) if not 65 <= i <= 90 and i != 127])
-
-
-def class_of(text: bytes, centres: np.ndarray) -> int:
-    """The nearest centre, the first of equals."""
-    return int(((centres - frequencies(text)[SEEN]) ** 2).sum(axis=1).argmin())
-
-
-def _short(x: np.ndarray) -> bytes:
-    """Integers below 2**32 in one, two or four bytes each, after a byte that says how many."""
-    width = 1 if (most := int(x.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
-
-
-def _long(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, dtype=f"<u{x[0]}", offset=1).astype(np.int64)
-
-
-def _blocks(docs: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Documents as token numbers of their block, all of one class. A row is either a document of the block or,
-    with ``token``, one of the block's distinct tokens: its class in a byte, then itself; ``at`` is ``block * STEP``
-    plus its number, ``train`` its count in the block's training documents."""
-    names = ["at", "doc_id", "held_out", "codes", "counts", "bytes", "token", "train"]
-    none = pa.nulls
-
-    def flush(block: int, kind: int, ids: list, held: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        tokens = [[*t.lower().split(), END] for t in texts]
-        lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        size = [sum(map(len, ts)) + len(ts) - 1 for ts in tokens]
-        flat = np.empty(lengths.sum(), dtype=object)
-        flat[:] = [w for ts in tokens for w in ts]
-        del tokens
-        codes, words = pd.factorize(flat)
-        del flat
-        train = np.bincount(codes, weights=np.repeat(~np.array(held, dtype=bool), lengths), minlength=len(words)).astype(np.int64)
-        # a document's distinct tokens, as differences, and their counts
-        k, n = len(words), len(lengths)
-        pair, count = np.unique(np.repeat(np.arange(n), lengths) * k + codes, return_counts=True)
-        cuts = [0, *np.searchsorted(pair, (np.arange(n) + 1) * k).tolist()]
-        code = pair % k
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        at = pa.array(np.int64(block) * STEP + np.arange(k))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block * STEP)), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array([_short(np.diff(code[a:b], prepend=0)) for a, b in spans], pa.binary()), pa.array([_short(count[a:b]) for a, b in spans], pa.binary()), pa.array(size, pa.int64()), none(n, pa.binary()), none(n, pa.int64())], names=names)
-        head = bytes([kind])
-        yield pa.RecordBatch.from_arrays([at, none(k, pa.int64()), none(k, pa.bool_()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.int64()), pa.array([head + w for w in words], pa.binary()), pa.array(train)], names=names)
+def _asked(blocks: DataFrame) -> DataFrame:
+    """``block, gram, word, n``: each block's distinct grams and distinct words with their counts in its training texts. A block's rows follow one another."""
+
+    def flush(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        train = ~table.column("held_out").to_numpy()
+        own = Block(table.column("text").combine_chunks())
+        gram, n = own.distinct(train)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array(gram), pa.nulls(len(gram), pa.string()), pa.array(n)], names=names)
+        word = own.words.dictionary_encode()
+        n = np.bincount(word.indices.to_numpy(), weights=np.repeat(train, np.diff(own.word_at)), minlength=len(word.dictionary)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.nulls(len(n), pa.int64()), word.dictionary, pa.array(n)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 16, 0
-        held: dict[int, tuple[list, list, list]] = {}
+        last, held = None, []
         for b in batches:
-            for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                for column, value in zip(held.setdefault(class_of(t, centres), ([], [], [])), (i, h, t), strict=True):
-                    column.append(value)
-                size += len(t) + 64
-                if size >= BLOCK_BYTES:
-                    for kind in sorted(held):
-                        yield from flush(block + kind, kind, *held.pop(kind))
-                    block, size = block + KINDS, 0
-        for kind in sorted(held):
-            yield from flush(block + kind, kind, *held.pop(kind))
+            numbers = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if held and numbers[lo] != last:
+                    yield from flush(last, held)
+                    held = []
+                last = int(numbers[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from flush(last, held)
 
-    return docs.mapInArrow(run, "at long, doc_id long, held_out boolean, codes binary, counts binary, bytes long, token binary, train long")
+    names = ["block", "gram", "word", "n"]
+    return blocks.mapInArrow(run, "block long, gram long, word string, n long")
 
 
-def _token_scores(tokens: DataFrame) -> DataFrame:
-    """``token, n`` to ``token, n, logp``: ln probability of each token by its class's trees."""
+def _sharded(counted: DataFrame, shard_grams: int) -> DataFrame:
+    """``gram, n, top, shard``: the depth of each gram's subtree and the task that builds it."""
+    total, crowded, depth = counted.count(), [], 1
+    rows = counted.withColumn("top", F.lit(1))
+    suffix = lambda d: F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
+    while depth < DEPTH:
+        found = rows.where(F.col("top") == depth).groupBy(suffix(depth).alias("full")).count().where(F.col("count") > shard_grams).select("full")
+        crowded = found.collect()  # fewer than total / shard_grams
+        if not crowded:
+            break
+        full = F.broadcast(counted.sparkSession.createDataFrame(crowded, "full long"))
+        hit = (F.col("top") == depth) & (suffix(depth) == F.col("full"))
+        rows = rows.join(full, hit, "left").withColumn("top", F.when(F.col("full").isNotNull(), depth + 1).otherwise(F.col("top"))).drop("full")
+        depth += 1
+    root = suffix(DEPTH).bitwiseAND(F.expr("shiftleft(1L, top * 8) - 1"))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("top", root), F.lit(total // shard_grams + 1)).cast("int"))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        for b in batches:
-            own, counts = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for at in range(0, len(own), 20_000):
-                yield own[at : at + 20_000], counts[at : at + 20_000]
 
-    def numbers(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return grams([t[1:] for t in own], np.frombuffer(b"".join(t[:1] for t in own), dtype=np.uint8))
+def _gram_scores(counted: DataFrame, shard_grams: int) -> DataFrame:
+    """``gram, n`` to ``gram, lp``: ln probability of each gram's byte in its context."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, counts in parts(batches):
-            key, owner = numbers(own)
-            unique, at = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(unique), pa.array(np.bincount(at, weights=counts[owner]).astype(np.int64))], names=["gram", "n"])
+    def by_top(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for top, own in rows.groupby("top"):
+            yield int(top), own["gram"].to_numpy(), own["n"].to_numpy(dtype=float)
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 24, 0
-        for b in batches:
-            if size + len(b) > CHUNK_TOKENS:
-                chunk, size = chunk + 1, 0
-            size += len(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), chunk)), b.column(0), b.column(1)], names=["chunk", "token", "n"])
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([roots(k, n, top) for top, k, n in by_top(rows)])
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = None, []
-        for b in batches:
-            for now, at in zip(*np.unique(b.column(0).to_numpy(), return_index=True), strict=True):
-                if now != chunk and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(u := np.unique(np.concatenate(held))), pa.array(np.full(len(u), chunk))], names=["gram", "chunk"])
-                    held = []
-                chunk = now
-                own = b.column(1).filter(pa.array(b.column(0).to_numpy() == now)).to_pylist()
-                held.append(np.unique(numbers(own)[0]))
-                if len(held) > 32:
-                    held = [np.unique(np.concatenate(held))]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(u := np.unique(np.concatenate(held))), pa.array(np.full(len(u), chunk))], names=["gram", "chunk"])
+    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"gram": k, "lp": scores(k, n, top, shared.value)}) for top, k, n in by_top(rows)])
 
-    def roots(rows: pd.DataFrame) -> pd.DataFrame:
-        found = Shard(rows["gram"].to_numpy(), rows["n"].to_numpy(dtype=float)).roots()
-        return found.groupby(["kind", "last", "node"], as_index=False)[["n0", "n1", "log_p"]].sum()
+    rows = written(_sharded(counted, shard_grams).repartition("shard"), "ctw-shards")
+    # 256 * 255 rows at most for the whole tree and for each subtree that was cut, of which there are fewer than grams / shard_grams at each depth
+    above = Top(rows.groupBy("shard").applyInPandas(found, "top int, key long, n0 double, n1 double, log_p double").toPandas())
+    shared = counted.sparkSession.sparkContext.broadcast(above)
+    return rows.groupBy("shard").applyInPandas(scored, "gram long, lp double")
 
-    def scored(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard(rows["gram"].to_numpy(), rows["n"].to_numpy(dtype=float))
-        return pd.DataFrame({"gram": shard.keys, "lp": shard.score(shared.value)})
-
-    def summed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"token": [], "n": [], "logp": []})
-        right = right.sort_values("gram")
-        known, lp, own, out = right["gram"].to_numpy(), right["lp"].to_numpy(), left["token"].tolist(), []
-        for at in range(0, len(own), 20_000):
-            key, owner = numbers(own[at : at + 20_000])
-            out.append(np.bincount(owner, weights=lp[np.searchsorted(known, key)], minlength=len(own[at : at + 20_000])))
-        return pd.DataFrame({"token": own, "n": left["n"], "logp": np.concatenate(out)})
-
-    counted = tokens.mapInArrow(cut, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    # the class and the last two bytes of the context
-    shard = F.pmod(F.xxhash64(F.shiftright("gram", 8 * (DEPTH + 1)), F.shiftright("gram", 8).bitwiseAND(65535)), F.lit(SHARD_GROUPS))
-    counted = written(counted.withColumn("shard", shard.cast("int")).repartition("shard"), "ctw-grams")
-    per_shard = counted.groupBy("shard").applyInPandas(roots, "kind int, last int, node int, n0 double, n1 double, log_p double")
-    top = Top(per_shard.groupBy("kind", "last", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_p").alias("log_p")).toPandas())  # 256 * 255 rows for each class at most
-    shared = tokens.sparkSession.sparkContext.broadcast(top)
-    gram_scores = counted.groupBy("shard").applyInPandas(scored, "gram long, lp double")
-    held = written(tokens.mapInArrow(chunks, "chunk long, token binary, n long"), "ctw-chunks")
-    answers = held.select("chunk", "token").mapInArrow(asked, "gram long, chunk long").distinct().join(gram_scores, "gram").select(F.col("chunk").alias("of"), "gram", "lp")
-    return held.groupBy("chunk").cogroup(answers.groupBy("of")).applyInPandas(summed, "token binary, n long, logp double")
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_grams: int = SHARD_GRAMS) -> DataFrame:
     """For every row ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
 
     ``base_score`` is the unigram score with half-counts, ``score`` the context-tree model's, both log10
-    probabilities of all tokens; ``bits_per_byte`` is the model's code length over the bytes it codes. Learns from all
+    probabilities of the whole text; ``bits_per_byte`` is the model's code length over the bytes it codes. Learns from all
     rows that are not held out. Null texts count as empty: one token, the end. Rows with a null id learn and are scored; repeated rows stay.
+    Other columns go, whatever their names. An empty table gives an empty one.
     """
-    rows = clean_text(docs, id_col, text_col)
-    rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    centres = _centres(rows)
-    blocks = written(_blocks(rows, centres), "ctw-blocks")
-    tokens, documents = blocks.where("token is not null"), blocks.where("token is null")
-    counted = written(tokens.groupBy("token").agg(F.sum("train").alias("n")), "ctw-tokens")
-    same = Window.partitionBy(F.substring("token", 2, 1 << 30))  # a row for each class at most
-    scores = written(_token_scores(counted).select("token", F.sum("n").over(same).alias("c"), "n", "logp", F.row_number().over(same.orderBy("token")).alias("place")), "ctw-scores")
-    total = scores.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("c") > 0) & (F.col("place") == 1))).first()
-    n_train, distinct = int(total[0]), int(total[1])
-    # a training document has one end token
-    share = np.full(CLASSES, 0.5)
-    for r in scores.where(F.substring("token", 2, 1 << 30) == F.lit(END)).select("token", "n").collect():  # a row for each class at most
-        share[r["token"][0]] += r["n"]
-    share = np.log10(share / share.sum())
-    shift = np.log10(n_train + 0.5 * (distinct + 1))
-    answers = tokens.select("at", "token").join(scores.select("token", "c", "logp"), "token").select("at", "c", "logp", F.floor(F.col("at") / STEP).alias("block"))
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        size = len(right)
-        c, logp = np.zeros(size), np.zeros(size)
-        code = right["at"].to_numpy() % STEP
-        c[code], logp[code] = right["c"], right["logp"] / np.log(10)
-        base = np.log10(c + 0.5) - shift
-        kind = int(left["begin"].iloc[0]) // STEP % KINDS
-        out = []
-        for i, held, codes, counts, coded in zip(left["doc_id"].astype("Int64"), left["held_out"], left["codes"], left["counts"], left["bytes"], strict=True):
-            k, n = np.cumsum(_long(codes)), _long(counts)
-            model = float(n @ logp[k]) + share[kind]
-            out.append((i, held, int(n.sum()), int(n @ (c[k] > 0)), n_train, float(n @ base[k]), model, -model * np.log2(10) / coded))
-        return pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]).astype({"doc_id": "Int64"})
-
-    both = documents.select(F.col("at").alias("begin"), "doc_id", "held_out", "codes", "counts", "bytes", F.floor(F.col("at") / STEP).alias("of")).groupBy("of").cogroup(answers.groupBy("block"))
-    return both.applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    rows = clean_text(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    blocks = written(_blocks(rows), "ctw-blocks")
+    asked = written(_asked(blocks), "ctw-asked")
+    counted = written(asked.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
+    words = written(asked.where("word <> ''").groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
+    ends = rows.where("not held_out").count()
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    n_train, distinct = int(total[0]) + ends, int(total[1]) + (ends > 0)
+    shift = float(np.log10(n_train + 0.5 * (distinct + 1)))
+    base_end = float(np.log10(ends + 0.5)) - shift
+    of_grams = asked.where("gram is not null").select("block", "gram").join(_gram_scores(counted, shard_grams), "gram").select("block", "gram", "lp", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"))
+    of_words = asked.where("word <> ''").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("lp"), "word", "c")
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        own = Block(left.column("text").combine_chunks())
+        grams = right.filter(pc.is_valid(right.column("gram")))
+        model = own.sums(grams.column("gram").to_numpy(), grams.column("lp").to_numpy()) / np.log(10)
+        known = right.filter(pc.is_valid(right.column("word")))
+        at = pc.index_in(own.words, value_set=known.column("word").combine_chunks())
+        c = np.append(known.column("c").to_numpy(), 0)[at.fill_null(-1).to_numpy()].astype(float)
+        real = np.repeat(own.n_words > 0, np.diff(own.word_at))
+        each = np.where(real, np.log10(c + 0.5) - shift, 0.0)
+        base = np.add.reduceat(each, own.word_at[:-1]) + base_end
+        n_known = np.add.reduceat((real & (c > 0)).astype(np.int64), own.word_at[:-1]) + (ends > 0)
+        coded = np.diff(own.at) - own.depth
+        columns = [left.column("doc_id"), left.column("held_out"), own.n_words + 1, n_known, np.full(left.num_rows, n_train), base, model, -model * np.log2(10) / coded]
+        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=schema)
+
+    both = blocks.groupBy("block").cogroup(of_grams.unionByName(of_words).groupBy("block"))
+    return both.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

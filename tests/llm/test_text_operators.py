@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -167,6 +168,39 @@ def test_pii_spans(spark, odd, empty):
     assert pii.find_spans(odd).count() == odd.count() and pii.find_spans(empty).count() == 0
 
 
+def test_texts_of_very_many_matches(spark):
+    """Folds by blocks: positions go on from block to block, in time that isn't quadratic."""
+    n = 200_000
+    texts = [" ".join(["é12 a.b@c.de"] * 20_000), " ".join(["4539578763621486x"] * 5000), " ".join(map(str, range(n))), "1.2.3.4 " * 30_000, "ssn 123-45-6789 " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    found = {r["doc_id"]: r for r in pii.find_spans(df).select("doc_id", pii.listed(pii.BASE + pii.SCORED).alias("s"), *[F.size(k).alias(k) for k in pii.BASE]).collect()}
+    masked = dict(pii.mask(df).collect())
+    assert time.time() - began < 60
+    assert found[0]["s"] == ",".join(f"email:{13 * i + 4}:{13 * i + 12}" for i in range(20_000))
+    assert found[1]["s"] == ",".join(f"card:{18 * i}:{18 * i + 16}" for i in range(5000))
+    assert found[2]["s"] == "" and found[3]["ip"] == 30_000
+    assert found[4]["s"] == ",".join(f"ssn:{16 * i + 4}:{16 * i + 15}" for i in range(500))
+    assert masked == {0: " ".join(["é12 [EMAIL]"] * 20_000), 1: " ".join(["[CARD]x"] * 5000), 2: texts[2], 3: "[IP] " * 30_000, 4: "ssn [SSN] " * 500}
+
+
+def test_digit_runs_are_proposed_as_by_the_plain_pattern(spark):
+    import re
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("0123456789 -x") if r.random() < 0.3 else r.choice("0123456789") for _ in range(60)) for _ in range(400)]
+
+    def luhn(d):
+        ds = [int(c) for c in reversed(d)]
+        return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(ds)) % 10 == 0
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["doc_id"]: [(s["start"], s["end"]) for s in x["card"]] for x in pii.find_spans(df, kinds=("card",)).collect()}
+    for i, t in enumerate(texts):
+        runs = [(m.start(), m.end(), re.sub("[^0-9]", "", m[0])) for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", t)]
+        assert found[i] == [(a, b) for a, b, d in runs if 16 <= len(d) <= 19 and luhn(d)]
+
+
 def test_ibans_end_where_their_checksum_says(spark):
     de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
     texts = {
@@ -221,24 +255,28 @@ def test_log_gamma():
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12)
 
 
-def brute_context_tree(train, tokens, depth):
+def stream(text):
+    """The bytes that are coded: each word and a space, then an end."""
+    return b"".join(w + b" " for w in (text or "").encode().lower().split()) + b"\n"
+
+
+def brute_context_tree(train, texts, depth):
     """Probabilities by the definition: weighted nodes over dictionaries."""
     import math
     from collections import defaultdict
 
     counts = defaultdict(lambda: [0, 0])
 
-    def steps(token):
-        whole = token if token == ctw.END else token + b" "
+    def steps(whole):
         for i, byte in enumerate(whole):
-            past = (b" " * depth + whole[:i])[-depth:]
+            past = (b"\n" * depth + whole[:i])[-depth:]
             for level in range(8):
                 yield past, (1 << level) | (byte >> (8 - level)), (byte >> (7 - level)) & 1
 
-    for token, n in train.items():
-        for past, node, bit in steps(token):
+    for text in train:
+        for past, node, bit in steps(stream(text)):
             for d in range(depth + 1):
-                counts[past[depth - d :], node][bit] += n
+                counts[past[depth - d :], node][bit] += 1
     children = defaultdict(list)
     for past, node in list(counts):
         if past:
@@ -265,32 +303,40 @@ def brute_context_tree(train, tokens, depth):
         w = math.exp(min(0, kt(c) - math.log(2) - weighted(s)))
         return w * own + (1 - w) * p(past, node, bit, d + 1)
 
-    return [sum(math.log(p(past, node, bit, 0)) for past, node, bit in steps(t)) for t in tokens]
-
-
-def test_context_trees_match_brute_force(spark, odd, empty):
-    docs = [(i, words(25, i % 17) + (" Rare" if i % 5 == 0 else "")) for i in range(40)] + [(None, "a b a"), (40, None), (41, "")]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    found = {(r["doc_id"], r["n_tokens"]): r for r in ctw.score(d).collect()}
-    rows = ctw.clean_text(d, "doc_id", "text").select("doc_id", ctw.held_out(F.col("doc_id")).alias("held_out"), "text")
-    centres = ctw._centres(rows)
-    train, total, share = {}, {}, np.full(ctw.CLASSES, 0.5)
-    for i, t in docs:
-        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
-            kind = ctw.class_of((t or "").encode(), centres)
-            share[kind] += 1
-            for w in [*(t or "").encode().lower().split(), ctw.END]:
-                train.setdefault(kind, {}).setdefault(w, 0)
-                train[kind][w] += 1
-                total[w] = total.get(w, 0) + 1
+    return [sum(math.log(p(past, node, bit, 0)) for past, node, bit in steps(stream(t))) for t in texts]
+
+
+@pytest.mark.parametrize("shard_grams", [ctw.SHARD_GRAMS, 40])
+def test_context_trees_match_brute_force(spark, monkeypatch, shard_grams):
+    monkeypatch.setattr(ctw, "SLICE_BYTES", 97)
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 1500)
+    docs = [(i, words(25, i % 17) + (" Rare" if i % 5 == 0 else "")) for i in range(40)] + [(None, "a b a"), (40, None), (41, ""), ((1 << 60) + 1, " é\t\x0bÉ "), (42, " \n ")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    found = {(r["doc_id"], r["n_tokens"]): r for r in ctw.score(d, shard_grams=shard_grams).collect()}
+    train = [t for i, t in docs if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    total = {}
+    for t in train:
+        for w in [*(t or "").encode().lower().split(), "end"]:
+            total[w] = total.get(w, 0) + 1
     n, v = sum(total.values()), len(total)
-    for i, t in docs[:12] + docs[-3:]:
-        tokens = [*(t or "").encode().lower().split(), ctw.END]
-        kind = ctw.class_of((t or "").encode(), centres)
+    expected = brute_context_tree(train, [t for _, t in docs], ctw.DEPTH)
+    for (i, t), lp in zip(docs, expected, strict=True):
+        tokens = [*(t or "").encode().lower().split(), "end"]
         r = found[i, len(tokens)]
-        expected = sum(brute_context_tree(train.get(kind, {}), tokens, ctw.DEPTH)) / np.log(10) + np.log10(share[kind] / share.sum())
-        assert r["score"] == pytest.approx(expected, rel=1e-9)
+        assert r["score"] == pytest.approx(lp / np.log(10), rel=1e-9)
+        assert r["bits_per_byte"] == pytest.approx(-lp / np.log(2) / len(stream(t)), rel=1e-9)
         assert r["base_score"] == pytest.approx(sum(np.log10((total.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), rel=1e-9)
         assert (r["n_known"], r["train_tokens"]) == (sum(w in total for w in tokens), n)
+
+
+def test_order_of_words_counts_and_odd_rows_are_scored(spark, odd, empty):
+    r = random.Random(3)
+    sentence = "the cat sat on the mat and then the dog ran off to the sea"
+    mixed = sentence.split()
+    r.shuffle(mixed)
+    d = spark.createDataFrame([(i, sentence) for i in range(30)] + [(36, sentence), (40, " ".join(mixed))], "doc_id long, text string")
+    found = {x["doc_id"]: x["score"] for x in ctw.score(d).collect()}
+    assert found[36] > found[40] + 3
     assert ctw.score(odd).count() == odd.count()
     assert ctw.score(empty).count() == 0
+    assert ctw.score(odd.where("doc_id is null")).count() == 2
