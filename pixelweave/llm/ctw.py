@@ -29,11 +29,11 @@ from pixelweave.llm.common import clean_text, written
 
 DEPTH = 5
 #: A block of documents ends when it has so many bytes of text.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: So many bytes are cut into grams at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Subtrees of more distinct grams are cut by one more byte of context; a task builds subtrees of about so many grams in all.
-SHARD_GRAMS = 1_000_000
+SHARD_GRAMS = 250_000
 END = "\n"
 
 
@@ -221,10 +221,14 @@ def _asked(blocks: DataFrame) -> DataFrame:
         train = ~table.column("held_out").to_numpy()
         own = Block(table.column("text").combine_chunks())
         gram, n = own.distinct(train)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array(gram), pa.nulls(len(gram), pa.string()), pa.array(n)], names=names)
+        yield from cut(pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array(gram), pa.nulls(len(gram), pa.string()), pa.array(n)], names=names))
         word = own.words.dictionary_encode()
         n = np.bincount(word.indices.to_numpy(), weights=np.repeat(train, np.diff(own.word_at)), minlength=len(word.dictionary)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.nulls(len(n), pa.int64()), word.dictionary, pa.array(n)], names=names)
+        yield from cut(pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.nulls(len(n), pa.int64()), word.dictionary, pa.array(n)], names=names))
+
+    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(b), 50_000):
+            yield b.slice(lo, 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
