@@ -8,14 +8,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+#: Sides of a join with more rows, or more text in them, aren't broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
+_FIXED = (T.NumericType, T.BooleanType)
+#: Nodes with more edges than this are joined by a broadcast of their own, as one task couldn't hold them.
+HUB_EDGES = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of this machine's only where
-    that setting is absent, as in local tests."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only a local session, whose tasks all run on this machine, may
+    do without."""
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return given or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
 
 
@@ -41,14 +49,35 @@ def clean_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """The side of a join, broadcast if a count of its rows and their size allow it. ``df`` should be a written table."""
+    rows = df.limit(BROADCAST_ROWS + 1).count()
+    fixed = all(isinstance(f.dataType, _FIXED) for f in df.schema)
+    if rows <= (BROADCAST_ROWS if fixed else 1000):
+        return F.broadcast(df)
+    size = None if rows > BROADCAST_ROWS else df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES else df
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f(value)`` with ``value`` computed once. An expression used within a lambda function would be
     computed anew for every element."""
     return F.transform(F.array(value), f)[0]
 
 
+def _to_least(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """``rows(a, b)`` with the ``least`` of their ``a``, from ``of(a, n, least)``. Hubs, of which there are fewer than edges / ``HUB_EDGES``, go by broadcast."""
+    of = written(of, "components-least")
+    hubs = of.where(F.col("n") > HUB_EDGES).select("a", "least")
+    plain = of.select("a", "least")
+    if hubs.isEmpty():
+        return rows.join(plain, "a")
+    hubs = F.broadcast(hubs)
+    return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(plain, "a"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """Connected components of the undirected graph ``edges(a long, b long)``.
+    """Connected components of the undirected graph ``edges(a, b)``, whose nodes are of any type with an order.
 
     Returns ``(node, root)`` for every node that has an edge; root is the smallest node of the
     component. Alternates two star contractions, large and small, until no edge moves, which takes a
@@ -61,10 +90,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.first("a")).alias("least"))
+        large = written(_to_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), name)
+        least = large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("least"))
+        small = _to_least(large, least).select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = written(small, name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

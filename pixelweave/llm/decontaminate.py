@@ -15,12 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import clean_text, let, written
+from pixelweave.llm.common import clean_text, let, small_side, written
 
-#: A table of more rows isn't broadcast; joins with it shuffle.
-BROADCAST_ROWS = 2_000_000
 #: Sizes are grouped by powers of this.
 SIZE_BASE = 1.25
+_KEY = "_key_of_text"
 WHITE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,11 +48,6 @@ def hashes_of(words: Column, k: int) -> Column:
     return _runs(F.transform(words, lambda w: F.xxhash64(w)), k, lambda h: F.xxhash64(h), "bigint")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast, if a count of its rows allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def contained(docs: DataFrame, items: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, n_shingles, n_found, containment`` of each pair whose containment reaches ``threshold``.
 
@@ -83,17 +77,23 @@ def contained(docs: DataFrame, items: DataFrame, words: int = 5, threshold: floa
     doc = clean_text(docs, id_col, text_col).where("doc_id is not null").withColumn("copy", F.xxhash64("text"))
     hashed = doc.select("doc_id", "copy", hashes_of(words_of(F.col("text")), words).alias("hs")).select("doc_id", "copy", "hs", n.alias("n"), reach.alias("reach")).where("reach is not null")
     probe = hashed.select("doc_id", "copy", "n", F.explode(F.filter("hs", lambda h: h <= F.col("reach"))).alias("h"))
-    found = probe.join(_small(sketch.select("item_id", "need", "h")), "h").where("n >= need")
+    found = probe.join(small_side(sketch.select("item_id", "need", "h")), "h").where("n >= need")
     candidates = written(found.select("doc_id", "copy", "item_id").distinct(), "contamination-candidates")
-    texts = doc.join(_small(candidates.select("doc_id", "copy").distinct()), ["doc_id", "copy"], "left_semi")
+    texts = doc.join(small_side(candidates.select("doc_id", "copy").distinct()), ["doc_id", "copy"], "left_semi")
     texts = texts.select("doc_id", "copy", F.explode(F.array_distinct(shingles_of(words_of(F.col("text")), words))).alias("shingle"))
-    counted = texts.join(_small(item.select("item_id", "shingle")), "shingle").join(candidates, ["doc_id", "copy", "item_id"], "left_semi")
+    counted = texts.join(small_side(item.select("item_id", "shingle")), "shingle").join(candidates, ["doc_id", "copy", "item_id"], "left_semi")
     counted = counted.groupBy("doc_id", "copy", "item_id").agg(F.countDistinct("shingle").cast("int").alias("n_found"))
-    counted = counted.groupBy("doc_id", "item_id").agg(F.max("n_found").alias("n_found")).join(_small(size.select("item_id", "n_shingles", "need")), "item_id")
+    counted = counted.groupBy("doc_id", "item_id").agg(F.max("n_found").alias("n_found")).join(small_side(size.select("item_id", "n_shingles", "need")), "item_id")
     return counted.where("n_found >= need").select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without those that contain an item; rows without a doc_id stay."""
-    bad = written(contained(docs, items, words, threshold).select("doc_id").distinct(), "contaminated")
-    return docs.join(_small(bad), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without those that contain an item.
+
+    Rows are decided by their text, so those with a null or repeated id are like all others. Null and empty texts contain nothing and stay, as do
+    repeated clean rows and all columns, whatever their names. Without items all rows stay.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    found = contained(docs.select(key.alias("doc_id"), "text"), items, words, threshold)
+    bad = written(found.select(F.col("doc_id").alias(_KEY)).distinct(), "contaminated")
+    return docs.withColumn(_KEY, key).join(small_side(bad), _KEY, "left_anti").select(*docs.columns)

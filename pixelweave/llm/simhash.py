@@ -8,45 +8,72 @@ pair has one key. A bucket that is too full for one task is cut by the same cons
 positions its table left out, which again separates no pair within the radius. The vectors are dealt so
 that every table keeps about half of however few positions are left, so each level about halves them, and
 a bucket's size is bounded by the construction itself.
+
+`near_duplicates` links fingerprints alone. `keep_one` decides by five-word shingles: fingerprints of word pairs, which few edits move far,
+under several seeds propose pairs of texts, and those whose shingles' Jaccard similarity is 0.8 or more are linked.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import clean_text, components, written
+from pixelweave.llm.common import clean_text, components, small_side, written
+from pixelweave.llm.decontaminate import hashes_of, words_of
 
 #: Fuller buckets are cut once more.
 BUCKET_ROWS = 1024
 SEED = 42
+#: Of `keep_one`: fingerprints of so many words a shingle, for each of these seeds, within so many bits.
+FINGERPRINT_WORDS, SEEDS, RADIUS = 2, (42, 43, 44), 5
+#: In buckets of so many fingerprints all pairs are proposed.
+PAIRED_ROWS = 32
+_KEY, _DECIDED = "_key_of_text", "_decided_by_text"
 
 
-def simhash(text: bytes, words: int) -> int:
+def simhash(text: bytes, words: int, seed: int = SEED) -> int:
     """The fingerprint of one text: a bit is set if it is in over half of the shingles' hashes."""
+    return simhashes(text, words, (seed,))[0]
+
+
+def simhashes(text: bytes, words: int, seeds: tuple[int, ...]) -> list[int]:
+    """A fingerprint for each seed. All but the first are of the first one's hashes, mixed with the seed."""
     import xxhash
 
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = ends - [len(t) for t in tokens]
     k = min(words, len(tokens))
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    hashes = np.array([h(joined[a:b], seeds[0]) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return [_majority(hashes if n == 0 else _mixed(hashes, seed)) for n, seed in enumerate(seeds)]
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the numbers."""
     ones = np.zeros(64, dtype=np.int64)
     for part in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[part : part + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Other hashes from hashes, as if by another seed."""
+    x = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp long`` for every row; ``fp`` holds the 64 bits. Null and empty texts have fingerprint 0,
     null ids stay null, repeated rows stay repeated."""
@@ -111,32 +138,52 @@ def _links(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _proposed(fps: list[int], radius: int) -> list[tuple[int, int]]:
+    """All pairs within the radius of a small bucket. Of a large one, pairs with leaders: the member nearest to the majority of bits, which is what
+    copies were made from rather than one of them, takes all within the radius, then the next leader is found among the rest."""
+    left, out = np.sort(np.array(fps, dtype=np.int64)), []
+    while len(left) > PAIRED_ROWS:
+        centre = np.uint64(_majority(left.view(np.uint64)))
+        lead = left[np.bitwise_count(left.view(np.uint64) ^ centre).argmin()]
+        near = np.bitwise_count((left ^ lead).view(np.uint64)) <= radius
+        out += [(max(x, int(lead)), min(x, int(lead))) for x in left[near].tolist() if x != lead]
+        left = left[~near]
+    for i in range(len(left) - 1):
+        rest = left[i + 1 :]
+        out += [(x, int(left[i])) for x in rest[np.bitwise_count((rest ^ left[i]).view(np.uint64)) <= radius].tolist()]
+    return out
+
+
+def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS, within: Callable[[list[int], int], list[tuple[int, int]]] = _links) -> DataFrame:
     """``a, b``: links that connect the distinct fingerprints of ``fps(fp)`` exactly as all pairs within
-    ``radius`` bits do. Within a bucket only one link for each fingerprint leaves its task."""
+    ``radius`` bits do. Within a bucket only one link for each fingerprint leaves its task, or what ``within`` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [x for group in b.column(0).to_pylist() for x in _links(group, radius)]
+            found = [x for group in b.column(0).to_pylist() for x in within(group, radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
     spark, masks, free = fps.sparkSession, {1: [(1 + i, m) for i, m in enumerate(covering_masks(list(range(64)), radius))]}, {}
     tables = F.array(*[F.struct(F.lit(t).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in masks[1]])
     keyed, found = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.path", "t.key"), None
     while True:
-        size = F.count("*").over(Window.partitionBy("path", "key"))
-        crowded = written(keyed.withColumn("n", size).where("n > 1"), "simhash-buckets")
+        # counts are partial before the shuffle, so a crowded bucket is never gathered
+        crowded = written(keyed.groupBy("path", "key").count().where(F.col("count") > bucket_rows).select("path", "key"), "simhash-crowded")
+        any_crowded = not crowded.isEmpty()
         whole = {t: m for ms in masks.values() for t, m in ms}
         free = {t: [p for p in range(64) if not m >> p & 1] for t, m in whole.items()}
         # with 10 positions left a bucket has 1024 fingerprints at most; while there are more than radius, each level leaves fewer
         last = all(len(p) <= max(10, radius) for p in free.values())
-        small = crowded if last else crowded.where(F.col("n") <= bucket_rows)
+        split = any_crowded and not last
+        small = keyed.join(small_side(crowded), ["path", "key"], "left_anti") if split else keyed
+        size = F.count("*").over(Window.partitionBy("path", "key"))
+        small = written(small.withColumn("n", size).where("n > 1").drop("n"), "simhash-buckets")
         here = small.groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "a long, b long")
         found = here if found is None else found.unionByName(here)
-        full = crowded.where(F.col("n") > bucket_rows)
-        paths = [] if last else sorted(r[0] for r in full.select("path").distinct().collect())  # at most one for each table
-        if not paths:
+        if not split:
             return found.distinct()
+        full = keyed.join(small_side(crowded), ["path", "key"], "left_semi")
+        paths = sorted(r[0] for r in crowded.select("path").distinct().collect())  # at most one for each table
         number = itertools.count(1)
         masks = {p: [(next(number), whole[p] | m) for m in covering_masks(free[p], radius)] for p in paths}
         # of three levels the last has 31 ** 3 tables for radius 4
@@ -154,19 +201,84 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     does. Repeated rows stay. An empty table gives an empty one.
     """
     rows = written(fingerprints(docs, words, id_col, text_col), "simhash")
-    first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(first, radius), "simhash-components")
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    # most fingerprints are alone: only the others need their root's number
-    own = named.join(least, "root").select("fp", "component_id")
+    first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", _node("first_id", "fp")), "simhash-distinct")
+    found = written(links(first, radius), "simhash-links")
+    ends = [first.select(F.col("fp").alias(e), F.col("node").alias(f"node_{e}")) for e in "ab"]
+    edges = found.join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    # nodes are ordered by id, so a component's root has its number
+    roots = components(edges, "simhash-components")
+    own = first.join(roots, "node", "left").select("fp", F.when(F.col("root").isNull(), F.col("first_id")).when(~F.col("root.no_id"), F.col("root.id")).alias("component_id"))
     return rows.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id; of rows with that id too, one.
-    Rows without a doc_id are kept, as no decision can name them."""
-    found = near_duplicates(docs, words, radius)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+def _node(id_col: str, other: str) -> Column:
+    """A node of a graph, in order of its id; without one, after all others."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col), F.col(other)).alias("id"))
+
+
+def _text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit("again")).alias("k2"))
+
+
+def _fingerprinted(texts: DataFrame, words: int, seeds: tuple[int, ...]) -> DataFrame:
+    """``doc_id, key, fps`` for every row of ``texts(doc_id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([simhashes(t.as_py(), words, seeds) for t in b.column(2).cast(pa.binary())], dtype="<u8").reshape(len(b), len(seeds))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel().view("<i8")), len(seeds)).cast(pa.list_(pa.int64()))], names=["doc_id", "key", "fps"])
+
+    return texts.select("doc_id", _text_key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key struct<k1:long,k2:long>, fps array<long>")
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts of ``docs(doc_id, text)``, as ``key, first_id, n_rows, n_first, node``, and links ``a, b`` of nodes whose
+    texts' sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Pairs are proposed by covering tables over fingerprints of word pairs, under each seed, and every proposed pair is verified. All pairs of a bucket
+    are proposed, but for large ones, in which each text is compared with leaders. Texts without words are like each other.
+    """
+    rows = written(_fingerprinted(clean_text(docs, "doc_id", "text"), FINGERPRINT_WORDS, seeds), "dedup-fingerprints")
+    least = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"), F.any_value("fps").alias("fps"))
+    least = written(least.withColumn("node", F.struct(F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", F.lit(0).cast("long")).alias("id"), F.col("key.k1"), F.col("key.k2"))), "dedup-texts")
+    pairs = None
+    for n in range(len(seeds)):
+        own = least.select("node", F.col("fps")[n].alias("fp"))
+        lead = written(own.groupBy("fp").agg(F.min("node").alias("lead")), "dedup-leads")
+        same = own.join(lead, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        near = links(lead.select("fp"), radius, within=_proposed)
+        near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("to_a")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("to_b")), "b")
+        new = same.unionByName(near.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")))
+        pairs = new if pairs is None else pairs.unionByName(new)
+    pairs = written(pairs.distinct(), "dedup-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    key = F.struct(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"))
+    wanted = small_side(written(asked.withColumn("key", key), "dedup-asked"))
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _text_key(F.col("text"))).join(wanted, "key")
+    shingled = text.select("node", F.array_distinct(hashes_of(words_of(F.col("text")), words)).alias("hs"))
+    sets = written(shingled.groupBy("node").agg(F.any_value("hs").alias("hs")), "dedup-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    alike = common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common) - 1e-9
+    return least, both.where(alike).select("a", "b")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of texts that links of `similar_texts` connect: the row of the smallest doc_id; of rows without an id, and
+    of several texts of that id, the one of least hash of its text; of rows that repeat id and text, any one.
+
+    Rows go by their text, so those with a null or repeated id are decided like all others. Null and empty texts and those without words
+    are one group. All columns stay, whatever their names. An empty table gives an empty one.
+    """
+    texts, edges = similar_texts(docs, words, similarity)
+    roots = components(edges, "dedup-components")
+    # only texts with other rows or in a component lose rows
+    found = texts.join(roots, "node", "left").where("n_rows > 1 or node <> root")
+    found = written(found.select("key", "first_id", (F.coalesce("root", "node") == F.col("node")).alias("stays")), "dedup-decisions")
+    doc = docs.withColumn(_KEY, _text_key(F.col("text")))
+    named = small_side(found.select(F.col("key").alias(_KEY), F.struct("first_id", "stays").alias(_DECIDED)))
+    alone = doc.join(small_side(found.select(F.col("key").alias(_KEY))), _KEY, "left_anti")
+    chosen = doc.join(named, _KEY).where(F.col(f"{_DECIDED}.stays") & F.col("doc_id").cast("long").eqNullSafe(F.col(f"{_DECIDED}.first_id"))).dropDuplicates([_KEY])
+    return alone.select(*docs.columns).unionByName(chosen.select(*docs.columns))

@@ -118,9 +118,58 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert sorted(x[0] for x in found if x[1] == 3 and x[0]) == [3, 4, 7]
     assert sorted(x[1] for x in found if x[0] is None) == [1, 3]
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    assert sorted(r[0] or 0 for r in kept.select("doc_id").collect()) == [0, 0, 1, 3, 5, 6, 8]
+
+
+def test_keep_one_of_odd_rows(spark, odd, empty):
+    kept = simhash.keep_one(odd.withColumn("node", F.lit(1)).withColumn("key", F.lit(2)))
+    assert kept.columns == [*odd.columns, "node", "key"]
+    # null and empty texts are one group; rows without an id go with their text
+    assert sorted(r[0] or 0 for r in kept.select("doc_id").collect()) == [1, 3, 5, 6, 8]
+    assert simhash.keep_one(empty).count() == 0
+    # of rows that share an id only those of one text or group go
+    rows = [(1, words(50, 50)), (1, words(50, 51)), (1, words(50, 51)), (None, words(50, 52)), (None, words(50, 52)), (None, words(50, 53))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r[0] or 0, r[1]) for r in kept) == sorted({(i or 0, t) for i, t in rows})
+
+
+def edited(text, n, r):
+    ws = text.split()
+    for i in r.sample(range(len(ws)), n):
+        ws[i] = "".join(r.choice("xyz") for _ in range(5))
+    return " ".join(ws)
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("paired", [32, 3])
+def test_keep_one_against_all_pairs(spark, monkeypatch, paired):
+    """Texts that all pairs of five-word similarity of 0.8 or more connect: every drop is one of these, and nearly all are found."""
+    monkeypatch.setattr(simhash, "PAIRED_ROWS", paired)
+    r = random.Random(9)
+    docs = []
+    for g in range(40):
+        base = words(150, 1000 + g)
+        docs += [base, *(edited(base, r.randint(1, 4), r) for _ in range(r.randint(1, 6))), edited(base, 30, r)]
+    near = {(i, j) for i, j in itertools.combinations(range(len(docs)), 2) if jaccard(docs[i], docs[j]) >= 0.8}
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in sorted(near):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    kept = {x[0] for x in simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    expected = {find(i) for i in range(len(docs))}
+    assert kept >= expected  # nothing goes without a verified link
+    assert len(kept - expected) <= 0.1 * (len(docs) - len(expected))
+    _, edges = simhash.similar_texts(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert {(x["b"]["id"], x["a"]["id"]) for x in edges.collect()} <= near
 
 
 def test_contained_matches_counting_all_shingles(spark, odd, empty):
@@ -153,7 +202,8 @@ def test_contained_matches_counting_all_shingles(spark, odd, empty):
     assert decontaminate.contained(odd, b).count() == 0
     kept = decontaminate.decontaminate(odd, spark.createDataFrame([(1, words(60, 2))], "item_id long, text string"))
     assert kept.columns == odd.columns
-    assert sorted(x[0] or 0 for x in kept.select("doc_id").collect()) == [0, 0, 3, 4, 5, 6, 7, 8]
+    # the row without an id whose text is the item goes too
+    assert sorted(x[0] or 0 for x in kept.select("doc_id").collect()) == [0, 3, 4, 5, 6, 7, 8]
 
 
 def test_pii_spans(spark, odd, empty):
