@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pixelweave.llm.common import clean_text, written
 
 DEPTH = 5
-#: A block of documents ends when it has so many bytes of text.
-BLOCK_BYTES = 16 << 20
-#: So many bytes are cut into grams at a time.
-SLICE_BYTES = 1 << 20
+#: A block is about so many bytes of text; the more there are, the fewer scores are asked for in all.
+BLOCK_BYTES = 48 << 20
+#: Of a block, texts of about so many bytes are cut into words at a time, and so many bytes into grams.
+PART_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 #: Subtrees of more distinct grams are cut by one more byte of context; a task builds subtrees of about so many grams in all.
 SHARD_GRAMS = 250_000
 END = "\n"
@@ -68,7 +68,7 @@ def _mix(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return log_p, np.exp(np.minimum(0.0, kt - np.log(2) - log_p))
 
 
-class Block:
+class Texts:
     """Texts as words, and as one run of bytes with ``depth`` end marks before each text."""
 
     def __init__(self, texts: pa.Array, depth: int = DEPTH):
@@ -99,9 +99,9 @@ class Block:
                 real[pad[(pad >= 0) & (pad < hi - lo)]] = False
             yield lo, key, real
 
-    def sums(self, grams: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """Of each text the sum of its grams' scores."""
-        index, total = pd.Index(grams), np.zeros(len(self.at) - 1)
+    def sums(self, index: pd.Index, scores: np.ndarray) -> np.ndarray:
+        """Of each text the sum of its grams' scores, which stand in the order of ``index``."""
+        total = np.zeros(len(self.at) - 1)
         for lo, key, real in self.grams():
             value = np.zeros(len(key))
             value[real] = scores[index.get_indexer(key[real])]
@@ -123,6 +123,15 @@ class Block:
         return _summed(held)
 
 
+def _parts(texts: pa.Array) -> Iterator[slice]:
+    """Runs of texts of about ``PART_BYTES``."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PART_BYTES)) + 1).tolist(), len(texts)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield slice(lo, hi)
+
+
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     u, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(u, kind="stable")
@@ -206,45 +215,49 @@ def _blocks(docs: DataFrame) -> DataFrame:
         block, size = TaskContext.get().partitionId() << 24, 0
         for b in batches:
             ends = size + np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-            number = ends // BLOCK_BYTES
-            yield pa.RecordBatch.from_arrays([pa.array(block + number), *b.columns], names=["block", "doc_id", "held_out", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(block + ends // (2 * BLOCK_BYTES)), *b.columns], names=["block", "doc_id", "held_out", "text"])
             size = int(ends[-1]) if len(ends) else size
 
-    return docs.mapInArrow(run, "block long, doc_id long, held_out boolean, text string")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.coalesce(max(1, total // BLOCK_BYTES)).mapInArrow(run, "block long, doc_id long, held_out boolean, text string")
 
 
 def _asked(blocks: DataFrame) -> DataFrame:
     """``block, gram, word, n``: each block's distinct grams and distinct words with their counts in its training texts. A block's rows follow one another."""
 
-    def flush(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        train = ~table.column("held_out").to_numpy()
-        own = Block(table.column("text").combine_chunks())
-        gram, n = own.distinct(train)
-        yield from cut(pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array(gram), pa.nulls(len(gram), pa.string()), pa.array(n)], names=names))
-        word = own.words.dictionary_encode()
-        n = np.bincount(word.indices.to_numpy(), weights=np.repeat(train, np.diff(own.word_at)), minlength=len(word.dictionary)).astype(np.int64)
-        yield from cut(pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.nulls(len(n), pa.int64()), word.dictionary, pa.array(n)], names=names))
+    def flush(block: int, grams: list[tuple[np.ndarray, np.ndarray]], words: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        gram, n = _summed(grams)
+        word = counted(words)
+        grams.clear()
+        words.clear()
+        both = pa.concat_tables([
+            pa.table([pa.array(np.full(len(gram), block)), pa.array(gram), pa.nulls(len(gram), pa.string()), pa.array(n)], names=names),
+            pa.table([pa.array(np.full(len(word), block)), pa.nulls(len(word), pa.int64()), word.column("word"), word.column("n")], names=names),
+        ])
+        yield from both.to_batches(50_000)
 
-    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(b), 50_000):
-            yield b.slice(lo, 50_000)
+    def counted(words: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
+        block, grams, words = None, [], []
         for b in batches:
             numbers = b.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
             for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                if held and numbers[lo] != last:
-                    yield from flush(last, held)
-                    held = []
-                last = int(numbers[lo])
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield from flush(last, held)
+                if hi > lo and block is not None and numbers[lo] != block:
+                    yield from flush(block, grams, words)
+                for part in _parts(b.column(3).slice(lo, hi - lo)):
+                    block = int(numbers[lo])
+                    own, train = Texts(b.column(3).slice(lo + part.start, part.stop - part.start)), ~b.column(2).slice(lo + part.start, part.stop - part.start).to_numpy(zero_copy_only=False)
+                    grams.append(own.distinct(train))
+                    word = own.words.dictionary_encode()
+                    n = np.bincount(word.indices.to_numpy(), weights=np.repeat(train, np.diff(own.word_at)), minlength=len(word.dictionary)).astype(np.int64)
+                    words.append(pa.table({"word": word.dictionary, "n": n}))
+                    if len(grams) > 4:
+                        grams[:], words[:] = [_summed(grams)], [counted(words)]
+        if block is not None:
+            yield from flush(block, grams, words)
 
     names = ["block", "gram", "word", "n"]
     return blocks.mapInArrow(run, "block long, gram long, word string, n long")
@@ -311,21 +324,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return schema.empty_table()
-        own = Block(left.column("text").combine_chunks())
-        grams = right.filter(pc.is_valid(right.column("gram")))
-        model = own.sums(grams.column("gram").to_numpy(), grams.column("lp").to_numpy()) / np.log(10)
-        known = right.filter(pc.is_valid(right.column("word")))
-        at = pc.index_in(own.words, value_set=known.column("word").combine_chunks())
-        c = np.append(known.column("c").to_numpy(), 0)[at.fill_null(-1).to_numpy()].astype(float)
-        real = np.repeat(own.n_words > 0, np.diff(own.word_at))
-        each = np.where(real, np.log10(c + 0.5) - shift, 0.0)
-        base = np.add.reduceat(each, own.word_at[:-1]) + base_end
-        n_known = np.add.reduceat((real & (c > 0)).astype(np.int64), own.word_at[:-1]) + (ends > 0)
-        coded = np.diff(own.at) - own.depth
-        columns = [left.column("doc_id"), left.column("held_out"), own.n_words + 1, n_known, np.full(left.num_rows, n_train), base, model, -model * np.log2(10) / coded]
-        return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=schema)
+        found = right.filter(pc.is_valid(right.column("gram")))
+        index, lp = pd.Index(found.column("gram").to_numpy()), found.column("lp").to_numpy() / np.log(10)
+        found = right.filter(pc.is_valid(right.column("word")))
+        known, c_known = found.column("word").combine_chunks(), np.append(found.column("c").to_numpy(), 0).astype(float)
+        out = [schema.empty_table()]
+        for b in left.combine_chunks().to_batches():
+            for part in _parts(b.column("text")):
+                rows = b.slice(part.start, part.stop - part.start)
+                own = Texts(rows.column("text"))
+                model = own.sums(index, lp)
+                c = c_known[pc.index_in(own.words, value_set=known).fill_null(-1).to_numpy()]
+                real = np.repeat(own.n_words > 0, np.diff(own.word_at))
+                base = np.add.reduceat(np.where(real, np.log10(c + 0.5) - shift, 0.0), own.word_at[:-1]) + base_end
+                n_known = np.add.reduceat((real & (c > 0)).astype(np.int64), own.word_at[:-1]) + (ends > 0)
+                coded = np.diff(own.at) - own.depth
+                columns = [rows.column("doc_id"), rows.column("held_out"), own.n_words + 1, n_known, np.full(len(rows), n_train), base, model, -model * np.log2(10) / coded]
+                out.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema))
+        return pa.concat_tables(out)
 
     both = blocks.groupBy("block").cogroup(of_grams.unionByName(of_words).groupBy("block"))
     return both.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

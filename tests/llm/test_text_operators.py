@@ -360,6 +360,7 @@ def brute_context_tree(train, texts, depth):
 def test_context_trees_match_brute_force(spark, monkeypatch, shard_grams):
     monkeypatch.setattr(ctw, "SLICE_BYTES", 97)
     monkeypatch.setattr(ctw, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(ctw, "PART_BYTES", 400)
     docs = [(i, words(25, i % 17) + (" Rare" if i % 5 == 0 else "")) for i in range(40)] + [(None, "a b a"), (40, None), (41, ""), ((1 << 60) + 1, " é\t\x0bÉ "), (42, " \n ")]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     found = {(r["doc_id"], r["n_tokens"]): r for r in ctw.score(d, shard_grams=shard_grams).collect()}
