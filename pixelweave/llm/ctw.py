@@ -29,8 +29,8 @@ from pixelweave.llm.common import clean_text, written
 
 DEPTH = 5
 #: A block is about so many bytes of text; the more there are, the fewer scores are asked for in all.
-BLOCK_BYTES = 48 << 20
-#: Of a block, texts of about so many bytes are cut into words at a time, and so many bytes into grams.
+BLOCK_BYTES = 32 << 20
+#: Of a block, texts of about so many bytes are stored and cut into words together, and so many bytes are cut into grams.
 PART_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 #: Subtrees of more distinct grams are cut by one more byte of context; a task builds subtrees of about so many grams in all.
 SHARD_GRAMS = 250_000
@@ -123,13 +123,16 @@ class Texts:
         return _summed(held)
 
 
-def _parts(texts: pa.Array) -> Iterator[slice]:
-    """Runs of texts of about ``PART_BYTES``."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-    cuts = [0, *(np.flatnonzero(np.diff(ends // PART_BYTES)) + 1).tolist(), len(texts)]
-    for lo, hi in zip(cuts, cuts[1:]):
-        if hi > lo:
-            yield slice(lo, hi)
+def _packed(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(parts: pa.Array | pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        yield from pa.ipc.open_stream(part.as_buffer())
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,17 +212,20 @@ def scores(keys: np.ndarray, counts: np.ndarray, top: int, above: Top, depth: in
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """``docs`` with the number of a block of about ``BLOCK_BYTES`` of text."""
+    """``block, part``: ``docs(doc_id, held_out, text)`` in blocks of about ``BLOCK_BYTES`` of text; a part has some of its rows, compressed, as
+    they are stored and shuffled as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 24, 0
         for b in batches:
             ends = size + np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-            yield pa.RecordBatch.from_arrays([pa.array(block + ends // (2 * BLOCK_BYTES)), *b.columns], names=["block", "doc_id", "held_out", "text"])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // PART_BYTES)) + 1).tolist(), len(b)]
+            parts = [(block + int(ends[lo]) // (2 * BLOCK_BYTES), _packed(b.slice(lo, hi - lo))) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "part"])
             size = int(ends[-1]) if len(ends) else size
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.coalesce(max(1, total // BLOCK_BYTES)).mapInArrow(run, "block long, doc_id long, held_out boolean, text string")
+    return docs.coalesce(max(1, total // BLOCK_BYTES)).mapInArrow(run, "block long, part binary")
 
 
 def _asked(blocks: DataFrame) -> DataFrame:
@@ -242,20 +248,18 @@ def _asked(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, grams, words = None, [], []
         for b in batches:
-            numbers = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi > lo and block is not None and numbers[lo] != block:
+            for number, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if block is not None and number != block:
                     yield from flush(block, grams, words)
-                for part in _parts(b.column(3).slice(lo, hi - lo)):
-                    block = int(numbers[lo])
-                    own, train = Texts(b.column(3).slice(lo + part.start, part.stop - part.start)), ~b.column(2).slice(lo + part.start, part.stop - part.start).to_numpy(zero_copy_only=False)
+                block = number
+                for rows in _unpacked([part]):
+                    own, train = Texts(rows.column("text")), ~rows.column("held_out").to_numpy(zero_copy_only=False)
                     grams.append(own.distinct(train))
                     word = own.words.dictionary_encode()
                     n = np.bincount(word.indices.to_numpy(), weights=np.repeat(train, np.diff(own.word_at)), minlength=len(word.dictionary)).astype(np.int64)
                     words.append(pa.table({"word": word.dictionary, "n": n}))
-                    if len(grams) > 4:
-                        grams[:], words[:] = [_summed(grams)], [counted(words)]
+                if len(grams) > 4:
+                    grams[:], words[:] = [_summed(grams)], [counted(words)]
         if block is not None:
             yield from flush(block, grams, words)
 
@@ -329,18 +333,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         found = right.filter(pc.is_valid(right.column("word")))
         known, c_known = found.column("word").combine_chunks(), np.append(found.column("c").to_numpy(), 0).astype(float)
         out = [schema.empty_table()]
-        for b in left.combine_chunks().to_batches():
-            for part in _parts(b.column("text")):
-                rows = b.slice(part.start, part.stop - part.start)
-                own = Texts(rows.column("text"))
-                model = own.sums(index, lp)
-                c = c_known[pc.index_in(own.words, value_set=known).fill_null(-1).to_numpy()]
-                real = np.repeat(own.n_words > 0, np.diff(own.word_at))
-                base = np.add.reduceat(np.where(real, np.log10(c + 0.5) - shift, 0.0), own.word_at[:-1]) + base_end
-                n_known = np.add.reduceat((real & (c > 0)).astype(np.int64), own.word_at[:-1]) + (ends > 0)
-                coded = np.diff(own.at) - own.depth
-                columns = [rows.column("doc_id"), rows.column("held_out"), own.n_words + 1, n_known, np.full(len(rows), n_train), base, model, -model * np.log2(10) / coded]
-                out.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema))
+        for rows in _unpacked(left.column("part")):
+            own = Texts(rows.column("text"))
+            model = own.sums(index, lp)
+            c = c_known[pc.index_in(own.words, value_set=known).fill_null(-1).to_numpy()]
+            real = np.repeat(own.n_words > 0, np.diff(own.word_at))
+            base = np.add.reduceat(np.where(real, np.log10(c + 0.5) - shift, 0.0), own.word_at[:-1]) + base_end
+            n_known = np.add.reduceat((real & (c > 0)).astype(np.int64), own.word_at[:-1]) + (ends > 0)
+            coded = np.diff(own.at) - own.depth
+            columns = [rows.column("doc_id"), rows.column("held_out"), own.n_words + 1, n_known, np.full(len(rows), n_train), base, model, -model * np.log2(10) / coded]
+            out.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema))
         return pa.concat_tables(out)
 
     both = blocks.groupBy("block").cogroup(of_grams.unionByName(of_words).groupBy("block"))
