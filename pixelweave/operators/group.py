@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.functions import CARDINAL, CORNERS, offsets, upper_median
+from pixelweave.functions import CARDINAL, CORNERS, upper_median
+from pixelweave.operators import tiles
 
 ID = ["frame_idx", "blob_id"]
 
@@ -80,11 +82,12 @@ def shape_features(stats: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def _inside(blob_px: DataFrame, pairs: tuple[tuple[int, int], ...]) -> DataFrame:
-    """Each pixel of a group with how many of the places around it are in the group too."""
-    own = blob_px.select(*ID, "x", "y")
-    at = own.select(*ID, F.col("x").alias("of_x"), F.col("y").alias("of_y"), F.explode(offsets(pairs)).alias("o")).select(*ID, "of_x", "of_y", (F.col("of_x") + F.col("o.dx")).alias("x"), (F.col("of_y") + F.col("o.dy")).alias("y"))
-    hits = at.join(own.withColumn("hit", F.lit(1)), [*ID, "x", "y"], "left")
-    return hits.groupBy(*ID, "of_x", "of_y").agg(F.count("hit").alias("n"))
+    """Each pixel with its group and how many of the places around it are in the group too."""
+
+    def look(image: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
+        return np.sum([image[at + d] == image[at] for d in tiles.steps(pairs, side)], axis=0)
+
+    return tiles.stencil(blob_px, "blob_id", look, "n").withColumn("blob_id", F.col("blob_id").cast("int"))
 
 
 def surface_ratio(blob_px: DataFrame) -> DataFrame:
@@ -138,3 +141,14 @@ def razor(blob_px: DataFrame, boxes: DataFrame) -> DataFrame:
     cut = blob_px.join(boxes, "frame_idx").where("x between min_x and max_x and y between min_y and max_y").select("frame_idx", "x", "y").distinct().withColumn("cut", F.lit(True))
     rows = blob_px.join(first, "frame_idx").join(cut, ["frame_idx", "x", "y"], "left")
     return rows.select("frame_idx", F.when(F.col("cut"), F.col("new_id")).otherwise(F.col("blob_id")).alias("blob_id"), "x", "y", "intensity")
+
+
+def pixel_overlap(blob_px: DataFrame, stats: DataFrame) -> DataFrame:
+    """``frame_idx, a, b, f_pixel_overlap``: groups of a frame and the next that share pixels' places: how many, over the mean of their sizes. The first place of
+    either group's bounds doesn't count; pairs without another shared place have no row."""
+    corner = (F.col("x") == F.col("min_x")) & (F.col("y") == F.col("min_y"))
+    own = blob_px.select(*ID, "x", "y").join(stats.select(*ID, "size", "min_x", "min_y"), ID).where(~corner)
+    one = own.select("frame_idx", F.col("blob_id").alias("a"), "x", "y", F.col("size").alias("size_a"))
+    two = own.select((F.col("frame_idx") - 1).alias("frame_idx"), F.col("blob_id").alias("b"), "x", "y", F.col("size").alias("size_b"))
+    both = one.join(two, ["frame_idx", "x", "y"]).groupBy("frame_idx", "a", "b").agg((F.count("*") / ((F.first("size_a") + F.first("size_b")) / 2)).alias("share"))
+    return both.select("frame_idx", "a", "b", F.round("share", 9).alias("f_pixel_overlap"))

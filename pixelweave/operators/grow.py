@@ -1,18 +1,24 @@
 """Order-dependent steps, frame by frame: growing groups from seeds, and clouds of near groups.
 
-A frame is one group of rows and never larger than its image, so a grouped function has bounded memory."""
+A frame is one group of rows and never larger than its image, so a grouped function has bounded memory: some arrays of an image's size."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-
-from pixelweave.functions import AROUND
-
+from pyspark.sql import functions as F
 
 #: A frame has fewer groups than this, as its ids have 16 bits.
 MOST_IDS = 65_535
+FREE, BACKGROUND = 0, -1
+
+
+def _image(rows: pd.DataFrame, width: int, height: int) -> np.ndarray:
+    """Intensities by ``y * width + x`` with an empty border of one place; -1 where there is no pixel."""
+    out = np.full(width * height, -1, dtype=np.int32)
+    out[(rows["y"].to_numpy() + 1) * width + rows["x"].to_numpy() + 1] = rows["intensity"].to_numpy()
+    return out
 
 
 def grow_groups(px: DataFrame, least: int, min_contrast: float, original: DataFrame | None = None, most_ratio: float = 0.1) -> DataFrame:
@@ -23,40 +29,52 @@ def grow_groups(px: DataFrame, least: int, min_contrast: float, original: DataFr
 
     With ``original(frame_idx, x, y, intensity)``, the whole frames before subtraction, a group goes unless places around its pixels are brighter there than the
     pixel fewer than ``most_ratio`` times as often as not; one without a place around it goes too. Its pixels stay consumed, and the next group gets its id.
+    Coordinates and intensities are not negative; a place has one row.
     """
+
     def run(rows: pd.DataFrame, whole: pd.DataFrame | None = None) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame({c: [] for c in ("frame_idx", "blob_id", "x", "y", "intensity")})
-        image = None if whole is None else {(x, y): i for x, y, i in zip(whole["x"].tolist(), whole["y"].tolist(), whole["intensity"].tolist(), strict=True)}
-        rows = rows.sort_values(["intensity", "y", "x"], ascending=[False, True, True])
-        value = {(x, y): i for x, y, i in zip(rows["x"].tolist(), rows["y"].tolist(), rows["intensity"].tolist(), strict=True)}
-        owner: dict[tuple[int, int], int] = {}
+        both = [rows] if whole is None or whole.empty else [rows, whole]
+        width, height = (max(int(r[c].max()) for r in both) + 3 for c in ("x", "y"))
+        around = np.array([-width - 1, -width, -width + 1, -1, 1, width - 1, width, width + 1])
+        value = _image(rows, width, height)
+        image = None if whole is None else _image(whole, width, height)
+        place = (rows["y"].to_numpy() + 1) * width + rows["x"].to_numpy() + 1
+        order = place[np.lexsort((place, -value[place].astype(np.int64)))]
+        # when its turn comes a free pixel is consumed, so a group takes only those whose turn is later than its seed's
+        turn = np.zeros(width * height, dtype=np.int32)
+        turn[order] = np.arange(1, len(order) + 1)
+        top = value[order]
+        for d in around:
+            top = np.maximum(top, value[order + d])
+        seeds = order[(value[order] > least) & (top == value[order])]
+        owner = np.zeros(width * height, dtype=np.int32)
         n, found = 0, []
-        for (x, y), own in value.items():
+        for seed in seeds.tolist():
             if n + 1 == MOST_IDS:
                 break
-            if (x, y) in owner:
-                continue
-            if own <= least or any(value.get((x + dx, y + dy), 0) > own for dx, dy in AROUND):
-                owner[x, y] = 0
+            if owner[seed] != FREE:
                 continue
             n += 1
-            owner[x, y], todo, members = n, [(x, y)], {(x, y)}
-            while todo:
-                a, b = todo.pop()
-                for dx, dy in AROUND:
-                    q = (a + dx, b + dy)
-                    if q in value and q not in owner:
-                        joins = abs(own - value[q]) / max(own, value[q], 1) * 100 < min_contrast
-                        owner[q] = n if joins else 0
-                        if joins:
-                            todo.append(q)
-                            members.add(q)
-            if image is not None and not _dark_border(members, image, most_ratio):
+            own, now = float(value[seed]), turn[seed]
+            owner[seed] = n
+            front, members = np.array([seed]), [np.array([seed])]
+            while len(front):
+                near = np.unique((front[:, None] + around).ravel())
+                near = near[(turn[near] > now) & (owner[near] == FREE)]
+                v = value[near].astype(float)
+                joins = np.abs(own - v) / np.maximum(np.maximum(own, v), 1) * 100 < min_contrast
+                owner[near] = np.where(joins, n, BACKGROUND)
+                front = near[joins]
+                members.append(front)
+            own_places = np.concatenate(members)
+            if image is not None and not _dark_border(own_places, owner, n, image, around, most_ratio):
+                owner[own_places] = BACKGROUND
                 n -= 1
                 continue
-            found += [(n, *p, value[p]) for p in members]
-        out = pd.DataFrame(found, columns=["blob_id", "x", "y", "intensity"])
+            found.append(pd.DataFrame({"blob_id": n, "x": own_places % width - 1, "y": own_places // width - 1, "intensity": value[own_places]}))
+        out = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("blob_id", "x", "y", "intensity")})
         return out.assign(frame_idx=rows["frame_idx"].iloc[0])[["frame_idx", "blob_id", "x", "y", "intensity"]]
 
     schema = "frame_idx int, blob_id int, x int, y int, intensity int"
@@ -65,21 +83,20 @@ def grow_groups(px: DataFrame, least: int, min_contrast: float, original: DataFr
     return px.groupBy("frame_idx").cogroup(original.groupBy("frame_idx")).applyInPandas(lambda rows, whole: run(rows, whole), schema)
 
 
-def _dark_border(members: set[tuple[int, int]], image: dict[tuple[int, int], int], most_ratio: float) -> bool:
-    brighter = darker = 0
-    for p in members:
-        if p in image:
-            for dx, dy in AROUND:
-                q = (p[0] + dx, p[1] + dy)
-                if q not in members and q in image:
-                    brighter += image[q] > image[p]
-                    darker += image[q] <= image[p]
+def _dark_border(members: np.ndarray, owner: np.ndarray, n: int, image: np.ndarray, around: np.ndarray, most_ratio: float) -> bool:
+    size, members = len(members), members[image[members] >= 0]
+    beside = members[:, None] + around
+    real = (image[beside] >= 0) & (owner[beside] != n)
+    more = image[beside] > image[members][:, None]
+    brighter, darker = int((real & more).sum()), int((real & ~more).sum())
     # both by the group's size first, so that a ratio at the bound is rounded as in the original
-    return darker > 0 and (brighter / len(members)) / (darker / len(members)) < most_ratio
+    return darker > 0 and (brighter / size) / (darker / size) < most_ratio
 
 
 def clouds(groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``frame_idx, blob_id, cloud_id, cloud_size``: groups connected by pairs, in either direction; the cloud is named by its least group."""
+    """``frame_idx, blob_id, cloud_id, cloud_size``: groups connected by pairs, in either direction; the cloud is named by its least group.
+    ``pairs`` may come from the same table as ``groups``."""
+    pairs = pairs.select(F.col("frame_idx").alias("pair_frame"), F.col("blob_id").alias("a"), F.col("other_id").alias("b"))
 
     def run(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(own["blob_id"].unique())
@@ -90,11 +107,11 @@ def clouds(groups: DataFrame, pairs: DataFrame) -> DataFrame:
                 root[a] = a = root[root[a]]
             return a
 
-        for a, b in zip(links["blob_id"].tolist(), links["other_id"].tolist(), strict=True):
+        for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
             if a in root and b in root:
                 a, b = find(a), find(b)
                 root[max(a, b)] = min(a, b)
         cloud = pd.Series([find(i) for i in ids.tolist()], index=ids)
         return pd.DataFrame({"frame_idx": own["frame_idx"].iloc[0], "blob_id": ids, "cloud_id": cloud.to_numpy(), "cloud_size": cloud.map(cloud.value_counts()).to_numpy()}) if len(ids) else pd.DataFrame({c: [] for c in ("frame_idx", "blob_id", "cloud_id", "cloud_size")})
 
-    return groups.groupBy("frame_idx").cogroup(pairs.groupBy("frame_idx")).applyInPandas(run, "frame_idx int, blob_id int, cloud_id int, cloud_size int")
+    return groups.groupBy("frame_idx").cogroup(pairs.groupBy("pair_frame")).applyInPandas(run, "frame_idx int, blob_id int, cloud_id int, cloud_size int")

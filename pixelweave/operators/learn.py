@@ -3,37 +3,33 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.functions import upper_median
+from pixelweave.functions.tables import placed, written
 
 
 def fold_split(rows: DataFrame, k: int) -> DataFrame:
     """Round robin into ``k`` folds within each class, by id."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("id")) - 1
-    return rows.withColumn("fold", F.pmod(place, F.lit(k)).cast("int"))
+    return placed(rows, ["label"], ["id"]).withColumn("fold", F.pmod("before", F.lit(k)).cast("int")).drop("before")
 
 
 def chunk_split(rows: DataFrame, k: int) -> DataFrame:
     """``k`` runs of each class by id, of equal size; the last takes the rest."""
-    by = Window.partitionBy("label")
-    size = F.greatest(F.floor(F.count("*").over(by) / k), F.lit(1))
-    place = F.row_number().over(by.orderBy("id")) - 1
-    return rows.withColumn("chunk", F.least(F.floor(place / size), F.lit(k - 1)).cast("int"))
+    counts = rows.groupBy("label").agg(F.greatest(F.floor(F.count("*") / k), F.lit(1)).alias("chunk_size"))  # a row for each class
+    joined = placed(rows, ["label"], ["id"]).join(F.broadcast(counts), "label")
+    return joined.withColumn("chunk", F.least(F.floor(F.col("before") / F.col("chunk_size")), F.lit(k - 1)).cast("int")).select(*rows.columns, "chunk")
 
 
 def train_test_split(rows: DataFrame, every: int = 10) -> DataFrame:
-    """Every tenth row is for testing, counted through the positive class and on into the negative.
-
-    Numbered within each class and carried on by the positive class's size, so no window spans all rows."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
+    """Every tenth row is for testing, counted through the positive class and on into the negative."""
     positives = rows.agg(F.count_if("label").alias("n_pos"))
-    numbered = rows.withColumn("place", place).crossJoin(F.broadcast(positives))
-    line = F.col("place") + F.when(F.col("label"), 0).otherwise(F.col("n_pos"))
-    return numbered.withColumn("is_test", line % every == 0).drop("place", "n_pos")
+    numbered = placed(rows, ["label"], ["id"]).crossJoin(F.broadcast(positives))
+    line = F.col("before") + 1 + F.when(F.col("label"), 0).otherwise(F.col("n_pos"))
+    return numbered.withColumn("is_test", line % every == 0).drop("before", "n_pos")
 
 
 def melt(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -43,8 +39,17 @@ def melt(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def class_statistics(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Least, greatest, mean and upper median of each feature in each class of each node."""
-    return melt(rows, features).groupBy("node", "label", "feature").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), upper_median(F.col("value")).alias("median"))
+    """Least, greatest, mean and upper median of each feature in each class of each node.
+
+    The median is the value of rank n/2 in the histogram of values, whose counts are partial before each shuffle and summed up over ranges of values, so that a class
+    needn't fit a task."""
+    keys = ["node", "label", "feature"]
+    histogram = melt(rows, features).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    # ``low`` to ``mean`` are of the same counts; a row for each node, class and feature
+    ranked = written(placed(histogram, keys, ["value"], "n"), "class-histogram")
+    total = ranked.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.floor(F.sum("n") / 2).alias("middle"))
+    middle = ranked.join(total, keys).where((F.col("before") <= F.col("middle")) & (F.col("middle") < F.col("before") + F.col("n")))
+    return middle.select(*keys, "low", "high", "mean", F.col("value").alias("median"))
 
 
 def thresholds(statistics: DataFrame) -> DataFrame:
@@ -59,7 +64,7 @@ def thresholds(statistics: DataFrame) -> DataFrame:
 
 def split_scores(rows: DataFrame, features: list[str], cuts: DataFrame) -> DataFrame:
     """``node, feature, threshold, clean, score``: how much purer a side's share of positives is than its node's; a clean
-    cut scores by its gap. Cuts that gain nothing have no row."""
+    cut scores by its gap. Cuts that gain nothing have no row. ``cuts`` is broadcast: a row for each feature of each open node, so under 2 ** depth times the features."""
     counted = melt(rows, features).join(F.broadcast(cuts), ["node", "feature"]).groupBy("node", "feature", "threshold", "clean", "gap").agg(
         F.count_if(F.col("value") < F.col("threshold")).alias("n_less"), F.count_if((F.col("value") < F.col("threshold")) & F.col("label")).alias("p_less"), F.count("*").alias("n"), F.count_if("label").alias("p"))
     share = lambda p, n: F.coalesce(F.try_divide(p, n), F.lit(0.0))
@@ -138,35 +143,57 @@ def evaluate(rows: DataFrame, score: Column) -> DataFrame:
 
 
 def prune(tree: Node, rows: DataFrame) -> Node:
-    """The tree with each cut replaced by a leaf where that classifies more of ``rows`` rightly, from the top down."""
-
-    def good(t: Node) -> int:
-        return evaluate(rows, t.column()).first()["good"]
+    """The tree with each cut replaced by a leaf where that classifies more of ``rows`` rightly, from the top down.
 
-    def put(t: Node, path: str, new: Node) -> Node:
-        if not path:
-            return new
-        return Node(t.feature, t.threshold, put(t.less, path[1:], new), t.more) if path[0] == "l" else Node(t.feature, t.threshold, t.less, put(t.more, path[1:], new))
+    Nodes of one level have no rows in common, so all of a level are decided by one job."""
 
     def mean(t: Node) -> float:
         return t.value if t.feature is None else (mean(t.less) + mean(t.more)) / 2
 
-    best, todo = good(tree), [""]
-    while todo:
-        path = todo.pop(0)
-        t = tree
-        for c in path:
-            t = t.less if c == "l" else t.more
+    def cuts(t: Node, level: int, number: int = 1) -> dict[int, Node]:
         if t.feature is None:
-            continue
-        other = put(tree, path, Node(value=mean(t)))
-        if (n := good(other)) > best:
-            tree, best = other, n
-        else:
-            todo += [path + "l", path + "m"]
+            return {}
+        return {number: t} if level == 0 else cuts(t.less, level - 1, 2 * number) | cuts(t.more, level - 1, 2 * number + 1)
+
+    def reached(t: Node, level: int, number: int = 1) -> Column:
+        """The number of the node of this level that a row comes to; null if it ends above."""
+        if level == 0 or t.feature is None:
+            return F.lit(number if level == 0 else None).cast("long")
+        return F.when(F.col(t.feature) < t.threshold, reached(t.less, level - 1, 2 * number)).otherwise(reached(t.more, level - 1, 2 * number + 1))
+
+    def put(t: Node, leaves: dict[int, float], number: int = 1) -> Node:
+        if number in leaves:
+            return Node(value=leaves[number])
+        return t if t.feature is None else Node(t.feature, t.threshold, put(t.less, leaves, 2 * number), put(t.more, leaves, 2 * number + 1))
+
+    level = 0
+    while found := cuts(tree, level):
+        leaf = functools.reduce(lambda c, k: c.when(F.col("at") == k, mean(found[k])), found, F.when(F.lit(False), 0.0))
+        right = lambda score: F.count_if((score >= 0) == F.col("label"))
+        at = rows.select("label", reached(tree, level).alias("at"), tree.column().alias("score")).where(F.col("at").isin(list(found)))
+        gains = at.groupBy("at").agg(right(F.col("score")).alias("whole"), right(leaf).alias("cut")).where("cut > whole").collect()  # a row for each cut
+        tree = put(tree, {r["at"]: mean(found[r["at"]]) for r in gains})
+        level += 1
     return tree
 
 
+def linear_leaf(feature: Column, low: float, high: float) -> Column:
+    """A leaf that isn't constant: -1 at ``low``, 1 at ``high``, and between and beyond in proportion; 0 if they are equal."""
+    return (feature - low) / (high - low) * 2 - 1 if high != low else F.lit(0.0)
+
+
+def feature_subsets(features: list[str]) -> list[list[str]]:
+    """All subsets with one feature less."""
+    return [[*c] for c in itertools.combinations(features, len(features) - 1)] if features else []
+
+
+def report(trees: dict[str, Column], rows: DataFrame) -> DataFrame:
+    """``name, good, bad, accuracy`` of each tree's score on ``rows``, worst first; all trees in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), ((c >= 0) == F.col("label")).alias("right")) for n, c in trees.items()]))
+    found = rows.select(each.alias("r")).groupBy(F.col("r.name").alias("name")).agg(F.count_if("r.right").alias("good"), F.count_if(~F.col("r.right")).alias("bad"))
+    return found.withColumn("accuracy", F.col("good") / (F.col("good") + F.col("bad"))).orderBy("accuracy", "name")
+
+
 def forest(rows: DataFrame, features: list[str], k: int, depth: int) -> list[tuple[Node, float]]:
     """``k`` trees, each grown without one fold, pruned on it, and weighted by its accuracy there."""
     folds, out = fold_split(rows, k), []

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.functions import AROUND, blend, contrast, offsets
+from pixelweave.functions import AROUND, blend, contrast, disc, offsets
+from pixelweave.operators import tiles
 
 KEYS = ["frame_idx", "x", "y"]
 FULL = 65535
@@ -28,24 +30,27 @@ def admit(px: DataFrame, least: int, min_contrast: float, height: int, ignore_ro
     return rows.where(F.col("seedable") | (contrast(F.col("intensity"), F.lit(least)) < min_contrast))
 
 
-def around(px: DataFrame, pairs: tuple[tuple[int, int], ...] = AROUND) -> DataFrame:
-    """Each pixel by the places around it: ``frame_idx, x, y`` of the place and ``of_x, of_y, of_intensity``. A
-    join on the place is then an equi-join."""
-    at = px.select("frame_idx", F.col("x").alias("of_x"), F.col("y").alias("of_y"), F.col("intensity").alias("of_intensity"), F.explode(offsets(pairs)).alias("o"))
-    return at.select("frame_idx", (F.col("of_x") + F.col("o.dx")).alias("x"), (F.col("of_y") + F.col("o.dy")).alias("y"), "of_x", "of_y", "of_intensity")
-
-
 def contrast_edges(px: DataFrame, below: float) -> DataFrame:
     """For each pixel with a like neighbour: how many of the eight differ in contrast by less than ``below``."""
-    near = around(px).join(px, KEYS).where(contrast(F.col("of_intensity"), F.col("intensity")) < below)
-    return near.groupBy("frame_idx", F.col("of_x").alias("x"), F.col("of_y").alias("y")).agg(F.count("*").alias("n_like"))
+
+    def look(image: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
+        own, n = image[at], np.zeros(len(at), dtype=np.int32)
+        for d in tiles.steps(AROUND, side):
+            other = image[at + d]
+            n += (other >= 0) & (np.abs(own - other) / np.maximum(np.maximum(own, other), 1) * 100.0 < below)
+        return n
+
+    return tiles.stencil(px, "intensity", look, "n_like").where("n_like > 0").select(*KEYS, F.col("n_like").cast("long").alias("n_like"))
 
 
 def seed_candidates(px: DataFrame, least: int) -> DataFrame:
     """Pixels above ``least`` with no brighter one of the eight around them."""
-    bright = px.where(F.col("intensity") > least)
-    brighter = around(bright).join(bright, KEYS).where("of_intensity > intensity").select(*KEYS)
-    return bright.join(brighter, KEYS, "left_anti")
+
+    def look(image: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
+        return np.max([image[at + d] for d in tiles.steps(AROUND, side)], axis=0)
+
+    found = tiles.stencil(px.where(F.col("intensity") > least), "intensity", look, "brightest", "long").where("brightest <= intensity")
+    return found.select(*KEYS, F.col("intensity").cast("int").alias("intensity"))
 
 
 def border_brightness(blob_px: DataFrame, px: DataFrame) -> DataFrame:
@@ -73,10 +78,13 @@ def mask_kernel(inner: int = 2, radius: int = 6) -> list[tuple[int, int, float]]
 
 def alpha_plane(painted: DataFrame, width: int, height: int, inner: int = 2, radius: int = 6) -> DataFrame:
     """``frame_idx, x, y, alpha``: at each pixel the greatest weight of the kernels of all painted pixels."""
-    kernel = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in mask_kernel(inner, radius)])
-    at = painted.select(*KEYS).distinct().select("frame_idx", "x", "y", F.explode(kernel).alias("k"))
-    at = at.select("frame_idx", (F.col("x") + F.col("k.dx")).alias("x"), (F.col("y") + F.col("k.dy")).alias("y"), F.col("k.w").alias("w"))
-    return at.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).groupBy(*KEYS).agg(F.round(F.max("w"), 9).alias("alpha"))
+    found = tiles.spread_most(painted.select(*KEYS).distinct(), mask_kernel(inner, radius), width, height)
+    return found.select(*KEYS, F.round("weight", 9).alias("alpha"))
+
+
+def paint_mask(alpha: DataFrame) -> DataFrame:
+    """The alpha plane as an image of 8 bits."""
+    return alpha.select(*KEYS, F.least((F.col("alpha") * 255).cast("int"), F.lit(255)).alias("mask"))
 
 
 def paint(px: DataFrame, other: DataFrame, alpha: DataFrame) -> DataFrame:
@@ -90,3 +98,19 @@ def dilate(blob_px: DataFrame, width: int, height: int) -> DataFrame:
     """Distinct pixels of all groups and the eight around each, within the frame."""
     at = blob_px.select("frame_idx", "x", "y", F.explode(offsets(AROUND + ((0, 0),))).alias("o")).select("frame_idx", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
     return at.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).distinct()
+
+
+def paint_channels(px: DataFrame, other: DataFrame, alpha: DataFrame) -> DataFrame:
+    """`paint` for ``frame_idx, x, y, r, g, b, a``: red, green and blue are blended each by itself; where the other pixel isn't opaque, or there is none, a pixel stays."""
+    theirs = other.select(*KEYS, *[F.col(c).alias(f"their_{c}") for c in "rgba"])
+    rows = px.join(theirs, KEYS, "left").join(alpha, KEYS, "left")
+    hit = F.col("alpha").isNotNull() & F.coalesce(F.col("their_a") == FULL, F.lit(False))
+    mixed = lambda c: F.when(F.col("alpha") >= 1, F.col(f"their_{c}")).otherwise(blend(F.col(f"their_{c}"), F.col(c), F.col("alpha")))
+    return rows.select(*KEYS, *[F.when(hit, mixed(c)).otherwise(F.col(c)).cast("int").alias(c) for c in "rgb"], "a")
+
+
+def within_disc(px: DataFrame, radius: int) -> DataFrame:
+    """Places within ``radius`` of a pixel, with the distance of the nearest one."""
+    table = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(d).alias("d")) for dx, dy, d in disc(radius)])
+    at = px.select("frame_idx", "x", "y", F.explode(table).alias("o")).select("frame_idx", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "o.d")
+    return at.where("x >= 0 and y >= 0").groupBy(*KEYS).agg(F.round(F.min("d"), 9).alias("distance"))

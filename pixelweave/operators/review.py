@@ -66,9 +66,80 @@ def incremental_plan(frames: DataFrame, done: DataFrame, radius: int = 2) -> Dat
     return f.join(wanted, "frame_idx", "left_semi")
 
 
+#: Frames of one task when the next frame of a kind is looked for.
+FRAMES_A_BLOCK = 4096
+
+
+def advance(counts: DataFrame, has: Column, forward: bool = True) -> DataFrame:
+    """``frame_idx, advance_to``: for each frame the nearest later one, or earlier one, for which ``has`` is true; the last, or first, frame if there is none.
+
+    ``counts`` has a row for each frame. Frames are searched by blocks, and a block's end goes on to the first hit of a later block, of which there is a row each."""
+    block = F.floor(F.col("frame_idx") / FRAMES_A_BLOCK)
+    rows = counts.select("frame_idx", block.alias("block"), F.when(has, F.col("frame_idx")).alias("hit"))
+    pick, order = (F.min, "frame_idx") if forward else (F.max, F.desc("frame_idx"))
+    later = Window.partitionBy("block").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    blocks = rows.groupBy("block").agg(pick("hit").alias("first"), F.max("frame_idx").alias("high"), F.min("frame_idx").alias("low"))
+    beyond = Window.orderBy("block" if forward else F.desc("block")).rowsBetween(1, Window.unboundedFollowing)
+    end = F.max("high").over(Window.partitionBy()) if forward else F.min("low").over(Window.partitionBy())
+    ends = blocks.select("block", pick("first").over(beyond).alias("next"), end.alias("end"))
+    return rows.withColumn("to", pick("hit").over(later)).join(ends, "block").select("frame_idx", F.coalesce("to", "next", "end").alias("advance_to"))
+
+
 def next_frame_with(counts: DataFrame, column: str) -> DataFrame:
-    """For each frame the next one whose ``column`` is above 0, or the last frame. ``counts`` has a row for each frame."""
-    later = Window.orderBy("frame_idx").rowsBetween(1, Window.unboundedFollowing)
-    hit = F.when(F.col(column) > 0, F.col("frame_idx"))
-    last = counts.agg(F.max("frame_idx").alias("last"))
-    return counts.select("frame_idx", F.min(hit).over(later).alias("to")).crossJoin(F.broadcast(last)).select("frame_idx", F.coalesce("to", "last").alias("advance_to"))
+    """For each frame the next one whose ``column`` is above 0, or the last frame."""
+    return advance(counts, F.col(column) > 0)
+
+
+def has_any() -> Column:
+    """Of `decision_counts`: whether a frame has groups of any kind."""
+    return F.col("n_positive") + F.col("n_negative") + F.col("n_undecided") > 0
+
+
+def apply_unselected(decisions: DataFrame, score: Column) -> DataFrame:
+    """A classifier's score decides all groups but those that the user decided."""
+    own = F.coalesce(F.col("reason_kind") == "userSelected", F.lit(False))
+    changed = {"reason_kind": F.lit("fromClassifier"), "reason_value": score, "will_paint": score > 0}
+    return decisions.withColumns({c: F.when(own, F.col(c)).otherwise(v) for c, v in changed.items()})
+
+
+def user_select(decisions: DataFrame, which: Column, paint: bool) -> DataFrame:
+    """The user's decision for the groups for which ``which`` is true: all of a scope, or those that are undecided."""
+    hit = F.coalesce(which, F.lit(False))
+    changed = {"reason_kind": F.lit("userSelected"), "reason_value": F.lit(float(paint)), "will_paint": F.lit(paint)}
+    return decisions.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changed.items()})
+
+
+def undecided() -> Column:
+    return F.col("will_paint").isNull()
+
+
+def scope(kind: str, frame: int = 0, n: int = 0) -> Column:
+    """Which frames a choice is for: ``all``, ``from`` or ``to`` a frame, the ``next`` or ``previous`` n and the frame itself."""
+    at = F.col("frame_idx")
+    return {"all": F.lit(True), "from": at >= frame, "to": at <= frame, "next": at.between(frame, frame + n), "previous": at.between(frame - n, frame)}[kind]
+
+
+def select_overlapping(decisions: DataFrame, blob_px: DataFrame, chosen: DataFrame, paint: bool) -> DataFrame:
+    """The user's decision for the groups that share a pixel's place with ``chosen(x, y)``, in the frames of ``decisions``."""
+    places = chosen.select("x", "y").distinct()
+    hit = blob_px.join(places, ["x", "y"], "left_semi").select("frame_idx", "blob_id").distinct().withColumn("hit", F.lit(True))
+    rows = decisions.join(hit, ["frame_idx", "blob_id"], "left")
+    return user_select(rows, F.col("hit"), paint).select(*decisions.columns)
+
+
+def in_scope(decisions: DataFrame, frames: Column, action: str, where: Column | None = None) -> DataFrame:
+    """``paint``, ``clear`` or ``delete`` for the groups of a scope for which ``where`` is true, by default all."""
+    hit = frames & (F.lit(True) if where is None else where)
+    return decisions.where(~F.coalesce(hit, F.lit(False))) if action == "delete" else user_select(decisions, hit, action == "paint")
+
+
+def table_view(groups: DataFrame, by: str = "size", descending: bool = False) -> DataFrame:
+    """Groups as a list shows them: in order of a column, fractions to five significant digits."""
+
+    def shown(c: Column) -> Column:
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 4)
+        return F.when(c == 0, c).otherwise(F.round(F.round(c / unit) * unit, 9))
+
+    columns = [shown(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in groups.schema]
+    order = F.desc(by) if descending else F.asc(by)
+    return groups.orderBy(order, *[c for c in ("frame_idx", "blob_id") if c in groups.columns]).select(*columns)

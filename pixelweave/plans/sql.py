@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pixelweave.operators.lines import angles
-from pixelweave.operators.pixel import mask_kernel
-
 PX = """px AS (SELECT CAST(year(l_shipdate) * 12 + month(l_shipdate) - 23940 AS INT) AS frame_idx, CAST(l_partkey % 128 AS INT) AS x, CAST(l_suppkey % 96 AS INT) AS y,
   CAST(max(floor(l_extendedprice / 2)) AS INT) AS intensity FROM lineitem GROUP BY ALL)"""
 LP = PX + """, lp AS (SELECT frame_idx, CAST((y // 8) * 16 + x // 8 + 1 AS INT) AS blob_id, x, y, intensity FROM px WHERE intensity > 30000)"""
@@ -28,12 +25,56 @@ def beside(expression: str, table: str) -> str:
     return f"(SELECT count(*) FROM (SELECT DISTINCT frame_idx FROM lp) f WHERE abs(f.frame_idx - {table}.frame_idx) = 1)"
 
 
-_KERNEL = ", ".join(f"({dx}, {dy}, CAST({w!r} AS DOUBLE))" for dx, dy, w in mask_kernel())
-ALPHA = f"""al AS (SELECT frame_idx, x + dx AS x, y + dy AS y, round(max(w), 9) AS alpha FROM px, (VALUES {_KERNEL}) k(dx, dy, w)
+_KERNEL = """(SELECT a.i - 6 AS dx, b.i - 6 AS dy, CASE WHEN sqrt((a.i - 7) ** 2 + (b.i - 7) ** 2) <= 2 THEN CAST(1 AS DOUBLE) ELSE (6 - sqrt((a.i - 7) ** 2 + (b.i - 7) ** 2)) / 4 END AS w
+  FROM range(15) a(i), range(15) b(i) WHERE sqrt((a.i - 7) ** 2 + (b.i - 7) ** 2) < 6)"""
+ALPHA = f"""al AS (SELECT frame_idx, CAST(x + dx AS INT) AS x, CAST(y + dy AS INT) AS y, round(max(w), 9) AS alpha FROM px, {_KERNEL} k
   WHERE intensity > 48000 AND x + dx BETWEEN 0 AND 127 AND y + dy BETWEEN 0 AND 95 GROUP BY ALL)"""
-_ANGLES = ", ".join(map(str, angles(3)))
+_ANGLES = "(SELECT t, CAST(round(cos(radians(t)) * 1000000) AS BIGINT) AS c, CAST(round(sin(radians(t)) * 1000000) AS BIGINT) AS s FROM range(180) r(t))"
 VOTES = f"""px AS (SELECT vec_id // 64 AS frame_idx, i AS x, vec_id % 64 AS y FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings) WHERE floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 100000) > 30000),
-  v AS (SELECT CAST(frame_idx AS INT) AS frame_idx, CAST(t AS INT) AS theta, CAST(floor((x * c + y * s) / 1000000) AS INT) AS rho, count(*) AS votes FROM px, (VALUES {_ANGLES}) a(t, c, s) GROUP BY ALL HAVING count(*) > 3)"""
+  v AS (SELECT CAST(frame_idx AS INT) AS frame_idx, CAST(t AS INT) AS theta, CAST(floor((x * c + y * s) / 1000000) AS INT) AS rho, count(*) AS votes FROM px, {_ANGLES} a GROUP BY ALL HAVING count(*) > 3)"""
+THETA = VOTES + ", b AS (SELECT frame_idx, theta // 10 AS band, CAST(sum(votes) AS BIGINT) AS votes FROM v GROUP BY ALL), h AS (SELECT *, round(votes / sum(votes) OVER (PARTITION BY frame_idx), 9) AS share FROM b)"
+BL = ST + f""", gv AS (SELECT frame_idx, blob_id, t, c, s, CAST(floor((x * c + y * s) / 1000000) AS INT) AS rho, count(*) AS votes FROM lp, {_ANGLES} a GROUP BY ALL),
+  gk AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, blob_id ORDER BY votes DESC, t, rho) AS place FROM gv QUALIFY place <= 10),
+  gd AS (SELECT k.frame_idx, k.blob_id, place, t, rho, c, s, votes, count(*) AS n, list_sort(list(abs(x * c + y * s - rho * CAST(1000000 AS BIGINT))), 'DESC')[count(*) // 2 + 1] AS med FROM gk k JOIN lp p ON p.frame_idx = k.frame_idx AND p.blob_id = k.blob_id GROUP BY ALL),
+  bl AS (SELECT frame_idx, blob_id, CAST(t AS INT) AS theta, rho, c AS cosine, s AS sine, votes FROM gd WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY frame_idx, blob_id ORDER BY med, place) = 1)"""
+FIT = BL + """, pd AS (SELECT lp.*, bl.* EXCLUDE (frame_idx, blob_id), abs(x * cosine + y * sine - rho * CAST(1000000 AS BIGINT)) AS d FROM lp JOIN bl USING (frame_idx, blob_id)),
+  ft AS (SELECT frame_idx, blob_id, sum(d) / count(*) / 1000000 AS mean, list_sort(list(d), 'DESC')[count(*) // 2 + 1] AS middle, max(d) AS most, any_value(votes) / count(*) AS per_pixel,
+    sqrt(CAST((max(x) FILTER (d < 4000000) - min(x) FILTER (d < 4000000)) ** 2 + (max(y) FILTER (d < 4000000) - min(y) FILTER (d < 4000000)) ** 2 AS DOUBLE)) AS length FROM pd GROUP BY ALL)"""
+_N8 = f"(SELECT count(*) FROM lp q, {AROUND} WHERE q.frame_idx = p.frame_idx AND q.blob_id = p.blob_id AND q.x = p.x + dx AND q.y = p.y + dy)"
+_Y, _X = "(rho * CAST(1000000 AS DOUBLE) - {0} * cosine) / nullif(sine, 0)", "(rho * CAST(1000000 AS DOUBLE) - {0} * sine) / nullif(cosine, 0)"
+
+
+def _met(sides: list[tuple[str, str]], low: str = "") -> str:
+    """Where a line, given as its x or y at a side, meets the sides of a box."""
+    on_x = [f"CASE WHEN {y} > {low}min_y AND {y} <= {low}max_y THEN {{'x': CAST({x} AS DOUBLE), 'y': {y}}} END" for x, y in sides[:2]]
+    on_y = [f"CASE WHEN {x} > {low}min_x AND {x} <= {low}max_x THEN {{'x': {x}, 'y': CAST({y} AS DOUBLE)}} END" for x, y in sides[2:]]
+    return f"list_filter([{', '.join(on_x + on_y)}], lambda p: p IS NOT NULL)"
+
+
+_MET = _met([("min_x", _Y.format("min_x")), ("max_x", _Y.format("max_x")), (_X.format("min_y"), "min_y"), (_X.format("max_y"), "max_y")])
+FILL = BL + f""", lm AS (SELECT frame_idx, blob_id, rho, cosine, sine, {_MET} AS met, abs(sine) > abs(cosine) AS level FROM st JOIN bl USING (frame_idx, blob_id)),
+  le AS (SELECT *, CASE WHEN level THEN met[1].x ELSE met[1].y END AS e1, CASE WHEN level THEN met[2].x ELSE met[2].y END AS e2 FROM lm WHERE len(met) > 1),
+  lt AS (SELECT *, unnest(range(CAST(trunc(least(e1, e2)) AS BIGINT), CAST(trunc(greatest(e1, e2)) AS BIGINT) + 1)) AS t FROM le),
+  lu AS (SELECT *, CAST(trunc(CASE WHEN level THEN {_Y.format('t')} ELSE {_X.format('t')} END) AS BIGINT) AS u FROM lt),
+  lv AS (SELECT frame_idx, blob_id, CASE WHEN level THEN t ELSE u + k END AS x, CASE WHEN level THEN u + k ELSE t END AS y FROM lu, (VALUES (-1), (0), (1)) o(k) WHERE t >= 0 AND u >= 0 AND u + k >= 0),
+  lf AS (SELECT v.frame_idx, v.blob_id, count(q.x) / count(*) AS share FROM lv v LEFT JOIN lp q ON q.frame_idx = v.frame_idx AND q.blob_id = v.blob_id AND q.x = v.x AND q.y = v.y GROUP BY ALL)"""
+_BOXES = f"""SELECT n.frame_idx, n.blob_id, n.other_id, {", ".join(f"{t}.{c} AS {t}_{c}" for t in "pq" for c in ("min_x", "min_y", "max_x", "max_y"))}, p.min_x + (p.max_x - p.min_x + 1) / 2 AS x1, p.min_y + (p.max_y - p.min_y + 1) / 2 AS y1,
+  q.min_x + (q.max_x - q.min_x + 1) / 2 AS x2, q.min_y + (q.max_y - q.min_y + 1) / 2 AS y2 FROM {near(4)} n JOIN st p ON p.frame_idx = n.frame_idx AND p.blob_id = n.blob_id JOIN st q ON q.frame_idx = n.frame_idx AND q.blob_id = n.other_id WHERE n.blob_id < n.other_id"""
+_CY, _CX = "((x2 * y1 - x1 * y2) - (y1 - y2) * {0}) / nullif(x2 - x1, 0)", "((x2 * y1 - x1 * y2) - (x2 - x1) * {0}) / nullif(y1 - y2, 0)"
+
+
+def _of_centres(t: str) -> str:
+    return _met([(f"{t}_min_x", _CY.format(f"{t}_min_x")), (f"{t}_max_x", _CY.format(f"{t}_max_x")), (_CX.format(f"{t}_min_y"), f"{t}_min_y"), (_CX.format(f"{t}_max_y"), f"{t}_max_y")], f"{t}_")
+
+
+_DIAGONAL = _met([("p_min_x", "CAST(p_min_x AS DOUBLE)"), ("p_max_x", "CAST(p_max_x AS DOUBLE)"), ("CAST(p_min_y AS DOUBLE)", "p_min_y"), ("CAST(p_max_y AS DOUBLE)", "p_max_y")], "p_")
+BOXES = ST + f""", bx AS ({_BOXES}), bd AS (SELECT *, sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS apart, (p_max_x - p_min_x + 1) * (p_max_y - p_min_y + 1) AS ps, (q_max_x - q_min_x + 1) * (q_max_y - q_min_y + 1) AS qs,
+    {_of_centres("p")} AS pm, {_of_centres("q")} AS qm, len({_DIAGONAL}) AS n_met FROM bx),
+  be AS (SELECT *, list_filter(pm, lambda s: trunc(sqrt((s.x - x2) ** 2 + (s.y - y2) ** 2)) <= trunc(apart + 3))[-1] AS mine, list_filter(qm, lambda s: trunc(sqrt((s.x - x1) ** 2 + (s.y - y1) ** 2)) <= trunc(apart + 3))[-1] AS theirs FROM bd),
+  bf AS (SELECT *, sqrt((mine.x - theirs.x) ** 2 + (mine.y - theirs.y) ** 2) AS between_, sqrt((mine.x - x1) ** 2 + (mine.y - y1) ** 2) + sqrt((theirs.x - x2) ** 2 + (theirs.y - y2) ** 2) AS reach FROM be)"""
+CLOUDS = """e AS (SELECT frame_idx, blob_id AS a, other_id AS b FROM np UNION SELECT frame_idx, other_id, blob_id FROM np),
+  r AS (SELECT frame_idx, blob_id, blob_id AS via FROM gs UNION SELECT r.frame_idx, r.blob_id, e.b FROM r JOIN e ON e.frame_idx = r.frame_idx AND e.a = r.via),
+  c AS (SELECT frame_idx, blob_id, CAST(min(via) AS INT) AS cloud_id, CAST(count(*) AS INT) AS cloud_size FROM r GROUP BY ALL)"""
 _INSIDE = "SELECT p.frame_idx, p.blob_id, p.x, p.y, count(q.x) AS n FROM lp p CROSS JOIN {0} LEFT JOIN lp q ON q.frame_idx = p.frame_idx AND q.blob_id = p.blob_id AND q.x = p.x + dx AND q.y = p.y + dy GROUP BY ALL"
 CARDINAL, CORNERS = "(VALUES (0,-1),(-1,0),(1,0),(0,1)) o(dx, dy)", "(VALUES (-1,-1),(1,-1),(-1,1),(1,1)) o(dx, dy)"
 
@@ -81,7 +122,7 @@ ORACLES: dict[str, str] = {
     "incremental_plan": f"WITH {PX}, f AS (SELECT DISTINCT frame_idx FROM px) SELECT frame_idx FROM f WHERE EXISTS (SELECT 1 FROM f m WHERE m.frame_idx % 11 = 5 AND abs(m.frame_idx - f.frame_idx) <= 2)",
     "hough_topk": f"""WITH {VOTES}, m AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.frame_idx = v.frame_idx AND abs(o.theta - v.theta) <= 5 AND abs(o.rho - v.rho) <= 5 AND o.votes > v.votes)),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY frame_idx ORDER BY votes DESC, theta, rho) AS INT) AS place FROM m) SELECT * FROM r WHERE place <= 10""",
-    "theta_hist": f"WITH {VOTES}, b AS (SELECT frame_idx, theta // 10 AS band, CAST(sum(votes) AS BIGINT) AS votes FROM v GROUP BY ALL) SELECT *, round(votes / sum(votes) OVER (PARTITION BY frame_idx), 9) AS share FROM b",
+    "theta_hist": f"WITH {THETA} SELECT * FROM h",
     "decision_counts": f"WITH {DC} SELECT * FROM dc",
     "apply_undecided": f"WITH {D}, s AS (SELECT *, (group_id % 21 - 10) / 10.0 AS score FROM d) SELECT frame_idx, group_id, CASE WHEN will_paint IS NULL THEN 'fromClassifier' ELSE reason_kind END AS reason_kind, round(CASE WHEN will_paint IS NULL THEN CAST(score AS DOUBLE) ELSE reason_value END, 6) AS reason_value, coalesce(will_paint, score > 0) AS will_paint FROM s",
     "validation_override": f"WITH {LP} SELECT frame_idx, blob_id, bool_or(intensity > 49000) AS will_paint FROM lp GROUP BY ALL",
@@ -96,4 +137,59 @@ ORACLES: dict[str, str] = {
         CASE WHEN p.high < n.low THEN n.low - p.high WHEN n.high < p.low THEN p.low - n.high END / nullif(abs(p.median - n.median), 0) AS gap FROM cs p JOIN cs n ON n.feature = p.feature WHERE p.label AND NOT n.label),
       k AS (SELECT m.feature, threshold, clean, gap, count(*) FILTER (v < threshold) AS nl, count(*) FILTER (v < threshold AND label) AS pl, count(*) AS n, count(*) FILTER (label) AS p FROM m JOIN c USING (feature) GROUP BY ALL),
       s AS (SELECT feature, threshold, round(CASE WHEN clean THEN gap ELSE greatest(coalesce(pl / nullif(nl, 0), 0), coalesce((p - pl) / nullif(n - nl, 0), 0)) - p / n END, 9) AS score FROM k) SELECT * FROM s WHERE score > 0""",
+    "clouds": f"WITH RECURSIVE {ST}, gs AS (SELECT frame_idx, blob_id FROM st), np AS {near(1)}, {CLOUDS} SELECT * FROM c",
+    "disconnected_filter": f"""WITH RECURSIVE {ST}, gs AS (SELECT frame_idx, blob_id FROM st WHERE size < 12), np AS (SELECT n.* FROM {near(2)} n JOIN st a ON a.frame_idx = n.frame_idx AND a.blob_id = n.blob_id JOIN st b ON b.frame_idx = n.frame_idx AND b.blob_id = n.other_id WHERE a.size < 12 AND b.size < 12),
+      {CLOUDS} SELECT st.frame_idx, st.blob_id, size FROM st LEFT JOIN c ON c.frame_idx = st.frame_idx AND c.blob_id = st.blob_id WHERE c.cloud_size IS NULL OR c.cloud_size - 1 >= 3""",
+    "best_line": f"WITH {BL} SELECT * FROM bl",
+    "line_fit": f"""WITH {FIT} SELECT st.frame_idx, st.blob_id, round(coalesce(mean, 4294967295.0), 9) AS f_average_line, round(coalesce(middle / 1000000, 4294967295.0), 9) AS f_median_line, round(coalesce(most / 1000000, 0), 9) AS max_line,
+      round(coalesce(mean, 420420420.0), 9) AS ideal_distance, round(coalesce(length, 0), 9) AS f_line_length, round(coalesce(per_pixel, 0), 9) AS f_max_hough FROM st LEFT JOIN ft ON ft.frame_idx = st.frame_idx AND ft.blob_id = st.blob_id""",
+    "line_fill": f"WITH {FILL} SELECT st.frame_idx, st.blob_id, round(coalesce(share, 0), 9) AS f_line_fill FROM st LEFT JOIN lf ON lf.frame_idx = st.frame_idx AND lf.blob_id = st.blob_id",
+    "line_trim": f"WITH {FIT} SELECT lp.* FROM lp LEFT JOIN pd ON pd.frame_idx = lp.frame_idx AND pd.blob_id = lp.blob_id AND pd.x = lp.x AND pd.y = lp.y LEFT JOIN ft ON ft.frame_idx = lp.frame_idx AND ft.blob_id = lp.blob_id WHERE d IS NULL OR 2 * d <= middle + most",
+    "stray_trim": f"WITH {FIT} SELECT p.* FROM lp p LEFT JOIN pd ON pd.frame_idx = p.frame_idx AND pd.blob_id = p.blob_id AND pd.x = p.x AND pd.y = p.y LEFT JOIN ft ON ft.frame_idx = p.frame_idx AND ft.blob_id = p.blob_id WHERE d IS NULL OR d < 2000000 OR {_N8} > CASE WHEN d < middle THEN 2 ELSE 1 END",
+    "neighbour_trim": f"WITH {LP} SELECT * FROM lp p WHERE {_N8} > 2",
+    "line_geometry": f"""WITH {BL}, u AS (SELECT *, radians(theta) AS t FROM bl) SELECT frame_idx, blob_id, round(rho, 4) + 0.0 AS rho, round(cos(t), 4) + 0.0 AS cosine, round(CASE WHEN theta <> 0 THEN (rho - 10 * cos(t)) / sin(t) END, 4) + 0.0 AS y_at_10,
+      round(CASE WHEN theta <> 135 THEN rho / (cos(t) + sin(t)) END, 4) + 0.0 AS met_x, true AS same FROM u""",
+    "box_relations": f"""WITH {BOXES} SELECT frame_idx, blob_id, other_id, round(CASE WHEN p_min_x < q_max_x AND q_min_x < p_max_x AND p_min_y < q_max_y AND q_min_y < p_max_y
+        THEN (least(p_max_x, q_max_x) - greatest(p_min_x, q_min_x) + 1) * (least(p_max_y, q_max_y) - greatest(p_min_y, q_min_y) + 1) / ((ps + qs) // 2) ELSE 0 END, 6) + 0.0 AS overlap,
+      round(CASE WHEN y1 = y2 THEN 0 WHEN x1 = x2 THEN 90 WHEN (x1 < x2) = (y1 < y2) THEN 90 + degrees(atan(abs(y1 - y2) / abs(x1 - x2))) ELSE degrees(atan(abs(x1 - x2) / abs(y1 - y2))) END, 6) + 0.0 AS theta,
+      round(CASE WHEN p_min_x <= q_min_x AND p_min_y <= q_min_y AND q_max_x <= p_max_x AND q_max_y <= p_max_y THEN -qs WHEN q_min_x <= p_min_x AND q_min_y <= p_min_y AND p_max_x <= q_max_x AND p_max_y <= q_max_y THEN -ps
+        WHEN mine IS NOT NULL AND theirs IS NOT NULL THEN CASE WHEN reach < apart THEN between_ ELSE -between_ END WHEN mine IS NOT NULL THEN sqrt((mine.x - x2) ** 2 + (mine.y - y2) ** 2)
+        WHEN theirs IS NOT NULL THEN sqrt((theirs.x - x1) ** 2 + (theirs.y - y1) ** 2) ELSE apart END, 6) + 0.0 AS edge_distance, CAST(n_met AS INT) AS n_met FROM bf""",
+    "pixel_overlap": f"""WITH {ST}, o AS (SELECT lp.*, size FROM lp JOIN st USING (frame_idx, blob_id) WHERE NOT (lp.x = min_x AND lp.y = min_y))
+      SELECT p.frame_idx, p.blob_id AS a, q.blob_id AS b, round(count(*) / ((any_value(p.size) + any_value(q.size)) / 2), 9) AS f_pixel_overlap FROM o p JOIN o q ON q.frame_idx = p.frame_idx + 1 AND q.x = p.x AND q.y = p.y GROUP BY ALL""",
+    "theta_match": f"""WITH {THETA}, m AS (SELECT h.frame_idx, max(least(h.share, coalesce(n.share, 0))) AS score FROM h LEFT JOIN h n ON n.frame_idx = h.frame_idx + 1 AND n.band = h.band GROUP BY ALL),
+      a AS (SELECT frame_idx, band FROM h QUALIFY row_number() OVER (PARTITION BY frame_idx ORDER BY share DESC, band) = 1)
+      SELECT m.frame_idx, CASE WHEN m.frame_idx + 1 IN (SELECT frame_idx FROM h) THEN score END AS score, CAST(band * 10 AS INT) AS max_theta FROM m JOIN a USING (frame_idx)""",
+    "mean_pixels": f"WITH {PX} SELECT x, y, CAST(sum(intensity) // count(*) AS INT) AS r, CAST(sum(intensity // 2) // count(*) AS INT) AS g, CAST(sum(intensity // 4) // count(*) AS INT) AS b FROM px GROUP BY ALL",
+    "channel_difference": f"""WITH {PX}, d AS (SELECT p.frame_idx, p.x, p.y, p.intensity - q.intensity AS r, p.intensity // 2 - q.intensity // 2 AS g, p.intensity // 4 - q.intensity // 4 AS b FROM px p JOIN px q ON q.frame_idx = p.frame_idx + 1 AND q.x = p.x AND q.y = p.y)
+      SELECT frame_idx, x, y, CAST(greatest(trunc(r + g + b / 3), r, g, b) AS INT) AS difference FROM d""",
+    "packed_pixels": f"""WITH {PX}, c AS (SELECT frame_idx, x, y, intensity AS r, intensity // 2 AS g, intensity // 4 AS b, CASE WHEN (x + y) % 7 = 0 THEN 65534 ELSE 65535 END AS a FROM px)
+      SELECT *, r + g * 65536 + b * 4294967296 + CAST(a - 65536 AS BIGINT) * 281474976710656 AS packed FROM c""",
+    "blend_channels": f"""WITH {PX}, {ALPHA}, c AS (SELECT frame_idx, x, y, intensity AS r, intensity // 2 AS g, intensity // 4 AS b, CASE WHEN (x + y) % 7 = 0 THEN 65534 ELSE 65535 END AS a FROM px)
+      SELECT p.frame_idx, p.x, p.y, {", ".join(f"CAST(CASE WHEN alpha IS NULL OR q.a IS NULL OR q.a <> 65535 THEN p.{c} WHEN alpha >= 1 THEN q.{c} ELSE trunc(p.{c} * (1 - alpha)) + trunc(q.{c} * alpha) END AS INT) AS {c}" for c in "rgb")}, p.a
+      FROM c p LEFT JOIN c q ON q.frame_idx = p.frame_idx + 1 AND q.x = p.x AND q.y = p.y LEFT JOIN al ON al.frame_idx = p.frame_idx AND al.x = p.x AND al.y = p.y""",
+    "paint_mask": f"WITH {PX}, {ALPHA} SELECT frame_idx, x, y, CAST(least(trunc(alpha * 255), 255) AS INT) AS mask FROM al",
+    "within_disc": f"""WITH {PX} SELECT frame_idx, CAST(x + a.i - 3 AS INT) AS x, CAST(y + b.i - 3 AS INT) AS y, round(min(sqrt((a.i - 3) ** 2 + (b.i - 3) ** 2)), 9) AS distance FROM px, range(7) a(i), range(7) b(i)
+      WHERE intensity > 49000 AND (a.i - 3) ** 2 + (b.i - 3) ** 2 <= 9 AND x + a.i - 3 >= 0 AND y + b.i - 3 >= 0 GROUP BY ALL""",
+    "apply_unselected": f"WITH {D}, s AS (SELECT *, (group_id % 21 - 10) / 10.0 AS score FROM d) SELECT frame_idx, group_id, coalesce(reason_kind, 'fromClassifier') AS reason_kind, round(CASE WHEN reason_kind IS NULL THEN CAST(score AS DOUBLE) ELSE reason_value END, 6) AS reason_value, coalesce(will_paint, score > 0) AS will_paint FROM s",
+    "select_undecided": f"WITH {D} SELECT frame_idx, group_id, 'userSelected' AS reason_kind, CASE WHEN will_paint IS NULL THEN 1.0 ELSE reason_value END AS reason_value, coalesce(will_paint, true) AS will_paint FROM d",
+    "scope_actions": f"""WITH {D}, e AS (SELECT d.*, event_id % 96 BETWEEN 10 AND 60 AND user_id % 128 BETWEEN 10 AND 60 AS hit, user_id % 128 = 127 AS edge FROM d JOIN events ON event_id = group_id),
+      f AS (SELECT *, CASE WHEN frame_idx >= 300 AND hit THEN true WHEN frame_idx <= 20 THEN false WHEN frame_idx BETWEEN 190 AND 200 AND will_paint IS NULL THEN true END AS chosen FROM e WHERE NOT (frame_idx BETWEEN 100 AND 110 AND hit) AND NOT edge)
+      SELECT frame_idx, group_id, CASE WHEN chosen IS NULL THEN reason_kind ELSE 'userSelected' END AS reason_kind, CASE WHEN chosen IS NULL THEN reason_value ELSE CAST(chosen AS DOUBLE) END AS reason_value, coalesce(chosen, will_paint) AS will_paint FROM f""",
+    "select_overlapping": f"""WITH {ST}, c AS (SELECT DISTINCT x, y FROM lp WHERE frame_idx = 10 AND blob_id = (SELECT min(blob_id) FROM lp WHERE frame_idx = 10)), o AS (SELECT DISTINCT frame_idx, blob_id FROM lp JOIN c USING (x, y))
+      SELECT st.frame_idx, st.blob_id, CASE WHEN o.blob_id IS NOT NULL THEN 'userSelected' END AS reason_kind, CASE WHEN o.blob_id IS NOT NULL THEN true END AS will_paint FROM st LEFT JOIN o ON o.frame_idx = st.frame_idx AND o.blob_id = st.blob_id WHERE st.frame_idx BETWEEN 5 AND 15""",
+    "previous_undecided_frame": f"WITH {DC} SELECT frame_idx, coalesce((SELECT max(n.frame_idx) FROM dc n WHERE n.frame_idx < dc.frame_idx AND n.n_undecided > n.n_positive + n.n_negative), (SELECT min(frame_idx) FROM dc)) AS advance_to FROM dc",
+    "next_frame_of_any": f"WITH {DC} SELECT frame_idx, coalesce((SELECT min(n.frame_idx) FROM dc n WHERE n.frame_idx > dc.frame_idx), (SELECT max(frame_idx) FROM dc)) AS advance_to FROM dc",
+    "group_table": f"WITH {ST}, w AS (SELECT frame_idx, blob_id, round((max_x - min_x + 1) / 128, 9) AS w, CAST(mean_intensity AS DOUBLE) AS m FROM st) SELECT frame_idx, blob_id, {', '.join(f'round(round({c} / 10.0 ** (floor(log10({c})) - 4)) * 10.0 ** (floor(log10({c})) - 4), 9) AS {n}' for c, n in (('w', 'f_width'), ('m', 'f_average_brightness')))} FROM w",
+    "linear_leaves": f"WITH {TR} SELECT id, round((f0 - (SELECT min(f0) FROM t)) / ((SELECT max(f0) FROM t) - (SELECT min(f0) FROM t)) * 2 - 1, 9) AS score FROM t",
 }
+
+#: All features side by side, from the statements above, in the order of feature files.
+_PARTS = ("feature_shape", "surface_ratio", "diag_border", "nearby_count", "direct_overlap", "bbox_overlap_score", "line_fit", "line_fill")
+_FEATURES = {
+    "size": "f_size", "width": "f_width", "height": "f_height", "centerX": "f_center_x", "centerY": "f_center_y", "minX": "f_min_x", "minY": "f_min_y", "maxX": "f_max_x", "maxY": "f_max_y", "hypotenuse": "f_hypotenuse",
+    "aspectRatio": "f_aspect_ratio", "fillAmount": "f_fill_amount", "surfaceAreaRatio": "f_surface_ratio", "averagebrightness": "f_average_brightness", "medianBrightness": "f_median_brightness", "maxBrightness": "f_max_brightness",
+    "numberOfNearbyOutliersInSameFrame": "f_nearby", "maxHoughTransformCount": "f_max_hough", "pixelBorderAmount": "f_pixel_border", "averageLineVariance": "f_average_line", "medianLineVariance": "f_median_line",
+    "lineLength": "f_line_length", "nearbyDirectOverlapScore": "f_direct_overlap", "boundingBoxOverlapScore": "f_bounds_overlap", "lineFillAmount": "f_line_fill",
+}
+ORACLES["feature_vector"] = f"SELECT frame_idx, blob_id, {', '.join(f'CAST({c} AS DOUBLE) AS {n}' for n, c in _FEATURES.items())} FROM ({ORACLES[_PARTS[0]]})" + "".join(f" JOIN ({ORACLES[p]}) USING (frame_idx, blob_id)" for p in _PARTS[1:])

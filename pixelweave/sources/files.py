@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelweave.functions.tables import placed
+
 #: The features of a group, in the fixed order that feature files use.
 FEATURES = (
     "size", "width", "height", "centerX", "centerY", "minX", "minY", "maxX", "maxY", "hypotenuse", "aspectRatio", "fillAmount", "surfaceAreaRatio",
@@ -18,10 +23,11 @@ SPECIAL = {"nanValue": "nan", "positiveInf": "inf", "negativeInf": "-inf"}
 def frames(paths: DataFrame, suffixes: tuple[str, ...] = (".tif", ".tiff")) -> DataFrame:
     """``frame_idx, path, base_name`` of ``paths(path)``: image files in the order of their names without suffix, numbered from 0.
 
-    Names are compared as text. A sequence's listing is small next to its pixels, so one window numbers it."""
+    Names are compared as text, and numbered by ranges of them."""
     name = F.element_at(F.split("path", "/"), -1)
     rows = paths.select("path", F.regexp_replace(name, r"\.[^.]*$", "").alias("base_name")).where(F.lower(F.col("path")).rlike("(?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
-    return rows.withColumn("frame_idx", (F.row_number().over(Window.orderBy("base_name", "path")) - 1).cast("int")).select("frame_idx", "path", "base_name")
+    numbered = placed(rows.withColumn("all", F.lit(1)), ["all"], ["base_name", "path"])
+    return numbered.select(F.col("before").cast("int").alias("frame_idx"), "path", "base_name")
 
 
 def write_features(features: DataFrame, folder: str, names: tuple[str, ...] = FEATURES) -> None:
@@ -69,3 +75,42 @@ def write_decisions(decisions: DataFrame, folder: str) -> None:
 def read_decisions(spark: SparkSession, folder: str) -> DataFrame:
     schema = "group_id long, reason_kind string, reason_value double, will_paint boolean, frame_idx int"
     return spark.read.schema(schema).json(folder).select("frame_idx", "group_id", "reason_kind", "reason_value", "will_paint")
+
+
+def read_config(spark: SparkSession, path: str) -> dict[str, object]:
+    """A sequence's settings, one JSON object; what is missing is missing here too."""
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+
+
+SLICES = "frame_idx int, min_x int, min_y int, max_x int, max_y int"
+
+
+def write_slices(slices: DataFrame, folder: str) -> None:
+    """The user's slices as JSON, a folder for each frame; frames that ``slices`` doesn't hold keep theirs."""
+    rows = slices.select("frame_idx", "min_x", "min_y", "max_x", "max_y")
+    rows.repartition("frame_idx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frame_idx").json(folder)
+
+
+def read_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """``frame_idx, min_x, min_y, max_x, max_y``; none if nothing was written yet. Broken lines are left out."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(SLICES).option("mode", "DROPMALFORMED").json(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], SLICES)
+    return rows.select("frame_idx", "min_x", "min_y", "max_x", "max_y")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``base, sequence`` of a JSON object of folders with lists of validated sequences; a broken one gives no row."""
+    text = spark.read.text(path, wholetext=True)
+    lists = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("base", "sequences"))
+    return lists.select("base", F.explode("sequences").alias("sequence"))
+
+
+def read_many_features(spark: SparkSession, folders: list[str], names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """The feature tables of many frames as one; folders whose names differ have no rows."""
+    return functools.reduce(DataFrame.unionByName, [read_features(spark, f, names) for f in folders])
