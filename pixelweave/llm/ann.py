@@ -4,7 +4,8 @@ The tree is fitted on a sample of at most ``FIT_ROWS`` vectors and broadcast; ev
 that nearest centres lead to. A query keeps a priority queue of tree nodes by the distance to their
 centres and takes leaves from it, nearest first. How many it takes is calibrated: for ``CALIBRATE`` queries the true
 neighbours are found by brute force over all rows, and the number of leaves grows until the share of them
-that lies in visited leaves reaches ``target`` recall.
+that lies in visited leaves reaches ``target`` recall. Leaves of one part of the tree lie on one shelf; a query goes once to each shelf
+on which it has leaves, and its nearest from all of these come back together.
 
 Equal vectors are searched once; of their ids the ``k + 1`` smallest are kept, which is all that a result of k
 with ties to the smaller id can hold.
@@ -26,10 +27,10 @@ from pixelweave.llm.common import written
 
 FIT_ROWS = 65_536
 #: Vectors in a leaf, and most children of a node.
-LEAF_ROWS, BRANCHES = 384, 12
-CALIBRATE, TARGET_RECALL = 96, 0.98
-#: A leaf of more distinct vectors is searched in parts of about so many.
-PART_ROWS = 4096
+LEAF_ROWS, BRANCHES = 48, 16
+CALIBRATE, TARGET_RECALL = 192, 0.94
+#: Leaves that stand together are one shelf, of about so many distinct vectors; a fuller one is searched in parts.
+SHELF_ROWS = 16_384
 SEED = 5
 
 
@@ -172,28 +173,42 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, target: float = TA
     indexed = written(distinct.mapInPandas(assign, "vec binary, ids array<long>, leaf int"), "ann-index")
     visits = _calibrated(indexed, tree, k, target)
 
+    leaves = [i for i, (a, b) in enumerate(zip(tree.first, tree.last, strict=True)) if a == b]
+    per_shelf = max(1, len(leaves) * SHELF_ROWS // n)
+    shelf = {leaf: i // per_shelf for i, leaf in enumerate(leaves)}
+    shelf_of = distinct.sparkSession.createDataFrame(list(shelf.items()), "leaf int, shelf int")  # as many rows as the tree has leaves
+
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shared.value.best_bins(q, visits) for q in _matrix(pdf["vec"])] if len(pdf) else []
-            yield pd.DataFrame({"query": pdf["vec"].repeat([len(f) for f in found]), "leaf": np.array([x for f in found for x in f], dtype=np.int32)})
+            out = []
+            for raw, q in zip(pdf["vec"], _matrix(pdf["vec"]) if len(pdf) else [], strict=True):
+                by: dict[int, list[int]] = {}
+                for leaf in shared.value.best_bins(q, visits):
+                    by.setdefault(shelf[leaf], []).append(leaf)
+                out += [(raw, s, own) for s, own in by.items()]
+            yield pd.DataFrame(out, columns=["query", "shelf", "leaves"])
 
     asking = rows.where(F.col("vec_id") % every == 0).distinct()
-    parts = indexed.groupBy("leaf").count().withColumn("parts", F.ceil(F.col("count") / PART_ROWS).cast("int")).select("leaf", "parts")
-    probes = asking.select("vec").distinct().mapInPandas(bins, "query binary, leaf int").join(parts, "leaf")
-    probes = probes.select("query", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    stored = indexed.join(parts, "leaf").select("vec", "ids", F.col("leaf").alias("in_leaf"), F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int").alias("in_part"))
+    shelved = indexed.join(F.broadcast(shelf_of), "leaf")
+    parts = written(shelved.groupBy("shelf").agg(F.ceil(F.count("*") / (2 * SHELF_ROWS)).cast("int").alias("parts")), "ann-shelves")
+    probes = asking.select("vec").distinct().mapInPandas(bins, "query binary, shelf int, leaves array<int>").join(F.broadcast(parts), "shelf")  # a row for each shelf
+    probes = probes.select("query", "leaves", "shelf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    stored = shelved.join(F.broadcast(parts), "shelf").select("vec", "ids", "leaf", F.col("shelf").alias("on_shelf"), F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int").alias("in_part"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x, ids = _matrix(right["vec"]), [np.asarray(i, dtype=np.int64) for i in right["ids"]]
-            for raw, q in zip(left["query"], _matrix(left["query"]), strict=True):
-                found, far = _top(ids, np.sqrt(((x - q) ** 2).sum(axis=1)), k + 1)
+            right = right.sort_values("leaf", kind="stable")
+            leaf, x, ids = right["leaf"].to_numpy(), _matrix(right["vec"]), [np.asarray(i, dtype=np.int64) for i in right["ids"]]
+            for raw, q, wanted in zip(left["query"], _matrix(left["query"]), left["leaves"], strict=True):
+                ends = np.searchsorted(leaf, wanted, side="right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(leaf, wanted), ends, strict=True)])
+                found, far = _top([ids[i] for i in at.tolist()], np.sqrt(((x[at] - q) ** 2).sum(axis=1)), k + 1)
                 out.append(pd.DataFrame({"query": [raw] * len(found), "vec_id": found, "score": far}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "vec_id": [], "score": []})
 
-    found = probes.groupBy("leaf", "part").cogroup(stored.groupBy("in_leaf", "in_part")).applyInPandas(compare, "query binary, vec_id long, score double")
-    # visits * (k + 1) rows for each query at most
+    found = probes.groupBy("shelf", "part").cogroup(stored.groupBy("on_shelf", "in_part")).applyInPandas(compare, "query binary, vec_id long, score double")
+    # k + 1 rows for each query and part of a shelf at most
     best = found.distinct().withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("place") <= k + 1)
     named = asking.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")).join(best, "query").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("score", "vec_id"))

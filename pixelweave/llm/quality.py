@@ -2,8 +2,8 @@
 
 Statistics of the whole text, standardised, go through ``cos(Wx + b)`` with seeded normal W, which
 approximates a Gaussian kernel. Each partition of the labelled rows sums its own part of the normal
-equations; their sum gives the ridge weights. Rows set apart by their hash then fit the step function,
-found by pooling adjacent violators, that turns a ridge score into a probability.
+equations; their sum gives the ridge weights. Rows set apart by their hash then fit the rising broken line that turns a ridge score into
+a probability: steps found by pooling adjacent violators, joined by straight pieces between one step's last point and the next one's first.
 """
 
 from __future__ import annotations
@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` for every row: the probability of label 1, of the whole text alone. Null texts count as empty."""
+    """``doc_id, score`` for every row: the probability of label 1, of the whole text alone. Null texts count as empty, null ids stay null, repeated rows stay
+    and equal texts score the same; other columns go. An empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,8 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score below ``least``; all columns and repeated rows stay."""
+    """``docs`` without the rows that score below ``least``. A text alone decides, a null one as if empty, so null ids make no difference; all columns and repeated
+    rows stay. Without labels, or an equal share of both and nothing to tell them apart, all rows score 0.5 and stay."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     schema = docs.schema
     at = docs.columns.index("text")

@@ -165,6 +165,13 @@ def test_packing_keeps_every_id(odd):
     assert packing.pack(odd.where("false"), WORDS).count() == 0
 
 
+def test_packing_leaves_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs, WORDS).agg({"length": "sum", "sequence_id": "max"}).first()
+    total, last = (rows["sum(length)"], rows["max(sequence_id)"])
+    assert total / ((last + 1) * 4096) > 0.97
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(3)
     centres = r.normal(size=(6, 8)) * 4

@@ -290,6 +290,23 @@ def test_quality_separates_held_out_rows(spark, odd, empty):
     assert quality.keep_good(empty, labels).columns == odd.columns
 
 
+def test_ridge_weights_solve_the_plain_normal_equations(spark):
+    docs = [(i, words(30 + i % 50, i) if i % 2 else words(20, i).upper() + " !!" * (i % 7)) for i in range(150)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, quality int")
+    model = quality.fit(d, labels)
+    learn = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    x = np.array([quality.statistics(docs[i][1].encode()) for i in learn])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1))
+    apart = {r[0] for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(quality.CALIBRATE_ONE_IN)) == 0).collect()}
+    y, keep = np.array([i % 2 for i in learn], dtype=float), np.array([i not in apart for i in learn])
+    z = np.cos(np.clip((x - model.mean) / model.scale, -quality.CLIP, quality.CLIP) @ model.frequencies + model.phases) * np.sqrt(2 / quality.N_FOURIER)
+    z = np.hstack([np.ones((len(z), 1)), z])[keep]
+    n, weigh = len(learn), np.where(y > 0, len(learn) / 2 / y.sum(), len(learn) / 2 / (len(learn) - y.sum()))[keep]
+    a = (z * weigh[:, None]).T @ z + quality.RIDGE * n / z.shape[1] * np.eye(z.shape[1])
+    assert np.allclose(a @ model.weights, (z * weigh[:, None]).T @ y[keep], atol=1e-6)
+
+
 def test_quality_never_learns_from_held_out_rows(spark):
     d = spark.createDataFrame([(i, words(40, i)) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
