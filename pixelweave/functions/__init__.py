@@ -128,8 +128,8 @@ def box_crossings(b: Box, line: tuple[Column, Column, Column]) -> Column:
 
 
 def edge_distance(p: Box, q: Box) -> Column:
-    """The distance of two boxes' edges along the line of their centres, negative if the boxes reach over each other; the size of the inner one, negative,
-    if one holds the other."""
+    """The distance of two boxes' sides along the line of their centres, of each the last it meets (left, right, upper, lower) no farther from the other's
+    centre than the centres are apart, and 3; negative if they reach over each other; the size of the inner one, negative, if one holds the other."""
     holds = lambda a, b: (a[0] <= b[0]) & (a[1] <= b[1]) & (b[2] <= a[2]) & (b[3] <= a[3])
     (x1, y1), (x2, y2) = box_centre(p), box_centre(q)
     line = line_through(x1, y1, x2, y2)

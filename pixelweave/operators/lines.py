@@ -77,7 +77,7 @@ def best_lines(blob_px: DataFrame, k: int = 10, least: int = 3, step: int = 1) -
     """
     table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).cast("long").alias("c"), F.lit(s).cast("long").alias("s")) for t, c, s in angles(step)])
     at = blob_px.select(*ID, "x", "y", F.explode(table).alias("a"))
-    rho = F.floor((F.col("x") * F.col("a.c") + F.col("y") * F.col("a.s")) / SCALE).cast("int")
+    rho = F.floor((F.col("x") * F.col("a.c") + F.col("y") * F.col("a.s") + SCALE // 2) / SCALE).cast("int")  # the nearest
     counted = at.groupBy(*ID, F.col("a.t").alias("theta"), rho.alias("rho")).agg(F.count("*").alias("votes"))
     place = F.row_number().over(Window.partitionBy(*ID).orderBy(F.desc("votes"), "theta", "rho"))
     some = counted.withColumn("place", place).where(F.col("place") <= k)

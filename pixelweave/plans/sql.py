@@ -33,7 +33,7 @@ _ANGLES = "(SELECT t, CAST(round(cos(radians(t)) * 1000000) AS BIGINT) AS c, CAS
 VOTES = f"""px AS (SELECT vec_id // 64 AS frame_idx, i AS x, vec_id % 64 AS y FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings) WHERE floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 100000) > 30000),
   v AS (SELECT CAST(frame_idx AS INT) AS frame_idx, CAST(t AS INT) AS theta, CAST(floor((x * c + y * s) / 1000000) AS INT) AS rho, count(*) AS votes FROM px, {_ANGLES} a GROUP BY ALL HAVING count(*) > 3)"""
 THETA = VOTES + ", b AS (SELECT frame_idx, theta // 10 AS band, CAST(sum(votes) AS BIGINT) AS votes FROM v GROUP BY ALL), h AS (SELECT *, round(votes / sum(votes) OVER (PARTITION BY frame_idx), 9) AS share FROM b)"
-BL = ST + f""", gv AS (SELECT frame_idx, blob_id, t, c, s, CAST(floor((x * c + y * s) / 1000000) AS INT) AS rho, count(*) AS votes FROM lp, {_ANGLES} a GROUP BY ALL),
+BL = ST + f""", gv AS (SELECT frame_idx, blob_id, t, c, s, CAST(floor((x * c + y * s + 500000) / 1000000) AS INT) AS rho, count(*) AS votes FROM lp, {_ANGLES} a GROUP BY ALL),
   gk AS (SELECT *, row_number() OVER (PARTITION BY frame_idx, blob_id ORDER BY votes DESC, t, rho) AS place FROM gv QUALIFY place <= 10),
   gd AS (SELECT k.frame_idx, k.blob_id, place, t, rho, c, s, votes, count(*) AS n, list_sort(list(abs(x * c + y * s - rho * CAST(1000000 AS BIGINT))), 'DESC')[count(*) // 2 + 1] AS med FROM gk k JOIN lp p ON p.frame_idx = k.frame_idx AND p.blob_id = k.blob_id GROUP BY ALL),
   bl AS (SELECT frame_idx, blob_id, CAST(t AS INT) AS theta, rho, c AS cosine, s AS sine, votes FROM gd WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY frame_idx, blob_id ORDER BY med, place) = 1)"""

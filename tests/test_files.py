@@ -32,3 +32,22 @@ def test_decisions_round_trip_replaces_only_its_frames(spark, tmp_path):
     assert sorted(map(tuple, files.read_decisions(spark, f"{tmp_path}/d").collect())) == [(0, 3, "userSelected", None, False), first[2]]
     labelled = files.label_features(spark.createDataFrame([(0, 1, 2.0), (0, 2, 3.0)], "frame_idx int, group_id long, size double"), spark.createDataFrame(first, schema))
     assert [tuple(r) for r in labelled.select("group_id", "label").collect()] == [(1, True)]
+
+
+def test_settings_slices_and_manifests(spark, tmp_path):
+    (tmp_path / "config.json").write_text('{"detectionType": "mild", "ignoreLowerPixels": 10}')
+    assert files.read_config(spark, f"{tmp_path}/config.json") == {"detectionType": "mild", "ignoreLowerPixels": 10}
+    folder = f"{tmp_path}/slices"
+    assert files.read_slices(spark, folder).count() == 0
+    rows = [(1, 2, 3, 4, 5), (1, 6, 7, 8, 9), (2, 0, 0, 1, 1)]
+    files.write_slices(spark.createDataFrame(rows, files.SLICES), folder)
+    files.write_slices(spark.createDataFrame([(2, 5, 5, 6, 6)], files.SLICES), folder)
+    assert sorted(map(tuple, files.read_slices(spark, folder).collect())) == [*rows[:2], (2, 5, 5, 6, 6)]
+    (tmp_path / "good.json").write_text('{"/a": ["x", "y"], "/b": []}')
+    (tmp_path / "bad.json").write_text('{"/a": ["x" "y"]}')
+    assert sorted(map(tuple, files.read_manifest(spark, f"{tmp_path}/good.json").collect())) == [("/a", "x"), ("/a", "y")]
+    assert files.read_manifest(spark, f"{tmp_path}/bad.json").count() == 0
+    names = ("size", "width")
+    for n in range(2):
+        files.write_features(spark.createDataFrame([(n, 1.0, 2.0)], "group_id long, size double, width double"), f"{tmp_path}/f{n}", names)
+    assert files.read_many_features(spark, [f"{tmp_path}/f0", f"{tmp_path}/f1"], names).count() == 2

@@ -84,3 +84,68 @@ def test_a_clean_cut_and_a_forest(spark):
     assert scored.where((F.col("s") > 0) == F.col("label")).count() > 130
     for tree, _ in trees:
         assert learn.evaluate(more, learn.prune(tree, more).column()).first()["good"] >= learn.evaluate(more, tree.column()).first()["good"]
+
+
+def test_pruning_by_level_is_pruning_node_by_node(spark):
+    r = random.Random(7)
+    rows = [(i, r.random() < 0.5, r.random(), r.random()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, label boolean, f0 double, f1 double")
+    tree = learn.grow_tree(df, ["f0", "f1"], 3)
+    other = [(i, r.random() < 0.4, r.random(), r.random()) for i in range(90)]
+
+    def score(t, row):
+        while t.feature is not None:
+            t = t.less if row[2 + int(t.feature[1])] < t.threshold else t.more
+        return t.value
+
+    def good(t):
+        return sum((score(t, row) >= 0) == row[1] for row in other)
+
+    def mean(t):
+        return t.value if t.feature is None else (mean(t.less) + mean(t.more)) / 2
+
+    def put(t, path, new):
+        if not path:
+            return new
+        return learn.Node(t.feature, t.threshold, put(t.less, path[1:], new), t.more) if path[0] == "l" else learn.Node(t.feature, t.threshold, t.less, put(t.more, path[1:], new))
+
+    plain, todo = tree, [""]
+    while todo:
+        path = todo.pop(0)
+        t = plain
+        for c in path:
+            t = t.less if c == "l" else t.more
+        if t.feature is not None:
+            cut = put(plain, path, learn.Node(value=mean(t)))
+            if good(cut) > good(plain):
+                plain = cut
+            else:
+                todo += [path + "l", path + "m"]
+    assert learn.prune(tree, spark.createDataFrame(other, df.schema)) == plain
+
+
+def test_forest_query_against_naive_scores(spark):
+    from pixelweave.plans import queries
+    from pixelweave.sources import training_rows
+
+    data = "/root/testdata/sf0.001"
+    rows = training_rows(spark, data).collect()
+    trees = learn.forest(spark.createDataFrame(rows), ["f0", "f1", "f2"], 3, 3)
+    found = {x["id"]: x["score"] for x in queries.forest_score(spark, data).collect()}
+
+    def score(t, row):
+        while t.feature is not None:
+            t = t.less if row[t.feature] < t.threshold else t.more
+        return t.value
+
+    assert len(found) == len(rows)
+    for row in rows:
+        assert found[row["id"]] == pytest.approx(sum(score(t, row) * w for t, w in trees) / 3, abs=1e-8)
+
+
+def test_reports_leaves_and_subsets(spark):
+    rows = spark.createDataFrame([(True, 1.0), (False, 2.0), (True, 3.0)], "label boolean, f0 double")
+    found = learn.report({"all": F.lit(1.0), "cut": F.when(F.col("f0") < 1.5, 1.0).otherwise(-1.0), "none": F.lit(-1.0)}, rows).collect()
+    assert [(r["name"], r["good"], r["bad"]) for r in found] == [("none", 1, 2), ("all", 2, 1), ("cut", 2, 1)]
+    assert learn.feature_subsets(["a", "b", "c"]) == [["a", "b"], ["a", "c"], ["b", "c"]]
+    assert [r[0] for r in rows.select(learn.linear_leaf(F.col("f0"), 1.0, 3.0)).collect()] == [-1.0, 0.0, 1.0]
