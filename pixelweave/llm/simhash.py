@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ SEED = 42
 #: Of `keep_one`: fingerprints of so many words a shingle, for each of these seeds, within so many bits.
 FINGERPRINT_WORDS, SEEDS, RADIUS = 2, (42, 43, 44), 5
 #: In buckets of so many fingerprints all pairs are proposed.
-PAIRED_ROWS = 32
+PAIRED_ROWS = 16
 _KEY, _DECIDED = "_key_of_text", "_decided_by_text"
 
 
@@ -138,34 +138,43 @@ def _links(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _proposed(fps: list[int], radius: int) -> list[tuple[int, int]]:
-    """All pairs within the radius of a small bucket. Of a large one, pairs with leaders: the member nearest to the majority of bits, which is what
+def _proposed(fps: list[int], radius: int, groups: list[int]) -> list[tuple[int, int]]:
+    """Pairs within the radius whose groups differ. Of a small bucket all of them. Of a large one, pairs with leaders: the member nearest to the majority of bits, which is what
     copies were made from rather than one of them, takes all within the radius, then the next leader is found among the rest."""
-    left, out = np.sort(np.array(fps, dtype=np.int64)), []
+    if len(set(groups)) < 2:
+        return []
+    left, own = np.array(fps, dtype=np.int64), np.array(groups, dtype=np.int64)
+    order, out = np.argsort(left), []
+    left, own = left[order], own[order]
     while len(left) > PAIRED_ROWS:
-        centre = np.uint64(_majority(left.view(np.uint64)))
-        lead = left[np.bitwise_count(left.view(np.uint64) ^ centre).argmin()]
-        near = np.bitwise_count((left ^ lead).view(np.uint64)) <= radius
-        out += [(max(x, int(lead)), min(x, int(lead))) for x in left[near].tolist() if x != lead]
-        left = left[~near]
+        lead = int(np.bitwise_count(left.view(np.uint64) ^ np.uint64(_majority(left.view(np.uint64)))).argmin())
+        near = np.bitwise_count((left ^ left[lead]).view(np.uint64)) <= radius
+        out += [(max(x, int(left[lead])), min(x, int(left[lead]))) for x in left[near & (own != own[lead])].tolist()]
+        left, own = left[~near], own[~near]
     for i in range(len(left) - 1):
-        rest = left[i + 1 :]
-        out += [(x, int(left[i])) for x in rest[np.bitwise_count((rest ^ left[i]).view(np.uint64)) <= radius].tolist()]
+        near = (np.bitwise_count((left[i + 1 :] ^ left[i]).view(np.uint64)) <= radius) & (own[i + 1 :] != own[i])
+        out += [(x, int(left[i])) for x in left[i + 1 :][near].tolist()]
     return out
 
 
-def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS, within: Callable[[list[int], int], list[tuple[int, int]]] = _links) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``a, b``: links that connect the distinct fingerprints of ``fps(fp)`` exactly as all pairs within
-    ``radius`` bits do. Within a bucket only one link for each fingerprint leaves its task, or what ``within`` gives."""
+    ``radius`` bits do. Within a bucket only one link for each fingerprint leaves its task. With a column ``own``, a number of a group, instead the pairs that
+    `_proposed` gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [x for group in b.column(0).to_pylist() for x in within(group, radius)]
+            if grouped:
+                found = [x for group in b.column(0).to_pylist() for x in _proposed([m["fp"] for m in group], radius, [m["own"] for m in group])]
+            else:
+                found = [x for group in b.column(0).to_pylist() for x in _links(group, radius)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
+    grouped = "own" in fps.columns
+    carried = ["fp", "own"] if grouped else ["fp"]
     spark, masks, free = fps.sparkSession, {1: [(1 + i, m) for i, m in enumerate(covering_masks(list(range(64)), radius))]}, {}
     tables = F.array(*[F.struct(F.lit(t).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in masks[1]])
-    keyed, found = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.path", "t.key"), None
+    keyed, found = fps.select(*carried, F.explode(tables).alias("t")).select(*carried, "t.path", "t.key"), None
     while True:
         # counts are partial before the shuffle, so a crowded bucket is never gathered
         crowded = written(keyed.groupBy("path", "key").count().where(F.col("count") > bucket_rows).select("path", "key"), "simhash-crowded")
@@ -178,7 +187,7 @@ def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS, withi
         small = keyed.join(small_side(crowded), ["path", "key"], "left_anti") if split else keyed
         size = F.count("*").over(Window.partitionBy("path", "key"))
         small = written(small.withColumn("n", size).where("n > 1").drop("n"), "simhash-buckets")
-        here = small.groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "a long, b long")
+        here = small.groupBy("path", "key").agg(F.collect_list(F.struct("fp", "own") if grouped else F.col("fp")).alias("fps")).select("fps").mapInArrow(run, "a long, b long")
         found = here if found is None else found.unionByName(here)
         if not split:
             return found.distinct()
@@ -188,7 +197,7 @@ def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS, withi
         masks = {p: [(next(number), whole[p] | m) for m in covering_masks(free[p], radius)] for p in paths}
         # of three levels the last has 31 ** 3 tables for radius 4
         next_tables = F.broadcast(spark.createDataFrame([(p, t, _signed(m)) for p, ms in masks.items() for t, m in ms], "path int, to int, mask long"))
-        keyed = full.join(next_tables, "path").select("fp", F.col("to").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        keyed = full.join(next_tables, "path").select(*carried, F.col("to").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     """
     rows = written(fingerprints(docs, words, id_col, text_col), "simhash")
     first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", _node("first_id", "fp")), "simhash-distinct")
-    found = written(links(first, radius), "simhash-links")
+    found = written(links(first.select("fp"), radius), "simhash-links")
     ends = [first.select(F.col("fp").alias(e), F.col("node").alias(f"node_{e}")) for e in "ab"]
     edges = found.join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     # nodes are ordered by id, so a component's root has its number
@@ -237,32 +246,42 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     """The distinct texts of ``docs(doc_id, text)``, as ``key, first_id, n_rows, n_first, node``, and links ``a, b`` of nodes whose
     texts' sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Pairs are proposed by covering tables over fingerprints of word pairs, under each seed, and every proposed pair is verified. All pairs of a bucket
-    are proposed, but for large ones, in which each text is compared with leaders. Texts without words are like each other.
+    Pairs are proposed by covering tables over fingerprints of word pairs, under one seed after the other, and every proposed pair is verified. All pairs of a bucket
+    that aren't connected yet are proposed, but for large buckets, in which each text is compared with leaders. Texts without words are like each other.
     """
     rows = written(_fingerprinted(clean_text(docs, "doc_id", "text"), FINGERPRINT_WORDS, seeds), "dedup-fingerprints")
     least = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"), F.any_value("fps").alias("fps"))
     least = written(least.withColumn("node", F.struct(F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", F.lit(0).cast("long")).alias("id"), F.col("key.k1"), F.col("key.k2"))), "dedup-texts")
-    pairs = None
+    edges = None
     for n in range(len(seeds)):
         own = least.select("node", F.col("fps")[n].alias("fp"))
-        lead = written(own.groupBy("fp").agg(F.min("node").alias("lead")), "dedup-leads")
-        same = own.join(lead, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        near = links(lead.select("fp"), radius, within=_proposed)
+        if edges is None:
+            own = own.withColumn("own", F.xxhash64("node"))
+        else:
+            # what is connected by now needn't be proposed again
+            own = own.join(components(edges, "dedup-components"), "node", "left").select("node", "fp", F.xxhash64(F.coalesce("root", "node")).alias("own"))
+        own = written(own, "dedup-own")
+        lead = written(own.groupBy("fp").agg(F.min_by(F.struct("node", "own"), "node").alias("lead")).select("fp", F.col("lead.node").alias("lead"), "lead.own"), "dedup-leads")
+        same = own.join(lead.withColumnRenamed("own", "of_lead"), "fp").where("own <> of_lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        near = links(lead.select("fp", "own"), radius)
         near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("to_a")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("to_b")), "b")
-        new = same.unionByName(near.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")))
-        pairs = new if pairs is None else pairs.unionByName(new)
-    pairs = written(pairs.distinct(), "dedup-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        pairs = written(same.unionByName(near.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b"))).distinct(), "dedup-pairs")
+        found = written(_verified(docs, pairs, words, similarity), "dedup-links")
+        edges = found if edges is None else edges.unionByName(found)
+    return least, edges
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of texts that are alike."""
     key = F.struct(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"))
-    wanted = small_side(written(asked.withColumn("key", key), "dedup-asked"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("key", key)
+    wanted = small_side(written(asked, "dedup-asked"))
     text = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _text_key(F.col("text"))).join(wanted, "key")
     shingled = text.select("node", F.array_distinct(hashes_of(words_of(F.col("text")), words)).alias("hs"))
     sets = written(shingled.groupBy("node").agg(F.any_value("hs").alias("hs")), "dedup-shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    alike = common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common) - 1e-9
-    return least, both.where(alike).select("a", "b")
+    return both.where(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

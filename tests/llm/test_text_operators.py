@@ -144,7 +144,7 @@ def jaccard(a, b, k=5):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("paired", [32, 3])
+@pytest.mark.parametrize("paired", [16, 3])
 def test_keep_one_against_all_pairs(spark, monkeypatch, paired):
     """Texts that all pairs of five-word similarity of 0.8 or more connect: every drop is one of these, and nearly all are found."""
     monkeypatch.setattr(simhash, "PAIRED_ROWS", paired)
