@@ -29,11 +29,11 @@ from pixelweave.llm.common import clean_text, written
 
 DEPTH = 5
 #: A block is about so many bytes of text; the more there are, the fewer scores are asked for in all.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
 #: Of a block, texts of about so many bytes are stored and cut into words together, and so many bytes are cut into grams.
-PART_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
+PART_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
 #: Subtrees of more distinct grams are cut by one more byte of context; a task builds subtrees of about so many grams in all.
-SHARD_GRAMS = 250_000
+SHARD_GRAMS = 100_000
 END = "\n"
 
 
@@ -236,6 +236,7 @@ def _asked(blocks: DataFrame) -> DataFrame:
         word = counted(words)
         grams.clear()
         words.clear()
+        pa.default_memory_pool().release_unused()  # workers live on, with what they hold
         both = pa.concat_tables([
             pa.table([pa.array(np.full(len(gram), block)), pa.array(gram), pa.nulls(len(gram), pa.string()), pa.array(n)], names=names),
             pa.table([pa.array(np.full(len(word), block)), pa.nulls(len(word), pa.int64()), word.column("word"), word.column("n")], names=names),
@@ -260,6 +261,7 @@ def _asked(blocks: DataFrame) -> DataFrame:
                     words.append(pa.table({"word": word.dictionary, "n": n}))
                 if len(grams) > 4:
                     grams[:], words[:] = [_summed(grams)], [counted(words)]
+                    pa.default_memory_pool().release_unused()
         if block is not None:
             yield from flush(block, grams, words)
 
@@ -343,6 +345,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             coded = np.diff(own.at) - own.depth
             columns = [rows.column("doc_id"), rows.column("held_out"), own.n_words + 1, n_known, np.full(len(rows), n_train), base, model, -model * np.log2(10) / coded]
             out.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     both = blocks.groupBy("block").cogroup(of_grams.unionByName(of_words).groupBy("block"))
