@@ -244,7 +244,7 @@ def _asked(blocks: DataFrame) -> DataFrame:
         yield from both.to_batches(50_000)
 
     def counted(words: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(words).group_by("word").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        return pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, grams, words = None, [], []
