@@ -78,9 +78,13 @@ def grow_groups(px: DataFrame, least: int, min_contrast: float, original: DataFr
         return out.assign(frame_idx=rows["frame_idx"].iloc[0])[["frame_idx", "blob_id", "x", "y", "intensity"]]
 
     schema = "frame_idx int, blob_id int, x int, y int, intensity int"
+    px = px.select("frame_idx", "x", "y", "intensity")
     if original is None:
         return px.groupBy("frame_idx").applyInPandas(lambda rows: run(rows), schema)
-    return px.groupBy("frame_idx").cogroup(original.groupBy("frame_idx")).applyInPandas(lambda rows, whole: run(rows, whole), schema)
+    # columns of their own names, as both sides may come from one table
+    whole = original.select(F.col("frame_idx").alias("whole_frame"), F.col("x").alias("whole_x"), F.col("y").alias("whole_y"), F.col("intensity").alias("whole_intensity"))
+    plain = {"whole_frame": "frame_idx", "whole_x": "x", "whole_y": "y", "whole_intensity": "intensity"}
+    return px.groupBy("frame_idx").cogroup(whole.groupBy("whole_frame")).applyInPandas(lambda rows, other: run(rows, other.rename(columns=plain)), schema)
 
 
 def _dark_border(members: np.ndarray, owner: np.ndarray, n: int, image: np.ndarray, around: np.ndarray, most_ratio: float) -> bool:
