@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import ann, ctw, decontaminate, html, packing, pii, quality, shards, simhash
+from pixelweave.llm import ann, ctw, decontaminate, html, negatives, packing, pii, quality, shards, simhash
 from pixelweave.llm.common import fresh_path, table
 from pixelweave.llm.tokens import vocabulary
 
@@ -64,4 +64,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(found, ["shard", "ordinal"]).select("doc_id", "shard", "ordinal", "start", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_packing, op4_ann, op5_html, op6_simhash, op7_quality, op8_ctw, op9_pii, op10_token_counts)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.vectors(table(spark, sf_dir, "embeddings"), label=label), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_packing, op4_ann, op5_html, op6_simhash, op7_quality, op8_ctw, op9_pii, op10_token_counts, op11_hard_negatives)}
