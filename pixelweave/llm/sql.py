@@ -85,4 +85,18 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
 FROM n QUALIFY rank <= 3
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": CONTAINED, "op9_pii": PII, "op11_hard_negatives": HARD_NEGATIVES}
+PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w, range(1, 6) t(k) WHERE len(w) >= k),
+     f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+     c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+     kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = c.lang AND o.k > c.k AND o.a >= c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+     cut AS (SELECT lang, phrase, a, i, array_to_string(w[1:i], ' ') AS one, array_to_string(w[i + 1 :], ' ') AS two FROM kept, range(1, 5) t(i) WHERE i < k),
+     s AS (SELECT cut.lang, cut.phrase, a, n, i, l.f AS l, r.f AS r, CAST((1000 * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS BIGINT) AS score
+           FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = one JOIN f r ON r.lang = cut.lang AND r.phrase = two JOIN n ON n.lang = cut.lang),
+     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": CONTAINED, "op9_pii": PII, "op11_hard_negatives": HARD_NEGATIVES, "op13_phrases": PHRASES}
