@@ -4,8 +4,8 @@ Texts are cut into runs of words. Each place of a run gives one edge, the longes
 left before the run's end. Edges are summed over the corpus. Where a node has one edge in and one out, and no run begins or ends there, its edges become one path; a passage
 that many documents share is a single row then. How often a shorter phrase occurs is the flow out of its node, the weight of all edges that begin with it, plus the runs that end with it.
 
-A run ends with its piece, and also where the next two words cannot occur together often enough for any candidate: a phrase that occurs ``least`` times consists of words and pairs of
-words that occur so often. Which ones do is known from counts over the whole corpus, told to the tasks as two bitmaps of fixed size. They may say yes too often, by chance, which adds
+A gram also ends, like at a run's end, before the words that cannot belong to a candidate with it: a phrase that occurs ``least`` times consists of words, pairs and triples of
+words that occur so often. Which ones do is known from counts over the whole corpus, told to the tasks as three bitmaps of fixed size. They may say yes too often, by chance, which adds
 edges, but never no, so they change no count of a candidate.
 """
 
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import written
 
-#: Bits of the bitmaps of frequent words and pairs of words; two and eight megabytes.
+#: Bits of the bitmap of frequent words, and of those of pairs and of triples; two and eight megabytes.
 WORD_BITS, PAIR_BITS = 1 << 24, 1 << 26
+#: Counts of pairs and triples are dealt to so many parts that a part is of so many places of the corpus.
+PART_WORDS = 1 << 21
 #: Bits of a bitmap that one task makes.
 CHUNK_BITS = 1 << 19
 #: Texts are cut into words so many bytes at a time.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 LONGEST = 5
 _PLACES = bytes(ord("\n") if c in b".,;:!?\n\x0b\x0c\r" else ord(" ") if c == ord("\t") else c for c in range(256))
 
@@ -58,6 +60,9 @@ class Words:
     def pair_hashes(self, at: np.ndarray) -> np.ndarray:
         return _mixed(_mixed(self.hashes[self.ids[at]]) * np.uint64(3) + self.hashes[self.ids[at + 1]])
 
+    def triple_hashes(self, at: np.ndarray) -> np.ndarray:
+        return _mixed(self.pair_hashes(at) * np.uint64(3) + self.hashes[self.ids[at + 2]])
+
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
     """The words of each language, of a bounded share of a batch at a time, or of one text."""
@@ -125,33 +130,66 @@ def _shared(spark: SparkSession, value: np.ndarray) -> Callable[[], np.ndarray]:
     return lambda: sent.value
 
 
+def _frequent(docs: DataFrame, hashes: Callable[[Words], np.ndarray], parts: int, least: int) -> DataFrame:
+    """``h``: the hashes that occur ``least`` times or more in the corpus. Each piece of a batch counts its own; the counts go packed to the part of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, w in _each(batches):
+            found, counts = np.unique(hashes(w), return_counts=True)
+            part = (found >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            part, found, counts = part[order], found[order], counts[order].astype(np.int64)
+            at = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, dtype=int)
+            each = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]].astype(np.int64)), pa.array([found[a:b].tobytes() for a, b in each], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in each], pa.binary())], names=["part", "hs", "ns"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        h, n = (np.frombuffer(b"".join(rows[c]), dtype=np.int64) for c in ("hs", "ns"))
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return pd.DataFrame({"h": h[first][np.add.reduceat(n, first) >= least]})
+
+    return docs.mapInArrow(run, "part long, hs binary, ns binary").groupBy("part").applyInPandas(add, "h long")
+
+
 def edges(docs: DataFrame, least: int, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> tuple[DataFrame, DataFrame]:
     """Words and edges: ``lang, word, n`` of all words, and ``lang, gram, k, n`` of grams of ``k`` words, two to five: the longest at each place of a run."""
     spark = docs.sparkSession
     counted = docs.mapInArrow(_word_counts, "lang string, word string, h long, n long").groupBy("lang", "word").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
     counted = written(counted, "phrase-words")
+    parts = (counted.agg(F.sum("n")).first()[0] or 0) // PART_WORDS + spark.sparkContext.defaultParallelism
     words = _shared(spark, _bitmap(counted.where(F.col("n") >= least).select("h"), word_bits))
+    beside = lambda w: _beside(w, words(), word_bits)
+    pairs = _shared(spark, _bitmap(_frequent(docs, lambda w: w.pair_hashes(beside(w)), parts, least), pair_bits))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w in _each(batches):
-            hashes, counts = np.unique(w.pair_hashes(_beside(w, words(), word_bits)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["h", "n"])
+    def paired(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Places that begin a frequent pair, and whether the next one does too."""
+        at = beside(w)
+        at = at[_has(pairs(), w.pair_hashes(at), pair_bits)]
+        goes = np.zeros(len(w.ids) + 1, dtype=bool)
+        goes[at] = True
+        return at, goes[at + 1]
+
+    def tripled(w: Words) -> np.ndarray:
+        at, more = paired(w)
+        return w.triple_hashes(at[more])
 
-    often = docs.mapInArrow(pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    together = _shared(spark, _bitmap(often, pair_bits))
+    triples = _shared(spark, _bitmap(_frequent(docs, tripled, parts, least), pair_bits))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, w in _each(batches):
-            at = _beside(w, words(), word_bits)
-            at = at[_has(together(), w.pair_hashes(at), pair_bits)]
-            goes = np.zeros(len(w.ids) + LONGEST, dtype=np.int8)
-            goes[at] = 1
-            ahead = np.zeros(len(at), dtype=np.int64)
-            for j in reversed(range(LONGEST - 1)):
-                ahead = np.where(goes[at + j] > 0, ahead + 1, 0)
-            first, counts = _codes(w, at, ahead + 1)
-            names = [" ".join(w.words[i] for i in w.ids[a : a + k + 1].tolist()) for a, k in zip(at[first].tolist(), ahead[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(names, pa.string()), pa.array((ahead[first] + 1).astype(np.int32)), pa.array(counts)], names=["lang", "gram", "k", "n"])
+            at, more = paired(w)
+            goes = np.zeros(len(w.ids) + LONGEST, dtype=bool)
+            threes = at[more]
+            goes[threes[_has(triples(), w.triple_hashes(threes), pair_bits)]] = True
+            ahead, on = np.full(len(at), 2), np.ones(len(at), dtype=bool)
+            for j in range(LONGEST - 2):
+                on = on & goes[at + j]
+                ahead += on
+            first, counts = _codes(w, at, ahead)
+            names = [" ".join(w.words[i] for i in w.ids[a : a + k].tolist()) for a, k in zip(at[first].tolist(), ahead[first].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(names, pa.string()), pa.array(ahead[first].astype(np.int32)), pa.array(counts)], names=["lang", "gram", "k", "n"])
 
     found = docs.mapInArrow(grams, "lang string, gram string, k int, n long").groupBy("lang", "gram", "k").agg(F.sum("n").alias("n"))
     return counted.select("lang", "word", "n"), written(found, "phrase-edges")
