@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import ann, collocations, ctw, decontaminate, html, negatives, packing, pii, quality, shards, simhash
+from pixelweave.llm import ann, collocations, ctw, decontaminate, html, minhash, negatives, packing, pii, quality, shards, simhash
 from pixelweave.llm.common import fresh_path, table
 from pixelweave.llm.tokens import vocabulary
 
@@ -69,8 +69,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.vectors(table(spark, sf_dir, "embeddings"), label=label), F.col("vec_id") % 50 == 0)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_packing, op4_ann, op5_html, op6_simhash, op7_quality, op8_ctw, op9_pii, op10_token_counts, op11_hard_negatives, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_store, op3_packing, op4_ann, op5_html, op6_simhash, op7_quality, op8_ctw, op9_pii, op10_token_counts, op11_hard_negatives, op12_minhash, op13_phrases)}

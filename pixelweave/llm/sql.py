@@ -85,6 +85,17 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
 FROM n QUALIFY rank <= 3
 """
 
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+     e AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * hits >= 80 * (p.n + q.n - hits)),
+     r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
 PHRASES = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
      w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
@@ -99,4 +110,4 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(trans
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": CONTAINED, "op9_pii": PII, "op11_hard_negatives": HARD_NEGATIVES, "op13_phrases": PHRASES}
+ORACLES: dict[str, str] = {"op1_decontaminate": CONTAINED, "op9_pii": PII, "op11_hard_negatives": HARD_NEGATIVES, "op12_minhash": NEAR_DUPLICATES, "op13_phrases": PHRASES}
