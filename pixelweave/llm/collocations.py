@@ -11,6 +11,7 @@ edges, but never no, so they change no count of a candidate.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -189,9 +190,21 @@ def edges(docs: DataFrame, least: int, word_bits: int = WORD_BITS, pair_bits: in
                 ahead += on
             first, counts = _codes(w, at, ahead)
             names = [" ".join(w.words[i] for i in w.ids[a : a + k].tolist()) for a, k in zip(at[first].tolist(), ahead[first].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(names, pa.string()), pa.array(ahead[first].astype(np.int32)), pa.array(counts)], names=["lang", "gram", "k", "n"])
+            by: dict[int, list[int]] = {}
+            for i, name in enumerate(names):
+                by.setdefault(zlib.crc32(name.encode()) % parts, []).append(i)
+            own = list(by.values())
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array([lang] * len(by), pa.string()), pa.array(["\n".join(names[i] for i in at) for at in own], pa.string()), pa.array([counts[at].tolist() for at in own], pa.list_(pa.int64()))], names=["part", "lang", "grams", "ns"])
 
-    found = docs.mapInArrow(grams, "lang string, gram string, k int, n long").groupBy("lang", "gram", "k").agg(F.sum("n").alias("n"))
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        sums: dict[tuple[str, str], int] = {}
+        for lang, names, ns in zip(rows["lang"], rows["grams"], rows["ns"], strict=True):
+            for name, n in zip(names.split("\n"), ns.tolist(), strict=True):
+                sums[lang, name] = sums.get((lang, name), 0) + n
+        return pd.DataFrame({"lang": [x for x, _ in sums], "gram": [x for _, x in sums], "k": [x.count(" ") + 1 for _, x in sums], "n": list(sums.values())})
+
+    # no word holds a line end, so grams of one part go as lines
+    found = docs.mapInArrow(grams, "part long, lang string, grams string, ns array<long>").groupBy("part").applyInPandas(add, "lang string, gram string, k int, n long")
     return counted.select("lang", "word", "n"), written(found, "phrase-edges")
 
 

@@ -65,8 +65,10 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _to_least(rows: DataFrame, of: DataFrame) -> DataFrame:
+def _to_least(rows: DataFrame, of: DataFrame, hubless: bool = False) -> DataFrame:
     """``rows(a, b)`` with the ``least`` of their ``a``, from ``of(a, n, least)``. Hubs, of which there are fewer than edges / ``HUB_EDGES``, go by broadcast."""
+    if hubless:
+        return rows.join(of.select("a", "least"), "a")
     of = written(of, "components-least")
     hubs = of.where(F.col("n") > HUB_EDGES).select("a", "least")
     plain = of.select("a", "least")
@@ -76,13 +78,14 @@ def _to_least(rows: DataFrame, of: DataFrame) -> DataFrame:
     return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(plain, "a"))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", hubless: bool = False) -> DataFrame:
     """Connected components of the undirected graph ``edges(a, b)``, whose nodes are of any type with an order.
 
     Returns ``(node, root)`` for every node that has an edge; root is the smallest node of the
     component. Alternates two star contractions, large and small, until no edge moves, which takes a
     logarithmic number of rounds; every round is written, so a lost executor costs one round at most.
-    Self-links and repeated links are harmless; nulls are ignored.
+    Self-links and repeated links are harmless; nulls are ignored. ``hubless`` says that there are no more than ``HUB_EDGES`` edges
+    in all, so no node can have more.
     """
     edges = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     if edges.isEmpty():
@@ -91,9 +94,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.first("a")).alias("least"))
-        large = written(_to_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), name)
+        large = written(_to_least(both.where("b > a"), least, hubless).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), name)
         least = large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("least"))
-        small = _to_least(large, least).select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        small = _to_least(large, least, hubless).select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         edges = written(small, name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:

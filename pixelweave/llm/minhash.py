@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import clean_text, components, small_side, written
+from pixelweave.llm.common import HUB_EDGES, clean_text, components, small_side, written
 
 #: Coordinates of a sketch, and those of a band.
 SIZE, BAND = 256, 4
@@ -202,6 +202,10 @@ def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, similari
     return both.distinct()
 
 
+def _roots(edges: DataFrame) -> DataFrame:
+    return written(components(edges, "minhash-components", edges.count() <= HUB_EDGES // 2).withColumnRenamed("node", "key"), "minhash-roots")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -227,11 +231,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, id
     leads = leads.groupBy("key").agg(F.min(F.struct(F.col("lead_id").isNull().alias("no_id"), "lead_id", "lead")).alias("l")).select(F.col("l.lead").alias("one"), F.col("key").alias("other"))
     edges = written(_verified(_packed(leads, blocks), sets, blocks, similarity), "minhash-links")
     sketched = distinct.select("key", "n", "sketch")
-    for first in (FIRST, None):
-        roots = written(components(edges, "minhash-components").withColumnRenamed("node", "key"), "minhash-roots")
-        pairs = _compared(shared.select("band", "key"), roots, sketched, similarity, first)
-        edges = written(edges.unionByName(_verified(_packed(pairs, blocks), sets, blocks, similarity)), "minhash-links")
-    roots = components(edges, "minhash-components").withColumnRenamed("node", "key")
+    # a text has one lead, so those linked to the same are known to be of one component
+    roots = edges.select(F.col("b").alias("key"), F.col("a").alias("root"))
+    pairs = _compared(shared.select("band", "key"), roots, sketched, similarity, FIRST)
+    edges = written(edges.unionByName(_verified(_packed(pairs, blocks), sets, blocks, similarity)), "minhash-links")
+    roots = _roots(edges)
+    pairs = _compared(shared.select("band", "key"), roots, sketched, similarity, None)
+    more = written(_verified(_packed(pairs, blocks), sets, blocks, similarity), "minhash-links")
+    roots = roots if more.isEmpty() else _roots(edges.unionByName(more))
     own = distinct.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = written(own.groupBy("root").agg(F.min("first_id").alias("component_id")), "minhash-least")
     named = own.join(least_id, "root").select("key", "component_id")
