@@ -30,6 +30,8 @@ MISSED = 1e-7
 DEVIATIONS = 5
 #: Texts of a block, on average, as sketches are compared and as sets are verified.
 COMPARED, VERIFIED = 1024, 1024
+#: Rows that are compared in one group, on average.
+SHELF_ROWS = 16_384
 #: The candidates of a text in a block that are verified first.
 FIRST = 4
 #: Hashes that a round works on.
@@ -167,38 +169,42 @@ def _packed(pairs: DataFrame, blocks: int) -> DataFrame:
 def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, similarity: float, first: int | None) -> DataFrame:
     """``one, other``: texts of one band and of different classes whose sketches agree so far as to be looked at. Of a band's largest class no two are compared, so a
     text of it goes only to blocks that others are sent to. With ``first`` only the best of each text and block, else all, a pair once."""
-    least = least_agreement(similarity)
+    spark, least = shared.sparkSession, least_agreement(similarity)
     own = shared.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     own = written(own, "minhash-classes")
     counted = own.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("in_main")).where("classes > 1")
-    mixed = mixed.select("band", "main", F.ceil(F.col("n") / COMPARED).alias("blocks"), F.ceil((F.col("n") - F.col("in_main")) / COMPARED).alias("others"))
-    rows = own.join(written(mixed, "minhash-mixed"), "band").join(sketched, "key")
+    mixed = written(mixed.select("band", "main", "n", "in_main", F.ceil(F.col("n") / COMPARED).alias("blocks"), F.ceil((F.col("n") - F.col("in_main")) / COMPARED).alias("others")), "minhash-mixed")
+    rows = own.join(mixed.drop("n", "in_main"), "band").join(sketched, "key")
     here, every = lambda n: F.pmod(F.xxhash64("key"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = rows.withColumn("is_main", F.col("root") == F.col("main"))
     stay = rows.select("band", here("blocks").alias("block"), every("others").alias("part"), "key", "root", "n", "sketch", "is_main", F.lit(False).alias("sent"))
     sent = rows.where(~F.col("is_main")).select("band", every("blocks").alias("block"), here("others").alias("part"), "key", "root", "n", "sketch", "is_main", F.lit(True).alias("sent"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        to, of = group[~group["sent"]], group[group["sent"]]
+    def run(shelf: pd.DataFrame) -> pd.DataFrame:
+        numbers = np.frombuffer(b"".join(shelf["sketch"]), dtype="<u2").reshape(len(shelf), SIZE)
+        keys, size, main, sent = (shelf[c].to_numpy() for c in ("key", "n", "is_main", "sent"))
+        root = pd.factorize(shelf["root"])[0]
         one, other = [], []
-        if len(to) and len(of):
-            numbers = np.stack([np.frombuffer(s, dtype="<u2") for s in to["sketch"]])
-            keys, root, size, main = to["key"].to_numpy(), to["root"].to_numpy(), to["n"].to_numpy(), to["is_main"].to_numpy()
-            for key, r, n, s in zip(of["key"], of["root"], of["n"], of["sketch"], strict=True):
-                able = (root != r) & (np.minimum(size, n) >= similarity * np.maximum(size, n) - 1e-9)
+        for group in shelf.groupby(["band", "block", "part"], sort=False).indices.values():
+            to, of = group[~sent[group]], group[sent[group]]
+            for i in of.tolist() if len(to) else []:
+                able = (root[to] != root[i]) & (np.minimum(size[to], size[i]) >= similarity * np.maximum(size[to], size[i]) - 1e-9)
                 if first is None:
-                    able &= main | (keys > key)
-                at = np.flatnonzero(able)
-                agree = (numbers[at] == np.frombuffer(s, dtype="<u2")).sum(axis=1)
+                    able &= main[to] | (keys[to] > keys[i])
+                at = to[able]
+                agree = (numbers[at] == numbers[i]).sum(axis=1)
                 at, agree = at[agree >= least], agree[agree >= least]
                 if first is not None:
                     at = at[np.argsort(-agree, kind="stable")[:first]]
-                one += [key] * len(at)
+                one += [keys[i]] * len(at)
                 other += keys[at].tolist()
         return pd.DataFrame({"one": one, "other": other})
 
-    both = stay.unionByName(sent).groupBy("band", "block", "part").applyInPandas(run, "one binary, other binary")
+    # small bands are compared many in a group, whose rows are bounded on average
+    shelves = max((mixed.agg(F.sum(F.col("n") * F.col("others") + (F.col("n") - F.col("in_main")) * F.col("blocks"))).first()[0] or 0) // SHELF_ROWS, spark.sparkContext.defaultParallelism)
+    shelf = F.pmod(F.xxhash64("band", "block", "part"), F.lit(shelves))
+    both = stay.unionByName(sent).groupBy(shelf.alias("shelf")).applyInPandas(run, "one binary, other binary")
     return both.distinct()
 
 
