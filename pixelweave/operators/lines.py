@@ -1,9 +1,11 @@
-"""Straight lines by voting: the classical Hough transform as a grouped join, the best line of a group and how well it fits."""
+"""Straight lines by voting: the classical Hough transform as a grouped sum, the best line of a group and how well it fits."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,6 @@ def theta_match(histogram: DataFrame, width: int = 10) -> DataFrame:
     return both.join(there, "frame_idx", "left").select("frame_idx", F.when(F.col("there"), F.col("score")).alias("score"), (F.col("band") * width).alias("max_theta"))
 
 
-def _trig(theta: Column, which: int) -> Column:
-    return F.element_at(F.array(*[F.lit(a[which]).cast("long") for a in angles()]), theta + 1)
-
-
 def coefficients(p: str = "") -> tuple[Column, Column, Column]:
     """Of a row's line, in millionths: ``ax + by + c = 0``."""
     return F.col(f"{p}cosine"), F.col(f"{p}sine"), -F.col(f"{p}rho").cast("long") * SCALE
@@ -69,22 +67,41 @@ def _off(p: str = "") -> Column:
     return F.abs(a * F.col("x") + b * F.col("y") + c)
 
 
+def best_line(x: np.ndarray, y: np.ndarray, k: int = 10, step: int = 1) -> tuple[int, int, int, int, int, int]:
+    """``theta, rho, cosine, sine, votes, distance sum`` of the best line of some pixels, see `best_lines`."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    table = np.array(angles(step), dtype=np.int64)
+    rho = (x[:, None] * table[:, 1] + y[:, None] * table[:, 2] + SCALE // 2) // SCALE  # the nearest
+    low = rho.min()
+    width = int(rho.max() - low) + 1
+    counts = np.bincount((rho - low + np.arange(len(table)) * width).ravel(), minlength=1)
+    voted = np.flatnonzero(counts)
+    if len(voted) > k:
+        voted = voted[counts[voted] >= np.partition(counts[voted], len(voted) - k)[len(voted) - k]]
+    top = voted[np.argsort(-counts[voted], kind="stable")][:k]  # places are in order of theta, then rho
+    of, at = table[top // width], top % width + low
+    off = np.abs(x[:, None] * of[:, 1] + y[:, None] * of[:, 2] - at * SCALE)
+    best = int(np.argmin(np.sort(off, axis=0)[(len(x) - 1) // 2]))
+    return int(of[best, 0]), int(at[best]), int(of[best, 1]), int(of[best, 2]), int(counts[top[best]]), int(off[:, best].sum())
+
+
 def best_lines(blob_px: DataFrame, k: int = 10, least: int = 3, step: int = 1) -> DataFrame:
     """``frame_idx, blob_id, theta, rho, cosine, sine, votes``: of the ``k`` lines with the most votes of a group's pixels the one of least lower-median distance to them;
     ties to more votes, then to the smaller theta and rho. Groups of fewer than ``least`` pixels have none.
 
-    Votes are summed partially before the shuffle; what is gathered of a group is a distance for each of its pixels and lines, at most ``k`` times its part of an image.
+    Pixels are shuffled once, by frame; a frame's groups vote in arrays of angles by distances, which an image bounds.
     """
-    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).cast("long").alias("c"), F.lit(s).cast("long").alias("s")) for t, c, s in angles(step)])
-    at = blob_px.select(*ID, "x", "y", F.explode(table).alias("a"))
-    rho = F.floor((F.col("x") * F.col("a.c") + F.col("y") * F.col("a.s") + SCALE // 2) / SCALE).cast("int")  # the nearest
-    counted = at.groupBy(*ID, F.col("a.t").alias("theta"), rho.alias("rho")).agg(F.count("*").alias("votes"))
-    place = F.row_number().over(Window.partitionBy(*ID).orderBy(F.desc("votes"), "theta", "rho"))
-    some = counted.withColumn("place", place).where(F.col("place") <= k)
-    some = some.withColumn("cosine", _trig(F.col("theta"), 1)).withColumn("sine", _trig(F.col("theta"), 2))
-    fits = some.join(blob_px.select(*ID, "x", "y"), ID).groupBy(*ID, "place", "theta", "rho", "cosine", "sine", "votes").agg(lower_median(_off()).alias("median"), F.count("*").alias("n"))
-    first = F.row_number().over(Window.partitionBy(*ID).orderBy("median", "place"))
-    return fits.where(F.col("n") >= least).withColumn("first", first).where("first = 1").select(*ID, "theta", "rho", "cosine", "sine", "votes")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(frame["blob_id"].to_numpy(), kind="stable")
+        ids, x, y = (frame[c].to_numpy()[order] for c in ("blob_id", "x", "y"))
+        found = []
+        for at in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1):
+            if len(at) >= least:
+                found.append((int(frame["frame_idx"].iloc[0]), int(ids[at[0]]), *best_line(x[at], y[at], k, step)[:5]))
+        return pd.DataFrame(found, columns=[*ID, "theta", "rho", "cosine", "sine", "votes"])
+
+    return blob_px.select(*ID, "x", "y").groupBy("frame_idx").applyInPandas(run, "frame_idx int, blob_id int, theta int, rho int, cosine long, sine long, votes long")
 
 
 def walk(lines: DataFrame, start: Column, end: Column, beside: int) -> DataFrame:

@@ -269,29 +269,44 @@ def clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def disconnected_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = labelled_pixels(spark, sf_dir)
-    return group.statistics(filters.disconnected(2, 12, 0, 3)(px)).select("frame_idx", "blob_id", "size")
+    """No SQL: what goes depends on what has gone before."""
+    return group.statistics(filters.run(labelled_pixels(spark, sf_dir), [("disconnected", filters.disconnected(2, 12, 0, 3))])).select("frame_idx", "blob_id", "size")
+
+
+@query
+def size_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: larger seeds take what smaller ones would reach."""
+    return filters.size_clouds(labelled_pixels(spark, sf_dir), 1, 12)
+
+
+@query
+def isolated_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: groups that have gone no longer count, until nothing changes."""
+    return group.statistics(filters.run(labelled_pixels(spark, sf_dir), [("isolated", filters.isolated(2, 4, 3))])).select("frame_idx", "blob_id", "size")
+
+
+@query
+def dim_isolated_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL, like `isolated_in_order`."""
+    return group.statistics(filters.run(labelled_pixels(spark, sf_dir), [("dim-isolated", filters.dim_isolated(4, 4))])).select("frame_idx", "blob_id", "size")
 
 
 @query
 def connect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: lines are fitted again to what they joined."""
-    px = written(labelled_pixels(spark, sf_dir), "labelled")
-    return group.statistics(filters.connected_by_lines(1, 6, 2, WIDTH, HEIGHT, 1, rounds=3)(px))
+    return group.statistics(filters.run(labelled_pixels(spark, sf_dir), [("connect", filters.connected_by_lines(1, 12, 2, WIDTH, HEIGHT, 1))]))
 
 
 @query
 def filter_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: filters in order, some of them until nothing changes."""
-    steps = [
-        ("qualify", filters.qualify(0, 30_000, 2, 31_000)), ("dim-isolated", filters.dim_isolated(8, 2)), ("isolated", filters.isolated(8, 1)), ("disconnected", filters.disconnected(2, 12, 0, 1)),
-        ("slices", filters.sliced(_slices(labelled_pixels(spark, sf_dir)))),
-    ]
-    return group.statistics(filters.run(labelled_pixels(spark, sf_dir), steps))
+    """No SQL: all the usual filters in order, some of them until nothing changes, and two slices of each frame."""
+    px = labelled_pixels(spark, sf_dir)
+    return group.statistics(filters.run(px, filters.default_steps(1, 31_000, 3, 34_000, WIDTH, HEIGHT), _slices(px)))
 
 
 def _slices(px: DataFrame) -> DataFrame:
-    return px.select("frame_idx").distinct().select("frame_idx", F.lit(10).alias("min_x"), F.lit(10).alias("min_y"), F.lit(40).alias("max_x"), F.lit(30).alias("max_y"))
+    boxes = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("ord", "min_x", "min_y", "max_x", "max_y"), b, strict=True)]) for b in ((1, 10, 10, 40, 30), (2, 30, 20, 60, 50))])
+    return px.select("frame_idx").distinct().select("frame_idx", F.explode(boxes).alias("b")).select("frame_idx", "b.*")
 
 
 def _lines(px: DataFrame) -> DataFrame:

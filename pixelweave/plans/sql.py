@@ -138,8 +138,6 @@ ORACLES: dict[str, str] = {
       k AS (SELECT m.feature, threshold, clean, gap, count(*) FILTER (v < threshold) AS nl, count(*) FILTER (v < threshold AND label) AS pl, count(*) AS n, count(*) FILTER (label) AS p FROM m JOIN c USING (feature) GROUP BY ALL),
       s AS (SELECT feature, threshold, round(CASE WHEN clean THEN gap ELSE greatest(coalesce(pl / nullif(nl, 0), 0), coalesce((p - pl) / nullif(n - nl, 0), 0)) - p / n END, 9) AS score FROM k) SELECT * FROM s WHERE score > 0""",
     "clouds": f"WITH RECURSIVE {ST}, gs AS (SELECT frame_idx, blob_id FROM st), np AS {near(1)}, {CLOUDS} SELECT * FROM c",
-    "disconnected_filter": f"""WITH RECURSIVE {ST}, gs AS (SELECT frame_idx, blob_id FROM st WHERE size < 12), np AS (SELECT n.* FROM {near(2)} n JOIN st a ON a.frame_idx = n.frame_idx AND a.blob_id = n.blob_id JOIN st b ON b.frame_idx = n.frame_idx AND b.blob_id = n.other_id WHERE a.size < 12 AND b.size < 12),
-      {CLOUDS} SELECT st.frame_idx, st.blob_id, size FROM st LEFT JOIN c ON c.frame_idx = st.frame_idx AND c.blob_id = st.blob_id WHERE c.cloud_size IS NULL OR c.cloud_size - 1 >= 3""",
     "best_line": f"WITH {BL} SELECT * FROM bl",
     "line_fit": f"""WITH {FIT} SELECT st.frame_idx, st.blob_id, round(coalesce(mean, 4294967295.0), 9) AS f_average_line, round(coalesce(middle / 1000000, 4294967295.0), 9) AS f_median_line, round(coalesce(most / 1000000, 0), 9) AS max_line,
       round(coalesce(mean, 420420420.0), 9) AS ideal_distance, round(coalesce(length, 0), 9) AS f_line_length, round(coalesce(per_pixel, 0), 9) AS f_max_hough FROM st LEFT JOIN ft ON ft.frame_idx = st.frame_idx AND ft.blob_id = st.blob_id""",

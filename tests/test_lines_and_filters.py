@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import AROUND, box, box_contains, box_crossings, centre_theta, crossing, disc, edge_distance, line_distance, line_through, overlap_amount, packed, polar, polar_points, same_line, unpacked, x_at, y_at
 from pixelweave.functions.tables import placed
-from pixelweave.operators import filters, group, grow, lines
+from pixelweave.operators import group, grow, lines
 
 PX = "frame_idx int, blob_id int, x int, y int, intensity int"
 
@@ -68,34 +68,6 @@ def test_best_line_of_strokes(spark):
     assert lines.neighbour_trim(px).count() == 0
 
 
-def test_groups_on_one_line_are_joined(spark):
-    px = strokes(spark, [(x, 10) for x in range(0, 6)], [(x, 10) for x in range(8, 14)], [(x, 10) for x in range(40, 46)], [(30, 40), (31, 40), (30, 41)])
-    step = filters.connected_by_lines(scan=4, smaller_than=20, border=40, width=100, height=100, beside=1)
-    found = {r["blob_id"]: r["size"] for r in group.statistics(step(px)).collect()}
-    assert found == {1: 18, 4: 3}
-    assert group.statistics(filters.connected_by_lines(4, 20, 0, 100, 100, 1)(px)).count() == 3
-
-
-def test_disconnected_clouds_go(spark):
-    px = strokes(spark, [(0, 0)], [(2, 0)], [(4, 0)], [(50, 50)], [(52, 50)], [(x, 80) for x in range(30)], [(0, 82)])
-    left = lambda **k: {r["blob_id"] for r in group.statistics(filters.disconnected(scan=3, **k)(px)).collect()}
-    assert left(smaller_than=10, need=2) == {1, 2, 3, 6}
-    assert left(smaller_than=10, need=1) == {1, 2, 3, 4, 5, 6}  # 7 is near a large group, which forms no cloud
-    assert left(smaller_than=100, from_size=2, need=2) == {1, 2, 3, 4, 5, 7}
-
-
-def test_fixed_point_and_order_of_filters(spark):
-    px = strokes(spark, [(0, 0), (0, 1)], [(4, 0)], [(8, 0)], [(12, 0)])
-    # each needs two neighbours: the ends go first, then the rest
-    once = filters.keeping(lambda s, p: group.isolated(s, p, 5, 2, 0, 24))
-    assert {r[0] for r in once(px).select("blob_id").distinct().collect()} == {2, 3}
-    assert filters.fixpoint(once)(px).count() == 0 and filters.fixpoint(once, 1)(px).count() == 2
-    kept = filters.run(px, [("qualify", filters.qualify(0, 1, 2, 101)), ("nothing", lambda p: p)])
-    assert {r[0] for r in kept.select("blob_id").distinct().collect()} == {1}
-    names = [n for n, _ in filters.default_steps(1, 1, 1, 1, 100, 100)]
-    assert names[0] == "connect-close" and names[-1] == "isolated-last" and len(names) == 10
-
-
 def grown(value, least, min_contrast):
     """Growth pixel by pixel, over a dictionary."""
     owner, n, found = {}, 0, set()

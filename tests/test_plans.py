@@ -33,9 +33,23 @@ def test_against_duckdb(spark, db, name):
     assert loose(a) == loose(b)
 
 
-def test_every_query_has_sql_or_a_test_of_its_own(spark):
-    """Those without SQL run here, so that none is registered that fails; what they give is tested in test_order_dependent."""
-    others = set(queries.QUERIES) - set(sql.ORACLES)
-    assert others == {"grow_blobs", "forest_score", "connect_lines", "filter_pipeline", "tree_report"}
-    for name in sorted(others):
-        assert queries.QUERIES[name](spark, DATA).count() > 0, name
+#: Tested in test_order_dependent and test_filters_in_order.
+NO_SQL = {"grow_blobs", "forest_score", "connect_lines", "filter_pipeline", "tree_report", "disconnected_filter", "size_clouds", "isolated_in_order", "dim_isolated_in_order"}
+
+
+def test_every_query_has_sql_or_a_test_of_its_own():
+    assert set(queries.QUERIES) - set(sql.ORACLES) == NO_SQL
+
+
+@pytest.mark.parametrize("name", sorted({*NO_SQL, "clouds", "alpha_plane", "best_line", "feature_vector"}))
+def test_a_fresh_plan_counts_and_gives_few_columns(spark, name):
+    """Pruned to no column or one, a query gives as many rows as when all are read; each action has a plan of its own."""
+    fresh = lambda: queries.QUERIES[name](spark, DATA)
+    n = len(fresh().collect())
+    assert fresh().count() == n == len(fresh().select(fresh().columns[0]).collect())
+
+
+def test_the_entry_counts(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() == len(__spark_entry__.entry(spark).collect()) > 0
