@@ -155,8 +155,8 @@ def _frequent(docs: DataFrame, hashes: Callable[[Words], np.ndarray], parts: int
 
 
 def edges(docs: DataFrame, least: int, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> tuple[DataFrame, DataFrame]:
-    """Words and edges: ``lang, word, n`` of all words, and ``lang, gram, k, n`` of grams of ``k`` words, two to five: the longest at each place of a run."""
-    spark = docs.sparkSession
+    """Words and edges of ``docs(lang, text)`` without nulls: ``lang, word, n`` of all words, and ``lang, gram, k, n`` of grams of ``k`` words, two to five: the longest at each place of a run."""
+    spark, docs = docs.sparkSession, docs.select("lang", "text")
     counted = docs.mapInArrow(_word_counts, "lang string, word string, h long, n long").groupBy("lang", "word").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
     counted = written(counted, "phrase-words")
     parts = (counted.agg(F.sum("n")).first()[0] or 0) // PART_WORDS + spark.sparkContext.defaultParallelism
