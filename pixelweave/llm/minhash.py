@@ -166,9 +166,9 @@ def _packed(pairs: DataFrame, blocks: int) -> DataFrame:
     return pairs.groupBy("one", _block(F.col("other"), blocks).alias("block")).agg(F.collect_set("other").alias("others"))
 
 
-def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, similarity: float, first: int | None) -> DataFrame:
-    """``one, other``: texts of one band and of different classes whose sketches agree so far as to be looked at. Of a band's largest class no two are compared, so a
-    text of it goes only to blocks that others are sent to. With ``first`` only the best of each text and block, else all, a pair once."""
+def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, blocks: int, similarity: float, first: int | None) -> DataFrame:
+    """``one, block, others``, a text with all it is to be verified against in a block: texts of one band and of different classes whose sketches agree so far as to be looked at. Of a band's largest class no two are compared, so a
+    text of it goes only to blocks that others are sent to. With ``first`` only the best of each text and part of a band, else all, a pair once. Pairs never become rows."""
     spark, least = shared.sparkSession, least_agreement(similarity)
     own = shared.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     own = written(own, "minhash-classes")
@@ -177,15 +177,15 @@ def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, similari
     mixed = written(mixed.select("band", "main", "n", "in_main", F.ceil(F.col("n") / COMPARED).alias("blocks"), F.ceil((F.col("n") - F.col("in_main")) / COMPARED).alias("others")), "minhash-mixed")
     rows = own.join(mixed.drop("n", "in_main"), "band").join(sketched, "key")
     here, every = lambda n: F.pmod(F.xxhash64("key"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = rows.withColumn("is_main", F.col("root") == F.col("main"))
-    stay = rows.select("band", here("blocks").alias("block"), every("others").alias("part"), "key", "root", "n", "sketch", "is_main", F.lit(False).alias("sent"))
-    sent = rows.where(~F.col("is_main")).select("band", every("blocks").alias("block"), here("others").alias("part"), "key", "root", "n", "sketch", "is_main", F.lit(True).alias("sent"))
+    rows = rows.withColumn("is_main", F.col("root") == F.col("main")).withColumn("of", _block(F.col("key"), blocks))
+    stay = rows.select("band", here("blocks").alias("block"), every("others").alias("part"), "key", "of", "root", "n", "sketch", "is_main", F.lit(False).alias("sent"))
+    sent = rows.where(~F.col("is_main")).select("band", every("blocks").alias("block"), here("others").alias("part"), "key", "of", "root", "n", "sketch", "is_main", F.lit(True).alias("sent"))
 
     def run(shelf: pd.DataFrame) -> pd.DataFrame:
         numbers = np.frombuffer(b"".join(shelf["sketch"]), dtype="<u2").reshape(len(shelf), SIZE)
-        keys, size, main, sent = (shelf[c].to_numpy() for c in ("key", "n", "is_main", "sent"))
+        keys, block, size, main, sent = (shelf[c].to_numpy() for c in ("key", "of", "n", "is_main", "sent"))
         root = pd.factorize(shelf["root"])[0]
-        one, other = [], []
+        found: dict[tuple[bytes, int], set[bytes]] = {}
         for group in shelf.groupby(["band", "block", "part"], sort=False).indices.values():
             to, of = group[~sent[group]], group[sent[group]]
             for i in of.tolist() if len(to) else []:
@@ -197,15 +197,15 @@ def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, similari
                 at, agree = at[agree >= least], agree[agree >= least]
                 if first is not None:
                     at = at[np.argsort(-agree, kind="stable")[:first]]
-                one += [keys[i]] * len(at)
-                other += keys[at].tolist()
-        return pd.DataFrame({"one": one, "other": other})
+                for other, b in zip(keys[at].tolist(), block[at].tolist(), strict=True):
+                    found.setdefault((keys[i], b), set()).add(other)
+        return pd.DataFrame({"one": [k for k, _ in found], "block": [b for _, b in found], "others": [sorted(v) for v in found.values()]})
 
     # small bands are compared many in a group, whose rows are bounded on average
     shelves = max((mixed.agg(F.sum(F.col("n") * F.col("others") + (F.col("n") - F.col("in_main")) * F.col("blocks"))).first()[0] or 0) // SHELF_ROWS, spark.sparkContext.defaultParallelism)
     shelf = F.pmod(F.xxhash64("band", "block", "part"), F.lit(shelves))
-    both = stay.unionByName(sent).groupBy(shelf.alias("shelf")).applyInPandas(run, "one binary, other binary")
-    return both.distinct()
+    both = stay.unionByName(sent).groupBy(shelf.alias("shelf")).applyInPandas(run, "one binary, block long, others array<binary>")
+    return both.groupBy("one", "block").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -239,11 +239,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, id
     sketched = distinct.select("key", "n", "sketch")
     # a text has one lead, so those linked to the same are known to be of one component
     roots = edges.select(F.col("b").alias("key"), F.col("a").alias("root"))
-    pairs = _compared(shared.select("band", "key"), roots, sketched, similarity, FIRST)
-    edges = written(edges.unionByName(_verified(_packed(pairs, blocks), sets, blocks, similarity)), "minhash-links")
+    pairs = _compared(shared.select("band", "key"), roots, sketched, blocks, similarity, FIRST)
+    edges = written(edges.unionByName(_verified(pairs, sets, blocks, similarity)), "minhash-links")
     roots = _roots(edges)
-    pairs = _compared(shared.select("band", "key"), roots, sketched, similarity, None)
-    more = written(_verified(_packed(pairs, blocks), sets, blocks, similarity), "minhash-links")
+    pairs = _compared(shared.select("band", "key"), roots, sketched, blocks, similarity, None)
+    more = written(_verified(pairs, sets, blocks, similarity), "minhash-links")
     roots = roots if more.isEmpty() else _roots(edges.unionByName(more))
     own = distinct.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = written(own.groupBy("root").agg(F.min("first_id").alias("component_id")), "minhash-least")
