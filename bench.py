@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from pixelweave.plans import queries as plans
 
-HEADLINE = ["subtract", "seed_candidates", "near_pairs", "blob_stats", "feature_shape", "surface_ratio", "direct_overlap", "bbox_overlap_score", "alpha_plane", "blend", "class_stats", "split_scores", "grow_blobs", "decision_counts"]
+HEADLINE = ["subtract", "seed_candidates", "near_pairs", "blob_stats", "feature_shape", "surface_ratio", "direct_overlap", "bbox_overlap_score", "alpha_plane", "blend", "class_stats", "split_scores", "grow_blobs", "decision_counts", "best_line", "connect_lines", "filter_pipeline"]
 
 
 def main() -> None:
