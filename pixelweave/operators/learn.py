@@ -80,13 +80,14 @@ def best_splits(scores: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Node:
-    """A cut with what lies below and above it, or a leaf with a value from -1 to 1."""
+    """A cut with what lies below and above it, or a leaf with a value from -1 to 1. ``sides`` are the values below and above the cut when nothing follows it."""
 
     feature: str | None = None
     threshold: float | None = None
     less: Node | None = None
     more: Node | None = None
     value: float | None = None
+    sides: tuple[float, float] | None = None
 
     def column(self) -> Column:
         """The tree as a nested CASE, for whole-stage code."""
@@ -94,46 +95,50 @@ class Node:
             return F.lit(float(self.value))
         return F.when(F.col(self.feature) < self.threshold, self.less.column()).otherwise(self.more.column())
 
+    def stump(self) -> Node:
+        """The cut with a leaf on either side."""
+        return Node(self.feature, self.threshold, Node(value=self.sides[0]), Node(value=self.sides[1]), sides=self.sides)
+
+
+def balanced(side: tuple[int, int], whole: tuple[int, int]) -> float:
+    """The value of one side of a cut with ``side`` positives and negatives of ``whole``: the classes weigh as much as each other. A side without rows is -1."""
+    if not side[0] or not side[1]:
+        return 1.0 if side[0] else -1.0
+    p, n = side[0] / whole[0], side[1] / whole[1]
+    return p / (p + n) * 2 - 1
+
 
 def grow_tree(rows: DataFrame, features: list[str], depth: int) -> Node:
     """A tree over ``rows(label, features)``, one level at a time: each level is one job over all of its nodes, and
     only cuts and class counts, a few numbers for each node, reach the driver.
 
-    A node of one class is a leaf of 1 or -1. A node at the last level, or that no cut improves, is a leaf whose value weighs the classes
-    by their totals.
+    A node of one class is a leaf of 1 or -1. What lies on either side of a cut of the last level, or can't be cut any further, is a leaf whose value weighs the
+    classes by what the node above it holds of each.
     """
     at = rows.withColumn("node", F.lit(1).cast("long"))
-    totals = rows.agg(F.count_if("label"), F.count_if(~F.col("label"))).first()
-    made: dict[int, tuple[str, float] | float] = {}
-
-    def leaf(p: int, n: int) -> float:
-        if not p or not n:
-            return 1.0 if p else -1.0
-        p, n = p / totals[0], n / totals[1]
-        return p / (p + n) * 2 - 1
-
+    counts: dict[int, tuple[int, int]] = {}
+    cuts: dict[int, tuple[str, float]] = {}
     for level in range(depth + 1):
-        counts = {r["node"]: (r["p"], r["n"]) for r in at.groupBy("node").agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n")).collect()}
-        open_ = [k for k, (p, n) in counts.items() if p and n] if level < depth else []
-        cuts = {}
-        if open_:
-            now = at.where(F.col("node").isin(open_))
-            found = best_splits(split_scores(now, features, thresholds(class_statistics(now, features)))).collect()
-            cuts = {r["node"]: (r["feature"], r["threshold"]) for r in found}
-        made |= {k: cuts.get(k) or leaf(*c) for k, c in counts.items()}
-        if not cuts:
+        own = {r["node"]: (r["p"], r["n"]) for r in at.groupBy("node").agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n")).collect()}
+        counts |= own
+        open_ = [k for k, (p, n) in own.items() if p and n] if level < depth else []
+        if not open_:
+            break
+        now = at.where(F.col("node").isin(open_))
+        found = {r["node"]: (r["feature"], r["threshold"]) for r in best_splits(split_scores(now, features, thresholds(class_statistics(now, features)))).collect()}
+        if not found:
             break
-        step = functools.reduce(lambda c, k: c.when(F.col("node") == k, F.when(F.col(cuts[k][0]) < cuts[k][1], 2 * k).otherwise(2 * k + 1)), cuts, F.when(F.lit(False), 0))
-        at = at.where(F.col("node").isin(list(cuts))).withColumn("node", step.cast("long"))
+        cuts |= found
+        step = functools.reduce(lambda c, k: c.when(F.col("node") == k, F.when(F.col(found[k][0]) < found[k][1], 2 * k).otherwise(2 * k + 1)), found, F.when(F.lit(False), 0))
+        at = at.where(F.col("node").isin(list(found))).withColumn("node", step.cast("long"))
+
+    def value(k: int) -> float:
+        return balanced(counts.get(k, (0, 0)), counts.get(max(1, k // 2), (0, 0)))
 
     def build(k: int) -> Node:
-        if k not in made:
-            return Node(value=-1.0)  # a side without rows
-        if isinstance(made[k], tuple):
-            return Node(made[k][0], made[k][1], build(2 * k), build(2 * k + 1))
-        return Node(value=made[k])
+        return Node(*cuts[k], build(2 * k), build(2 * k + 1), sides=(value(2 * k), value(2 * k + 1))) if k in cuts else Node(value=value(k))
 
-    return build(1) if made else Node(value=-1.0)
+    return build(1)
 
 
 def evaluate(rows: DataFrame, score: Column) -> DataFrame:
@@ -143,17 +148,13 @@ def evaluate(rows: DataFrame, score: Column) -> DataFrame:
 
 
 def prune(tree: Node, rows: DataFrame) -> Node:
-    """The tree with each cut replaced by a leaf where that classifies more of ``rows`` rightly, from the top down.
-
-    Nodes of one level have no rows in common, so all of a level are decided by one job."""
+    """The tree with cuts made stumps where that classifies more of ``rows`` rightly, from the top down.
 
-    def mean(t: Node) -> float:
-        return t.value if t.feature is None else (mean(t.less) + mean(t.more)) / 2
+    The root is tried first; below a cut that stays those are tried that have a cut on either side. Nodes of one level have no rows in common, so trying all of a level
+    in one job decides as trying one after the other does."""
 
-    def cuts(t: Node, level: int, number: int = 1) -> dict[int, Node]:
-        if t.feature is None:
-            return {}
-        return {number: t} if level == 0 else cuts(t.less, level - 1, 2 * number) | cuts(t.more, level - 1, 2 * number + 1)
+    def deep(t: Node) -> bool:
+        return t.feature is not None and t.less.feature is not None and t.more.feature is not None
 
     def reached(t: Node, level: int, number: int = 1) -> Column:
         """The number of the node of this level that a row comes to; null if it ends above."""
@@ -161,18 +162,19 @@ def prune(tree: Node, rows: DataFrame) -> Node:
             return F.lit(number if level == 0 else None).cast("long")
         return F.when(F.col(t.feature) < t.threshold, reached(t.less, level - 1, 2 * number)).otherwise(reached(t.more, level - 1, 2 * number + 1))
 
-    def put(t: Node, leaves: dict[int, float], number: int = 1) -> Node:
-        if number in leaves:
-            return Node(value=leaves[number])
-        return t if t.feature is None else Node(t.feature, t.threshold, put(t.less, leaves, 2 * number), put(t.more, leaves, 2 * number + 1))
+    def put(t: Node, stumps: set[int], number: int = 1) -> Node:
+        if number in stumps:
+            return t.stump()
+        return t if t.feature is None else Node(t.feature, t.threshold, put(t.less, stumps, 2 * number), put(t.more, stumps, 2 * number + 1), sides=t.sides)
 
-    level = 0
-    while found := cuts(tree, level):
-        leaf = functools.reduce(lambda c, k: c.when(F.col("at") == k, mean(found[k])), found, F.when(F.lit(False), 0.0))
+    level, tried = 0, {1: tree} if tree.feature is not None else {}
+    while tried:
+        cut = functools.reduce(lambda c, k: c.when(F.col("tree_node") == k, F.when(F.col(tried[k].feature) < tried[k].threshold, tried[k].sides[0]).otherwise(tried[k].sides[1])), tried, F.when(F.lit(False), 0.0))
         right = lambda score: F.count_if((score >= 0) == F.col("label"))
-        at = rows.select("label", reached(tree, level).alias("at"), tree.column().alias("score")).where(F.col("at").isin(list(found)))
-        gains = at.groupBy("at").agg(right(F.col("score")).alias("whole"), right(leaf).alias("cut")).where("cut > whole").collect()  # a row for each cut
-        tree = put(tree, {r["at"]: mean(found[r["at"]]) for r in gains})
+        at = rows.withColumn("tree_node", reached(tree, level)).withColumn("tree_score", tree.column()).where(F.col("tree_node").isin(list(tried)))
+        gains = {r["tree_node"] for r in at.groupBy("tree_node").agg(right(F.col("tree_score")).alias("whole"), right(cut).alias("cut")).where("cut > whole").collect()}  # a row for each cut tried
+        tree = put(tree, gains)
+        tried = {n: t for k, c in tried.items() if k not in gains for n, t in ((2 * k, c.less), (2 * k + 1, c.more)) if deep(t)}
         level += 1
     return tree
 
@@ -188,10 +190,13 @@ def feature_subsets(features: list[str]) -> list[list[str]]:
 
 
 def report(trees: dict[str, Column], rows: DataFrame) -> DataFrame:
-    """``name, good, bad, accuracy`` of each tree's score on ``rows``, worst first; all trees in one pass."""
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), ((c >= 0) == F.col("label")).alias("right")) for n, c in trees.items()]))
-    found = rows.select(each.alias("r")).groupBy(F.col("r.name").alias("name")).agg(F.count_if("r.right").alias("good"), F.count_if(~F.col("r.right")).alias("bad"))
-    return found.withColumn("accuracy", F.col("good") / (F.col("good") + F.col("bad"))).orderBy("accuracy", "name")
+    """``name, good, bad, accuracy, precision, recall`` of each tree's score on ``rows``, worst first; all trees in one pass. Without a row that is called positive there is no
+    precision, without a positive one no recall."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (c >= 0).alias("called")) for n, c in trees.items()]))
+    found = rows.select("label", each.alias("r")).select("label", F.col("r.name").alias("name"), F.col("r.called").alias("called")).groupBy("name").agg(
+        F.count_if(F.col("called") == F.col("label")).alias("good"), F.count_if(F.col("called") != F.col("label")).alias("bad"), F.count_if(F.col("called") & F.col("label")).alias("hits"), F.count_if("called").alias("n_called"), F.count_if("label").alias("n_true"))
+    shares = [F.col("good") / (F.col("good") + F.col("bad")), F.try_divide("hits", "n_called"), F.try_divide("hits", "n_true")]
+    return found.select("name", "good", "bad", *[c.alias(n) for c, n in zip(shares, ("accuracy", "precision", "recall"), strict=True)]).orderBy("accuracy", "name")
 
 
 def forest(rows: DataFrame, features: list[str], k: int, depth: int) -> list[tuple[Node, float]]:

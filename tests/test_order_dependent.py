@@ -86,42 +86,87 @@ def test_a_clean_cut_and_a_forest(spark):
         assert learn.evaluate(more, learn.prune(tree, more).column()).first()["good"] >= learn.evaluate(more, tree.column()).first()["good"]
 
 
-def test_pruning_by_level_is_pruning_node_by_node(spark):
-    r = random.Random(7)
-    rows = [(i, r.random() < 0.5, r.random(), r.random()) for i in range(120)]
-    df = spark.createDataFrame(rows, "id long, label boolean, f0 double, f1 double")
-    tree = learn.grow_tree(df, ["f0", "f1"], 3)
-    other = [(i, r.random() < 0.4, r.random(), r.random()) for i in range(90)]
-
-    def score(t, row):
-        while t.feature is not None:
-            t = t.less if row[2 + int(t.feature[1])] < t.threshold else t.more
-        return t.value
-
-    def good(t):
-        return sum((score(t, row) >= 0) == row[1] for row in other)
-
-    def mean(t):
-        return t.value if t.feature is None else (mean(t.less) + mean(t.more)) / 2
-
-    def put(t, path, new):
-        if not path:
-            return new
-        return learn.Node(t.feature, t.threshold, put(t.less, path[1:], new), t.more) if path[0] == "l" else learn.Node(t.feature, t.threshold, t.less, put(t.more, path[1:], new))
-
-    plain, todo = tree, [""]
-    while todo:
-        path = todo.pop(0)
-        t = plain
-        for c in path:
-            t = t.less if c == "l" else t.more
-        if t.feature is not None:
-            cut = put(plain, path, learn.Node(value=mean(t)))
-            if good(cut) > good(plain):
-                plain = cut
-            else:
-                todo += [path + "l", path + "m"]
-    assert learn.prune(tree, spark.createDataFrame(other, df.schema)) == plain
+def plain_tree(rows, names, left):
+    """A node as nested lists ``[name, cut, value below, value above, below, above]`` or a number, for rows ``(label, {name: value})``; one node after the other."""
+    yes, no = ([v for label, v in rows if label is want] for want in (True, False))
+    if not yes or not no:
+        return 1.0 if yes else -1.0
+    clean, dirty = [], []
+    for f in names:
+        p, n = sorted(v[f] for v in yes), sorted(v[f] for v in no)
+        mp, mn = p[len(p) // 2], n[len(n) // 2]
+        if p[-1] < n[0]:
+            clean.append(((n[0] - p[-1]) / abs(mp - mn), f, (p[-1] + n[0]) / 2, 1.0, -1.0))
+        elif n[-1] < p[0]:
+            clean.append(((p[0] - n[-1]) / abs(mp - mn), f, (n[-1] + p[0]) / 2, -1.0, 1.0))
+        else:
+            cut = (mp + mn) / 2
+            lp, ln = sum(x < cut for x in p), sum(x < cut for x in n)
+            gp, gn = len(p) - lp, len(n) - ln
+            best = max((a / (a + b) if a + b else 0) for a, b in ((lp, ln), (gp, gn))) - len(p) / (len(p) + len(n))
+            if round(best, 9) > 0:
+                low, high = (a / len(p) / (a / len(p) + b / len(n)) * 2 - 1 for a, b in ((lp, ln), (gp, gn)))
+                dirty.append((best, f, cut, low, high))
+    if not clean + dirty:
+        return None
+    _, f, cut, low, high = min(clean or dirty, key=lambda c: (-round(c[0], 9), c[1]))
+    if clean or left == 1:
+        return [f, cut, low, high, low, high]
+    sides = [plain_tree([r for r in rows if (r[1][f] < cut) is below], names, left - 1) for below in (True, False)]
+    return [f, cut, low, high, *[v if s is None else s for s, v in zip(sides, (low, high), strict=True)]]
+
+
+def plain_score(t, values):
+    while isinstance(t, list):
+        t = t[4] if values[t[0]] < t[1] else t[5]
+    return t
+
+
+def plain_prune(tree, rows):
+    """One stump after the other, each judged by the whole tree on all rows; a queue from the root."""
+    good = lambda: sum((plain_score(tree, v) >= 0) == label for label, v in rows)
+    best, queue = good(), [tree] if isinstance(tree, list) else []
+    while queue:
+        t = queue.pop(0)
+        below, above = t[4:]
+        t[4:] = t[2:4]
+        if good() > best:
+            best = good()
+            continue
+        t[4:] = below, above
+        queue += [c for c in (below, above) if isinstance(c, list) and isinstance(c[4], list) and isinstance(c[5], list)]
+    return tree
+
+
+def nested(t):
+    return t.value if t.feature is None else [t.feature, t.threshold, *t.sides, nested(t.less), nested(t.more)]
+
+
+@pytest.mark.parametrize(("seed", "depth"), [(1, 1), (2, 3), (3, 4)])
+def test_trees_and_pruning_node_by_node(spark, seed, depth):
+    r = random.Random(seed)
+    names = ["f0", "f1", "f2"]
+
+    def rows(n):
+        made = [(i, r.random() < 0.3, round(r.gauss(0, 1), 2), r.randint(0, 5) / 1.0) for i in range(n)]
+        return [(i, y, a + y * 0.5, b, round(r.random(), 1)) for i, y, a, b in made]
+
+    own, other = rows(160), rows(140)
+    schema = "id long, label boolean, f0 double, f1 double, f2 double"
+    plain = lambda found: [(x[1], dict(zip(names, x[2:], strict=True))) for x in found]
+    tree = learn.grow_tree(spark.createDataFrame(own, schema), names, depth)
+    expected = plain_tree(plain(own), names, depth)
+    assert nested(tree) == expected
+    pruned = learn.prune(tree, spark.createDataFrame(other, schema).withColumn("tree", F.lit(1)))
+    assert nested(pruned) == plain_prune(expected, plain(other))
+
+
+def test_stumps_of_one_class_and_of_nothing(spark):
+    schema = "label boolean, f0 double"
+    tree = lambda rows: nested(learn.grow_tree(spark.createDataFrame(rows, schema), ["f0"], 2))
+    assert tree([]) == -1.0 and tree([(True, 1.0)] * 3) == 1.0 and tree([(False, 1.0)]) == -1.0
+    assert tree([(True, 1.0), (False, 1.0)]) == 0.0  # nothing to cut at
+    assert learn.prune(learn.Node(value=0.5), spark.createDataFrame([], schema)) == learn.Node(value=0.5)
 
 
 def test_forest_query_against_naive_scores(spark):
@@ -146,6 +191,6 @@ def test_forest_query_against_naive_scores(spark):
 def test_reports_leaves_and_subsets(spark):
     rows = spark.createDataFrame([(True, 1.0), (False, 2.0), (True, 3.0)], "label boolean, f0 double")
     found = learn.report({"all": F.lit(1.0), "cut": F.when(F.col("f0") < 1.5, 1.0).otherwise(-1.0), "none": F.lit(-1.0)}, rows).collect()
-    assert [(r["name"], r["good"], r["bad"]) for r in found] == [("none", 1, 2), ("all", 2, 1), ("cut", 2, 1)]
+    assert [(r["name"], r["good"], r["bad"], r["precision"], r["recall"]) for r in found] == [("none", 1, 2, None, 0.0), ("all", 2, 1, 2 / 3, 1.0), ("cut", 2, 1, 1.0, 0.5)]
     assert learn.feature_subsets(["a", "b", "c"]) == [["a", "b"], ["a", "c"], ["b", "c"]]
     assert [r[0] for r in rows.select(learn.linear_leaf(F.col("f0"), 1.0, 3.0)).collect()] == [-1.0, 0.0, 1.0]
