@@ -48,6 +48,17 @@ def x_at(a: Column, b: Column, c: Column, y: Column) -> Column:
     return F.try_divide(-c - b * y, a)
 
 
+def shifted(a: Column, b: Column, c: Column, dx: Column, dy: Column) -> tuple[Column, Column, Column]:
+    """A line given within a box whose corner is at ``dx, dy``, in the frame's own coordinates."""
+    return a, b, c - a * dx - b * dy
+
+
+def central(a: Column, b: Column, c: Column, x: Column, y: Column) -> Column:
+    """``struct<x, y>`` of the place on a line beside a centre: below or above it on a line that is rather level, else to its left or right."""
+    level = F.abs(b) > F.abs(a)
+    return F.struct(F.when(level, x).otherwise(x_at(a, b, c, y)).alias("x"), F.when(level, y_at(a, b, c, x)).otherwise(y).alias("y"))
+
+
 def crossing(one: tuple[Column, Column, Column], other: tuple[Column, Column, Column]) -> Column:
     """``struct<x, y>`` where two lines meet; null coordinates if they are parallel."""
     (a, b, c), (d, e, f) = one, other

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions import CARDINAL, CORNERS, upper_median
+from pixelweave.functions.tables import written
 from pixelweave.operators import tiles
 
 ID = ["frame_idx", "blob_id"]
@@ -143,6 +146,51 @@ def razor(blob_px: DataFrame, boxes: DataFrame) -> DataFrame:
     return rows.select("frame_idx", F.when(F.col("cut"), F.col("new_id")).otherwise(F.col("blob_id")).alias("blob_id"), "x", "y", "intensity")
 
 
+def razor_in_order(blob_px: DataFrame, slices: DataFrame) -> DataFrame:
+    """``frame_idx, blob_id, x, y, intensity`` after slices ``frame_idx, ord, min_x, min_y, max_x, max_y`` one after the other: each takes the pixels in its box, also those an earlier
+    one took, for a new group. New groups are numbered on from the frame's greatest id; a slice without a pixel uses no number."""
+    boxes = slices.select(F.col("frame_idx").alias("frame"), "ord", "min_x", "min_y", "max_x", "max_y")
+    px = blob_px.select(*ID, "x", "y", "intensity")
+    inside = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
+    cuts = px.join(boxes, (F.col("frame") == F.col("frame_idx")) & inside).select("frame_idx", "x", "y", "ord")
+    first = px.groupBy("frame_idx").agg(F.max("blob_id").alias("last_id"))
+    # a row for each slice of a frame, so the window is as small as what a user drew there
+    ids = cuts.select("frame_idx", "ord").distinct().withColumn("n", F.row_number().over(Window.partitionBy("frame_idx").orderBy("ord"))).join(first, "frame_idx")
+    newest = cuts.groupBy("frame_idx", "x", "y").agg(F.max("ord").alias("ord")).join(ids, ["frame_idx", "ord"]).select("frame_idx", "x", "y", (F.col("last_id") + F.col("n")).cast("int").alias("new_id"))
+    return px.join(newest, ["frame_idx", "x", "y"], "left").select("frame_idx", F.coalesce("new_id", "blob_id").alias("blob_id"), "x", "y", "intensity")
+
+
+def nearest(points: DataFrame, blob_px: DataFrame, cell: int = 16) -> DataFrame:
+    """``frame_idx, blob_id, other_id, distance_sq``: for each of ``points(frame_idx, blob_id, x, y)``, whole numbers and one for each group, the other group of the frame with the nearest
+    pixel; ties to the smaller id, nulls if the frame has no other group.
+
+    Pixels lie in cells of a grid. Rings of cells are searched outward, each time as many as before and one more; a point is done once no ring outside can have a
+    nearer pixel, so only points in empty surroundings go on, and a frame's size bounds the rounds. Points with a null place are done without a neighbour.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    pixels = written(blob_px.select(F.col("frame_idx"), F.col("blob_id").alias("other_id"), F.col("x").alias("other_x"), F.col("y").alias("other_y"), at("x").alias("cx"), at("y").alias("cy")), "pixels-by-cell")
+    todo = written(points.select(*ID, "x", "y", at("x").alias("from_x"), at("y").alias("from_y"), F.lit(None).cast("struct<d: bigint, id: int>").alias("best")), "points")
+    reach = lambda df, a, b: df.agg(F.min(F.least(a, b)), F.max(F.greatest(a, b))).first()
+    ends = [v for pair in (reach(pixels, "cx", "cy"), reach(todo, "from_x", "from_y")) for v in pair if v is not None]
+    widest = max(ends, default=0) - min(ends, default=0)
+    done, low, high = [], 0, 1
+    while True:
+        ring = F.explode(F.sequence(F.lit(-high), F.lit(high)))
+        cells = todo.withColumn("dx", ring).withColumn("dy", ring).where(F.greatest(F.abs("dx"), F.abs("dy")) >= low)
+        met = cells.select(*ID, "x", "y", (F.col("from_x") + F.col("dx")).alias("cx"), (F.col("from_y") + F.col("dy")).alias("cy")).join(pixels, ["frame_idx", "cx", "cy"]).where("other_id <> blob_id")
+        d = (F.col("x") - F.col("other_x")).cast("long") ** 2 + (F.col("y") - F.col("other_y")).cast("long") ** 2
+        found = met.groupBy(*ID).agg(F.min(F.struct(d.cast("long").alias("d"), F.col("other_id").alias("id"))).alias("found"))
+        rows = written(todo.join(found, ID, "left").withColumn("best", F.least("best", "found")).drop("found"), "nearest")
+        # what is in rings further out is further away than ``high`` cells
+        settled = F.coalesce(F.col("best.d") <= (high * cell) ** 2, F.lit(False)) | F.col("x").isNull() | F.col("y").isNull() | F.lit(high >= widest)
+        done.append(rows.where(settled))
+        todo = rows.where(~settled)
+        if high >= widest or todo.isEmpty():
+            break
+        low, high = high + 1, min(2 * high + 1, widest)
+    return functools.reduce(DataFrame.unionByName, done).select(*ID, F.col("best.id").alias("other_id"), F.col("best.d").alias("distance_sq"))
+
+
 def pixel_overlap(blob_px: DataFrame, stats: DataFrame) -> DataFrame:
     """``frame_idx, a, b, f_pixel_overlap``: groups of a frame and the next that share pixels' places: how many, over the mean of their sizes. The first place of
     either group's bounds doesn't count; pairs without another shared place have no row."""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.functions import AROUND, box, box_crossings, lower_median, offsets
+from pixelweave.functions import AROUND, box, box_crossings, central, lower_median, offsets
 from pixelweave.operators.group import ID
 
 #: Sines and cosines are whole millionths, so votes don't depend on rounding.
@@ -157,3 +157,37 @@ def line_trim(blob_px: DataFrame, lines: DataFrame, stray: bool = False) -> Data
     rows = (neighbours_inside(blob_px) if stray else blob_px).join(lines, ID, "left").join(fit, ID, "left")
     keep = (_off() < 2 * SCALE) | F.when(_off() < F.col("middle"), F.col("n") > 2).otherwise(F.col("n") > 1) if stray else 2 * _off() <= F.col("middle") + F.col("most")
     return rows.where(F.col("rho").isNull() | keep).select(*blob_px.columns)
+
+
+def _central(lines: DataFrame, stats: DataFrame) -> DataFrame:
+    """``lines`` with ``centre``, the place on a group's line beside the centre of its bounds."""
+    middle = lambda lo, hi: F.col(lo) + (F.col(hi) - F.col(lo) + 1) / 2
+    return lines.join(stats.select(*ID, middle("min_x", "max_x").alias("mid_x"), middle("min_y", "max_y").alias("mid_y")), ID).withColumn("centre", central(*coefficients(), F.col("mid_x"), F.col("mid_y")))
+
+
+def nearest_pixels(blob_px: DataFrame, stats: DataFrame, lines: DataFrame, x: int, y: int) -> DataFrame:
+    """``frame_idx, blob_id, to_line, to_point, centre_x, centre_y``: how near a group's nearest pixel is to its line and to a point, and the place on the line beside the
+    centre of its bounds. Without a line only ``to_point`` is there."""
+    point = F.min((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y))
+    rows = blob_px.select(*ID, "x", "y").join(_central(lines, stats).select(*ID, "rho", "cosine", "sine", "centre"), ID, "left")
+    found = rows.groupBy(*ID).agg(F.min(_off()).alias("off"), F.sqrt(point.cast("double")).alias("to_point"), F.first("centre").alias("centre"))
+    r = lambda c: F.round(c, 6) + 0.0
+    return found.select(*ID, r(F.col("off") / SCALE).alias("to_line"), r(F.col("to_point")).alias("to_point"), r(F.col("centre.x")).alias("centre_x"), r(F.col("centre.y")).alias("centre_y"))
+
+
+def walk_until(px: DataFrame, stats: DataFrame, lines: DataFrame, width: int, height: int, gap: int = 0) -> DataFrame:
+    """``frame_idx, blob_id, first, last, hits``: from the place beside a group's centre outward along its line in both directions until more than ``gap`` places in a row
+    hold no pixel of ``px``: the least and the greatest place held on the line's longer axis, and how many are. Lines whose walk ends at once have no row.
+
+    Places are those of a frame of ``width`` by ``height``; each direction is a window over a line's own places, so no longer than a frame's side."""
+    side = F.when(F.abs("sine") > F.abs("cosine"), F.col("centre.x")).otherwise(F.col("centre.y")).cast("int")
+    own = _central(lines, stats).select(*ID, "rho", "cosine", "sine", side.alias("start"))
+    level = F.abs("sine") > F.abs("cosine")
+    places = walk(own, F.lit(0), F.when(level, F.lit(width - 1)).otherwise(F.lit(height - 1)), 0)
+    held = places.join(px.select("frame_idx", "x", "y").distinct(), ["frame_idx", "x", "y"]).select(*ID, "start", F.when(level, F.col("x")).otherwise(F.col("y")).alias("t"))
+    # the start belongs to both directions
+    both = held.withColumn("way", F.explode(F.when(F.col("t") == F.col("start"), F.array(F.lit(1), F.lit(-1))).when(F.col("t") > F.col("start"), F.array(F.lit(1))).otherwise(F.array(F.lit(-1))))).withColumn("step", F.abs(F.col("t") - F.col("start")))
+    outward = Window.partitionBy(*ID, "way").orderBy("step")
+    missed = F.col("step") - F.coalesce(F.lag("step").over(outward), F.lit(-1)) - 1
+    kept = both.withColumn("ended", (missed > gap).cast("int")).withColumn("ended", F.sum("ended").over(outward)).where("ended = 0")
+    return kept.groupBy(*ID).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.countDistinct("t").alias("hits"))

@@ -143,3 +143,31 @@ def table_view(groups: DataFrame, by: str = "size", descending: bool = False) ->
     columns = [shown(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in groups.schema]
     order = F.desc(by) if descending else F.asc(by)
     return groups.orderBy(order, *[c for c in ("frame_idx", "blob_id") if c in groups.columns]).select(*columns)
+
+
+def decide(blob_px: DataFrame, validation_px: DataFrame, scores: DataFrame) -> DataFrame:
+    """``frame_idx, blob_id, reason_kind, reason_value, will_paint``. Frames with a validation image (any row of ``validation_px(frame_idx, x, y, value)``, also of value 0) are
+    decided by it: what has a pixel set there is painted, as if the user had said so. In all others ``scores(frame_idx, blob_id, score)`` decide; a group without a score
+    stays undecided."""
+    groups = blob_px.select("frame_idx", "blob_id", "x", "y")
+    images = validation_px.select("frame_idx").distinct().withColumn("image", F.lit(True))
+    set_ = validation_px.where(F.col("value") != 0).select("frame_idx", "x", "y").distinct().withColumn("hit", F.lit(True))
+    hits = groups.join(set_, ["frame_idx", "x", "y"], "left").groupBy("frame_idx", "blob_id").agg((F.count("hit") > 0).alias("hit"))
+    rows = hits.join(images, "frame_idx", "left").join(scores.select("frame_idx", "blob_id", "score"), ["frame_idx", "blob_id"], "left")
+    by_image = F.coalesce("image", F.lit(False))
+    return rows.select(
+        "frame_idx", "blob_id", F.when(by_image, F.lit("userSelected")).when(F.col("score").isNotNull(), F.lit("fromClassifier")).alias("reason_kind"),
+        F.when(by_image, F.col("hit").cast("double")).otherwise(F.col("score")).alias("reason_value"), F.when(by_image, F.col("hit")).otherwise(F.col("score") > 0).alias("will_paint"))
+
+
+def recorded_slices(slices: DataFrame, blob_px: DataFrame) -> DataFrame:
+    """``frame_idx, ord, min_x, min_y, max_x, max_y`` of the slices that a frame's record holds after all were made in order of ``ord``: those that cut a pixel and that no later
+    one which cut a pixel overlaps by more than an edge. Repeated rows count once; slices with a null anywhere cut nothing."""
+    columns = ["frame_idx", "ord", "min_x", "min_y", "max_x", "max_y"]
+    made = slices.select(*columns).distinct()
+    inside = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
+    pixels = blob_px.select(F.col("frame_idx").alias("frame"), "x", "y")
+    cut = made.join(pixels, (F.col("frame") == F.col("frame_idx")) & inside, "left_semi")
+    later = cut.select(*[F.col(c).alias(f"later_{c}") for c in columns])
+    over = (F.col("min_x") < F.col("later_max_x")) & (F.col("min_y") < F.col("later_max_y")) & (F.col("later_min_x") < F.col("max_x")) & (F.col("later_min_y") < F.col("max_y"))
+    return cut.join(later, (F.col("frame_idx") == F.col("later_frame_idx")) & (F.col("later_ord") > F.col("ord")) & over, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.functions import box, box_crossings, centre_theta, crossing, edge_distance, line_through, mean_pixel, overlap_amount, packed, pixel_difference, polar, polar_points, same_line, unpacked, y_at
+from pixelweave.functions import box, box_crossings, centre_theta, crossing, edge_distance, line_through, mean_pixel, overlap_amount, packed, pixel_difference, polar, polar_points, same_line, shifted, unpacked, y_at
 from pixelweave.functions.tables import written
 from pixelweave.operators import filters, group, grow, learn, lines, pixel, review
 from pixelweave.sources.files import FEATURES as FEATURE_NAMES
@@ -503,3 +503,61 @@ def tree_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(learn.train_test_split(training_rows(spark, sf_dir)), "training-rows")
     trees = {"+".join(names): learn.grow_tree(rows.where("not is_test"), names, 3).column() for names in learn.feature_subsets(FEATURES)}
     return learn.report(trees, rows.where("is_test"))
+
+
+def _drawn(px: DataFrame) -> DataFrame:
+    """Four slices for each frame, some of which overlap."""
+    at = lambda n, most: F.abs(F.col("frame_idx")) * n * F.col("ord") % most
+    slices = px.select("frame_idx").distinct().select("frame_idx", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ord"))
+    slices = slices.select("*", at(7, 90).alias("min_x"), at(5, 60).alias("min_y"))
+    return slices.select("*", (F.col("min_x") + 20 + F.col("ord")).alias("max_x"), (F.col("min_y") + 15).alias("max_y"))
+
+
+@query
+def razor_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = labelled_pixels(spark, sf_dir)
+    return group.razor_in_order(px, _drawn(px))
+
+
+@query
+def recorded_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = labelled_pixels(spark, sf_dir)
+    return review.recorded_slices(_drawn(px), px)
+
+
+@query
+def decide_by_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third frame has a validation image."""
+    px = labelled_pixels(spark, sf_dir)
+    image = sparse_pixels(spark, sf_dir).where("frame_idx % 3 = 0").select("frame_idx", "x", "y", F.when(F.col("intensity") > 49_000, 255).otherwise(0).alias("value"))
+    scores = px.select(*group.ID).distinct().where("blob_id % 5 > 0").withColumn("score", (F.col("blob_id") % 21 - 10) / 10.0)
+    return review.decide(px, image, scores)
+
+
+@query
+def nearest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group nearest to each group's centre."""
+    px = written(labelled_pixels(spark, sf_dir), "labelled")
+    centre = lambda c: F.floor((F.col(f"min_{c}") + F.col(f"max_{c}") + 1) / 2).cast("int").alias(c)
+    return group.nearest(group.statistics(px).select(*group.ID, centre("x"), centre("y")), px, 8)
+
+
+@query
+def nearest_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = labelled_pixels(spark, sf_dir)
+    return lines.nearest_pixels(px, group.statistics(px), _lines(px), WIDTH // 2, HEIGHT // 2)
+
+
+@query
+def shifted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line given from the corner of its group's bounds, from the frame's corner."""
+    px = labelled_pixels(spark, sf_dir)
+    rows = group.statistics(px).join(_lines(px), group.ID)
+    a, b, c = shifted(*lines.coefficients(), F.col("min_x"), F.col("min_y"))
+    return rows.select(*group.ID, a.alias("a"), b.alias("b"), c.alias("c"))
+
+
+@query
+def walk_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = labelled_pixels(spark, sf_dir)
+    return lines.walk_until(px, group.statistics(px), _lines(px), WIDTH, HEIGHT, 2)

@@ -191,3 +191,29 @@ _FEATURES = {
     "lineLength": "f_line_length", "nearbyDirectOverlapScore": "f_direct_overlap", "boundingBoxOverlapScore": "f_bounds_overlap", "lineFillAmount": "f_line_fill",
 }
 ORACLES["feature_vector"] = f"SELECT frame_idx, blob_id, {', '.join(f'CAST({c} AS DOUBLE) AS {n}' for n, c in _FEATURES.items())} FROM ({ORACLES[_PARTS[0]]})" + "".join(f" JOIN ({ORACLES[p]}) USING (frame_idx, blob_id)" for p in _PARTS[1:])
+
+_DRAWN = """sl AS (SELECT frame_idx, ord, abs(frame_idx) * 7 * ord % 90 AS min_x, abs(frame_idx) * 5 * ord % 60 AS min_y, abs(frame_idx) * 7 * ord % 90 + 20 + ord AS max_x, abs(frame_idx) * 5 * ord % 60 + 15 AS max_y
+  FROM (SELECT DISTINCT frame_idx FROM lp), range(1, 5) r(ord)), sc AS (SELECT lp.frame_idx, x, y, ord FROM lp JOIN sl ON sl.frame_idx = lp.frame_idx AND x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y)"""
+_MID = "min_{0} + (max_{0} - min_{0} + 1) / 2"
+ORACLES |= {
+    "razor_in_order": f"""WITH {LP}, {_DRAWN}, n AS (SELECT frame_idx, ord, row_number() OVER (PARTITION BY frame_idx ORDER BY ord) AS n FROM (SELECT DISTINCT frame_idx, ord FROM sc)), m AS (SELECT frame_idx, max(blob_id) AS last_id FROM lp GROUP BY ALL),
+      w AS (SELECT frame_idx, x, y, max(ord) AS ord FROM sc GROUP BY ALL) SELECT lp.frame_idx, CAST(coalesce(last_id + n, blob_id) AS INT) AS blob_id, lp.x, lp.y, intensity
+      FROM lp JOIN m ON m.frame_idx = lp.frame_idx LEFT JOIN w ON w.frame_idx = lp.frame_idx AND w.x = lp.x AND w.y = lp.y LEFT JOIN n ON n.frame_idx = w.frame_idx AND n.ord = w.ord""",
+    "recorded_slices": f"""WITH {LP}, {_DRAWN}, made AS (SELECT * FROM sl SEMI JOIN sc USING (frame_idx, ord)) SELECT frame_idx, CAST(ord AS INT) AS ord, CAST(min_x AS INT) AS min_x, CAST(min_y AS INT) AS min_y, CAST(max_x AS INT) AS max_x, CAST(max_y AS INT) AS max_y
+      FROM made p WHERE NOT EXISTS (SELECT 1 FROM made q WHERE q.frame_idx = p.frame_idx AND q.ord > p.ord AND q.min_x < p.max_x AND p.min_x < q.max_x AND q.min_y < p.max_y AND p.min_y < q.max_y)""",
+    "decide_by_image": f"""WITH {LP}, g AS (SELECT frame_idx, blob_id, bool_or(intensity > 49000) AS hit, CASE WHEN blob_id % 5 > 0 THEN CAST((blob_id % 21 - 10) / 10 AS DOUBLE) END AS score, frame_idx % 3 = 0 AS image FROM lp GROUP BY ALL)
+      SELECT frame_idx, blob_id, CASE WHEN image THEN 'userSelected' WHEN score IS NOT NULL THEN 'fromClassifier' END AS reason_kind, CASE WHEN image THEN CAST(hit AS DOUBLE) ELSE score END AS reason_value, CASE WHEN image THEN hit ELSE score > 0 END AS will_paint FROM g""",
+    "nearest_group": f"""WITH {ST}, p AS (SELECT frame_idx, blob_id, CAST(floor({_MID.format('x')}) AS INT) AS x, CAST(floor({_MID.format('y')}) AS INT) AS y FROM st)
+      SELECT p.frame_idx, p.blob_id, q.blob_id AS other_id, CAST((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS BIGINT) AS distance_sq FROM p LEFT JOIN lp q ON q.frame_idx = p.frame_idx AND q.blob_id <> p.blob_id
+      QUALIFY row_number() OVER (PARTITION BY p.frame_idx, p.blob_id ORDER BY distance_sq, other_id) = 1""",
+    "nearest_pixels": f"""WITH {BL}, c AS (SELECT frame_idx, blob_id, abs(sine) > abs(cosine) AS level, rho, cosine, sine, {_MID.format('x')} AS mx, {_MID.format('y')} AS my FROM st LEFT JOIN bl USING (frame_idx, blob_id))
+      SELECT frame_idx, blob_id, round(min(abs(x * cosine + y * sine - rho * CAST(1000000 AS BIGINT))) / 1000000, 6) + 0.0 AS to_line, round(sqrt(min((x - 64) * (x - 64) + (y - 48) * (y - 48))), 6) + 0.0 AS to_point,
+      round(CASE WHEN level THEN mx ELSE {_X.format('my')} END, 6) + 0.0 AS centre_x, round(CASE WHEN level THEN {_Y.format('mx')} WHEN NOT level THEN my END, 6) + 0.0 AS centre_y FROM lp JOIN c USING (frame_idx, blob_id) GROUP BY ALL""",
+    "shifted_lines": f"WITH {BL} SELECT frame_idx, blob_id, cosine AS a, sine AS b, -rho * CAST(1000000 AS BIGINT) - cosine * min_x - sine * min_y AS c FROM st JOIN bl USING (frame_idx, blob_id)",
+    "walk_until": f"""WITH {BL}, ws AS (SELECT frame_idx, blob_id, rho, cosine, sine, abs(sine) > abs(cosine) AS level, CAST(trunc(CASE WHEN abs(sine) > abs(cosine) THEN {_MID.format('x')} ELSE {_MID.format('y')} END) AS INT) AS start FROM st JOIN bl USING (frame_idx, blob_id)),
+      wt AS (SELECT *, unnest(range(0, CASE WHEN level THEN 128 ELSE 96 END)) AS t FROM ws), wu AS (SELECT *, CAST(trunc(CASE WHEN level THEN {_Y.format('t')} ELSE {_X.format('t')} END) AS BIGINT) AS u FROM wt),
+      wh AS (SELECT wu.frame_idx, wu.blob_id, start, t FROM wu JOIN lp q ON q.frame_idx = wu.frame_idx AND q.x = CASE WHEN level THEN t ELSE u END AND q.y = CASE WHEN level THEN u ELSE t END WHERE u >= 0),
+      ww AS (SELECT *, unnest(CASE WHEN t = start THEN [1, -1] WHEN t > start THEN [1] ELSE [-1] END) AS way, abs(t - start) AS step FROM wh),
+      wm AS (SELECT *, step - coalesce(lag(step) OVER (PARTITION BY frame_idx, blob_id, way ORDER BY step), -1) > 3 AS missed FROM ww), wk AS (SELECT * FROM wm QUALIFY count(*) FILTER (missed) OVER (PARTITION BY frame_idx, blob_id, way ORDER BY step) = 0)
+      SELECT frame_idx, blob_id, CAST(min(t) AS INT) AS first, CAST(max(t) AS INT) AS last, count(DISTINCT t) AS hits FROM wk GROUP BY ALL""",
+}

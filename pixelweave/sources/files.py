@@ -5,9 +5,8 @@ from __future__ import annotations
 import functools
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pixelweave.functions.tables import placed
 
@@ -42,20 +41,29 @@ def _same_names(spark: SparkSession, folder: str, names: tuple[str, ...]) -> boo
     return first is not None and tuple(first[0].strip().split(",")) == names
 
 
+def _rows(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
+    """The fields of lines as text, by name. Of each file a last line with too few or too many fields goes; other short lines have nulls at their end."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.split("value", ",").alias("fields"), F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    lines = lines.where(F.trim("value") != "")
+    last = lines.groupBy("file").agg(F.max("place").alias("place"))  # a row for each file
+    broken = last.join(lines.where(F.size("fields") != len(names)), ["file", "place"]).select("file", "place")
+    return lines.join(broken, ["file", "place"], "left_anti").select(*[F.trim(F.get("fields", F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
+def _number(name: str) -> Column:
+    return F.coalesce(F.col(name).try_cast("double"), F.lit(0.0)).alias(name)
+
+
 def read_features(spark: SparkSession, folder: str, names: tuple[str, ...] = FEATURES) -> DataFrame:
-    """``group_id`` and the features. A folder whose names differ has no rows; what isn't a number is 0."""
-    texts = T.StructType([T.StructField(n, T.StringType()) for n in ("group_id", *names)])
-    rows = spark.read.schema(texts).csv(f"{folder}/outlier_data.csv")
-    number = lambda n: F.coalesce(F.expr(f"try_cast(`{n}` AS DOUBLE)"), F.lit(0.0)).alias(n)
-    rows = rows.select(F.col("group_id").cast("long").alias("group_id"), *map(number, names))
+    """``group_id`` and the features. A folder whose names differ has no rows; what isn't a number is 0, and a broken last line goes."""
+    rows = _rows(spark, f"{folder}/outlier_data.csv", ("group_id", *names)).select(F.col("group_id").try_cast("long").alias("group_id"), *map(_number, names))
     return rows if _same_names(spark, folder, names) else rows.where(F.lit(False))
 
 
 def read_labelled(spark: SparkSession, folder: str, names: tuple[str, ...] = FEATURES) -> DataFrame:
     """``label`` and the features of the two files of classified rows, which have no ids. Guarded as `read_features`."""
-    texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    number = lambda n: F.coalesce(F.expr(f"try_cast(`{n}` AS DOUBLE)"), F.lit(0.0)).alias(n)
-    parts = [spark.read.schema(texts).csv(f"{folder}/{kind}_data.csv").select(F.lit(kind == "positive").alias("label"), *map(number, names)) for kind in ("positive", "negative")]
+    parts = [_rows(spark, f"{folder}/{kind}_data.csv", names).select(F.lit(kind == "positive").alias("label"), *map(_number, names)) for kind in ("positive", "negative")]
     rows = parts[0].unionByName(parts[1])
     return rows if _same_names(spark, folder, names) else rows.where(F.lit(False))
 
@@ -82,17 +90,17 @@ def read_config(spark: SparkSession, path: str) -> dict[str, object]:
     return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small file
 
 
-SLICES = "frame_idx int, min_x int, min_y int, max_x int, max_y int"
+SLICES = "frame_idx int, ord int, min_x int, min_y int, max_x int, max_y int"
 
 
 def write_slices(slices: DataFrame, folder: str) -> None:
     """The user's slices as JSON, a folder for each frame; frames that ``slices`` doesn't hold keep theirs."""
-    rows = slices.select("frame_idx", "min_x", "min_y", "max_x", "max_y")
+    rows = slices.select("frame_idx", "ord", "min_x", "min_y", "max_x", "max_y")
     rows.repartition("frame_idx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frame_idx").json(folder)
 
 
 def read_slices(spark: SparkSession, folder: str) -> DataFrame:
-    """``frame_idx, min_x, min_y, max_x, max_y``; none if nothing was written yet. Broken lines are left out."""
+    """``frame_idx, ord, min_x, min_y, max_x, max_y``; none if nothing was written yet. Broken lines are left out; ``ord`` is 0 where it wasn't written."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -101,7 +109,7 @@ def read_slices(spark: SparkSession, folder: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], SLICES)
-    return rows.select("frame_idx", "min_x", "min_y", "max_x", "max_y")
+    return rows.select("frame_idx", F.coalesce("ord", F.lit(0)).alias("ord"), "min_x", "min_y", "max_x", "max_y")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

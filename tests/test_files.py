@@ -19,9 +19,9 @@ def test_features_round_trip(spark, tmp_path):
     assert files.read_features(spark, folder, ("width", "size")).count() == 0
     files.write_features(spark.createDataFrame([(9, 0.0, 0.0)], "group_id long, size double, width double"), folder, names)
     assert files.read_features(spark, folder, names).count() == 2
-    for kind, text in (("positive", "1,2\nx,3\n"), ("negative", "4,5\n")):
+    for kind, text in (("positive", "1,2\nx,3\n7\n"), ("negative", "4\n\n4,5\n\n")):
         (tmp_path / f"f/{kind}_data.csv").write_text(text)
-    assert sorted(map(tuple, files.read_labelled(spark, folder, names).collect())) == [(False, 4.0, 5.0), (True, 0.0, 3.0), (True, 1.0, 2.0)]
+    assert sorted(map(tuple, files.read_labelled(spark, folder, names).collect())) == [(False, 4.0, 0.0), (False, 4.0, 5.0), (True, 0.0, 3.0), (True, 1.0, 2.0)]
 
 
 def test_decisions_round_trip_replaces_only_its_frames(spark, tmp_path):
@@ -39,10 +39,10 @@ def test_settings_slices_and_manifests(spark, tmp_path):
     assert files.read_config(spark, f"{tmp_path}/config.json") == {"detectionType": "mild", "ignoreLowerPixels": 10}
     folder = f"{tmp_path}/slices"
     assert files.read_slices(spark, folder).count() == 0
-    rows = [(1, 2, 3, 4, 5), (1, 6, 7, 8, 9), (2, 0, 0, 1, 1)]
+    rows = [(1, 1, 2, 3, 4, 5), (1, 2, 6, 7, 8, 9), (2, 1, 0, 0, 1, 1)]
     files.write_slices(spark.createDataFrame(rows, files.SLICES), folder)
-    files.write_slices(spark.createDataFrame([(2, 5, 5, 6, 6)], files.SLICES), folder)
-    assert sorted(map(tuple, files.read_slices(spark, folder).collect())) == [*rows[:2], (2, 5, 5, 6, 6)]
+    files.write_slices(spark.createDataFrame([(2, 1, 5, 5, 6, 6)], files.SLICES), folder)
+    assert sorted(map(tuple, files.read_slices(spark, folder).collect())) == [*rows[:2], (2, 1, 5, 5, 6, 6)]
     (tmp_path / "good.json").write_text('{"/a": ["x", "y"], "/b": []}')
     (tmp_path / "bad.json").write_text('{"/a": ["x" "y"]}')
     assert sorted(map(tuple, files.read_manifest(spark, f"{tmp_path}/good.json").collect())) == [("/a", "x"), ("/a", "y")]
