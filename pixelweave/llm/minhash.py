@@ -12,7 +12,8 @@ given up if its sketches agree less than five standard deviations under the boun
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -166,10 +167,25 @@ def _packed(pairs: DataFrame, blocks: int) -> DataFrame:
     return pairs.groupBy("one", _block(F.col("other"), blocks).alias("block")).agg(F.collect_set("other").alias("others"))
 
 
-def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, blocks: int, similarity: float, first: int | None) -> DataFrame:
+def _agreement(numbers: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Coordinates in which each of the sketches ``numbers`` agrees with ``one``."""
+    return (numbers == one).sum(axis=1)
+
+
+@dataclass(frozen=True)
+class Alike:
+    """How bytes of ``width`` numbers of type ``kind`` are compared: ``measure`` of many with one must reach ``least`` for a pair to be verified."""
+
+    kind: str
+    width: int
+    measure: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    least: int
+
+
+def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, blocks: int, similarity: float, alike: Alike, first: int | None) -> DataFrame:
     """``one, block, others``, a text with all it is to be verified against in a block: texts of one band and of different classes whose sketches agree so far as to be looked at. Of a band's largest class no two are compared, so a
     text of it goes only to blocks that others are sent to. With ``first`` only the best of each text and part of a band, else all, a pair once. Pairs never become rows."""
-    spark, least = shared.sparkSession, least_agreement(similarity)
+    spark = shared.sparkSession
     own = shared.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     own = written(own, "minhash-classes")
     counted = own.groupBy("band", "root").agg(F.count("*").alias("n"))
@@ -182,7 +198,7 @@ def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, blocks:
     sent = rows.where(~F.col("is_main")).select("band", every("blocks").alias("block"), here("others").alias("part"), "key", "of", "root", "n", "sketch", "is_main", F.lit(True).alias("sent"))
 
     def run(shelf: pd.DataFrame) -> pd.DataFrame:
-        numbers = np.frombuffer(b"".join(shelf["sketch"]), dtype="<u2").reshape(len(shelf), SIZE)
+        numbers = np.frombuffer(b"".join(shelf["sketch"]), dtype=alike.kind).reshape(len(shelf), alike.width)
         keys, block, size, main, sent = (shelf[c].to_numpy() for c in ("key", "of", "n", "is_main", "sent"))
         root = pd.factorize(shelf["root"])[0]
         found: dict[tuple[bytes, int], set[bytes]] = {}
@@ -193,8 +209,8 @@ def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, blocks:
                 if first is None:
                     able &= main[to] | (keys[to] > keys[i])
                 at = to[able]
-                agree = (numbers[at] == numbers[i]).sum(axis=1)
-                at, agree = at[agree >= least], agree[agree >= least]
+                agree = alike.measure(numbers[at], numbers[i])
+                at, agree = at[agree >= alike.least], agree[agree >= alike.least]
                 if first is not None:
                     at = at[np.argsort(-agree, kind="stable")[:first]]
                 for other, b in zip(keys[at].tolist(), block[at].tolist(), strict=True):
@@ -212,6 +228,30 @@ def _roots(edges: DataFrame) -> DataFrame:
     return written(components(edges, "minhash-components", edges.count() <= HUB_EDGES // 2).withColumnRenamed("node", "key"), "minhash-roots")
 
 
+def linked(docs: DataFrame, sketched: DataFrame, shared: DataFrame, leads: DataFrame, words: int, similarity: float, alike: Alike) -> tuple[DataFrame, DataFrame]:
+    """``a, b``, links of sets that connect what all verified pairs within a band of ``shared(band, key, first_id)`` connect, and ``key, root`` of the sets that have one.
+
+    First each set is verified against one of its ``leads(key, lead, lead_id)``, then against the best few of other classes in its bands, then against all that are still of other classes and
+    that ``alike`` doesn't exclude by ``sketched(key, n, sketch)``. ``docs(doc_id, text)`` holds the texts.
+    """
+    spark = docs.sparkSession
+    near = written(shared.select("key", "first_id").distinct(), "minhash-near")
+    blocks = max(math.ceil(near.count() / VERIFIED), spark.sparkContext.defaultParallelism)
+    sets = written(_sets(docs, near, words), "minhash-shingles")
+    one = F.min(F.struct(F.col("lead_id").isNull().alias("no_id"), "lead_id", "lead")).alias("l")
+    first = leads.groupBy("key").agg(one).select(F.col("l.lead").alias("one"), F.col("key").alias("other"))
+    edges = written(_verified(_packed(first, blocks), sets, blocks, similarity), "minhash-links")
+    # a text has one lead, so those linked to the same are known to be of one component
+    roots = edges.select(F.col("b").alias("key"), F.col("a").alias("root"))
+    pairs = _compared(shared.select("band", "key"), roots, sketched, blocks, similarity, alike, FIRST)
+    edges = written(edges.unionByName(_verified(pairs, sets, blocks, similarity)), "minhash-links")
+    roots = _roots(edges)
+    pairs = _compared(shared.select("band", "key"), roots, sketched, blocks, similarity, alike, None)
+    more = written(_verified(pairs, sets, blocks, similarity), "minhash-links")
+    edges = edges.unionByName(more)
+    return edges, roots if more.isEmpty() else _roots(edges)
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -220,7 +260,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, id
     so each row of them is its own component. A row with a null doc_id belongs to its component but never names it, has a null component_id if no other row does, and isn't kept. Repeated
     rows stay, each with the same values. Other columns go, whatever their names. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     docs = clean_text(docs, id_col, text_col)
     rows = written(sketches(docs, words, similarity), "minhash-sketches")
     distinct = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min(F.struct("sketch", "bands")).alias("s"))
@@ -229,22 +268,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: float = 0.8, id
     least = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "key"))
     common = written(banded.groupBy("band").agg(F.count("*").alias("n"), least.alias("lead")).where("n > 1").select("band", F.col("lead.key").alias("lead")), "minhash-bands")
     shared = written(banded.join(common, "band").select("band", "key", "first_id", "lead"), "minhash-shared")
-    near = written(shared.select("key", "first_id").distinct(), "minhash-near")
-    blocks = max(math.ceil(near.count() / VERIFIED), spark.sparkContext.defaultParallelism)
-    sets = written(_sets(docs, near, words), "minhash-shingles")
     # the lead of the smallest id, often what copies were made from
-    leads = shared.where("key <> lead").join(near.select(F.col("key").alias("lead"), F.col("first_id").alias("lead_id")), "lead")
-    leads = leads.groupBy("key").agg(F.min(F.struct(F.col("lead_id").isNull().alias("no_id"), "lead_id", "lead")).alias("l")).select(F.col("l.lead").alias("one"), F.col("key").alias("other"))
-    edges = written(_verified(_packed(leads, blocks), sets, blocks, similarity), "minhash-links")
-    sketched = distinct.select("key", "n", "sketch")
-    # a text has one lead, so those linked to the same are known to be of one component
-    roots = edges.select(F.col("b").alias("key"), F.col("a").alias("root"))
-    pairs = _compared(shared.select("band", "key"), roots, sketched, blocks, similarity, FIRST)
-    edges = written(edges.unionByName(_verified(pairs, sets, blocks, similarity)), "minhash-links")
-    roots = _roots(edges)
-    pairs = _compared(shared.select("band", "key"), roots, sketched, blocks, similarity, None)
-    more = written(_verified(pairs, sets, blocks, similarity), "minhash-links")
-    roots = roots if more.isEmpty() else _roots(edges.unionByName(more))
+    leads = shared.where("key <> lead").join(shared.select(F.col("key").alias("lead"), F.col("first_id").alias("lead_id")).distinct(), "lead")
+    alike = Alike("<u2", SIZE, _agreement, least_agreement(similarity))
+    _, roots = linked(docs, distinct.select("key", "n", "sketch"), shared.select("band", "key", "first_id"), leads.select("key", "lead", "lead_id"), words, similarity, alike)
     own = distinct.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least_id = written(own.groupBy("root").agg(F.min("first_id").alias("component_id")), "minhash-least")
     named = own.join(least_id, "root").select("key", "component_id")

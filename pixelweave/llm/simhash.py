@@ -24,16 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.llm import minhash
 from pixelweave.llm.common import clean_text, components, small_side, written
-from pixelweave.llm.decontaminate import hashes_of, words_of
 
 #: Fuller buckets are cut once more.
 BUCKET_ROWS = 1024
 SEED = 42
 #: Of `keep_one`: fingerprints of so many words a shingle, for each of these seeds, within so many bits.
 FINGERPRINT_WORDS, SEEDS, RADIUS = 2, (42, 43, 44), 5
-#: In buckets of so many fingerprints all pairs are proposed.
-PAIRED_ROWS = 16
 _KEY, _DECIDED = "_key_of_text", "_decided_by_text"
 
 
@@ -138,43 +136,12 @@ def _links(fps: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _proposed(fps: list[int], radius: int, groups: list[int]) -> list[tuple[int, int]]:
-    """Pairs within the radius whose groups differ. Of a small bucket all of them. Of a large one, pairs with leaders: the member nearest to the majority of bits, which is what
-    copies were made from rather than one of them, takes all within the radius, then the next leader is found among the rest."""
-    if len(set(groups)) < 2:
-        return []
-    left, own = np.array(fps, dtype=np.int64), np.array(groups, dtype=np.int64)
-    order, out = np.argsort(left), []
-    left, own = left[order], own[order]
-    while len(left) > PAIRED_ROWS:
-        lead = int(np.bitwise_count(left.view(np.uint64) ^ np.uint64(_majority(left.view(np.uint64)))).argmin())
-        near = np.bitwise_count((left ^ left[lead]).view(np.uint64)) <= radius
-        out += [(max(x, int(left[lead])), min(x, int(left[lead]))) for x in left[near & (own != own[lead])].tolist()]
-        left, own = left[~near], own[~near]
-    for i in range(len(left) - 1):
-        near = (np.bitwise_count((left[i + 1 :] ^ left[i]).view(np.uint64)) <= radius) & (own[i + 1 :] != own[i])
-        out += [(x, int(left[i])) for x in left[i + 1 :][near].tolist()]
-    return out
-
-
-def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``a, b``: links that connect the distinct fingerprints of ``fps(fp)`` exactly as all pairs within
-    ``radius`` bits do. Within a bucket only one link for each fingerprint leaves its task. With a column ``own``, a number of a group, instead the pairs that
-    `_proposed` gives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if grouped:
-                found = [x for group in b.column(0).to_pylist() for x in _proposed([m["fp"] for m in group], radius, [m["own"] for m in group])]
-            else:
-                found = [x for group in b.column(0).to_pylist() for x in _links(group, radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-
-    grouped = "own" in fps.columns
-    carried = ["fp", "own"] if grouped else ["fp"]
+def buckets(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> Iterator[DataFrame]:
+    """``path, key, fp``, level by level: the buckets of two or more of the distinct fingerprints of ``fps(fp)``, so that each pair within
+    ``radius`` bits shares one."""
     spark, masks, free = fps.sparkSession, {1: [(1 + i, m) for i, m in enumerate(covering_masks(list(range(64)), radius))]}, {}
     tables = F.array(*[F.struct(F.lit(t).alias("path"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in masks[1]])
-    keyed, found = fps.select(*carried, F.explode(tables).alias("t")).select(*carried, "t.path", "t.key"), None
+    keyed = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.path", "t.key")
     while True:
         # counts are partial before the shuffle, so a crowded bucket is never gathered
         crowded = written(keyed.groupBy("path", "key").count().where(F.col("count") > bucket_rows).select("path", "key"), "simhash-crowded")
@@ -186,18 +153,29 @@ def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> Da
         split = any_crowded and not last
         small = keyed.join(small_side(crowded), ["path", "key"], "left_anti") if split else keyed
         size = F.count("*").over(Window.partitionBy("path", "key"))
-        small = written(small.withColumn("n", size).where("n > 1").drop("n"), "simhash-buckets")
-        here = small.groupBy("path", "key").agg(F.collect_list(F.struct("fp", "own") if grouped else F.col("fp")).alias("fps")).select("fps").mapInArrow(run, "a long, b long")
-        found = here if found is None else found.unionByName(here)
+        yield written(small.withColumn("n", size).where("n > 1").drop("n"), "simhash-buckets")
         if not split:
-            return found.distinct()
+            return
         full = keyed.join(small_side(crowded), ["path", "key"], "left_semi")
         paths = sorted(r[0] for r in crowded.select("path").distinct().collect())  # at most one for each table
         number = itertools.count(1)
         masks = {p: [(next(number), whole[p] | m) for m in covering_masks(free[p], radius)] for p in paths}
         # of three levels the last has 31 ** 3 tables for radius 4
         next_tables = F.broadcast(spark.createDataFrame([(p, t, _signed(m)) for p, ms in masks.items() for t, m in ms], "path int, to int, mask long"))
-        keyed = full.join(next_tables, "path").select(*carried, F.col("to").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+        keyed = full.join(next_tables, "path").select("fp", F.col("to").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+
+
+def links(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``a, b``: links that connect the distinct fingerprints of ``fps(fp)`` exactly as all pairs within
+    ``radius`` bits do. Within a bucket only one link for each fingerprint leaves its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [x for group in b.column(0).to_pylist() for x in _links(group, radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    levels = [small.groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "a long, b long") for small in buckets(fps, radius, bucket_rows)]
+    return functools.reduce(DataFrame.unionByName, levels).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,57 +209,63 @@ def _text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit("again")).alias("k2"))
 
 
-def _fingerprinted(texts: DataFrame, words: int, seeds: tuple[int, ...]) -> DataFrame:
-    """``doc_id, key, fps`` for every row of ``texts(doc_id, text)``."""
+def _fingerprinted(texts: DataFrame, words: int, set_words: int, seeds: tuple[int, ...]) -> DataFrame:
+    """``doc_id, text_key, key, n, fps`` for every row of ``texts(doc_id, text)``; ``key`` is 128 bits that stand for the text's set of shingles of ``set_words`` words, ``n`` their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            fps = np.array([simhashes(t.as_py(), words, seeds) for t in b.column(2).cast(pa.binary())], dtype="<u8").reshape(len(b), len(seeds))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(fps.ravel().view("<i8")), len(seeds)).cast(pa.list_(pa.int64()))], names=["doc_id", "key", "fps"])
+            fps, keys, sizes = [], [], []
+            for t in b.column(2).cast(pa.large_binary()):
+                text = t.as_py()
+                hashes = minhash.shingle_set(text, set_words)
+                fps.append(np.array(simhashes(text, words, seeds), dtype="<u8").view("<i8").tolist())
+                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "text_key", "key", "n", "fps"])
+
+    return texts.select("doc_id", _text_key(F.col("text")).alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key struct<k1:long,k2:long>, key binary, n long, fps array<long>")
+
+
+def _nearness(fps: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Less the bits in which each row's fingerprints differ from ``one``'s, by the nearest of the seeds."""
+    return -np.bitwise_count(fps ^ one).min(axis=1).astype(np.int64)
+
 
-    return texts.select("doc_id", _text_key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key struct<k1:long,k2:long>, fps array<long>")
+def _bytes_of(fps: Column, n: int) -> Column:
+    """Little-endian bytes of the numbers."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(fps[i], 8 * j).bitwiseAND(F.lit(255).cast("long"))), 2, "0") for i in range(n) for j in range(8)]))
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts of ``docs(doc_id, text)``, as ``key, first_id, n_rows, n_first, node``, and links ``a, b`` of nodes whose
-    texts' sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or more.
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs(doc_id, text)`` as ``doc_id, text_key, key, n, fps``, where ``key`` stands for a text's set of ``words``-word shingles; links ``a, b`` of
+    keys whose sets have a Jaccard similarity of ``similarity`` or more; and ``key, root`` of all keys that links connect with others.
 
-    Pairs are proposed by covering tables over fingerprints of word pairs, under one seed after the other, and every proposed pair is verified. All pairs of a bucket
-    that aren't connected yet are proposed, but for large buckets, in which each text is compared with leaders. Texts without words are like each other.
+    Texts are proposed to each other that share a bucket of a seed's covering tables over fingerprints of word pairs, or a fingerprint. Each text is verified against the first of its
+    buckets, then all pairs of a bucket that are within the radius under some seed and not connected by then, however full it is: what all verified pairs
+    within the radius connect is connected. Pairs travel as lists, a text with all of a block, in blocks of bounded size. Texts without words have one key.
     """
-    rows = written(_fingerprinted(clean_text(docs, "doc_id", "text"), FINGERPRINT_WORDS, seeds), "dedup-fingerprints")
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"), F.any_value("fps").alias("fps"))
-    least = written(least.withColumn("node", F.struct(F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", F.lit(0).cast("long")).alias("id"), F.col("key.k1"), F.col("key.k2"))), "dedup-texts")
-    edges = None
-    for n in range(len(seeds)):
-        own = least.select("node", F.col("fps")[n].alias("fp"))
-        if edges is None:
-            own = own.withColumn("own", F.xxhash64("node"))
-        else:
-            # what is connected by now needn't be proposed again
-            own = own.join(components(edges, "dedup-components"), "node", "left").select("node", "fp", F.xxhash64(F.coalesce("root", "node")).alias("own"))
-        own = written(own, "dedup-own")
-        lead = written(own.groupBy("fp").agg(F.min_by(F.struct("node", "own"), "node").alias("lead")).select("fp", F.col("lead.node").alias("lead"), "lead.own"), "dedup-leads")
-        same = own.join(lead.withColumnRenamed("own", "of_lead"), "fp").where("own <> of_lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        near = links(lead.select("fp", "own"), radius)
-        near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("to_a")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("to_b")), "b")
-        pairs = written(same.unionByName(near.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b"))).distinct(), "dedup-pairs")
-        found = written(_verified(docs, pairs, words, similarity), "dedup-links")
-        edges = found if edges is None else edges.unionByName(found)
-    return least, edges
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of texts that are alike."""
-    key = F.struct(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("key", key)
-    wanted = small_side(written(asked, "dedup-asked"))
-    text = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", _text_key(F.col("text"))).join(wanted, "key")
-    shingled = text.select("node", F.array_distinct(hashes_of(words_of(F.col("text")), words)).alias("hs"))
-    sets = written(shingled.groupBy("node").agg(F.any_value("hs").alias("hs")), "dedup-shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("of_b")), "b")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
+    docs = clean_text(docs, "doc_id", "text")
+    rows = written(_fingerprinted(docs, FINGERPRINT_WORDS, words, seeds), "dedup-fingerprints")
+    distinct = written(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min("fps").alias("fps")), "dedup-sets")
+    parts = []
+    for s in range(len(seeds)):
+        own = distinct.select(F.col("fps")[s].alias("fp"), F.col("key").alias("of"), "first_id")
+        parts.append(own.select(F.xxhash64(F.lit(s), F.lit(-1), "fp").alias("band"), "fp", "of", "first_id"))
+        for level, small in enumerate(buckets(own.select("fp").distinct(), radius)):
+            parts.append(small.select(F.xxhash64(F.lit(s), F.lit(level), "path", "key").alias("band"), "fp").join(own, "fp").select("band", "fp", "of", "first_id"))
+    banded = functools.reduce(DataFrame.unionByName, parts).withColumnRenamed("of", "key")
+    least = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "key", "fp"))
+    common = written(banded.groupBy("band").agg(F.count("*").alias("n"), least.alias("lead")).where("n > 1").select("band", "lead"), "dedup-bands")
+    near_lead = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= radius
+    shared = banded.join(common, "band").select("band", "key", "first_id", F.when(near_lead & (F.col("key") != F.col("lead.key")), F.struct("lead.key", "lead.first_id")).alias("lead"))
+    shared = written(shared, "dedup-shared")
+    leads = shared.where("lead is not null").select("key", F.col("lead.key").alias("lead"), F.col("lead.first_id").alias("lead_id"))
+    alike = minhash.Alike("<u8", len(seeds), _nearness, -radius)
+    sketched = distinct.select("key", "n", _bytes_of(F.col("fps"), len(seeds)).alias("sketch"))
+    edges, roots = minhash.linked(docs, sketched, shared.select("band", "key", "first_id"), leads, words, similarity, alike)
+    return rows, edges, roots
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -291,11 +275,14 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     Rows go by their text, so those with a null or repeated id are decided like all others. Null and empty texts and those without words
     are one group. All columns stay, whatever their names. An empty table gives an empty one.
     """
-    texts, edges = similar_texts(docs, words, similarity)
-    roots = components(edges, "dedup-components")
-    # only texts with other rows or in a component lose rows
-    found = texts.join(roots, "node", "left").where("n_rows > 1 or node <> root")
-    found = written(found.select("key", "first_id", (F.coalesce("root", "node") == F.col("node")).alias("stays")), "dedup-decisions")
+    rows, _, roots = similar_texts(docs, words, similarity)
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"), F.any_value("key").alias("key")).join(roots, "key", "left")
+    node = F.struct(F.col("first_id").isNull().alias("no_id"), F.coalesce("first_id", F.lit(0).cast("long")).alias("id"), F.col("text_key.k1"), F.col("text_key.k2"))
+    texts = written(texts.select("text_key", "first_id", "n_rows", F.coalesce("root", "key").alias("class"), node.alias("node")), "dedup-texts")
+    # only texts with other rows or in a class with others lose rows
+    classes = written(texts.groupBy("class").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("class", "least"), "dedup-classes")
+    found = texts.join(small_side(classes), "class", "left").where("n_rows > 1 or least is not null")
+    found = written(found.select(F.col("text_key").alias("key"), "first_id", F.coalesce(F.col("node") == F.col("least"), F.lit(True)).alias("stays")), "dedup-decisions")
     doc = docs.withColumn(_KEY, _text_key(F.col("text")))
     named = small_side(found.select(F.col("key").alias(_KEY), F.struct("first_id", "stays").alias(_DECIDED)))
     alone = doc.join(small_side(found.select(F.col("key").alias(_KEY))), _KEY, "left_anti")

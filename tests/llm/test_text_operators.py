@@ -144,32 +144,57 @@ def jaccard(a, b, k=5):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("paired", [16, 3])
-def test_keep_one_against_all_pairs(spark, monkeypatch, paired):
-    """Texts that all pairs of five-word similarity of 0.8 or more connect: every drop is one of these, and nearly all are found."""
-    monkeypatch.setattr(simhash, "PAIRED_ROWS", paired)
-    r = random.Random(9)
-    docs = []
-    for g in range(40):
-        base = words(150, 1000 + g)
-        docs += [base, *(edited(base, r.randint(1, 4), r) for _ in range(r.randint(1, 6))), edited(base, 30, r)]
-    near = {(i, j) for i, j in itertools.combinations(range(len(docs)), 2) if jaccard(docs[i], docs[j]) >= 0.8}
-    root = list(range(len(docs)))
+def connected(n, pairs):
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, j in sorted(near):
+    for i, j in sorted(pairs):
         a, b = find(i), find(j)
         root[max(a, b)] = min(a, b)
-    kept = {x[0] for x in simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
-    expected = {find(i) for i in range(len(docs))}
+    return [find(i) for i in range(n)]
+
+
+def test_keep_one_against_all_pairs(spark):
+    """Texts that all pairs of five-word similarity of 0.8 or more connect: every drop is one of these, and nearly all are found."""
+    r = random.Random(9)
+    docs = []
+    for g in range(40):
+        base = words(150, 1000 + g)
+        docs += [base, *(edited(base, r.randint(1, 4), r) for _ in range(r.randint(1, 6))), edited(base, 30, r)]
+    near = {(i, j) for i, j in itertools.combinations(range(len(docs)), 2) if jaccard(docs[i], docs[j]) >= 0.8}
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    kept = {x[0] for x in simhash.keep_one(table).collect()}
+    expected = set(connected(len(docs), near))
     assert kept >= expected  # nothing goes without a verified link
     assert len(kept - expected) <= 0.1 * (len(docs) - len(expected))
-    _, edges = simhash.similar_texts(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
-    assert {(x["b"]["id"], x["a"]["id"]) for x in edges.collect()} <= near
+    rows, edges, _ = simhash.similar_texts(table)
+    named = {bytes(x["key"]): x["doc_id"] for x in rows.collect()}
+    assert {tuple(sorted((named[bytes(x["a"])], named[bytes(x["b"])]))) for x in edges.collect()} <= near
+
+
+@pytest.mark.parametrize("compared", [1024, 16])
+def test_keep_one_of_a_large_family_of_copies_of_copies(spark, monkeypatch, compared):
+    """300 texts, each an edited copy of an earlier one: exactly what the pairs connect that are alike and whose fingerprints under some seed are within the radius, whatever the blocks."""
+    from pixelweave.llm import minhash
+
+    monkeypatch.setattr(minhash, "COMPARED", compared)
+    r = random.Random(31)
+    docs = [words(300, 77)]
+    while len(docs) < 300:
+        docs.append(edited(r.choice(docs), r.randint(1, 3), r))
+    r.shuffle(docs)
+    fps = [simhash.simhashes(d.encode(), simhash.FINGERPRINT_WORDS, simhash.SEEDS) for d in docs]
+    near = {
+        (i, j)
+        for i, j in itertools.combinations(range(len(docs)), 2)
+        if min((a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)) <= simhash.RADIUS and jaccard(docs[i], docs[j]) >= 0.8
+    }
+    kept = {x[0] for x in simhash.keep_one(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert len(near) > 300 and kept == set(connected(len(docs), near))
 
 
 def test_contained_matches_counting_all_shingles(spark, odd, empty):
