@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.llm import minhash
@@ -144,16 +144,19 @@ def buckets(fps: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) ->
     keyed = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.path", "t.key")
     while True:
         # counts are partial before the shuffle, so a crowded bucket is never gathered
-        crowded = written(keyed.groupBy("path", "key").count().where(F.col("count") > bucket_rows).select("path", "key"), "simhash-crowded")
+        sizes = keyed.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
+        sizes = written(sizes, "simhash-sizes")
+        crowded = sizes.where(F.col("n") > bucket_rows).select("path", "key")
         any_crowded = not crowded.isEmpty()
         whole = {t: m for ms in masks.values() for t, m in ms}
         free = {t: [p for p in range(64) if not m >> p & 1] for t, m in whole.items()}
         # with 10 positions left a bucket has 1024 fingerprints at most; while there are more than radius, each level leaves fewer
         last = all(len(p) <= max(10, radius) for p in free.values())
         split = any_crowded and not last
-        small = keyed.join(small_side(crowded), ["path", "key"], "left_anti") if split else keyed
-        size = F.count("*").over(Window.partitionBy("path", "key"))
-        yield written(small.withColumn("n", size).where("n > 1").drop("n"), "simhash-buckets")
+        # a bucket of two is known by its least and greatest; most others are so few that only their keys go to the rows
+        two = sizes.where("n = 2").select("path", "key", F.explode(F.array("lo", "hi")).alias("fp"))
+        more = sizes.where((F.col("n") > 2) & (F.col("n") <= bucket_rows) if split else F.col("n") > 2).select("path", "key")
+        yield written(two.unionByName(keyed.join(small_side(more), ["path", "key"], "left_semi").select("path", "key", "fp")), "simhash-buckets")
         if not split:
             return
         full = keyed.join(small_side(crowded), ["path", "key"], "left_semi")
