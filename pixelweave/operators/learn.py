@@ -38,13 +38,22 @@ def melt(rows: DataFrame, features: list[str]) -> DataFrame:
     return rows.unpivot(ids, features, "feature", "value")
 
 
+def histogram(rows: DataFrame, features: list[str]) -> DataFrame:
+    """``node, label, feature, value, n``: how often each value of a feature comes in each class of each node."""
+    return melt(rows, features).groupBy("node", "label", "feature", "value").agg(F.count("*").alias("n"))
+
+
 def class_statistics(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Least, greatest, mean and upper median of each feature in each class of each node.
+    """Least, greatest, mean and upper median of each feature in each class of each node."""
+    return histogram_statistics(histogram(rows, features))
+
 
-    The median is the value of rank n/2 in the histogram of values, whose counts are partial before each shuffle and summed up over ranges of values, so that a class
+def histogram_statistics(histogram: DataFrame) -> DataFrame:
+    """`class_statistics` of the rows that ``histogram`` counts.
+
+    The median is the value of rank n/2, whose counts are partial before each shuffle and summed up over ranges of values, so that a class
     needn't fit a task."""
     keys = ["node", "label", "feature"]
-    histogram = melt(rows, features).groupBy(*keys, "value").agg(F.count("*").alias("n"))
     # ``low`` to ``mean`` are of the same counts; a row for each node, class and feature
     ranked = written(placed(histogram, keys, ["value"], "n"), "class-histogram")
     total = ranked.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.floor(F.sum("n") / 2).alias("middle"))
@@ -65,8 +74,14 @@ def thresholds(statistics: DataFrame) -> DataFrame:
 def split_scores(rows: DataFrame, features: list[str], cuts: DataFrame) -> DataFrame:
     """``node, feature, threshold, clean, score``: how much purer a side's share of positives is than its node's; a clean
     cut scores by its gap. Cuts that gain nothing have no row. ``cuts`` is broadcast: a row for each feature of each open node, so under 2 ** depth times the features."""
-    counted = melt(rows, features).join(F.broadcast(cuts), ["node", "feature"]).groupBy("node", "feature", "threshold", "clean", "gap").agg(
-        F.count_if(F.col("value") < F.col("threshold")).alias("n_less"), F.count_if((F.col("value") < F.col("threshold")) & F.col("label")).alias("p_less"), F.count("*").alias("n"), F.count_if("label").alias("p"))
+    return histogram_scores(melt(rows, features).withColumn("n", F.lit(1).cast("long")), cuts)
+
+
+def histogram_scores(histogram: DataFrame, cuts: DataFrame) -> DataFrame:
+    """`split_scores` of the rows that ``histogram`` counts."""
+    less, label, n = F.col("value") < F.col("threshold"), F.col("label"), F.col("n")
+    of = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("long"))
+    counted = histogram.join(F.broadcast(cuts), ["node", "feature"]).groupBy("node", "feature", "threshold", "clean", "gap").agg(of(less).alias("n_less"), of(less & label).alias("p_less"), F.sum(n).alias("n"), of(label).alias("p"))
     share = lambda p, n: F.coalesce(F.try_divide(p, n), F.lit(0.0))
     gain = F.greatest(share(F.col("p_less"), F.col("n_less")), share(F.col("p") - F.col("p_less"), F.col("n") - F.col("n_less"))) - share(F.col("p"), F.col("n"))
     return counted.select("node", "feature", "threshold", "clean", F.round(F.when(F.col("clean"), F.col("gap")).otherwise(gain), 9).alias("score")).where("score > 0")
@@ -109,13 +124,23 @@ def balanced(side: tuple[int, int], whole: tuple[int, int]) -> float:
 
 
 def grow_tree(rows: DataFrame, features: list[str], depth: int) -> Node:
-    """A tree over ``rows(label, features)``, one level at a time: each level is one job over all of its nodes, and
-    only cuts and class counts, a few numbers for each node, reach the driver.
+    """A tree over ``rows(label, features)``, see `grow_trees`."""
+    return grow_trees(rows.withColumn("tree", F.lit(0)), [features], depth)[0]
+
+
+def grow_trees(rows: DataFrame, features: list[list[str]], depth: int) -> list[Node]:
+    """A tree for each list of ``features`` over the ``rows(tree, label, features)`` that have its number, one level at a time: each level counts the values of all nodes of
+    all trees in one pass over the rows, from which statistics, cuts and scores follow; only cuts and class counts, a few numbers for each node, reach the driver.
 
     A node of one class is a leaf of 1 or -1. What lies on either side of a cut of the last level, or can't be cut any further, is a leaf whose value weighs the
     classes by what the node above it holds of each.
     """
-    at = rows.withColumn("node", F.lit(1).cast("long"))
+    # nodes of a tree are numbered from its base on, its root being 1
+    width = 2 << depth
+    names = [*dict.fromkeys(n for f in features for n in f)]
+    at = rows.select("label", *names, (F.col("tree") * width + 1).cast("long").alias("node"))
+    tree = F.floor(F.col("node") / width)
+    allowed = functools.reduce(lambda c, t: c | ((tree == t) & F.col("feature").isin(features[t])), range(len(features)), F.lit(False))
     counts: dict[int, tuple[int, int]] = {}
     cuts: dict[int, tuple[str, float]] = {}
     for level in range(depth + 1):
@@ -124,21 +149,20 @@ def grow_tree(rows: DataFrame, features: list[str], depth: int) -> Node:
         open_ = [k for k, (p, n) in own.items() if p and n] if level < depth else []
         if not open_:
             break
-        now = at.where(F.col("node").isin(open_))
-        found = {r["node"]: (r["feature"], r["threshold"]) for r in best_splits(split_scores(now, features, thresholds(class_statistics(now, features)))).collect()}
+        values = written(histogram(at.where(F.col("node").isin(open_)), names).where(allowed), "node-histogram")
+        found = {r["node"]: (r["feature"], r["threshold"]) for r in best_splits(histogram_scores(values, thresholds(histogram_statistics(values)))).collect()}
         if not found:
             break
         cuts |= found
-        step = functools.reduce(lambda c, k: c.when(F.col("node") == k, F.when(F.col(found[k][0]) < found[k][1], 2 * k).otherwise(2 * k + 1)), found, F.when(F.lit(False), 0))
+        below = lambda k: k + k % width
+        step = functools.reduce(lambda c, k: c.when(F.col("node") == k, F.when(F.col(found[k][0]) < found[k][1], below(k)).otherwise(below(k) + 1)), found, F.when(F.lit(False), 0))
         at = at.where(F.col("node").isin(list(found))).withColumn("node", step.cast("long"))
 
-    def value(k: int) -> float:
-        return balanced(counts.get(k, (0, 0)), counts.get(max(1, k // 2), (0, 0)))
-
-    def build(k: int) -> Node:
-        return Node(*cuts[k], build(2 * k), build(2 * k + 1), sides=(value(2 * k), value(2 * k + 1))) if k in cuts else Node(value=value(k))
+    def build(base: int, k: int) -> Node:
+        value = lambda k: balanced(counts.get(base + k, (0, 0)), counts.get(base + max(1, k // 2), (0, 0)))
+        return Node(*cuts[base + k], build(base, 2 * k), build(base, 2 * k + 1), sides=(value(2 * k), value(2 * k + 1))) if base + k in cuts else Node(value=value(k))
 
-    return build(1)
+    return [build(t * width, 1) for t in range(len(features))]
 
 
 def evaluate(rows: DataFrame, score: Column) -> DataFrame:
@@ -201,10 +225,12 @@ def report(trees: dict[str, Column], rows: DataFrame) -> DataFrame:
 
 def forest(rows: DataFrame, features: list[str], k: int, depth: int) -> list[tuple[Node, float]]:
     """``k`` trees, each grown without one fold, pruned on it, and weighted by its accuracy there."""
-    folds, out = fold_split(rows, k), []
-    for i in range(k):
-        rest, own = folds.where(F.col("fold") != i), folds.where(F.col("fold") == i)
-        tree = prune(grow_tree(rest, features, depth), own)
+    folds, out = written(fold_split(rows, k), "folds"), []
+    others = F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("tree")
+    grown = grow_trees(folds.select("*", others).where("fold <> tree"), [features] * k, depth)
+    for i, whole in enumerate(grown):
+        own = folds.where(F.col("fold") == i)
+        tree = prune(whole, own)
         r = evaluate(own, tree.column()).first()
         out.append((tree, r["good"] / max(1, r["good"] + r["bad"])))
     return out

@@ -45,6 +45,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, label, f0, f1, f2``: labelled documents by sizes of their text."""
-    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    # sizes are taken before the join, so that no text is shuffled
     upper = F.length(F.regexp_replace("text", "[^A-Z]", ""))
-    return joined.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("label"), F.length("text").cast("double").alias("f0"), upper.cast("double").alias("f1"), F.length(F.regexp_replace("text", "[A-Za-z]", "")).cast("double").alias("f2"))
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("f0"), upper.cast("double").alias("f1"), F.length(F.regexp_replace("text", "[A-Za-z]", "")).cast("double").alias("f2"))
+    joined = table(spark, sf_dir, "labels").join(sizes, "doc_id")
+    return joined.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("label"), "f0", "f1", "f2")

@@ -194,3 +194,16 @@ def test_reports_leaves_and_subsets(spark):
     assert [(r["name"], r["good"], r["bad"], r["precision"], r["recall"]) for r in found] == [("none", 1, 2, None, 0.0), ("all", 2, 1, 2 / 3, 1.0), ("cut", 2, 1, 1.0, 0.5)]
     assert learn.feature_subsets(["a", "b", "c"]) == [["a", "b"], ["a", "c"], ["b", "c"]]
     assert [r[0] for r in rows.select(learn.linear_leaf(F.col("f0"), 1.0, 3.0)).collect()] == [-1.0, 0.0, 1.0]
+
+
+def test_trees_grown_together_are_those_grown_alone_in_as_many_steps(spark, monkeypatch):
+    r = random.Random(5)
+    made = [(i % 3, r.random() < 0.4, r.gauss(0, 1), float(r.randint(0, 4)), None if r.random() < 0.1 else r.random()) for i in range(240)]
+    rows = spark.createDataFrame([(t, y, a + y * 0.6, b, c) for t, y, a, b, c in made], "tree int, label boolean, f0 double, f1 double, f2 double").localCheckpoint()
+    subsets, steps = [["f0", "f1"], ["f2"], ["f1", "f0", "f2"]], []
+    alone = [learn.grow_tree(rows.where(F.col("tree") == i), names, 3) for i, names in enumerate(subsets)]
+    plain = learn.written
+    monkeypatch.setattr(learn, "written", lambda df, name: steps.append(name) or plain(df, name))
+    assert learn.grow_trees(rows, subsets, 3) == alone
+    assert steps.count("node-histogram") <= 3
+    assert learn.grow_trees(rows.where("tree = 1"), subsets, 3) == [learn.Node(value=-1.0), alone[1], learn.Node(value=-1.0)]
