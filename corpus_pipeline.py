@@ -1,7 +1,7 @@
 """From raw documents to training sequences: five operators of ``pixelweave.llm``, one after the other.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept; what it returns
-is written as Parquet and read again as the next one's ``docs``. All stages keep all columns, whatever their names, but the last, which returns
+is written as Parquet and read again as the next one's ``docs``. Each stage sets how much text goes to Python at a time, as all of them share the executors' memory. All stages keep all columns, whatever their names, but the last, which returns
 pieces; an empty table gives an empty one.
 """
 
@@ -10,19 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelweave.llm import decontaminate, packing, pii, quality, simhash
-from pixelweave.llm.common import table, written
+from pixelweave.llm.common import small_batches, table, written
 from pixelweave.llm.tokens import vocabulary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Null and empty texts are scored as empty; null ids, ties and repeated rows make no
     difference, as a text alone decides; without labels all documents stay."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word similarity of 0.8 or more) the row of the smallest id stays, of rows that repeat id and text one.
     Null, empty and blank texts are one group; rows without an id are decided by their text and come after all ids."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -40,6 +42,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence. A null or empty text is its end alone; null ids and repeated rows are packed like
     others; pieces of one length go by their place in the table."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

@@ -16,6 +16,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 _FIXED = (T.NumericType, T.BooleanType)
 #: Nodes with more edges than this are joined by a broadcast of their own, as one task couldn't hold them.
 HUB_EDGES = 100_000
+#: Rows and bytes that go to Python at a time. With Spark's own 10,000 rows or 64 MB, two workers of long texts and their executor's buffers take all its memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on texts go to Python in batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes; smaller settings stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        given = int(spark.conf.get(key).rstrip("b"))
+        spark.conf.set(key, str(most if given <= 0 else min(given, most)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -64,3 +65,24 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert seen["decontamination"] == [r for r in seen["near-duplicates"] if r[0] != 7]
     assert (8, "mail [EMAIL]") in seen["personal data"] and len(seen["personal data"]) == 6
     assert seen["packing"] >= 6
+
+
+def test_stages_give_python_small_batches(spark):
+    import corpus_pipeline
+    from pixelweave.llm import common
+
+    keys = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(k).rstrip("b") for k in keys]
+    lengths = lambda batches: (pa.RecordBatch.from_pydict({"rows": [len(b)], "bytes": [b.nbytes]}) for b in batches)
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 4000).alias("text"))
+    try:
+        assert docs.mapInArrow(lengths, "rows long, bytes long").agg(F.max("bytes")).first()[0] > 8 * common.BATCH_BYTES
+        corpus_pipeline.keep_good(spark, docs.limit(3), "/root/testdata/sf0.001")
+        seen = docs.mapInArrow(lengths, "rows long, bytes long").agg(F.max("rows"), F.max("bytes"), F.sum("rows")).first()
+        assert seen[0] <= common.BATCH_ROWS and seen[1] < 2 * common.BATCH_BYTES and seen[2] == 5000
+        spark.conf.set(keys[0], "10")
+        common.small_batches(spark)
+        assert spark.conf.get(keys[0]) == "10"
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
