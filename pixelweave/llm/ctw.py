@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import clean_text, written
+from pixelweave.llm.common import clean_text, small_batches, written
 
 DEPTH = 5
 #: A block is about so many bytes of text; the more there are, the fewer scores are asked for in all.
 BLOCK_BYTES = 64 << 20
-#: Of a block, texts of about so many bytes are stored and cut into words together, and so many bytes are cut into grams.
-PART_BYTES, SLICE_BYTES = 2 << 20, 1 << 19
+#: Of a block, texts of about so many bytes are packed for the last shuffle and cut into words together, and so many bytes are cut into grams.
+PART_BYTES, SLICE_BYTES = 1 << 20, 1 << 19
 #: Subtrees of more distinct grams are cut by one more byte of context; a task builds subtrees of about so many grams in all.
 SHARD_GRAMS = 100_000
 END = "\n"
@@ -212,20 +212,38 @@ def scores(keys: np.ndarray, counts: np.ndarray, top: int, above: Top, depth: in
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """``block, part``: ``docs(doc_id, held_out, text)`` in blocks of about ``BLOCK_BYTES`` of text; a part has some of its rows, compressed, as
-    they are stored and shuffled as a whole."""
+    """``block, doc_id, held_out, text``: ``docs(doc_id, held_out, text)`` in blocks of about ``BLOCK_BYTES`` of text, whose rows follow one another. They are stored
+    as rows, as a reader holds thousands of rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 24, 0
+        first, size = TaskContext.get().partitionId() << 24, 0
         for b in batches:
             ends = size + np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
-            cuts = [0, *(np.flatnonzero(np.diff(ends // PART_BYTES)) + 1).tolist(), len(b)]
-            parts = [(block + int(ends[lo]) // (2 * BLOCK_BYTES), _packed(b.slice(lo, hi - lo))) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(first + ends // (2 * BLOCK_BYTES)), *b.columns], names=["block", "doc_id", "held_out", "text"])
             size = int(ends[-1]) if len(ends) else size
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.coalesce(max(1, total // BLOCK_BYTES)).mapInArrow(run, "block long, part binary")
+    return docs.coalesce(max(1, total // BLOCK_BYTES)).mapInArrow(run, "block long, doc_id long, held_out boolean, text string")
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The blocks of a batch, each with runs of its rows of about ``PART_BYTES``."""
+    block = b.column(0).to_numpy()
+    part = np.cumsum(pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64) + 64) // PART_BYTES
+    cuts = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(part) != 0))).tolist() if len(b) else []
+    for lo, hi in zip(cuts, [*cuts[1:], len(b)]):
+        yield int(block[lo]), b.slice(lo, hi - lo).select(["doc_id", "held_out", "text"])
+
+
+def _parts(blocks: DataFrame) -> DataFrame:
+    """``block, part``: some of a block's rows, compressed, as they are shuffled as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, rows in _runs(b):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_packed(rows)], pa.binary())], names=["block", "part"])
+
+    return blocks.mapInArrow(run, "block long, part binary")
 
 
 def _asked(blocks: DataFrame) -> DataFrame:
@@ -249,16 +267,15 @@ def _asked(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, grams, words = None, [], []
         for b in batches:
-            for number, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for number, rows in _runs(b):
                 if block is not None and number != block:
                     yield from flush(block, grams, words)
                 block = number
-                for rows in _unpacked([part]):
-                    own, train = Texts(rows.column("text")), ~rows.column("held_out").to_numpy(zero_copy_only=False)
-                    grams.append(own.distinct(train))
-                    word = own.words.dictionary_encode()
-                    n = np.bincount(word.indices.to_numpy(), weights=np.repeat(train, np.diff(own.word_at)), minlength=len(word.dictionary)).astype(np.int64)
-                    words.append(pa.table({"word": word.dictionary, "n": n}))
+                own, train = Texts(rows.column("text")), ~rows.column("held_out").to_numpy(zero_copy_only=False)
+                grams.append(own.distinct(train))
+                word = own.words.dictionary_encode()
+                n = np.bincount(word.indices.to_numpy(), weights=np.repeat(train, np.diff(own.word_at)), minlength=len(word.dictionary)).astype(np.int64)
+                words.append(pa.table({"word": word.dictionary, "n": n}))
                 if len(grams) > 4:
                     grams[:], words[:] = [_summed(grams)], [counted(words)]
                     pa.default_memory_pool().release_unused()
@@ -316,6 +333,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     Other columns go, whatever their names. An empty table gives an empty one.
     """
     rows = clean_text(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    small_batches(docs.sparkSession)
     blocks = written(_blocks(rows), "ctw-blocks")
     asked = written(_asked(blocks), "ctw-asked")
     counted = written(asked.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
@@ -331,7 +349,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         found = right.filter(pc.is_valid(right.column("gram")))
-        index, lp = pd.Index(found.column("gram").to_numpy()), found.column("lp").to_numpy() / np.log(10)
+        # a block whose file two tasks read asks twice for some
+        gram, at = np.unique(found.column("gram").to_numpy(), return_index=True)
+        index, lp = pd.Index(gram), found.column("lp").to_numpy()[at] / np.log(10)
         found = right.filter(pc.is_valid(right.column("word")))
         known, c_known = found.column("word").combine_chunks(), np.append(found.column("c").to_numpy(), 0).astype(float)
         out = [schema.empty_table()]
@@ -348,5 +368,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
-    both = blocks.groupBy("block").cogroup(of_grams.unionByName(of_words).groupBy("block"))
+    both = _parts(blocks).groupBy("block").cogroup(of_grams.unionByName(of_words).groupBy("block"))
     return both.applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -433,3 +433,20 @@ def test_order_of_words_counts_and_odd_rows_are_scored(spark, odd, empty):
     assert ctw.score(odd).count() == odd.count()
     assert ctw.score(empty).count() == 0
     assert ctw.score(odd.where("doc_id is null")).count() == 2
+
+
+def test_context_tree_reads_a_block_in_several_tasks(spark):
+    """Blocks are stored as rows; a file of a block that several tasks read asks for some grams twice."""
+    d = spark.createDataFrame([(i, f"some words of text {i % 37} and more {i * 7919}") for i in range(1500)], "doc_id long, text string").coalesce(1)
+    expected = {r["doc_id"]: r["score"] for r in ctw.score(d).collect()}
+    blocks = ctw._blocks(d.select("doc_id", ctw.held_out(F.col("doc_id")).alias("held_out"), "text"))
+    assert blocks.columns == ["block", "doc_id", "held_out", "text"] and blocks.count() == 1500
+    own = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "1", "parquet.block.size": "4000"}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        found = {r["doc_id"]: r["score"] for r in ctw.score(d).collect()}
+    finally:
+        for k in own:
+            spark.conf.unset(k)
+    assert found.keys() == expected.keys() and all(abs(found[i] - expected[i]) < 1e-9 for i in expected)
