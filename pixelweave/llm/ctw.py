@@ -32,6 +32,8 @@ DEPTH = 5
 BLOCK_BYTES = 64 << 20
 #: Of a block, texts of about so many bytes are packed for the last shuffle and cut into words together, and so many bytes are cut into grams.
 PART_BYTES, SLICE_BYTES = 1 << 20, 1 << 19
+#: The words of so many parts are searched together.
+SEARCHED_PARTS = 16
 #: Subtrees of more distinct grams are cut by one more byte of context; a task builds subtrees of about so many grams in all.
 SHARD_GRAMS = 100_000
 END = "\n"
@@ -354,17 +356,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         index, lp = pd.Index(gram), found.column("lp").to_numpy()[at] / np.log(10)
         found = right.filter(pc.is_valid(right.column("word")))
         known, c_known = found.column("word").combine_chunks(), np.append(found.column("c").to_numpy(), 0).astype(float)
-        out = [schema.empty_table()]
+        out, held = [schema.empty_table()], []
+
+        def flush() -> None:
+            # the block's words are hashed anew by each search, so parts are searched together by their different words
+            at = pc.index_in(pa.chunked_array([h[3].dictionary for h in held], pa.string()), value_set=known).fill_null(-1).to_numpy()
+            ends_at = np.cumsum([len(h[3].dictionary) for h in held])
+            for (rows, own, model, word), lo, hi in zip(held, [0, *ends_at[:-1]], ends_at, strict=True):
+                n_words, word_at, coded = own
+                c = c_known[at[lo:hi]][word.indices.to_numpy()]
+                real = np.repeat(n_words > 0, np.diff(word_at))
+                base = np.add.reduceat(np.where(real, np.log10(c + 0.5) - shift, 0.0), word_at[:-1]) + base_end
+                n_known = np.add.reduceat((real & (c > 0)).astype(np.int64), word_at[:-1]) + (ends > 0)
+                columns = [rows.column("doc_id"), rows.column("held_out"), n_words + 1, n_known, np.full(len(rows), n_train), base, model, -model * np.log2(10) / coded]
+                out.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema))
+            held.clear()
+
         for rows in _unpacked(left.column("part")):
             own = Texts(rows.column("text"))
-            model = own.sums(index, lp)
-            c = c_known[pc.index_in(own.words, value_set=known).fill_null(-1).to_numpy()]
-            real = np.repeat(own.n_words > 0, np.diff(own.word_at))
-            base = np.add.reduceat(np.where(real, np.log10(c + 0.5) - shift, 0.0), own.word_at[:-1]) + base_end
-            n_known = np.add.reduceat((real & (c > 0)).astype(np.int64), own.word_at[:-1]) + (ends > 0)
-            coded = np.diff(own.at) - own.depth
-            columns = [rows.column("doc_id"), rows.column("held_out"), own.n_words + 1, n_known, np.full(len(rows), n_train), base, model, -model * np.log2(10) / coded]
-            out.append(pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema))
+            held.append((rows.select(["doc_id", "held_out"]), (own.n_words, own.word_at, np.diff(own.at) - own.depth), own.sums(index, lp), own.words.dictionary_encode()))
+            if len(held) == SEARCHED_PARTS:
+                flush()
+        if held:
+            flush()
         pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
