@@ -33,7 +33,7 @@ BLOCK_BYTES = 64 << 20
 #: Of a block, texts of about so many bytes are packed for the last shuffle and cut into words together, and so many bytes are cut into grams.
 PART_BYTES, SLICE_BYTES = 1 << 20, 1 << 19
 #: The words of so many parts are searched together.
-SEARCHED_PARTS = 16
+SEARCHED_PARTS = 8
 #: Subtrees of more distinct grams are cut by one more byte of context; a task builds subtrees of about so many grams in all.
 SHARD_GRAMS = 100_000
 END = "\n"
@@ -350,11 +350,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = right.filter(pc.is_valid(right.column("gram")))
+        found = right.select(["gram", "lp"]).filter(pc.is_valid(right.column("gram")))
         # a block whose file two tasks read asks twice for some
         gram, at = np.unique(found.column("gram").to_numpy(), return_index=True)
         index, lp = pd.Index(gram), found.column("lp").to_numpy()[at] / np.log(10)
-        found = right.filter(pc.is_valid(right.column("word")))
+        found = right.select(["word", "c"]).filter(pc.is_valid(right.column("word")))
         known, c_known = found.column("word").combine_chunks(), np.append(found.column("c").to_numpy(), 0).astype(float)
         out, held = [schema.empty_table()], []
 
