@@ -37,6 +37,8 @@ SHELF_ROWS = 16_384
 FIRST = 4
 #: Hashes that a round works on.
 WORK = 1 << 14
+#: How a row takes part where a band is compared: others are compared with it, it is compared with those, or both.
+STAYS, SENT, BOTH = 0, 1, 2
 _FULL = np.iinfo(np.uint64).max
 
 
@@ -182,28 +184,58 @@ class Alike:
     least: int
 
 
-def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, blocks: int, similarity: float, alike: Alike, first: int | None) -> DataFrame:
-    """``one, block, others``, a text with all it is to be verified against in a block: texts of one band and of different classes whose sketches agree so far as to be looked at. Of a band's largest class no two are compared, so a
-    text of it goes only to blocks that others are sent to. With ``first`` only the best of each text and part of a band, else all, a pair once. Pairs never become rows."""
-    spark = shared.sparkSession
-    own = shared.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    own = written(own, "minhash-classes")
+def _classed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``shared(key, ...)`` with the class of each key as ``root``."""
+    return shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _in_blocks(shared: DataFrame, roots: DataFrame, sketched: DataFrame) -> tuple[DataFrame, int]:
+    """The rows that are compared of bands of any size, and their number. Of a band's largest class no two are compared, so a text of it goes only to blocks that others are sent to."""
+    own = written(_classed(shared.select("band", "key"), roots), "minhash-classes")
     counted = own.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("in_main")).where("classes > 1")
     mixed = written(mixed.select("band", "main", "n", "in_main", F.ceil(F.col("n") / COMPARED).alias("blocks"), F.ceil((F.col("n") - F.col("in_main")) / COMPARED).alias("others")), "minhash-mixed")
-    rows = own.join(mixed.drop("n", "in_main"), "band").join(sketched, "key")
+    rows = own.join(mixed.drop("n", "in_main"), "band").join(sketched, "key").withColumn("is_main", F.col("root") == F.col("main"))
     here, every = lambda n: F.pmod(F.xxhash64("key"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = rows.withColumn("is_main", F.col("root") == F.col("main")).withColumn("of", _block(F.col("key"), blocks))
-    stay = rows.select("band", here("blocks").alias("block"), every("others").alias("part"), "key", "of", "root", "n", "sketch", "is_main", F.lit(False).alias("sent"))
-    sent = rows.where(~F.col("is_main")).select("band", every("blocks").alias("block"), here("others").alias("part"), "key", "of", "root", "n", "sketch", "is_main", F.lit(True).alias("sent"))
+    stay = rows.select("band", here("blocks").alias("block"), every("others").alias("part"), "key", "root", "n", "sketch", "is_main", F.lit(STAYS).alias("role"))
+    sent = rows.where(~F.col("is_main")).select("band", every("blocks").alias("block"), here("others").alias("part"), "key", "root", "n", "sketch", "is_main", F.lit(SENT).alias("role"))
+    return stay.unionByName(sent), mixed.agg(F.sum(F.col("n") * F.col("others") + (F.col("n") - F.col("in_main")) * F.col("blocks"))).first()[0] or 0
+
+
+def _rows_compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame) -> tuple[DataFrame, int]:
+    """The rows that are compared, and their number. Where ``shared`` has a band's number of texts as ``in_band`` and the texts' own ``n, sketch``, a text of a band of one block is one row as it
+    is: no sketch is joined to it, and which of the block's texts are of one class is seen where they are compared."""
+    if "sketch" not in shared.columns:
+        return _in_blocks(shared, roots, sketched)
+    one, zero = shared.where(F.col("in_band") <= COMPARED), F.lit(0).cast("long")
+    rows = _classed(one, roots).select("band", zero.alias("block"), zero.alias("part"), "key", "root", "n", "sketch", F.lit(False).alias("is_main"), F.lit(BOTH).alias("role"))
+    crowded = shared.where(F.col("in_band") > COMPARED)
+    if crowded.isEmpty():
+        return rows, one.count()
+    more, n = _in_blocks(crowded, roots, sketched)
+    return rows.unionByName(more.select(*rows.columns)), one.count() + n
+
+
+def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, blocks: int, similarity: float, alike: Alike, first: int | None) -> DataFrame:
+    """``one, block, others``, a text with all it is to be verified against in a block: texts of one band and of different classes whose sketches agree so far as to be looked at. With ``first`` only
+    the best of each text and part of a band, else all, a pair once. Pairs never become rows."""
+    rows, n_rows = _rows_compared(shared, roots, sketched)
+    rows = rows.withColumn("of", _block(F.col("key"), blocks))
 
     def run(shelf: pd.DataFrame) -> pd.DataFrame:
         numbers = np.frombuffer(b"".join(shelf["sketch"]), dtype=alike.kind).reshape(len(shelf), alike.width)
-        keys, block, size, main, sent = (shelf[c].to_numpy() for c in ("key", "of", "n", "is_main", "sent"))
-        root = pd.factorize(shelf["root"])[0]
+        keys, block, size, role = (shelf[c].to_numpy() for c in ("key", "of", "n", "role"))
+        root, main = pd.factorize(shelf["root"])[0], shelf["is_main"].to_numpy(copy=True)
         found: dict[tuple[bytes, int], set[bytes]] = {}
         for group in shelf.groupby(["band", "block", "part"], sort=False).indices.values():
-            to, of = group[~sent[group]], group[sent[group]]
+            if role[group[0]] == BOTH:
+                classes, own, n = np.unique(root[group], return_inverse=True, return_counts=True)
+                if len(classes) == 1:
+                    continue
+                main[group] = own == n.argmax()
+                to, of = group, group[~main[group]]
+            else:
+                to, of = group[role[group] == STAYS], group[role[group] == SENT]
             for i in of.tolist() if len(to) else []:
                 able = (root[to] != root[i]) & (np.minimum(size[to], size[i]) >= similarity * np.maximum(size[to], size[i]) - 1e-9)
                 if first is None:
@@ -215,12 +247,12 @@ def _compared(shared: DataFrame, roots: DataFrame, sketched: DataFrame, blocks:
                     at = at[np.argsort(-agree, kind="stable")[:first]]
                 for other, b in zip(keys[at].tolist(), block[at].tolist(), strict=True):
                     found.setdefault((keys[i], b), set()).add(other)
-        return pd.DataFrame({"one": [k for k, _ in found], "block": [b for _, b in found], "others": [sorted(v) for v in found.values()]})
+        return pd.DataFrame({"one": [k for k, _ in found], "block": [b for _, b in found], "others": pd.Series([sorted(v) for v in found.values()], dtype=object)})
 
     # small bands are compared many in a group, whose rows are bounded on average
-    shelves = max((mixed.agg(F.sum(F.col("n") * F.col("others") + (F.col("n") - F.col("in_main")) * F.col("blocks"))).first()[0] or 0) // SHELF_ROWS, spark.sparkContext.defaultParallelism)
+    shelves = max(n_rows // SHELF_ROWS, shared.sparkSession.sparkContext.defaultParallelism)
     shelf = F.pmod(F.xxhash64("band", "block", "part"), F.lit(shelves))
-    both = stay.unionByName(sent).groupBy(shelf.alias("shelf")).applyInPandas(run, "one binary, block long, others array<binary>")
+    both = rows.groupBy(shelf.alias("shelf")).applyInPandas(run, "one binary, block long, others array<binary>")
     return both.groupBy("one", "block").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
 
 
@@ -231,6 +263,8 @@ def _roots(edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, sketched: DataFrame, shared: DataFrame, leads: DataFrame, words: int, similarity: float, alike: Alike) -> tuple[DataFrame, DataFrame]:
     """``a, b``, links of sets that connect what all verified pairs within a band of ``shared(band, key, first_id)`` connect, and ``key, root`` of the sets that have one.
 
+    ``shared`` may hold ``in_band, n, sketch`` too, the texts of a band and each one's own size and sketch, which spares a join of every row with ``sketched``.
+
     First each set is verified against one of its ``leads(key, lead, lead_id)``, then against the best few of other classes in its bands, then against all that are still of other classes and
     that ``alike`` doesn't exclude by ``sketched(key, n, sketch)``. ``docs(doc_id, text)`` holds the texts.
     """
@@ -243,10 +277,10 @@ def linked(docs: DataFrame, sketched: DataFrame, shared: DataFrame, leads: DataF
     edges = written(_verified(_packed(first, blocks), sets, blocks, similarity), "minhash-links")
     # a text has one lead, so those linked to the same are known to be of one component
     roots = edges.select(F.col("b").alias("key"), F.col("a").alias("root"))
-    pairs = _compared(shared.select("band", "key"), roots, sketched, blocks, similarity, alike, FIRST)
+    pairs = _compared(shared, roots, sketched, blocks, similarity, alike, FIRST)
     edges = written(edges.unionByName(_verified(pairs, sets, blocks, similarity)), "minhash-links")
     roots = _roots(edges)
-    pairs = _compared(shared.select("band", "key"), roots, sketched, blocks, similarity, alike, None)
+    pairs = _compared(shared, roots, sketched, blocks, similarity, alike, None)
     more = written(_verified(pairs, sets, blocks, similarity), "minhash-links")
     edges = edges.unionByName(more)
     return edges, roots if more.isEmpty() else _roots(edges)

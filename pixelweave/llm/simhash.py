@@ -251,23 +251,22 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, radi
     """
     docs = clean_text(docs, "doc_id", "text")
     rows = written(_fingerprinted(docs, FINGERPRINT_WORDS, words, seeds), "dedup-fingerprints")
-    distinct = written(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min("fps").alias("fps")), "dedup-sets")
+    distinct = written(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.min("fps").alias("fps")).withColumn("sketch", _bytes_of(F.col("fps"), len(seeds))), "dedup-sets")
     parts = []
     for s in range(len(seeds)):
-        own = distinct.select(F.col("fps")[s].alias("fp"), F.col("key").alias("of"), "first_id")
-        parts.append(own.select(F.xxhash64(F.lit(s), F.lit(-1), "fp").alias("band"), "fp", "of", "first_id"))
+        own = distinct.select(F.col("fps")[s].alias("fp"), F.col("key").alias("of"), "first_id", "n", "sketch")
+        parts.append(own.select(F.xxhash64(F.lit(s), F.lit(-1), "fp").alias("band"), *own.columns))
         for level, small in enumerate(buckets(own.select("fp").distinct(), radius)):
-            parts.append(small.select(F.xxhash64(F.lit(s), F.lit(level), "path", "key").alias("band"), "fp").join(own, "fp").select("band", "fp", "of", "first_id"))
+            parts.append(small.select(F.xxhash64(F.lit(s), F.lit(level), "path", "key").alias("band"), "fp").join(own, "fp").select("band", *own.columns))
     banded = functools.reduce(DataFrame.unionByName, parts).withColumnRenamed("of", "key")
     least = F.min(F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "key", "fp"))
-    common = written(banded.groupBy("band").agg(F.count("*").alias("n"), least.alias("lead")).where("n > 1").select("band", "lead"), "dedup-bands")
+    common = written(banded.groupBy("band").agg(F.count("*").alias("in_band"), least.alias("lead")).where("in_band > 1"), "dedup-bands")
     near_lead = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= radius
-    shared = banded.join(common, "band").select("band", "key", "first_id", F.when(near_lead & (F.col("key") != F.col("lead.key")), F.struct("lead.key", "lead.first_id")).alias("lead"))
+    shared = banded.join(common, "band").select("band", "in_band", "key", "first_id", "n", "sketch", F.when(near_lead & (F.col("key") != F.col("lead.key")), F.struct("lead.key", "lead.first_id")).alias("lead"))
     shared = written(shared, "dedup-shared")
     leads = shared.where("lead is not null").select("key", F.col("lead.key").alias("lead"), F.col("lead.first_id").alias("lead_id"))
     alike = minhash.Alike("<u8", len(seeds), _nearness, -radius)
-    sketched = distinct.select("key", "n", _bytes_of(F.col("fps"), len(seeds)).alias("sketch"))
-    edges, roots = minhash.linked(docs, sketched, shared.select("band", "key", "first_id"), leads, words, similarity, alike)
+    edges, roots = minhash.linked(docs, distinct.select("key", "n", "sketch"), shared.drop("lead"), leads, words, similarity, alike)
     return rows, edges, roots
 
 

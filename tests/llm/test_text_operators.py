@@ -197,6 +197,29 @@ def test_keep_one_of_a_large_family_of_copies_of_copies(spark, monkeypatch, comp
     assert len(near) > 300 and kept == set(connected(len(docs), near))
 
 
+@pytest.mark.parametrize("compared", [1024, 32])
+def test_bands_of_one_block_are_compared_by_a_row_for_each_text(spark, monkeypatch, compared):
+    """40 bands of the same 100 texts, 60 of one class: nothing is joined to their rows or made of them, and the same pairs are found as by blocks."""
+    from pixelweave.llm import minhash
+
+    monkeypatch.setattr(minhash, "COMPARED", compared)
+    r = random.Random(4)
+    keys, base = [bytes([i]) for i in range(100)], r.getrandbits(64)
+    fps = [(base ^ sum(1 << p for p in r.sample(range(64), 3))).to_bytes(8, "little") for _ in keys]
+    size = [r.randint(70, 130) for _ in keys]
+    sketched = spark.createDataFrame(list(zip(keys, size, fps, strict=True)), "key binary, n long, sketch binary")
+    shared = sketched.crossJoin(spark.range(40).select(F.col("id").alias("band"))).withColumn("in_band", F.lit(100))
+    roots = spark.createDataFrame([(k, keys[0]) for k in keys[1:60]], "key binary, root binary")
+    if compared == 1024:
+        rows, n = minhash._rows_compared(shared, roots, sketched)
+        assert n == rows.count() == 4000
+    alike = minhash.Alike("<u8", 1, simhash._nearness, -5)
+    pairs = lambda own: {tuple(sorted((bytes(x["one"]), bytes(o)))) for x in minhash._compared(own, roots, sketched, 7, 0.8, alike, None).collect() for o in x["others"]}
+    bits = lambda i, j: (int.from_bytes(fps[i]) ^ int.from_bytes(fps[j])).bit_count()
+    near = {(keys[i], keys[j]) for i, j in itertools.combinations(range(100), 2) if j >= 60 and bits(i, j) <= 5 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
+    assert near and pairs(shared) == pairs(shared.select("band", "key")) == near
+
+
 def test_contained_matches_counting_all_shingles(spark, odd, empty):
     item = words(40, 9).split()
     docs, r = [], random.Random(3)
