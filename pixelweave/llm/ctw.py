@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pixelweave.llm.common import clean_text, small_batches, written
 
 DEPTH = 5
-#: A block is about so many bytes of text; the more there are, the fewer scores are asked for in all.
-BLOCK_BYTES = 64 << 20
+#: A block is about so many bytes of text, twice as many at most; the more there are, the fewer scores are asked for in all, and the more memory a task takes.
+BLOCK_BYTES = 32 << 20
 #: Of a block, texts of about so many bytes are packed for the last shuffle and cut into words together, and so many bytes are cut into grams.
 PART_BYTES, SLICE_BYTES = 1 << 20, 1 << 19
 #: The words of so many parts are searched together.
@@ -336,7 +336,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """
     rows = clean_text(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     small_batches(docs.sparkSession)
-    blocks = written(_blocks(rows), "ctw-blocks")
+    blocks = written(_blocks(rows), "ctw-blocks", "zstd")
     asked = written(_asked(blocks), "ctw-asked")
     counted = written(asked.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
     words = written(asked.where("word <> ''").groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
@@ -345,17 +345,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     n_train, distinct = int(total[0]) + ends, int(total[1]) + (ends > 0)
     shift = float(np.log10(n_train + 0.5 * (distinct + 1)))
     base_end = float(np.log10(ends + 0.5)) - shift
-    of_grams = asked.where("gram is not null").select("block", "gram").join(_gram_scores(counted, shard_grams), "gram").select("block", "gram", "lp", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"))
-    of_words = asked.where("word <> ''").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("double").alias("lp"), "word", "c")
+    of_grams = asked.where("gram is not null").select("block", "gram").join(_gram_scores(counted, shard_grams), "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), F.col("lp").alias("value"))
+    of_words = asked.where("word <> ''").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = right.select(["gram", "lp"]).filter(pc.is_valid(right.column("gram")))
+        found = right.select(["gram", "value"]).filter(pc.is_valid(right.column("gram")))
         # a block whose file two tasks read asks twice for some
         gram, at = np.unique(found.column("gram").to_numpy(), return_index=True)
-        index, lp = pd.Index(gram), found.column("lp").to_numpy()[at] / np.log(10)
-        found = right.select(["word", "c"]).filter(pc.is_valid(right.column("word")))
-        known, c_known = found.column("word").combine_chunks(), np.append(found.column("c").to_numpy(), 0).astype(float)
+        index, lp = pd.Index(gram), found.column("value").to_numpy()[at] / np.log(10)
+        found = right.select(["word", "value"]).filter(pc.is_valid(right.column("word")))
+        known, c_known = found.column("word").combine_chunks(), np.append(found.column("value").to_numpy(), 0.0)
         out, held = [schema.empty_table()], []
 
         def flush() -> None:

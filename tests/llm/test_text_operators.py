@@ -458,6 +458,13 @@ def test_order_of_words_counts_and_odd_rows_are_scored(spark, odd, empty):
     assert ctw.score(odd.where("doc_id is null")).count() == 2
 
 
+def test_blocks_are_small_whatever_the_partition(spark):
+    """90 MB of text in one partition: the last step holds a block whole, so a block has 64 MB at most."""
+    d = spark.range(0, 900, 1, 1).select(F.col("id").alias("doc_id"), F.lit(False).alias("held_out"), F.repeat(F.lit("some text "), 10_000).alias("text"))
+    found = ctw._blocks(d).groupBy("block").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    assert sum(r["rows"] for r in found) == 900 and max(r["n"] for r in found) <= 64 << 20
+
+
 def test_context_tree_reads_a_block_in_several_tasks(spark):
     """Blocks are stored as rows; a file of a block that several tasks read asks for some grams twice."""
     d = spark.createDataFrame([(i, f"some words of text {i % 37} and more {i * 7919}") for i in range(1500)], "doc_id long, text string").coalesce(1)
